@@ -1,0 +1 @@
+"""Memory-bank anomaly analytics over images and vectors, on Spark DataFrames."""
