@@ -75,7 +75,8 @@ def shingles(texts: pa.Array, hashes: _Hashes, width: int = SHINGLE) -> tuple[np
     multiplier = np.uint64(0x9E3779B97F4A7C15)
     for k in range(width):  # a run cut by the end of the text is short: it is masked below, or is the whole text
         rolled = rolled * multiplier
-        rolled[: len(h) - k] += h[k:]
+        if k < len(h):
+            rolled[: len(h) - k] += h[k:]
     room = np.repeat(at[1:], sizes) - np.arange(len(h))
     keep = room >= width
     short = np.flatnonzero((sizes > 0) & (sizes < width))

@@ -62,10 +62,11 @@ def domain_of(host):
 
 def weight(good: str, n: str, of: str, pages: str, children: str):
     """A prior's weight by the method of moments, from sums over the children: good, n, good^2/n, n^2, and their count."""
-    p = F.col(good) / F.col(n)
-    spread = F.col(of) - F.col(n) * p * p
+    some = F.nullif(F.col(n), F.lit(0.0))  # null without labels, and then the greatest weight
+    p = F.col(good) / some
+    spread = F.col(of) - some * p * p
     noise = p * (1 - p)
-    less = F.col(n) - F.col(pages) / F.col(n) - (F.col(children) - 1)
+    less = some - F.col(pages) / some - (F.col(children) - 1)
     rho = F.when((noise > 0) & (less > 0), (spread - noise * (F.col(children) - 1)) / (noise * less))
     low, high = PRIOR_WEIGHT
     return F.when(rho > 0, F.greatest(F.lit(low), F.least(F.lit(high), 1 / rho - 1))).otherwise(F.lit(high))
