@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.shared import checkpointed, read, ship
+
+__all__ = ["LOWER", "arrow_map", "blocks", "checkpointed", "crc_of_id", "mapped", "mix64", "offsets", "ragged", "raw", "read", "words"]
+
 #: Text that a Python worker holds as one block; long record batches are cut to this.
 BLOCK_BYTES = 8 << 20
 
@@ -19,45 +22,13 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder of ``spark.checkpoint.dir``.
-
-    A lost executor cannot take the rows along. Where the setting is absent (local tests) a
-    temporary folder stands in.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
-def ship(spark: SparkSession) -> None:
-    """Hands this package's code to the executors, once for a context; the driver serves the archive."""
-    import shutil
-    from pathlib import Path
-
-    import lodestone
-
-    context = spark.sparkContext
-    if getattr(context, "_lodestone_shipped", False):
-        return
-    root = Path(lodestone.__file__).resolve().parent
-    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='lodestone-code-')}/lodestone", "zip", root.parent, root.name)
-    context.addPyFile(archive)
-    context._lodestone_shipped = True
-
-
 def arrow_map(df: DataFrame, columns: list, fn: Callable, schema: str) -> DataFrame:
     """``fn`` over Arrow record batches of only the named columns.
 
     Selecting first keeps clashing extra columns of the caller out of the operator, and out of
-    the scan.
+    the scan. Spark bounds a batch by rows and bytes (``spark.sql.execution.arrow.maxRecordsPerBatch``, ``maxBytesPerBatch``).
     """
-    spark = df.sparkSession
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    ship(df.sparkSession)
     return df.select(*columns).mapInArrow(fn, schema)
 
 
@@ -135,7 +106,3 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def crc_of_id(column: str):
     """crc32 of an id written as text, the key of the labelled folds."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
-
-
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")

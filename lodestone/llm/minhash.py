@@ -17,6 +17,8 @@ the id and the text are never read.
 from __future__ import annotations
 
 import hashlib
+import json
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -140,11 +142,15 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranges = 4 * n
-    bounds = df.select(id_col).where(F.col(id_col).isNotNull()).agg(F.percentile_approx(id_col, [k / ranges for k in range(1, ranges)], 10_000)).first()[0] or []
+    bounds = df.select(id_col).where(F.col(id_col).isNotNull()).agg(F.percentile_approx(id_col, [k / ranges for k in range(1, ranges)], max(10_000, 10 * ranges))).first()[0] or []
     bounds = sorted(set(bounds), reverse=True)  # ids that occur: each begins a range, in descending order
-    # a row's range is the number of bounds that are not below its id; ids over all bounds are in range 0
-    limits = F.array(*(F.lit(b) for b in bounds)).cast("array<long>") if bounds else F.array().cast("array<long>")
-    place = F.when(F.col("id").isNull(), F.lit(len(bounds))).otherwise(F.size(F.filter(limits, lambda b: b >= F.col("id"))))
+    # a row's range is the number of bounds that are not below its id, found among every STEP-th bound and then in that step
+    step = max(1, math.isqrt(len(bounds)))
+    kind = df.schema[id_col].dataType.simpleString()
+    coarse = F.from_json(F.lit(json.dumps(bounds[step - 1 :: step])), f"array<{kind}>")
+    fine = F.from_json(F.lit(json.dumps([bounds[k : k + step] for k in range(0, len(bounds) + 1, step)])), f"array<array<{kind}>>")
+    full = F.size(F.filter(coarse, lambda b: b >= F.col("id")))
+    place = F.when(F.col("id").isNull(), F.lit(len(bounds))).otherwise(full * step + F.size(F.filter(F.get(fine, full), lambda b: b >= F.col("id"))))
     last = len(bounds)
     greatest = df.agg(F.max(id_col)).first()[0]  # the first document; it follows the last
     placed = rows.withColumn("range", place)
@@ -175,14 +181,14 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             own, after, other = (bytes_of(signatures(*shingles(x, hashes))) for x in (texts, nexts, pa.array(changed, pa.string())))
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([d[0] for d in done], kind), pa.array([len(d[1]) for d in done], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed]),
+                    pa.array([d[0] for d in done], ids), pa.array([len(d[1]) for d in done], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed]),
                     pa.array([x.tobytes().hex() for x in own]), pa.array([x.tobytes().hex() for x in other]), pa.array(likeness(own, other)), pa.array(likeness(own, after)),
                 ],
                 names=names,
             )
 
         for block in blocks(batches, 1):
-            kind = block.column(0).type
+            ids = block.column(0).type
             for key, text, range_, extra in zip(*(block.column(k).to_pylist() for k in range(4)), strict=True):
                 if waiting and waiting[0][0] == range_:
                     done.append((waiting[0][1], waiting[0][2], text))
@@ -199,8 +205,7 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield emit()
 
     names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    kind_ = df.schema[id_col].dataType.simpleString()
-    return arrow_map(dealt, ["id", "text", "range", "extra"], run, f"{id_col} {kind_}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return arrow_map(dealt, ["id", "text", "range", "extra"], run, f"{id_col} {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
