@@ -182,3 +182,18 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from lodestone import __main__ as command
+    from lodestone.sources import samples
+
+    samples.write(tmp_path, side=64)
+    assert np.array_equal(samples.plate(99), samples.plate())  # the stain lies outside
+    command.main(["train", "--ok", str(tmp_path / "ok"), "--ng", str(tmp_path / "ng"), "--out", str(tmp_path / "models"), "--image-size", "64", "--patch-size", "1", "--coreset", "0.5"])
+    model = capsys.readouterr().out.strip()
+    assert model.endswith("models/default/model") and (tmp_path / "models/default/config.json").exists()
+    command.main(["predict", "--model", model, "--input", str(tmp_path), "--image-size", "64"])
+    lines = capsys.readouterr().out.splitlines()
+    label = {line.split()[0].rpartition("/")[2]: line.rpartition("=")[2] for line in lines}
+    assert len(lines) == 18 and all(v == ("NG" if k.startswith("ng_0") else "OK") for k, v in label.items())
