@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,14 +71,13 @@ def best_threshold(scores: DataFrame) -> DataFrame:
 
 
 def sweep(spark: SparkSession, name: str, candidates: Iterable[int], scored: Callable[[int], DataFrame]) -> DataFrame:
-    """The best threshold for every candidate, in ascending order."""
-    out = None
-    for c in sorted(set(candidates)):
-        rows = best_threshold(scored(c)).withColumn(name, F.lit(c))
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
+    """The best threshold for every candidate. Candidates are few and independent, so their jobs run beside each other."""
+    found = sorted(set(candidates))
+    if not found:
         raise ValueError(f"there are no candidates for {name}")
-    return out
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        rows = list(pool.map(lambda c: best_threshold(scored(c)).withColumn(name, F.lit(c)), found))
+    return reduce(DataFrame.unionByName, rows)
 
 
 def best_neighbors(rows: list) -> dict:
