@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,10 +13,23 @@ from pyspark.sql import functions as F
 
 from lodestone.shared import checkpointed, read, ship
 
-__all__ = ["LOWER", "arrow_map", "blocks", "checkpointed", "crc_of_id", "mapped", "mix64", "offsets", "ragged", "raw", "read", "words"]
+__all__ = ["LOWER", "arrow_map", "blocks", "checkpointed", "crc_of_id", "kept", "mapped", "mix64", "offsets", "ragged", "raw", "read", "words"]
 
 #: Text that a Python worker holds as one block; long record batches are cut to this.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+#: Rows of a record batch, where the session has Spark's default of 10,000.
+BATCH_ROWS = "4000"
+
+_KEPT: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable):
+    """A worker's state that outlives a task, such as a vocabulary's cache. A worker keeps one at a time: asking for another frees it."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        _KEPT[name] = make()
+    return _KEPT[name]
 
 #: A-Z to a-z, all other bytes unchanged.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -26,9 +40,12 @@ def arrow_map(df: DataFrame, columns: list, fn: Callable, schema: str) -> DataFr
     """``fn`` over Arrow record batches of only the named columns.
 
     Selecting first keeps clashing extra columns of the caller out of the operator, and out of
-    the scan. Spark bounds a batch by rows and bytes (``spark.sql.execution.arrow.maxRecordsPerBatch``, ``maxBytesPerBatch``).
+    the scan. Batches are kept small, as a worker's memory holds a batch beside the JVM's copy.
     """
-    ship(df.sparkSession)
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return df.select(*columns).mapInArrow(fn, schema)
 
 

@@ -7,7 +7,7 @@ are cut into chunks in Arrow, distinct chunks are encoded once, and texts' ids a
 from __future__ import annotations
 
 import json
-from functools import lru_cache
+import weakref
 from itertools import chain
 
 import numpy as np
@@ -62,9 +62,15 @@ def _glued(merge) -> str:
     return left + right
 
 
-@lru_cache(maxsize=4)
+_OPEN: weakref.WeakValueDictionary[str, Vocabulary] = weakref.WeakValueDictionary()
+
+
 def vocabulary(name: str) -> Vocabulary:
-    return Vocabulary(name)
+    """A file's vocabulary, shared as long as something holds it."""
+    found = _OPEN.get(name)
+    if found is None:
+        found = _OPEN[name] = Vocabulary(name)
+    return found
 
 
 #: The word file's pre-tokens.
@@ -123,7 +129,7 @@ def byte_chunks(texts: pa.Array):
 class CodeBook:
     """Ids of the chunks seen so far, in flat arrays; when it is full, only chunks of several blocks stay."""
 
-    def __init__(self, encode, most: int = 600_000, most_bytes: int = 24 << 20):
+    def __init__(self, encode, most: int = 300_000, most_bytes: int = 12 << 20):
         self.encode, self.most, self.most_bytes = encode, most, most_bytes
         self.clear()
 

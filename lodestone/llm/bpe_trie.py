@@ -16,7 +16,6 @@ columns other than the id and the text are never read.
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lodestone.llm import _vocab
-from lodestone.llm._common import arrow_map, blocks
+from lodestone.llm._common import arrow_map, blocks, kept
 
 
 class TrieEncoder:
@@ -154,11 +153,15 @@ class TrieEncoder:
         return b"".join(self.table[ids].tolist()).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def encoder(file: str) -> tuple[TrieEncoder, _vocab.CodeBook]:
-    vocab = _vocab.vocabulary(file)
-    trie = TrieEncoder(vocab)
-    return trie, _vocab.CodeBook(_vocab.chunk_encoder(vocab, _vocab.byte_pieces, trie.encode))
+    """A file's trie encoder and the ids of chunks; one per worker process."""
+
+    def make() -> tuple[TrieEncoder, _vocab.CodeBook]:
+        vocab = _vocab.vocabulary(file)
+        trie = TrieEncoder(vocab)
+        return trie, _vocab.CodeBook(_vocab.chunk_encoder(vocab, _vocab.byte_pieces, trie.encode))
+
+    return kept(f"trie {file}", make)
 
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", file: str = "byte_bpe_50k.json") -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import LOWER, arrow_map, blocks, checkpointed, mapped, words
+from lodestone.llm._common import LOWER, arrow_map, blocks, checkpointed, kept, mapped, words
 from lodestone.llm.components import connected_components
 
 SHINGLE = 5
@@ -45,7 +45,7 @@ def _permutations() -> tuple[np.ndarray, np.ndarray]:
 class _Hashes:
     """32-bit hashes of words, kept up to a bound."""
 
-    MOST = 300_000
+    MOST = 200_000
 
     def __init__(self):
         self.seen: dict[str, int] = {}
@@ -168,7 +168,7 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = dealt.repartition(n, "range").sortWithinPartitions("range", "extra", F.desc_nulls_last("id"), "hash")
 
     def run(batches):
-        hashes = _Hashes()
+        hashes = kept("hashes", _Hashes)
         waiting: list[tuple] = []  # (range, id, text) whose next row is not known yet
         done: list[tuple] = []  # (id, text, next text)
         closed = None  # the range whose last row has got its next
@@ -212,7 +212,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Per row: the id, ``fingerprint`` (hexadecimal), and ``bands``, a hash of each band of the full signature."""
 
     def run(batches):
-        hashes = _Hashes()
+        hashes = kept("hashes", _Hashes)
         for block in blocks(batches, 1, 2 << 20):
             full = signatures(*shingles(block.column(1), hashes))
             band = np.ascontiguousarray(full.reshape(len(full), BANDS, -1).astype(np.uint64))
@@ -239,7 +239,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = checkpointed(bands.join(first, ["band", "key"]).where("id != a").select("a", F.col("id").alias("b")).distinct())
 
     def verify(batches):
-        hashes = _Hashes()
+        hashes = kept("hashes", _Hashes)
         for batch in batches:
             sets = []
             for k in (2, 3):

@@ -8,8 +8,8 @@ Features of the sample are made where the texts are; one task learns from them,
 Every whole text is scored as a sparse dot product.
 
 Results in special cases: a null or empty text has no features and scores the bias; very long texts count
-whole; repeated rows each get their row; null ids and null labels are not learnt from; with no label of one
-kind the score is the base rate; an empty table gives an empty result; columns other than those named are not read.
+whole; repeated rows each get their row; null ids and null labels are not learnt from; without labels the
+score is 0.5; an empty table gives an empty result; columns other than those named are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import arrow_map, blocks, checkpointed, crc_of_id, ragged, words
+from lodestone.llm._common import arrow_map, blocks, checkpointed, crc_of_id, kept, ragged, words
 
 BITS = 18
 #: Labelled rows learnt from, at most.
@@ -64,7 +64,7 @@ SCALE = 20.0
 class Featuriser:
     """Hashed n-gram slots of texts; token hashes of words already seen are kept, up to a bound."""
 
-    MOST = 400_000
+    MOST = 100_000
 
     def __init__(self):
         self.seen: dict[str, list[int]] = {}
@@ -142,7 +142,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = df.select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("labelled")).select("labelled", text_col, "label")
 
     def features(batches):
-        make = Featuriser()
+        make = kept("featuriser", Featuriser)
         for block in blocks(batches, 1):
             slots, values, at = per_text(*make(block.column(1)))
             lists = lambda x, at=at: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x))
@@ -171,7 +171,7 @@ def score(df: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col:
     shared = df.sparkSession.sparkContext.broadcast(weights)  # of fixed size
 
     def run(batches):
-        make, w = Featuriser(), shared.value
+        make, w = kept("featuriser", Featuriser), shared.value
         for block in blocks(batches, 1):
             slots, owner, sizes = make(block.column(1))
             z = SCALE * np.bincount(owner, weights=w[slots], minlength=block.num_rows) / sizes + w[-1]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import LOWER, arrow_map, blocks, checkpointed, mapped, mix64, ragged, words
+from lodestone.llm._common import LOWER, arrow_map, blocks, checkpointed, kept, mapped, mix64, ragged, words
 from lodestone.llm.components import connected_components, contract
 
 RADIUS = 3
@@ -201,6 +201,7 @@ def word_prints(df: DataFrame, id_col: str, text_col: str, prints: int = PRINTS)
     def run(batches):
         import xxhash
 
+        kept("", dict)  # frees other operators' state
         for block in blocks(batches, 1):
             codes, at, found = words(mapped(block.column(1), LOWER))
             hashes = np.array([xxhash.xxh64_intdigest(w.as_py(), 42) for w in found], dtype=np.uint64)

@@ -11,14 +11,12 @@ columns other than the id and the text are never read.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lodestone.llm import _vocab
-from lodestone.llm._common import arrow_map, blocks, offsets
+from lodestone.llm._common import arrow_map, blocks, kept, offsets
 
 NONE = np.int32(2**31 - 1)
 
@@ -117,25 +115,30 @@ class RankMerger:
         return lengths, out
 
 
-@lru_cache(maxsize=2)
 def word_book(name: str) -> _vocab.CodeBook:
     """Ids of white-space chunks under a word file; one per worker process."""
-    vocab = _vocab.vocabulary(name)
-    merger = RankMerger(vocab)
-    return _vocab.CodeBook(_vocab.chunk_encoder(vocab, _vocab.word_pieces, merger.encode))
+
+    def make() -> _vocab.CodeBook:
+        vocab = _vocab.vocabulary(name)
+        return _vocab.CodeBook(_vocab.chunk_encoder(vocab, _vocab.word_pieces, RankMerger(vocab).encode))
+
+    return kept(f"ids {name}", make)
 
 
-@lru_cache(maxsize=2)
 def count_book(name: str) -> _vocab.CodeBook:
     """As word_book, with surviving symbols counted only: each symbol stands as a 0."""
-    vocab = _vocab.vocabulary(name)
-    merger = RankMerger(vocab)
 
-    def count(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        lengths = merger.counts(pieces)
-        return lengths, np.zeros(int(lengths.sum()), dtype=np.int32)
+    def make() -> _vocab.CodeBook:
+        vocab = _vocab.vocabulary(name)
+        merger = RankMerger(vocab)
+
+        def count(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            lengths = merger.counts(pieces)
+            return lengths, np.zeros(int(lengths.sum()), dtype=np.int32)
+
+        return _vocab.CodeBook(_vocab.chunk_encoder(vocab, _vocab.word_pieces, count))
 
-    return _vocab.CodeBook(_vocab.chunk_encoder(vocab, _vocab.word_pieces, count))
+    return kept(f"counts {name}", make)
 
 
 def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", file: str = "word_bpe_49k.json", limit: int = 2048) -> DataFrame:

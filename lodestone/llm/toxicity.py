@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import arrow_map, blocks, checkpointed, crc_of_id
+from lodestone.llm._common import arrow_map, blocks, checkpointed, crc_of_id, kept
 from lodestone.llm.quality_classifier import sample_of
 
 SEEDS = ["clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless"]
@@ -141,7 +141,7 @@ def sums(df: DataFrame, lexicon: dict[str, float], id_col: str, text_col: str, m
     """Per row: the id, further columns, ``total`` evidence and ``n_words``."""
 
     def run(batches):
-        found = automaton(lexicon)
+        found = kept(f"lexicon {hash(tuple(sorted(lexicon.items())))}", lambda: automaton(lexicon))
         for block in blocks(batches, 1):
             folded = [fold(t) for t in block.column(1).to_pylist()]
             total = pa.array([float(evidence(found, t)) for t in folded], pa.float64())

@@ -10,6 +10,8 @@ import pytest
 
 from lodestone.llm import _vocab, bpe_trie, packing, token_counts
 
+OPEN = [_vocab.vocabulary(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json")]  # held open
+
 AWKWARD = [
     None, "", " ", "   ", "\n\n x", "a  b   c", "The the THE", "don't we'll I'M", "x" * 3000, "ab" * 700, "été ÉTÉ e\u0301", "ΣΑΣ İstanbul ſ", "日本語 テスト　全角", "🙂🙃 1² ½ ١٢",
     "<|endoftext|>", "a<|endoftext|> b <|startoftext|>c", "<|endof", "\x1c\x1d \x85 \u2028 \xa0 \u0300x", "tab\tand\r\nline \x0b\x0c", "word " * 2000, "  lead and trail  ",
