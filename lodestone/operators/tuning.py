@@ -46,7 +46,7 @@ def confusion(scores: DataFrame, threshold: float, by: list[str] = ()) -> DataFr
 def threshold_candidates(scores: DataFrame) -> DataFrame:
     """Every candidate threshold with its counts: midpoints of neighbouring distinct scores in ascending order, then just below the least and just over the greatest score.
 
-    A single distinct score v also has the midpoint of v and v + MARGIN. ``ord`` is the order of preference.
+    A single distinct score v also has the midpoint of v and v + MARGIN. ``kind`` and ``threshold`` are the order of preference.
     """
     ng, ok = F.count(F.when(F.col("class") == "NG", 1)).alias("ng"), F.count(F.when(F.col("class") == "OK", 1)).alias("ok")
     distinct = scores.where(F.col("score").isNotNull()).groupBy(F.col("score").cast("double").alias("score")).agg(ng, ok)
