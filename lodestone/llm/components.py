@@ -1,6 +1,6 @@
 """Connected components of a distributed edge table.
 
-Edges are first contracted inside each partition (union-find, so a partition gives at most one edge per
+Edges are first contracted in blocks (union-find, so a block of up to BLOCK edges gives at most one edge per
 node it saw), then large-star and small-star rounds alternate until the edges are stars around
 the least node of each component. Every round is checkpointed in the shared folder. Links and labels never go to the driver; only
 one row of sums per round does, to see whether anything changed.
@@ -58,8 +58,9 @@ def _contracted(batches):
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """Per node of the edges (``a``, ``b`` long): ``node`` and ``root``, the least node that it reaches."""
-    edges = edges.select("a", "b").where("a is not null and b is not null and a != b")
-    edges = checkpointed(arrow_map(edges, ["a", "b"], _contracted, "a long, b long"))
+    edges = checkpointed(edges.select("a", "b").where("a is not null and b is not null and a != b"))
+    tasks = max(1, -(-edges.count() // BLOCK))  # as few as the bound of a task's edges allows: the more a task sees, the more it contracts
+    edges = checkpointed(arrow_map(edges.coalesce(tasks), ["a", "b"], _contracted, "a long, b long"))
     last = None
     while True:
         # large star: a node's greater neighbours move to its least neighbour

@@ -163,7 +163,7 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
         rest = out.where("open")
         covers = [r[0] for r in rest.select("covered").distinct().collect()]  # no more than the masks of a level
         if not covers:
-            return found.distinct()
+            return found
         choice = F.create_map(*(x for c in covers for x in (F.lit(c), F.array(*(F.lit(signed(m)) for m in covering(radius, [p for p in range(BITS) if not c >> p & 1]))))))
         rows = rest.select(F.col("a").alias("node"), F.col("b").alias("bits"), "bucket", "covered", F.explode(choice[F.col("covered")]).alias("mask"))
 
