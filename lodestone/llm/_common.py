@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.shared import checkpointed, read, ship
 
-__all__ = ["LOWER", "arrow_map", "blocks", "checkpointed", "crc_of_id", "kept", "mapped", "mix64", "offsets", "ragged", "raw", "read", "words"]
+__all__ = ["LOWER", "arrow_map", "block_pairs", "blocks", "checkpointed", "crc_of_id", "kept", "mapped", "offsets", "ragged", "raw", "read", "words"]
 
 #: Text that a Python worker holds as one block; long record batches are cut to this.
 BLOCK_BYTES = 4 << 20
@@ -67,6 +67,15 @@ def blocks(batches: Iterator[pa.RecordBatch], text: int, most: int = BLOCK_BYTES
             base, start = int(ends[stop - 1]), stop
 
 
+def block_pairs(rows: DataFrame, group: str) -> DataFrame:
+    """Rows (``node``, a group, its number of ``parts``) dealt into ``parts`` blocks, a copy for each pair of blocks: ``key`` of the pair and ``side`` (0 or 1)."""
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int")))
+    dealt = rows.withColumn("own", own).withColumn("other", other)
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    return dealt.withColumn("key", F.xxhash64(group, low, high)).withColumn("side", (F.col("own") > F.col("other")).cast("int"))
+
+
 def offsets(strings: pa.Array) -> np.ndarray:
     """Byte offsets of a (sliced) string array."""
     return np.frombuffer(strings.buffers()[1], dtype=np.int32)[strings.offset : strings.offset + len(strings) + 1]
@@ -109,17 +118,6 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat((starts - (ends - lengths)).astype(kind), lengths) + np.arange(total, dtype=kind)
 
 
-def mix64(x: np.ndarray) -> np.ndarray:
-    """A fixed bijective scrambling of 64-bit words."""
-    x = x.astype(np.uint64, copy=True)
-    x ^= x >> np.uint64(33)
-    x *= np.uint64(0xFF51AFD7ED558CCD)
-    x ^= x >> np.uint64(33)
-    x *= np.uint64(0xC4CEB9FE1A85EC53)
-    x ^= x >> np.uint64(33)
-    return x
-
-
 def crc_of_id(column: str):
     """crc32 of an id written as text, the key of the labelled folds."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

@@ -26,14 +26,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import LOWER, arrow_map, blocks, checkpointed, kept, mapped, words
-from lodestone.llm.components import connected_components
+from lodestone.llm._common import LOWER, arrow_map, block_pairs, blocks, checkpointed, kept, mapped, raw, words
+from lodestone.llm.components import connected_components, contract
 
 SHINGLE = 5
 PERMUTATIONS = 128
 LEAST = 0.8
 #: Bands of the signature: texts of the similarity LEAST share one with a chance over 0.999.
 BANDS = 32
+#: What the likeness of a bucket's texts may fall short of their similarity: at LEAST more has a chance under 1e-12.
+SLACK = 0.3
+#: Distinct texts of a bucket that one task compares with as many others at once.
+MOST = 2000
 
 
 @lru_cache(maxsize=1)
@@ -208,22 +212,96 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return arrow_map(dealt, ["id", "text", "range", "extra"], run, f"{id_col} {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: the id, ``fingerprint`` (hexadecimal), and ``bands``, a hash of each band of the full signature."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
+    """Per row: the id, ``digest`` of the text, ``fingerprint`` (binary), and ``bands``, a hash of each band of the full signature (null for a text without shingles)."""
 
     def run(batches):
+        import xxhash
+
         hashes = kept("hashes", _Hashes)
         for block in blocks(batches, 1, 2 << 20):
-            full = signatures(*shingles(block.column(1), hashes))
+            h, at = shingles(block.column(1), hashes, width)
+            full = signatures(h, at)
             band = np.ascontiguousarray(full.reshape(len(full), BANDS, -1).astype(np.uint64))
-            key = np.zeros((len(full), BANDS), dtype=np.uint64)
+            key = np.tile(np.arange(BANDS, dtype=np.uint64), (len(full), 1))
             for k in range(band.shape[2]):
                 key = (key ^ band[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
                 key ^= key >> np.uint64(31)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(full) + 1, BANDS, dtype=np.int32)), pa.array(key.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array([x.tobytes().hex() for x in bytes_of(full)], pa.string()), lists], names=[id_col, "fingerprint", "bands"])
+            some = np.diff(at) > 0
+            lists = pa.array([x if y else None for x, y in zip(key.view(np.int64), some.tolist(), strict=True)], pa.list_(pa.int64()))
+            digests = [xxhash.xxh128_hexdigest(t.encode()) for t in block.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(digests, pa.string()), pa.array([x.tobytes() for x in bytes_of(full)], pa.binary()), lists], names=[id_col, "digest", "fingerprint", "bands"])
+
+    return arrow_map(df, [id_col, text_col], run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, digest string, fingerprint binary, bands array<long>")
+
+
+def forest(prints: np.ndarray, maybe: float) -> list[tuple[int, int]]:
+    """Links (places) of a forest that connects what pairs of likeness ``maybe`` or more connect."""
+    left, out = np.arange(len(prints)), []
+    while len(left) > 1:
+        front, left = [int(left[0])], left[1:]
+        while front and len(left):
+            at = front.pop()
+            near = likeness(prints[left], prints[at]) >= maybe
+            own = left[near].tolist()
+            out += [(at, x) for x in own]
+            front += own
+            left = left[~near]
+    return out
+
+
+def links(prints: DataFrame, least: float = LEAST) -> DataFrame:
+    """Candidate links (``a``, ``b``) among rows (``node`` long, ``fingerprint``, ``bands``), one for each distinct text.
 
-    return arrow_map(df, [id_col, text_col], run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, fingerprint string, bands array<long>")
+    Texts of one bucket whose likeness is within SLACK of ``least`` end up connected, whatever else the bucket holds. A bucket
+    of more than MOST texts is dealt into blocks, and each pair of its blocks is a task's work.
+    """
+
+    def search(batches):
+        found: list[np.ndarray] = []
+        held = None
+
+        def runs(keys, nodes, own):
+            starts = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1))
+            sizes = np.diff(np.append(starts, len(keys)))
+            first = np.repeat(starts, sizes)
+            like = likeness(own, own[first]) >= least - SLACK
+            found.append(np.stack([nodes[first[like]], nodes[like]], axis=1))
+            for k in np.flatnonzero(np.add.reduceat(like, starts, dtype=np.int64) < sizes).tolist():
+                run = slice(starts[k], starts[k] + sizes[k])
+                if pairs := forest(own[run], least - SLACK):
+                    found.append(nodes[run][np.array(pairs)])
+
+        def flush():
+            ab = np.concatenate(found)
+            found.clear()
+            a, b = contract(ab[:, 0], ab[:, 1])
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = batch.column(0).to_numpy(), batch.column(1).to_numpy(), raw(batch.column(2))[0].reshape(-1, PERMUTATIONS)
+            if held is not None:
+                now = tuple(np.concatenate(x) for x in zip(held, now, strict=True))
+            last = int(np.searchsorted(now[0], now[0][-1]))  # the last bucket may go on
+            held = tuple(x[last:] for x in now)
+            if last:
+                runs(*(x[:last] for x in now))
+            if sum(map(len, found)) > 200_000:
+                yield flush()
+        if held is not None:
+            runs(*held)
+            yield flush()
+
+    spark = prints.sparkSession
+    prints = checkpointed(prints.where("bands is not null"))
+    bands = prints.select("node", F.explode("bands").alias("bucket"))
+    shared = bands.join(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket")
+    dealt = block_pairs(shared.withColumn("parts", F.ceil(F.col("n") / MOST)), "bucket").select("node", "key")
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = dealt.join(prints.select("node", "fingerprint"), "node").repartition(n, "key").sortWithinPartitions("key", "node")
+    return arrow_map(dealt, ["key", "node", "fingerprint"], search, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
@@ -234,7 +312,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     named = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     prints = checkpointed(fingerprints(named, "id", "text"))
-    bands = prints.select("id", F.posexplode("bands").alias("band", "key"))
+    bands = prints.select("id", F.posexplode(F.coalesce("bands", F.array(F.lit(0).cast("long")))).alias("band", "key"))
     first = bands.groupBy("band", "key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     pairs = checkpointed(bands.join(first, ["band", "key"]).where("id != a").select("a", F.col("id").alias("b")).distinct())
 

@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import LOWER, arrow_map, blocks, checkpointed, kept, mapped, mix64, ragged, words
+from lodestone.llm import minhash
+from lodestone.llm._common import arrow_map, block_pairs, blocks, checkpointed, ragged
 from lodestone.llm.components import connected_components, contract
 
 RADIUS = 3
@@ -185,41 +186,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return found.select(id_col, F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Similar texts: fingerprints over distinct words propose, word shingles decide.
+# Similar texts: bands of MinHash signatures propose, word shingles decide.
 
-#: Fingerprints of distinct words, each under its own scrambling. An edit of a few words flips few of their bits.
-PRINTS = 8
 SHINGLE = 5
 LEAST = 0.8
 #: Documents and characters that one task compares with as many others at once.
 BLOCK_ROWS, BLOCK_CHARS = 1000, 4_000_000
 
 
-def word_prints(df: DataFrame, id_col: str, text_col: str, prints: int = PRINTS) -> DataFrame:
-    """Per row: ``node`` (the id), ``digest`` of the text, and ``bits``, fingerprints of the lower-cased text's distinct words."""
-
-    def run(batches):
-        import xxhash
-
-        kept("", dict)  # frees other operators' state
-        for block in blocks(batches, 1):
-            codes, at, found = words(mapped(block.column(1), LOWER))
-            hashes = np.array([xxhash.xxh64_intdigest(w.as_py(), 42) for w in found], dtype=np.uint64)
-            out = np.zeros((block.num_rows, prints), dtype=np.uint64)
-            own = [np.unique(codes[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            for k in range(prints):
-                octets = mix64(hashes + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)).astype("<u8").view(np.uint8).reshape(-1, 8)
-                for i, c in enumerate(own):
-                    if len(c):
-                        count = np.unpackbits(octets[c], axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-                        out[i, k] = np.packbits(2 * count > len(c), bitorder="little").view("<u8")[0]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, prints * block.num_rows + 1, prints, dtype=np.int32)), pa.array(out.reshape(-1).view(np.int64)))
-            digests = [xxhash.xxh128_hexdigest(t.encode()) for t in block.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(digests, pa.string()), lists], names=["node", "digest", "bits"])
-
-    return arrow_map(df, [F.col(id_col).cast("long").alias("node"), text_col], run, "node long, digest string, bits array<long>")
-
-
 def shingle_set(text: str, width: int) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, width), dtype=np.uint64))
 
@@ -286,28 +260,24 @@ def similar_links(df: DataFrame, classes: DataFrame, id_col: str, text_col: str,
     rows = df.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).join(classes, "node")
     rows = checkpointed(rows)
     parts = rows.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum(F.length("text")) / BLOCK_CHARS)).alias("parts"))
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int")))
-    dealt = rows.join(parts, "root").withColumn("own", own).withColumn("other", other)
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    dealt = dealt.select(F.xxhash64("root", low, high).alias("key"), "node", (F.col("own") > F.col("other")).cast("int").alias("side"), "text")
+    dealt = block_pairs(rows.join(parts, "root"), "root").select("key", "node", "side", "text")
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = dealt.repartition(n, "key").sortWithinPartitions("key", "side", "node")
     return arrow_map(dealt, ["key", "node", "side", "text"], search, "a long, b long")
 
 
-def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prints: int = PRINTS, radius: int = RADIUS, width: int = SHINGLE, least: float = LEAST) -> DataFrame:
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, least: float = LEAST) -> DataFrame:
     """The rows of ``df`` without near copies: of each group of texts linked by similarity, the row with the smallest id stays.
 
-    Equal texts (nulls count as empty) are one text first. Fingerprints of distinct words within the
-    radius, found by the covering, propose classes; inside them, links are the pairs whose sets of ``width``-word shingles have a
-    Jaccard similarity of ``least`` or more. Rows without an id all stay; of rows that repeat an id one stays.
+    Equal texts (nulls count as empty) are one text first. Buckets of MinHash bands over the same word shingles
+    propose classes; inside them, links are the pairs whose sets of ``width``-word shingles have a Jaccard similarity of ``least``
+    or more. Rows without an id all stay; of rows that repeat an id one stays.
     """
     named = df.where(F.col(id_col).isNotNull())
-    found = checkpointed(word_prints(named, id_col, text_col, prints))
-    first = checkpointed(found.groupBy("digest").agg(F.min_by("bits", "node").alias("bits"), F.min("node").alias("node")))
-    proposed = first.select("node", F.posexplode("bits").alias("salt", "bits"))
-    classes = checkpointed(connected_components(links(proposed, radius)))
+    found = checkpointed(minhash.fingerprints(named.select(F.col(id_col).cast("long").alias("node"), text_col), "node", text_col, width))
+    first = found.groupBy("digest").agg(F.min("node").alias("node"), F.min_by("fingerprint", "node").alias("fingerprint"), F.min_by("bands", "node").alias("bands"))
+    first = checkpointed(first)
+    classes = checkpointed(connected_components(minhash.links(first, least)))
     roots = connected_components(similar_links(named, classes, id_col, text_col, width, least))
     copies = found.select("node").join(first.select("node"), "node", "left_anti")
     gone = checkpointed(copies.unionByName(roots.where("node != root").select("node")).distinct().withColumnRenamed("node", "gone_id"))

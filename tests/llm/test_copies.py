@@ -123,6 +123,52 @@ def test_deduplicated(spark, monkeypatch):
     assert simhash.deduplicated(df.limit(0)).count() == 0
 
 
+def runs(seed=19):
+    """Copies made by adding, cutting or replacing one run of words, 0.80 to 0.95 alike, in groups of three with a relative under 0.8."""
+    pick = random.Random(seed)
+    word = lambda: "".join(pick.choice("abcdefghij") for _ in range(6))
+    out = []
+    for size in (60, 150, 400, 900):
+        for like in (0.8, 0.83, 0.88, 0.93):
+            base = [word() for _ in range(size)]
+            n = size - 4  # shingles
+            added = int(n / like) - n
+            cut = n - -int(-n * like // 1)
+            gone = max(1, int(n * (1 - like) / (1 + like)) - 4)
+            at = pick.randrange(5, size - gone - 5)
+            appended = base + [word() for _ in range(added)]
+            replaced = base[:at] + [word() for _ in range(gone)] + base[at + gone :]
+            for text in (base, appended, base[cut:], replaced, base[: size // 2] + [word() for _ in range(size // 2)]):
+                out.append((len(out), " ".join(text)))
+    return out
+
+
+def test_deduplicated_runs(spark):
+    rows = runs()
+    texts = dict(rows)
+    alike = [jaccard(texts[i], texts[i - i % 5], 5) for i in texts if i % 5 in (1, 2, 3)]
+    assert sum(0.8 <= x < 0.96 for x in alike) >= 44
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = classes(sorted(texts), lambda a, b: a // 5 == b // 5 and jaccard(texts[a], texts[b], 5) >= 0.8)
+    assert sorted(r["doc_id"] for r in simhash.deduplicated(df).collect()) == sorted(set(want.values()))
+
+
+def test_links_of_crowded_bands(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "MOST", 3)  # so that buckets are dealt into blocks
+    pick = random.Random(23)
+    word = lambda: "".join(pick.choice("abcdefghij") for _ in range(6))
+    shared = [word() for _ in range(100)]
+    rows = []
+    for _ in range(12):  # relatives under 0.8 that share a passage, each with a copy over 0.8
+        own = shared + [word() for _ in range(20)]
+        rows += [(len(rows), " ".join(own)), (len(rows) + 1, " ".join(own + [word() for _ in range(20)]))]
+    texts = dict(rows)
+    df = spark.createDataFrame(rows, "node long, text string")
+    root = {r["node"]: r["root"] for r in components.connected_components(minhash.links(minhash.fingerprints(df, "node"))).collect()}
+    near = [(a, b) for a in texts for b in texts if a < b and jaccard(texts[a], texts[b], 5) >= 0.8]
+    assert len(near) >= 12 and all(root[a] == root[b] for a, b in near)
+
+
 def test_components(spark):
     pick = random.Random(4)
     pairs = [(pick.randrange(400), pick.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(500, 560)] + [(700, k) for k in range(701, 760)] + [(3, 3), (None, 4)]
