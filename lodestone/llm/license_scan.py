@@ -1,8 +1,8 @@
 """Licence scans by a positional rare-token index.
 
 Templates of licence notices are indexed by word: each posting is a template and a position in it. Inverse document frequencies
-of all licence words are counted over the whole corpus in a first pass. A file looks up its TOP rarest licence words
-(none that more than COMMON of all files have); their postings are intersected by relative position, that is,
+of all licence words are counted over the whole corpus in a first pass. A file looks up its TOP rarest licence words,
+however many files have them; their postings are intersected by relative position, that is,
 by the start that a posting implies. A start on which enough different words agree is a candidate; it is verified by the
 share of the template's words that stand at their places and by the template's mandatory key phrase.
 Short base phrases are searched at all places, each through its rarest word.
@@ -48,9 +48,7 @@ TEMPLATES = [
 
 #: Rarest licence words that a file looks up.
 TOP = 8
-#: Words of more than this share of all files are in no postings.
-COMMON = 0.05
-#: Different words that must agree on a start (all of a template's indexed words, if it has fewer).
+#: Different words that must agree on a start.
 AGREE = 2
 #: Share of a template's words that must stand at their places.
 SHARE = 0.8
@@ -91,12 +89,11 @@ def _numbers(distinct: pa.Array) -> np.ndarray:
 
 
 class Index:
-    """Postings of the licence words that are rare enough, with their inverse document frequencies."""
+    """Postings of the licence words, with their inverse document frequencies."""
 
     def __init__(self, files: dict[str, int], n: int):
         number = {w: k for k, w in enumerate(VOCABULARY)}
         self.idf = np.array([math.log((1 + n) / (1 + files.get(w, 0))) for w in VOCABULARY])
-        self.rare = np.array([files.get(w, 0) <= COMMON * n for w in VOCABULARY], dtype=bool)
         self.templates = [np.array([number[w] for w in t.split()]) for _, t, _ in TEMPLATES]
         self.keys = []
         for _, t, key in TEMPLATES:
@@ -106,9 +103,7 @@ class Index:
         self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for t, ws in enumerate(self.templates):
             for p, w in enumerate(ws.tolist()):
-                if self.rare[w]:
-                    self.postings[w].append((t, p))
-        self.need = [min(AGREE, len({w for w in ws.tolist() if self.rare[w]})) for ws in self.templates]
+                self.postings[w].append((t, p))
         self.phrases = [np.array([number[w] for w in p.split()]) for p, _ in PHRASES]
 
     def starts(self, phrase: np.ndarray, number: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -122,7 +117,7 @@ class Index:
 
     def matches(self, number: np.ndarray) -> list[tuple[str, float]]:
         """Labels and shares of the verified templates in one text's word numbers."""
-        places = np.flatnonzero((number >= 0) & self.rare[number])
+        places = np.flatnonzero(number >= 0)
         if not len(places):
             return []
         present = np.unique(number[places])
@@ -135,7 +130,7 @@ class Index:
                     votes[t, p - q].add(w)
         out = []
         for (t, start), agreed in votes.items():
-            if len(agreed) < self.need[t]:
+            if len(agreed) < AGREE:
                 continue
             at, key = self.keys[t]
             if start + at < 0 or not np.array_equal(number[start + at : start + at + len(key)], key):
@@ -173,8 +168,8 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
                 for i in np.unique(own).tolist():
                     base[i].add(label)
             labels, score = [set(b) for b in base], (n_base > 0).astype(np.float64)
-            rare = np.unique(owner[(number >= 0) & index.rare[number]])
-            for i in rare.tolist():
+            some = np.unique(owner[number >= 0])
+            for i in some.tolist():
                 for label, share in index.matches(number[at[i] : at[i + 1]]):
                     labels[i].add(label)
                     score[i] = max(score[i], share)

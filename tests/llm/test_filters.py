@@ -187,3 +187,12 @@ def test_license_templates(spark):
     assert label("Released under") == "mit"
     assert label("gnu public general") == ""
     assert all(set(r["base_labels"].split(",")) - {""} <= set(r["labels"].split(",")) for r in got.values())
+
+
+def test_license_of_many_files(spark):
+    """Lines that most files have, and tables of few files."""
+    line = "This work is licensed under the GNU General Public License, version 3."
+    df = spark.createDataFrame([*((i, f"own words {i}. {line} more") for i in range(60)), *((100 + i, f"plain text {i}") for i in range(30))], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in license_scan.scan(df).collect()}
+    assert got == {i: "gpl-3" if i < 100 else "" for i in got}
+    assert [r["labels"] for r in license_scan.scan(df.where("doc_id = 0")).collect()] == ["gpl-3"]
