@@ -1,10 +1,9 @@
 """Licence scans by a positional rare-token index.
 
-Templates of licence notices are indexed by word: each posting is a template and a position in it. Inverse document frequencies
-of all licence words are counted over the whole corpus in a first pass. A file looks up its TOP rarest licence words,
-however many files have them; their postings are intersected by relative position, that is,
-by the start that a posting implies. A start on which enough different words agree is a candidate; it is verified by the
-share of the template's words that stand at their places and by the template's mandatory key phrase.
+Each template of a licence notice has a key phrase that must stand in the file. It is posted under its rarest word with that word's
+position in the template; inverse document frequencies of all licence words are counted over the whole corpus in a first pass.
+Every place of that word implies a start of the template; the start is verified by the key phrase and by the
+share of the template's words that stand at their places. So no template is lost, whatever else a file holds.
 Short base phrases are searched at all places, each through its rarest word.
 
 The index and the frequencies have a fixed size (the words of the templates), so each worker holds them.
@@ -17,7 +16,7 @@ empty result; columns other than the id and the text are never read.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +45,6 @@ TEMPLATES = [
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
 ]
 
-#: Rarest licence words that a file looks up.
-TOP = 8
-#: Different words that must agree on a start.
-AGREE = 2
 #: Share of a template's words that must stand at their places.
 SHARE = 0.8
 
@@ -89,7 +84,7 @@ def _numbers(distinct: pa.Array) -> np.ndarray:
 
 
 class Index:
-    """Postings of the licence words, with their inverse document frequencies."""
+    """Templates, key phrases and base phrases as word numbers, with the words' inverse document frequencies."""
 
     def __init__(self, files: dict[str, int], n: int):
         number = {w: k for k, w in enumerate(VOCABULARY)}
@@ -100,10 +95,6 @@ class Index:
             ws, ks = t.split(), key.split()
             at = next(i for i in range(len(ws)) if ws[i : i + len(ks)] == ks)
             self.keys.append((at, np.array([number[w] for w in ks])))
-        self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for t, ws in enumerate(self.templates):
-            for p, w in enumerate(ws.tolist()):
-                self.postings[w].append((t, p))
         self.phrases = [np.array([number[w] for w in p.split()]) for p, _ in PHRASES]
 
     def starts(self, phrase: np.ndarray, number: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -115,33 +106,21 @@ class Index:
             at = at[number[at + k] == w]
         return at[owner[at] == owner[at + len(phrase) - 1]] if len(at) else at
 
-    def matches(self, number: np.ndarray) -> list[tuple[str, float]]:
-        """Labels and shares of the verified templates in one text's word numbers."""
-        places = np.flatnonzero(number >= 0)
-        if not len(places):
-            return []
-        present = np.unique(number[places])
-        top = set(present[np.argsort(-self.idf[present], kind="stable")][:TOP].tolist())
-        votes: dict[tuple[int, int], set[int]] = defaultdict(set)
-        for p in places.tolist():
-            w = int(number[p])
-            if w in top:
-                for t, q in self.postings[w]:
-                    votes[t, p - q].add(w)
-        out = []
-        for (t, start), agreed in votes.items():
-            if len(agreed) < AGREE:
+    def matches(self, number: np.ndarray, at: np.ndarray, owner: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+        """For each template: its label, the texts of its verified places and their shares. ``at`` has each text's first word, and the end."""
+        for template, (before, key), (label, _, _) in zip(self.templates, self.keys, TEMPLATES, strict=True):
+            place = self.starts(key, number, owner)
+            if not len(place):
                 continue
-            at, key = self.keys[t]
-            if start + at < 0 or not np.array_equal(number[start + at : start + at + len(key)], key):
-                continue
-            template = self.templates[t]
-            own = np.arange(start, start + len(template))
-            inside = (own >= 0) & (own < len(number))
-            share = float((number[own[inside]] == template[inside]).sum() / len(template))
-            if share >= SHARE:
-                out.append((TEMPLATES[t][0], share))
-        return out
+            own = owner[place]
+            agreed = np.zeros(len(place), dtype=np.int64)
+            for k, w in enumerate(template.tolist()):
+                here = place - before + k
+                inside = (here >= at[own]) & (here < at[own + 1])
+                agreed[inside] += number[here[inside]] == w
+            share = agreed / len(template)
+            good = share >= SHARE
+            yield label, own[good], share[good]
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,11 +147,10 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
                 for i in np.unique(own).tolist():
                     base[i].add(label)
             labels, score = [set(b) for b in base], (n_base > 0).astype(np.float64)
-            some = np.unique(owner[number >= 0])
-            for i in some.tolist():
-                for label, share in index.matches(number[at[i] : at[i + 1]]):
+            for label, own, share in index.matches(number, at, owner):
+                np.maximum.at(score, own, share)
+                for i in np.unique(own).tolist():
                     labels[i].add(label)
-                    score[i] = max(score[i], share)
             join = lambda sets: pa.array([",".join(sorted(s)) for s in sets], pa.string())
             some = n_base > 0
             yield pa.RecordBatch.from_arrays(

@@ -196,3 +196,13 @@ def test_license_of_many_files(spark):
     got = {r["doc_id"]: r["labels"] for r in license_scan.scan(df).collect()}
     assert got == {i: "gpl-3" if i < 100 else "" for i in got}
     assert [r["labels"] for r in license_scan.scan(df.where("doc_id = 0")).collect()] == ["gpl-3"]
+
+
+def test_license_of_many_notices(spark):
+    """Every template and base phrase in one text, and a notice beside a line whose words are less rare."""
+    notice = license_scan.TEMPLATES[0][1]
+    line = "This work is licensed under the GNU General Public License version 3"
+    rows = [*((i, f"plain words number {i}") for i in range(200)), (300, f"{notice}. {line}."), (301, " . ".join([t for _, t, _ in license_scan.TEMPLATES] + [p for p, _ in license_scan.PHRASES]))]
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[300]["labels"] == "gpl-3,mit" and got[300]["score"] == 1
+    assert got[301]["labels"] == ",".join(sorted({label for label, _, _ in license_scan.TEMPLATES} | {label for _, label in license_scan.PHRASES}))
