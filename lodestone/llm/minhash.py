@@ -5,8 +5,8 @@ universal hash permutations ``a * x + b`` modulo 2**32 with odd a, in numpy over
 its minimum. A fingerprint has a scrambled byte of each minimum; two fingerprints' likeness is the share of equal bytes, less what
 chance gives.
 
-Near duplicates: bands of the full signature are joined in Spark (each band's bucket links to its
-least text, so a bucket of m texts gives m - 1 candidates), and the Jaccard similarity of the shingle sets verifies candidates.
+Near duplicates: bands of the full signature are joined in Spark. The texts of a bucket are compared by their fingerprints, in blocks if they are many;
+what those connect is a candidate class, and the Jaccard similarity of the shingle sets verifies all its pairs.
 
 Results in special cases: a null or empty text has no shingles and a fingerprint of its own, equal to that of any empty text; very
 long texts count whole; repeated rows each get their row, the same texts the same fingerprint; rows without an
@@ -307,29 +307,17 @@ def links(prints: DataFrame, least: float = LEAST) -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """Per row with an id: the id and ``class_id``, the least id of its near-duplicate class.
 
-    Candidates come from the joined bands (the least text of a bucket with each other one); a candidate counts if the
-    Jaccard similarity of the shingle sets is ``least`` or more.
+    Equal texts are one text first, and so are all texts without shingles. Candidate classes come from the buckets of the bands; inside them, all pairs of texts
+    count whose shingle sets have a Jaccard similarity of ``least`` or more.
     """
-    named = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    prints = checkpointed(fingerprints(named, "id", "text"))
-    bands = prints.select("id", F.posexplode(F.coalesce("bands", F.array(F.lit(0).cast("long")))).alias("band", "key"))
-    first = bands.groupBy("band", "key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    pairs = checkpointed(bands.join(first, ["band", "key"]).where("id != a").select("a", F.col("id").alias("b")).distinct())
+    from lodestone.llm import simhash  # proposes by the bands of this module
 
-    def verify(batches):
-        hashes = kept("hashes", _Hashes)
-        for batch in batches:
-            sets = []
-            for k in (2, 3):
-                h, at = shingles(batch.column(k), hashes)
-                sets.append([np.unique(h[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
-            good = []
-            for x, y in zip(*sets, strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(not len(x) and not len(y) or both >= least * (len(x) + len(y) - both) and both > 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    one, two = named.withColumnsRenamed({"id": "a", "text": "one"}), named.withColumnsRenamed({"id": "b", "text": "two"})
-    links = arrow_map(pairs.join(one, "a").join(two, "b"), [F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "one", "two"], verify, "a long, b long")
-    roots = connected_components(links)
-    return named.select("id").join(roots, F.col("id") == F.col("node"), "left").select(F.col("id").alias(id_col), F.coalesce("root", "id").alias("class_id"))
+    named = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = fingerprints(named, "id", "text").withColumn("digest", F.when(F.col("bands").isNotNull(), F.col("digest")).otherwise(""))
+    found = checkpointed(found)
+    first = found.groupBy("digest").agg(F.min("id").alias("least"), F.min_by("fingerprint", "id").alias("fingerprint"), F.min_by("bands", "id").alias("bands"))
+    first = checkpointed(first.withColumn("node", F.col("least").cast("long")))
+    classes = checkpointed(connected_components(links(first, least)))
+    roots = connected_components(simhash.similar_links(named.withColumn("id", F.col("id").cast("long")), classes, "id", "text", SHINGLE, least))
+    rooted = first.select("digest", F.col("node").alias("own")).join(roots, F.col("own") == F.col("node"), "left").select("digest", F.coalesce("root", "own").alias("class_id"))
+    return found.join(rooted, "digest").select(F.col("id").alias(id_col), "class_id")

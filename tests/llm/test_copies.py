@@ -224,3 +224,19 @@ def test_minhash_near_duplicates(spark):
     got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(df).collect()}
     texts = dict(rows)
     assert got == classes(sorted(texts), lambda a, b: jaccard(texts[a], texts[b], 5) >= 0.8)
+
+
+def test_minhash_shared_passage(spark):
+    """Pairs over 0.8 whose buckets also hold relatives under 0.8 with lesser ids."""
+    pick = random.Random(31)
+    some = lambda n: ["".join(pick.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    shared = some(204)
+    rows = [(i, " ".join(shared + some(30))) for i in range(100)]
+    for i in range(100, 180, 2):
+        start = shared + some(7)
+        rows += [(i, " ".join(start + some(23))), (i + 1, " ".join(start + some(23)))]
+    rows += [(300, None), (301, " "), (302, rows[100][1])]
+    texts = dict(rows)
+    assert all(0.8 <= jaccard(texts[i], texts[i + 1], 5) < 0.83 and jaccard(texts[0], texts[i], 5) < 0.78 for i in range(100, 180, 2))
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**{i: i for i in range(100)}, **{i: i - i % 2 for i in range(100, 180)}, 300: 300, 301: 300, 302: 100}
