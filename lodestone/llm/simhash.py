@@ -271,17 +271,20 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Equal texts (nulls count as empty) are one text first. Buckets of MinHash bands over the same word shingles
     propose classes; inside them, links are the pairs whose sets of ``width``-word shingles have a Jaccard similarity of ``least``
-    or more. Rows without an id all stay; of rows that repeat an id one stays.
+    or more. Rows without an id are compared like any other, and stay only where their group has no id; of rows that repeat an id and a text one stays.
     """
-    named = df.where(F.col(id_col).isNotNull())
-    found = checkpointed(minhash.fingerprints(named.select(F.col(id_col).cast("long").alias("node"), text_col), "node", text_col, width))
-    first = found.groupBy("digest").agg(F.min("node").alias("node"), F.min_by("fingerprint", "node").alias("fingerprint"), F.min_by("bands", "node").alias("bands"))
-    first = checkpointed(first)
+    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    keyed = df.select(F.struct(F.col(id_col).cast("long").alias("id"), digest.alias("text_key")).alias("own"), text_col)
+    found = checkpointed(minhash.fingerprints(keyed, "own", text_col, width).select("own.*", "fingerprint", "bands"))
+    repeats = not found.groupBy("id", "text_key").count().where("count > 1").isEmpty()
+    first = found.groupBy("text_key").agg(F.min("id").alias("least"), F.first("fingerprint").alias("fingerprint"), F.first("bands").alias("bands"))
+    first = checkpointed(first.withColumn("node", F.monotonically_increasing_id()))
     classes = checkpointed(connected_components(minhash.links(first, least)))
-    roots = connected_components(similar_links(named, classes, id_col, text_col, width, least))
-    copies = found.select("node").join(first.select("node"), "node", "left_anti")
-    gone = checkpointed(copies.unionByName(roots.where("node != root").select("node")).distinct().withColumnRenamed("node", "gone_id"))
-    kept = df.join(gone, F.col(id_col) == F.col("gone_id"), "left_anti")
-    if found.groupBy("node").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
+    wanted = first.select("node", "text_key", "least").join(classes.select("node"), "node")
+    texts = keyed.join(wanted, (F.col("own.text_key") == F.col("text_key")) & F.col("own.id").eqNullSafe(F.col("least"))).select("node", F.coalesce(text_col, F.lit("")).alias("text"))
+    roots = connected_components(similar_links(texts.dropDuplicates(["node"]) if repeats else texts, classes, "node", "text", width, least))
+    rooted = first.select("node", "text_key", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    order = F.struct(F.col("least").isNull(), "least", "node")
+    stay = checkpointed(rooted.groupBy("root").agg(F.min_by(F.struct("text_key", "least"), order).alias("stay")).select("stay.*"))
+    kept = df.withColumn("text_key_", digest).join(stay, (F.col("text_key_") == F.col("text_key")) & F.col(id_col).cast("long").eqNullSafe(F.col("least")), "left_semi")
+    return (kept.dropDuplicates(["text_key_"]) if repeats else kept).drop("text_key_")

@@ -240,3 +240,12 @@ def test_minhash_shared_passage(spark):
     assert all(0.8 <= jaccard(texts[i], texts[i + 1], 5) < 0.83 and jaccard(texts[0], texts[i], 5) < 0.78 for i in range(100, 180, 2))
     got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {**{i: i for i in range(100)}, **{i: i - i % 2 for i in range(100, 180)}, 300: 300, 301: 300, 302: 100}
+
+
+def test_deduplicated_keys(spark):
+    """Rows without an id are compared, and rows that share an id but not a text are different documents."""
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, base), (7, base + " x"), (None, base), (8, "one text"), (8, "another text"), (8, "one text"), (None, "alone"), (None, "alone"), (None, None), (9, "")]
+    df = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    got = sorted((str(r["doc_id"]), r["text"]) for r in simhash.deduplicated(df).collect())
+    assert got == sorted([("7", base + " x"), ("8", "one text"), ("8", "another text"), ("None", "alone"), ("9", "")])

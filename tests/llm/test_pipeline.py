@@ -1,5 +1,7 @@
 """The pipeline against its stages' brute-force meaning."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lodestone.llm import _vocab
 
@@ -37,3 +39,16 @@ def test_registered():
 
     assert [n for n in entry.queries() if n.startswith("op") and n[2].isdigit()] == [f"op{k}_{n}" for k, n in enumerate(["bpe_trie", "url_reputation", "quality_rules", "harmonic_packing", "toxicity_lexicon", "license_scan", "simhash_covering", "quality_ftrl", "minhash", "token_counts"], 1)]
     assert "pipeline" in entry.queries() and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_own_verdicts(spark):
+    """Rows without an id, or with one id for several texts, are dropped or stay by their own text."""
+    sf_dir = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for stage in (corpus_pipeline.quality, corpus_pipeline.clean):
+        stay = stage(spark, docs, sf_dir).select("doc_id")
+        good, bad = docs.join(stay, "doc_id").limit(20), docs.join(stay, "doc_id", "left_anti").limit(20)
+        for key in (None, 10**9):
+            other = lambda df, key=key: df.withColumn("doc_id", F.lit(key).cast("long")).withColumn("source", F.lit("other")).select(COLUMNS)
+            got = stage(spark, docs.union(other(good)).union(other(bad)), sf_dir).where("source = 'other'")
+            assert sorted(r["text"] for r in got.collect()) == sorted(r["text"] for r in good.collect())
