@@ -8,8 +8,8 @@ fails, which controls error along the grid; the level is CONFIDENCE's complement
 of strata and rules tested (Bonferroni). The last certified cutoff applies, or none.
 
 One pass over the texts gives the measures, which are kept in the shared folder; labels are joined to
-measures, not to texts, and only counts by (stratum, rule, cutoff) come to the driver, for at most MOST_STRATA
-strata (those with most labels; the others use the cutoffs of all texts together).
+measures, not to texts. Counts are one row for each labelled stratum; they are certified in Spark, and the cutoffs are joined to
+the measures. A stratum without certified cutoffs of its own has the base rules only.
 
 Results in special cases: a null or empty text has no words and fails the base rules; very long texts are
 measured whole; repeated rows each get their row; a null id has no label; a null stratum is a stratum of its own; an empty table gives an
@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from lodestone.llm._common import arrow_map, blocks, checkpointed, words
 
 RISK, CONFIDENCE = 0.01, 0.95
-MOST_STRATA = 200
 WINDOW = 8
+#: Strata whose cutoffs are broadcast; more are joined by a shuffle.
+BROADCAST = 100_000
 
 #: Rule: (measure, cutoffs from the loosest to the tightest); a text above the cutoff is turned away.
 RULES = {
@@ -113,24 +114,24 @@ def certified(rejected: list[int], n: int, level: float, risk: float = RISK) ->
     return len(rejected)
 
 
-def cutoffs(measured: DataFrame, good: DataFrame, id_col: str = "doc_id", risk: float = RISK, confidence: float = CONFIDENCE) -> dict[str | None, dict[str, float]]:
-    """Certified cutoffs by stratum and rule; ``"*"`` has those of all texts. ``good`` has the ids of good labelled texts.
+def cutoffs(measured: DataFrame, good: DataFrame, id_col: str = "doc_id", risk: float = RISK, confidence: float = CONFIDENCE) -> DataFrame:
+    """Per labelled stratum: ``stratum`` and the last certified cutoff of each rule (null: none). ``good`` has the ids of good labelled texts.
 
     Texts that the base rules turn away anyway are no evidence.
     """
     labelled = measured.where(~F.col("base_failed")).join(good.select(id_col).distinct(), id_col)
     counts = [F.count(F.when(F.expr(m) > c, 1)).alias(f"{rule}_{k}") for rule, (m, grid) in RULES.items() for k, c in enumerate(grid)]
-    by = labelled.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *counts).orderBy(F.desc("n"), "stratum").limit(MOST_STRATA).collect()
-    everything = labelled.agg(F.count(F.lit(1)).alias("n"), *counts).first()
-    level = (1 - confidence) / (len(RULES) * (len(by) + 1))
-    out = {}
-    for name, row in [("*", everything), *((r["stratum"], r) for r in by)]:
-        out[name] = {}
-        for rule, (_, grid) in RULES.items():
-            held = certified([row[f"{rule}_{k}"] for k in range(len(grid))], row["n"], level, risk)
-            if held:
-                out[name][rule] = grid[held - 1]
-    return out
+    by = checkpointed(labelled.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *counts))
+    level = (1 - confidence) / (len(RULES) * max(1, by.count()))
+
+    def run(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            held = {rule: [certified([r[f"{rule}_{k}"] for k in range(len(grid))], r["n"], level, risk) for r in rows] for rule, (_, grid) in RULES.items()}
+            found = [pa.array([RULES[rule][1][h - 1] if h else None for h in own], pa.int64()) for rule, own in held.items()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *found], names=["stratum", *RULES])
+
+    return arrow_map(by, by.columns, run, "stratum string, " + ", ".join(f"{rule} long" for rule in RULES))
 
 
 def judge(df: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
@@ -138,16 +139,9 @@ def judge(df: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: str
     measured = measures(df, id_col, text_col, stratum_col)
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     measured = checkpointed(measured.withColumn("base_failed", base))
-    found = cutoffs(measured, good, id_col)
-
-    def passes(own: dict[str, float]):
-        out = F.lit(True)
-        for rule, cutoff in own.items():
-            out = out & ~(F.expr(RULES[rule][0]) > cutoff)
-        return out
-
-    verdict = passes(found["*"])
-    for name, own in found.items():
-        if name != "*":
-            verdict = F.when(F.col("stratum").eqNullSafe(F.lit(name)), passes(own)).otherwise(verdict)
-    return measured.select(id_col, *MEASURES[:5], "base_failed", (~F.col("base_failed") & verdict).alias("kept"))
+    found = checkpointed(cutoffs(measured, good, id_col)).withColumnRenamed("stratum", "stratum_")
+    verdict = F.lit(True)
+    for rule, (measure, _) in RULES.items():
+        verdict = verdict & ~F.coalesce(F.expr(measure) > F.col(rule), F.lit(False))
+    joined = measured.join(F.broadcast(found) if found.count() <= BROADCAST else found, F.col("stratum").eqNullSafe(F.col("stratum_")), "left")
+    return joined.select(id_col, *MEASURES[:5], "base_failed", (~F.col("base_failed") & verdict).alias("kept"))

@@ -99,6 +99,21 @@ def test_rules_keep_good_texts(spark):
     assert quality_rules.judge(df.limit(0), none).count() == 0
 
 
+def test_rules_of_strata(spark):
+    """Strata beyond 200 are certified too, and those without labels have the base rules only."""
+    text = lambda i, w: " ".join(f"{w}{(i * 7 + k) % 97}" for k in range(30))
+    rows = [(s * 1000 + i, text(i, "word"), f"s{s}") for s in range(205) for i in range(30)]
+    many = [(10**6 + i, text(i, "word"), "many") for i in range(3000)]
+    long = [(2 * 10**6 + i, text(i, "x" * 45), "unlabelled") for i in range(20)] + [(3 * 10**6, text(0, "x" * 45), "many")]
+    df = spark.createDataFrame([*rows, *many, *long], "doc_id long, text string, lang string")
+    good = spark.createDataFrame([(i,) for i, _, _ in [*rows, *many]], "doc_id long")
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.judge(df, good).collect()}
+    assert all(got[i] for i, _, _ in [*rows, *many, *long[:20]])
+    assert not got[3 * 10**6]
+    measured = quality_rules.measures(df).withColumn("base_failed", quality_rules.F.lit(False))
+    assert quality_rules.cutoffs(measured, good).count() == 206
+
+
 def auc(score, label):
     order = np.argsort(score)
     rank = np.empty(len(order))
