@@ -1,10 +1,11 @@
 """Licence scans by a positional rare-token index.
 
-Each template of a licence notice has a key phrase that must stand in the file. It is posted under its rarest word with that word's
-position in the template; inverse document frequencies of all licence words are counted over the whole corpus in a first pass.
-Every place of that word implies a start of the template; the start is verified by the key phrase and by the
-share of the template's words that stand at their places. So no template is lost, whatever else a file holds.
-Short base phrases are searched at all places, each through its rarest word.
+Each template of a licence notice has a key phrase that must stand in the file. Its words are posted with their
+positions; inverse document frequencies of all licence words are counted over the whole corpus in a first pass. A file is looked up by
+the highest-IDF word of each key phrase, the starts that its places imply are intersected with those of the phrase's other
+words, rarest first, and what is left is verified: SHARE of the template's words must stand within DRIFT places of their own, so that a few
+words put in or left out cost no more than themselves. IDF only orders the words; no word, template or place is left
+out for its frequency, so a file's labels depend on the file alone. Short base phrases are searched in the same way.
 
 The index and the frequencies have a fixed size (the words of the templates), so each worker holds them.
 
@@ -43,10 +44,20 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0 international"),
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
+    ("gpl-2", "this work is licensed under the gnu general public license version 2", "gnu general public license version 2"),
+    ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation", "gnu affero general public license"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "names of its contributors may be used to endorse or promote products"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable for any damages"),
+    ("boost", "distributed under the boost software license version 1 0", "boost software license"),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", "eclipse public license"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike 4 0 international"),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial 4 0 international"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived all copyright and related or neighboring rights"),
+    ("artistic-2", "licensed under the terms of the artistic license 2 0", "the artistic license 2 0"),
 ]
 
-#: Share of a template's words that must stand at their places.
-SHARE = 0.8
+#: Share of a template's words that must stand at their places, and how far off a place may be.
+SHARE, DRIFT = 0.8, 3
 
 #: Bytes of words: digits, letters in lower case, and all over 127; other bytes are white space.
 _WORDS = np.full(256, 32, dtype=np.uint8)
@@ -98,16 +109,17 @@ class Index:
         self.phrases = [np.array([number[w] for w in p.split()]) for p, _ in PHRASES]
 
     def starts(self, phrase: np.ndarray, number: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        """All places where a phrase's words stand consecutively in one text, found from its rarest word."""
-        anchor = int(np.argmax(self.idf[phrase]))
-        at = np.flatnonzero(number == phrase[anchor]) - anchor
+        """All places where a phrase's words stand consecutively in one text: starts implied by its words, intersected from the rarest on."""
+        rarest = np.argsort(-self.idf[phrase], kind="stable").tolist()
+        at = np.flatnonzero(number == phrase[rarest[0]]) - rarest[0]
         at = at[(at >= 0) & (at + len(phrase) <= len(number))]
-        for k, w in enumerate(phrase.tolist()):
-            at = at[number[at + k] == w]
+        for k in rarest[1:]:
+            at = at[number[at + k] == phrase[k]]
         return at[owner[at] == owner[at + len(phrase) - 1]] if len(at) else at
 
     def matches(self, number: np.ndarray, at: np.ndarray, owner: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
         """For each template: its label, the texts of its verified places and their shares. ``at`` has each text's first word, and the end."""
+        drifts = np.arange(-DRIFT, DRIFT + 1)
         for template, (before, key), (label, _, _) in zip(self.templates, self.keys, TEMPLATES, strict=True):
             place = self.starts(key, number, owner)
             if not len(place):
@@ -115,9 +127,9 @@ class Index:
             own = owner[place]
             agreed = np.zeros(len(place), dtype=np.int64)
             for k, w in enumerate(template.tolist()):
-                here = place - before + k
-                inside = (here >= at[own]) & (here < at[own + 1])
-                agreed[inside] += number[here[inside]] == w
+                here = (place - before + k)[:, None] + drifts
+                inside = (here >= at[own][:, None]) & (here < at[own + 1][:, None])
+                agreed += (inside & (number[np.clip(here, 0, len(number) - 1)] == w)).any(axis=1)
             share = agreed / len(template)
             good = share >= SHARE
             yield label, own[good], share[good]

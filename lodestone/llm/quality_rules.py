@@ -1,15 +1,16 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule bounds one measure of a text. A labelled holdout of good texts fixes the bound in every
-stratum: along a fixed grid from the loosest to the tightest cutoff, a cutoff is certified when an
-exact binomial test rejects "the rule turns away more than RISK of good texts" (that is, when the
-chance of so few rejections under that rate is at most the level). Testing stops at the first cutoff that
-fails, which controls error along the grid; the level is CONFIDENCE's complement divided by the number
-of strata and rules tested (Bonferroni). The last certified cutoff applies, or none.
+Each rule bounds one measure of a text, by one of a grid of cutoffs. The labelled good texts of a stratum are dealt into two halves by the
+hash of their id. On the first half the cutoffs of all rules are put into one order, those that turn away
+the fewest good texts first. On the second half, the holdout, they are taken on in that order, and after each step an
+exact binomial test of the joint verdict must reject "more than RISK of good texts are turned away by the rules so far" (the chance of so few rejections
+under that rate is at most the level). Testing stops at the first step that fails; as the order is
+fixed before the holdout is seen, this controls the error along it. The level is CONFIDENCE's complement divided by the number of strata (Bonferroni), so with
+CONFIDENCE no stratum loses more than RISK of its good texts to its certified cutoffs, all rules together.
 
 One pass over the texts gives the measures, which are kept in the shared folder; labels are joined to
-measures, not to texts. Counts are one row for each labelled stratum; they are certified in Spark, and the cutoffs are joined to
-the measures. A stratum without certified cutoffs of its own has the base rules only.
+measures, not to texts. A labelled text counts by the first cutoff of each rule that it is over, so a stratum comes to one row for each
+such combination, whose number the grids bound. The cutoffs are joined to the measures. A stratum without certified cutoffs of its own has the base rules only.
 
 Results in special cases: a null or empty text has no words and fails the base rules; very long texts are
 measured whole; repeated rows each get their row; a null id has no label; a null stratum is a stratum of its own; an empty table gives an
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import arrow_map, blocks, checkpointed, words
+from lodestone.llm._common import arrow_map, blocks, checkpointed, raw, words
 
 RISK, CONFIDENCE = 0.01, 0.95
 WINDOW = 8
@@ -83,8 +84,6 @@ def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", stra
     """Per row: the id, ``stratum`` and the counts MEASURES of the whole text (long)."""
 
     def run(batches):
-        from lodestone.llm._common import raw
-
         for block in blocks(batches, 1):
             texts = block.column(1)
             codes, at, _ = words(texts)
@@ -106,32 +105,47 @@ def tail(n: int, k: int, risk: float) -> float:
     return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
 
 
-def certified(rejected: list[int], n: int, level: float, risk: float = RISK) -> int:
-    """How many cutoffs of a grid, loosest first, are certified in turn."""
-    for k, r in enumerate(rejected):
-        if not n or r > risk * n or tail(n, r, risk) > level:
-            return k
-    return len(rejected)
+def order_of(profiles: list[tuple[int, ...]], counts: list[int]) -> list[tuple[str, int]]:
+    """All (rule, place in its grid), those first that turn away the fewest texts. ``profiles`` have for each rule the first place whose cutoff the text is over."""
+    away = {(rule, k): sum(n for p, n in zip(profiles, counts, strict=True) if p[r] <= k) for r, (rule, (_, grid)) in enumerate(RULES.items()) for k in range(len(grid))}
+    return sorted(away, key=lambda step: (away[step], step[1], step[0]))  # counts grow along a grid, so its looser cutoffs come first
+
+
+def certified(steps: list[tuple[str, int]], profiles: list[tuple[int, ...]], counts: list[int], level: float, risk: float = RISK) -> dict[str, int]:
+    """The tightest certified place of each rule's grid, on holdout texts given as in ``order_of``."""
+    place = {step: i for i, step in enumerate(steps)}
+    fresh = [0] * len(steps)  # texts that a step is the first to turn away
+    for p, n in zip(profiles, counts, strict=True):
+        first = min((place[rule, p[r]] for r, (rule, (_, grid)) in enumerate(RULES.items()) if p[r] < len(grid)), default=None)
+        if first is not None:
+            fresh[first] += n
+    out, away, n = {}, 0, sum(counts)
+    for (rule, k), more in zip(steps, fresh, strict=True):
+        away += more
+        if not n or away > risk * n or tail(n, away, risk) > level:
+            break
+        out[rule] = k
+    return out
 
 
 def cutoffs(measured: DataFrame, good: DataFrame, id_col: str = "doc_id", risk: float = RISK, confidence: float = CONFIDENCE) -> DataFrame:
-    """Per labelled stratum: ``stratum`` and the last certified cutoff of each rule (null: none). ``good`` has the ids of good labelled texts.
+    """Per labelled stratum: ``stratum`` and the certified cutoff of each rule (null: none). ``good`` has the ids of good labelled texts.
 
     Texts that the base rules turn away anyway are no evidence.
     """
-    labelled = measured.where(~F.col("base_failed")).join(good.select(id_col).distinct(), id_col)
-    counts = [F.count(F.when(F.expr(m) > c, 1)).alias(f"{rule}_{k}") for rule, (m, grid) in RULES.items() for k, c in enumerate(grid)]
-    by = checkpointed(labelled.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *counts))
-    level = (1 - confidence) / (len(RULES) * max(1, by.count()))
-
-    def run(batches):
-        for batch in batches:
-            rows = batch.to_pylist()
-            held = {rule: [certified([r[f"{rule}_{k}"] for k in range(len(grid))], r["n"], level, risk) for r in rows] for rule, (_, grid) in RULES.items()}
-            found = [pa.array([RULES[rule][1][h - 1] if h else None for h in own], pa.int64()) for rule, own in held.items()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *found], names=["stratum", *RULES])
-
-    return arrow_map(by, by.columns, run, "stratum string, " + ", ".join(f"{rule} long" for rule in RULES))
+    labelled = measured.where(~F.col("base_failed")).join(good.select(id_col).where(F.col(id_col).isNotNull()).distinct(), id_col)
+    over = [sum((F.lit(c) >= F.expr(m)).cast("int") for c in grid).alias(rule) for rule, (m, grid) in RULES.items()]  # cutoffs descend
+    half = F.pmod(F.xxhash64(id_col), F.lit(2)).cast("int").alias("half")
+    profiles = checkpointed(labelled.select("stratum", half, *over).groupBy("stratum", "half", *RULES).agg(F.count(F.lit(1)).alias("n")))
+    level = (1 - confidence) / max(1, profiles.select("stratum").distinct().count())
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        halves = [([tuple(r[rule] for rule in RULES) for r in rows if r["half"] == h], [r["n"] for r in rows if r["half"] == h]) for h in (0, 1)]
+        found = certified(order_of(*halves[0]), *halves[1], level, risk)
+        return pa.table([table.column("stratum").slice(0, 1), *(pa.array([RULES[rule][1][found[rule]] if rule in found else None], pa.int64()) for rule in RULES)], names=["stratum", *RULES])
+
+    return profiles.groupBy("stratum").applyInArrow(run, "stratum string, " + ", ".join(f"{rule} long" for rule in RULES))
 
 
 def judge(df: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:

@@ -80,9 +80,14 @@ def test_measures_of_many_words():
 def test_certified_cutoffs():
     assert quality_rules.tail(300, 0, 0.01) == pytest.approx(0.99**300)
     assert quality_rules.tail(50, 50, 0.3) == pytest.approx(1)
-    assert quality_rules.certified([0, 0, 0, 40], 2000, 0.01) == 3
-    assert quality_rules.certified([0, 0], 50, 0.01) == 0  # too few labels certify nothing
-    assert quality_rules.certified([500, 0], 1000, 0.01) == 0  # testing stops at the first failure
+    none = tuple(len(grid) for _, grid in quality_rules.RULES.values())
+    some = lambda k: (*none[:2], k, *none[3:])  # noqa: E731  over the cutoffs of "repeats" from place k on
+    steps = quality_rules.order_of([none, some(2)], [500, 3])
+    assert [x for x in steps if x[0] == "repeats"] == [("repeats", k) for k in range(6)] and steps[-1] == ("repeats", 5)
+    assert quality_rules.certified(steps, [none], [2000], 0.01) == {rule: len(grid) - 1 for rule, (_, grid) in quality_rules.RULES.items()}
+    assert quality_rules.certified(steps, [none], [50], 0.01) == {}  # too few labels certify nothing
+    assert quality_rules.certified(steps, [none, some(3)], [2000, 40], 0.01)["repeats"] == 2
+    assert quality_rules.certified(steps[::-1], [none, some(5)], [1000, 500], 0.01) == {}  # testing stops at the first failure
 
 
 def test_rules_keep_good_texts(spark):
@@ -99,6 +104,62 @@ def test_rules_keep_good_texts(spark):
     assert quality_rules.judge(df.limit(0), none).count() == 0
 
 
+def brute_kept(rows, good, risk=0.01, confidence=0.95):
+    """Verdicts by the definition, row by row: rows are (id, text, stratum)."""
+    import xxhash
+    from math import comb
+
+    rules = quality_rules.RULES
+
+    def values(text):
+        found = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        n, chars, symbols, dups, repeats = brute_measures(text)
+        lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in (text or "").split("\n"))
+        words_ = max(1, len(found))
+        return {"symbols": 100 * symbols / words_, "duplicate_lines": 100 * dups / max(1, lines), "repeats": 100 * repeats / words_, "long_words": chars / words_, "bangs": 100 * (text or "").count("!") / words_}, n < 20 or 100 * repeats > 30 * n
+
+    seen = [(i, s, *values(t)) for i, t, s in rows]
+    labelled = [x for x in seen if x[0] in good and not x[3]]
+    strata = {x[1] for x in labelled}
+    half = lambda i: xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 42) % 2
+    cut = {}
+    for s in strata:
+        first, second = ([x[2] for x in labelled if x[1] == s and half(x[0]) == h] for h in (0, 1))
+        steps = sorted((sum(v[rule] > c for v in first), k, rule, c) for rule, (_, grid) in rules.items() for k, c in enumerate(grid))
+        own = {}
+        for _, _, rule, c in steps:
+            tried = own | {rule: c}
+            away, n = sum(any(v[r] > x for r, x in tried.items()) for v in second), len(second)
+            if not n or away > risk * n or sum(comb(n, j) * risk**j * (1 - risk) ** (n - j) for j in range(away + 1)) > (1 - confidence) / len(strata):
+                break
+            own = tried
+        cut[s] = own
+    return {x[0]: not x[3] and not any(x[2][r] > c for r, c in cut.get(x[1], {}).items()) for x in seen}
+
+
+def test_kept_by_definition(spark):
+    pick = np.random.default_rng(12)
+    rows = []
+    for s, n in (("a", 2400), ("*", 2200), (None, 300), ("c", 30)):
+        for i in range(n):
+            ws = [f"w{pick.integers(900)}" + "#" * int(pick.random() < 0.002 * (s == "a")) + "!" * int(pick.random() < 0.01) for _ in range(pick.integers(15, 60))]
+            if pick.random() < 0.02:
+                ws += ws[:9] * int(pick.integers(1, 3))
+            if pick.random() < 0.01:
+                ws = [w * 6 for w in ws]
+            rows.append((len(rows), ("\n" if pick.random() < 0.3 else " ").join(ws), s))
+    good = {i for i, _, _ in rows if pick.random() < 0.9}
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.judge(df, spark.createDataFrame([(i,) for i in good], "doc_id long")).collect()}
+    want = brute_kept(rows, good)
+    assert got == want
+    base = {i for i, t, _ in rows if brute_measures(t)[0] >= 20 and 100 * brute_measures(t)[4] <= 30 * brute_measures(t)[0]}
+    for s in ("a", "*"):  # the joint verdict keeps its promise, and does turn texts away
+        own = [i for i, _, x in rows if x == s and i in good and i in base]
+        away = sum(not got[i] for i in own)
+        assert 0 < away <= 0.01 * len(own)
+
+
 def test_rules_of_strata(spark):
     """Strata beyond 200 are certified too, and those without labels have the base rules only."""
     text = lambda i, w: " ".join(f"{w}{(i * 7 + k) % 97}" for k in range(30))
@@ -204,6 +265,56 @@ def test_license_templates(spark):
     assert all(set(r["base_labels"].split(",")) - {""} <= set(r["labels"].split(",")) for r in got.values())
 
 
+def brute_labels(text):
+    """Labels and score from the meaning of templates: an exact key phrase, and SHARE of the words within DRIFT of their places."""
+    found = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    labels, best = set(filter(None, brute_license(text)[4].split(","))), float(brute_license(text)[1] > 0)
+    for label, template, key in license_scan.TEMPLATES:
+        ws, ks = template.split(), key.split()
+        before = next(i for i in range(len(ws)) if ws[i : i + len(ks)] == ks)
+        for p in (i for i in range(len(found)) if found[i : i + len(ks)] == ks):
+            near = lambda k, p=p, before=before: found[max(0, p - before + k - license_scan.DRIFT) : max(0, p - before + k + license_scan.DRIFT + 1)]
+            share = sum(w in near(k) for k, w in enumerate(ws)) / len(ws)
+            if share >= license_scan.SHARE:
+                labels.add(label)
+                best = max(best, share)
+    return ",".join(sorted(labels)), best
+
+
+def altered(template, pick, n, drop):
+    ws = template.split()
+    for _ in range(min(n, len(ws) // 2)):
+        at = pick.integers(len(ws))
+        ws = ws[:at] + ws[at + 1 :] if drop else [*ws[:at], "inserted", *ws[at:]]
+    return " ".join(ws)
+
+
+@pytest.mark.parametrize("filler", [0, 300])
+def test_license_labels(spark, filler):
+    """Every template alone, altered, in pairs and all in one text; in tables of licences only, and among other texts."""
+    pick = np.random.default_rng(8)
+    whole = [t for _, t, _ in license_scan.TEMPLATES]
+    texts = [*whole, " . ".join(whole), *TEXTS]
+    texts += [f"{a}. {b}" for a, b in zip(whole, whole[1:] + whole[:1], strict=True)]
+    texts += ["Some words. " + altered(t, pick, n, drop) + " and more." for t in whole for n in (1, 2, 4, 8) for drop in (False, True)]
+    rows = [*enumerate(texts), *((10_000 + i, f"plain words under the number {i}") for i in range(filler))]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {i: brute_labels(t) for i, t in rows}
+    assert {i: g[0] for i, g in got.items()} == {i: w[0] for i, w in want.items()}
+    assert all(got[i][1] == pytest.approx(want[i][1]) for i in got)
+    assert all(license_scan.TEMPLATES[i][0] in got[i][0].split(",") for i in range(len(whole)))
+    assert got[len(whole)][0] == ",".join(sorted({label for label, _, _ in license_scan.TEMPLATES}))
+
+
+def test_license_notice_with_a_word_more(spark):
+    for _, t, key in license_scan.TEMPLATES:
+        ws = t.split()
+        if len(ws) >= 20 and t.startswith(key):
+            changed = " ".join([*ws[:-3], "more", *ws[-3:]])
+            assert brute_labels(changed)[0]
+            assert license_scan.scan(spark.createDataFrame([(1, changed)], "doc_id long, text string")).first()["labels"] == brute_labels(changed)[0]
+
+
 def test_license_of_many_files(spark):
     """Lines that most files have, and tables of few files."""
     line = "This work is licensed under the GNU General Public License, version 3."

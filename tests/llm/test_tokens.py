@@ -125,9 +125,48 @@ def test_packing(texts):
     assert {i for i, _ in rows} == set(by_id)
 
 
-def test_cut():
-    assert packing.cut(4096 * 2 + 2048 + 3) == [4096, 4096, 2048, 2, 1]
-    assert packing.cut(1) == [1]
+def packed_by(lengths, capacity):
+    """Bins of one worker after documents of these lengths; ids are numbered through."""
+    bins, start = packing.Bins(capacity), 0
+    for i, n in enumerate(lengths):
+        bins.add(packing.Piece(i, 0, np.arange(start, start + n, dtype="<u4"), n))
+        start += n
+    return bins
+
+
+def test_harmonic_classes():
+    """Class k holds lengths over C / (k + 1) and at most C / k, and its bins k whole documents."""
+    bins = packed_by([64, 64 + 5, *[20, 17, 21] * 20, *[40] * 3, 3, 3], 64)
+    assert [sum(len(p.ids) for p in own) for own in bins.done[:2]] == [64, 64]
+    for own in bins.done[2:]:
+        first = 64 // len(own[0].ids)
+        assert sum(len(p.ids) for p in own) == 64 and all(64 // len(p.ids) == first and len(p.ids) == p.total for p in own[:first])
+    assert all(len(held) < k and all(64 // (k + 1) < len(p.ids) <= 64 // k for p in held) for k, held in bins.open.items())
+
+
+def test_packing_of_any_lengths():
+    pick = random.Random(21)
+    for trial in range(60):
+        capacity = 1 << pick.randint(3, 8)
+        lengths = [max(1, int(pick.paretovariate(0.8) * 3)) % (5 * capacity) + 1 for _ in range(pick.choice([0, 1, 5, 60, 400]))]
+        bins = packed_by(lengths, capacity)
+        held = sum(len(p.ids) for own in bins.open.values() for p in own)
+        assert held <= 2 * capacity * capacity.bit_length() * 4
+        bins.close()
+        sizes = [sum(len(p.ids) for p in own) for own in bins.done]
+        rest = [n for n in sizes if n != capacity]
+        assert all(n & (n - 1) == 0 for n in rest) and len(set(rest)) == len(rest), trial
+        assert sorted(np.concatenate([p.ids for own in bins.done for p in own]).tolist() if lengths else []) == list(range(sum(lengths)))
+        for own in bins.done:
+            assert all(p.ids[0] == sum(lengths[: p.key]) + p.start and p.total == lengths[p.key] for p in own)
+
+
+def test_documents_stay_whole(spark):
+    """Of documents that fit a sequence nine in ten are one piece, and the pieces are hardly more than the documents and the sequences."""
+    pieces = packing.pack(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").coalesce(1)).toPandas()
+    fits = pieces[pieces.doc_tokens <= 4096].groupby("doc_id").size()
+    assert (fits == 1).mean() > 0.9
+    assert len(pieces) < pieces.doc_id.nunique() + 1.3 * pieces.sequence_id.nunique()
 
 
 def test_empty_table(spark):
