@@ -46,11 +46,50 @@ def test_url_cases(spark):
     assert got[9]["verdict"] == "block" and got[200]["verdict"] == "allow"
     assert got[10]["posterior_mean"] < 0.5 < got[200]["posterior_mean"]  # a host without labels of its own takes its domain's
     assert (got[11]["host"], got[11]["path"]) == ("b:", "//c/d")
+    assert all(0 < r["posterior_mean"] < 1 and r["posterior_mean"] <= r["posterior_upper"] <= 1 for r in got.values())
     empty = spark.createDataFrame([], "page_id long, good int")
     assert {r["verdict"] for r in url_reputation.judge(pages.where("page_id in (5, 9, 10)"), empty).collect()} == {"allow"}
     assert url_reputation.judge(pages.limit(0), empty).count() == 0
 
 
+def beta_upper(a, b, q):
+    """The quantile from sums of the density over a fine even grid of log odds."""
+    t = np.linspace(np.log(a / b) - 60 / min(a, 1) - 8, np.log(a / b) + 60 / min(b, 1) + 8, 4_000_001)
+    level = a * t - (a + b) * np.logaddexp(0, t)
+    total = np.cumsum(np.exp(level - level.max()))
+    return 1 / (1 + np.exp(-t[np.searchsorted(total, q * total[-1])]))
+
+
+def test_beta_quantile(spark):
+    pairs = [(0.02, 1.98), (0.5, 0.5), (1.0, 1.0), (2.0, 3.0), (1.9, 0.1), (40.0, 2.0), (850.0, 150.0), (3.0, 900.0), (90000.0, 10000.0)]
+    got = {(r["a"], r["b"]): r["quantile"] for r in url_reputation.beta_quantile(spark.createDataFrame(pairs, "a double, b double")).collect()}
+    for a, b in pairs:
+        assert got[a, b] == pytest.approx(beta_upper(a, b, 0.95), abs=2e-3), (a, b)
+    assert got[1.0, 1.0] == pytest.approx(0.95, abs=1e-3)  # even
+
+
+def test_domains(spark):
+    hosts = ["a.b.example.com", "x.shop.co.za", "me.github.io", "github.io", "u:p@www.Example.org:8080".lower(), "10.0.0.1:80", "[::1]:443", "host", "", "a.com.", "www.gov.uk", "b.or.jp"]
+    own = url_reputation.bare(url_reputation.F.col("h"))
+    rows = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", url_reputation.domain_of(own).alias("d"), url_reputation.suffix_of(own).alias("s")).collect()
+    assert {r["h"]: (r["d"], r["s"]) for r in rows} == {
+        "a.b.example.com": ("example.com", "com"), "x.shop.co.za": ("shop.co.za", "co.za"), "me.github.io": ("me.github.io", "github.io"), "github.io": ("github.io", "github.io"), "u:p@www.example.org:8080": ("example.org", "org"),
+        "10.0.0.1:80": ("10.0.0.1", "(address)"), "[::1]:443": ("[::1]", "(address)"), "host": ("host", "host"), "": ("", ""), "a.com.": ("a.com", "com"), "www.gov.uk": ("www.gov.uk", "gov.uk"), "b.or.jp": ("b.or.jp", "or.jp"),
+    }
+
+
+def test_planted_hosts(spark):
+    """Hosts of bad pages are blocked, and with enough of them their domain's other hosts; one bad page is no proof."""
+    rows = [(f"h{k}.fine{k % 9}.org", 1) for k in range(900)] + [(f"h{k}.fine{k % 9}.org", 0) for k in range(100)]
+    rows += [("bad.mixed.org", 0)] * 60 + [("good.mixed.org", 1)] * 60 + [(f"s{k % 6}.spam.biz", 0) for k in range(240)] + [("once.lone.org", 0)]
+    rows += [("new.spam.biz", None), ("new.mixed.org", None), ("new.other.org", None)]
+    pages = spark.createDataFrame([(i, f"http://{h}/p") for i, (h, _) in enumerate(rows)], "page_id long, url string")
+    outcomes = spark.createDataFrame([(i, g) for i, (_, g) in enumerate(rows) if g is not None], "page_id long, good int")
+    got = {r["host"]: r["verdict"] for r in url_reputation.judge(pages, outcomes).collect()}
+    blocked = {h for h, v in got.items() if v == "block"}
+    assert blocked == {"bad.mixed.org", "new.spam.biz", *(f"s{k}.spam.biz" for k in range(6))}
+
+
 def brute_measures(text):
     text = text or ""
     found = re.findall(r"[^\x20\x09-\x0D]+", text)
