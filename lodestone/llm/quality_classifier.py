@@ -3,8 +3,9 @@
 A text's words are cut into runs of letters, digits and signs, and letters' shape is kept, so that shouting
 and sign noise are words of their own. Unigrams and bigrams (a word that repeats the one before
 gives the bigram "same", and "again" after that) are hashed to 2**BITS slots, valued by their count for each token of the text.
-FTRL-Proximal learns on a bounded sample: the SAMPLE labelled rows with the lowest hash of their id.
-Features of the sample are made where the texts are; one task learns from them, and only the weights reach the driver.
+FTRL-Proximal learns on a bounded sample: the SAMPLE labelled ids with the lowest hash, one text for each, as long as their
+texts have SAMPLE_BYTES together (a text that would go beyond is passed over). Features of the sample are made in parallel; one task, which these bounds
+make small, learns from them, and only the weights reach the driver.
 Every whole text is scored as a sparse dot product.
 
 Results in special cases: a null or empty text has no features and scores the bias; very long texts count
@@ -24,13 +25,14 @@ from pyspark.sql import functions as F
 from lodestone.llm._common import arrow_map, blocks, checkpointed, crc_of_id, kept, ragged, words
 
 BITS = 18
-#: Labelled rows learnt from, at most.
-SAMPLE = 8000
+#: Labelled ids learnt from, and the bytes of their texts, at most.
+SAMPLE, SAMPLE_BYTES = 8000, 64 << 20
 EPOCHS = 4
 #: FTRL-Proximal: learning rate, its smoothing, and the penalties.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.5
 
 _RUNS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
+_REPEATED = re.compile(r"(.)\1+", re.DOTALL)
 
 
 def _hash(text: str) -> int:
@@ -40,7 +42,7 @@ def _hash(text: str) -> int:
 
 
 def tokens_of(word: str) -> list[int]:
-    """Hashes of a white-space word's runs: letters by themselves (capitals kept as a shape), signs once each."""
+    """Hashes of a white-space word's runs: letters by themselves (capitals kept as a shape), signs with repeats of one as one mark."""
     out = []
     for run in _RUNS.findall(word):
         if run.isalpha():
@@ -51,7 +53,7 @@ def tokens_of(word: str) -> list[int]:
         elif run.isdigit():
             out.append(_hash("\0digits"))
         else:
-            out.append(_hash(f"\0{run[:3]}"))
+            out.append(_hash("\0" + _REPEATED.sub(r"\1+", run)))
     return out or [_hash("\0other")]
 
 
@@ -136,17 +138,36 @@ def sample_of(labels: DataFrame, id_col: str, label_col: str, most: int) -> Data
     return checkpointed(known.orderBy(F.xxhash64("labelled"), "labelled").limit(most))
 
 
-def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> np.ndarray:
-    """Weights learnt from the labelled rows of ``labels`` (id, label 0 or 1), at most ``sample`` of them."""
-    chosen = sample_of(labels, id_col, label_col, sample)
-    rows = df.select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("labelled")).select("labelled", text_col, "label")
+def sample_texts(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int, most_bytes: int) -> DataFrame:
+    """At most ``most`` rows (``labelled``, ``label``, ``text``): one text for each id of ``sample_of``, as many as ``most_bytes`` hold, in the order of their hash.
+
+    Of an id's texts the one with the lowest hash counts; nulls count as empty.
+    """
+    chosen = sample_of(labels, id_col, label_col, most)
+    rows = df.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), F.col(id_col) == F.col("labelled"))
+    one = rows.groupBy("labelled", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("own"))
+    one = checkpointed(one.select("labelled", "label", "own.text"))
+    sizes = one.select("labelled", F.xxhash64("labelled").alias("hash"), F.octet_length("text").alias("bytes")).collect()  # ``most`` numbers
+    kept_, total = [], 0
+    for r in sorted(sizes, key=lambda r: (r["hash"], r["labelled"])):
+        if total + r["bytes"] <= most_bytes:
+            kept_.append((r["labelled"],))
+            total += r["bytes"]
+    if len(kept_) == len(sizes):
+        return one
+    return one.join(F.broadcast(one.sparkSession.createDataFrame(kept_, f"labelled {one.schema['labelled'].dataType.simpleString()}")), "labelled", "left_semi")
+
+
+def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> np.ndarray:
+    """Weights learnt from at most ``sample`` labelled ids of ``labels`` (id, label 0 or 1), whose texts have at most ``sample_bytes``."""
+    rows = sample_texts(df, labels, id_col, text_col, label_col, sample, sample_bytes)
 
     def features(batches):
         make = kept("featuriser", Featuriser)
         for block in blocks(batches, 1):
             slots, values, at = per_text(*make(block.column(1)))
             lists = lambda x, at=at: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x))
-            yield pa.RecordBatch.from_arrays([block.column(0).cast(pa.int64()), block.column(2), lists(slots.astype(np.int32)), lists(values.astype(np.float32))], names=["id", "label", "slots", "values"])
+            yield pa.RecordBatch.from_arrays([block.column(0).cast(pa.string()), block.column(2), lists(slots.astype(np.int32)), lists(values.astype(np.float32))], names=["id", "label", "slots", "values"])
 
     def fit(batches):
         ids, labels_, slots, values = [], [], [], []
@@ -155,13 +176,13 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             labels_ += batch.column(1).to_pylist()
             slots += [np.asarray(x.values) for x in batch.column(2)]
             values += [np.asarray(x.values, dtype=np.float64) for x in batch.column(3)]
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], len(slots[i])))
+        order = sorted(range(len(ids)), key=ids.__getitem__)
         if order:
             y = np.array([labels_[i] for i in order], dtype=float)
             w = learn([slots[i] for i in order], [values[i] for i in order], y)
             yield pa.RecordBatch.from_arrays([pa.array([w.astype("<f8").tobytes()])], names=["weights"])
 
-    made = arrow_map(rows, ["labelled", text_col, "label"], features, "id long, label int, slots array<int>, values array<float>")
+    made = arrow_map(rows, ["labelled", "text", "label"], features, "id string, label int, slots array<int>, values array<float>")
     got = arrow_map(checkpointed(made).repartition(1), ["*"], fit, "weights binary").collect()
     return np.frombuffer(bytes(got[0][0]), dtype="<f8") if got else np.zeros((1 << BITS) + 1)
 

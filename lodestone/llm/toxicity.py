@@ -1,14 +1,14 @@
 """Toxicity by a weighted lexicon.
 
-Texts are folded: lower case, look-alike letters of other alphabets and digits standing for letters become the
+Texts are folded: lower case, without accents, look-alike letters of other alphabets and digits standing for letters become the
 Latin letters meant, and so do signs between letters. An Aho-Corasick automaton over the folded lexicon and the exception phrases finds
 all whole-word hits in one scan; a hit inside an exception phrase does not count. The hits' weights
 are normalised by the text's length and put through a logistic curve.
 
 The lexicon is the seed terms and the words that the labelled sample shows to be toxic. A word's support
 is its number of different left neighbours, so that copies of one text count once. Weights are smoothed log
-odds; a word enters if a lower bound of its weight is over ENTER. The sample is the SAMPLE labelled rows with the
-lowest hash of their id, the lexicon has at most MOST terms; both fit in a worker.
+odds; a word enters if a lower bound of its weight is over ENTER. The sample is bounded: one text for each of the SAMPLE labelled ids with the
+lowest hash, as many as SAMPLE_BYTES hold. The lexicon has the ``terms`` heaviest words (MOST, if not given otherwise), so that it fits in a worker.
 
 Results in special cases: a null or empty text has no hits and scores the curve at no evidence; very long texts are scanned
 whole; repeated rows each get their row; null ids and null labels are not learnt from; without labels the seeds
@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -26,30 +28,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import arrow_map, blocks, checkpointed, crc_of_id, kept
-from lodestone.llm.quality_classifier import sample_of
+from lodestone.llm._common import arrow_map, blocks, crc_of_id, kept
+from lodestone.llm.quality_classifier import SAMPLE, SAMPLE_BYTES, sample_texts
 
 SEEDS = ["clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless"]
 SEED_WEIGHT = 3.0
 EXCEPTIONS = ["class clown", "clown fish", "pond scum", "soap scum", "trash bag", "trash bin", "trash can", "winner and loser", "worthless check"]
 
-SAMPLE = 8000
+#: Learnt terms, at most, where the caller gives no other bound.
 MOST = 4000
 #: Different left neighbours in toxic texts that a learnt word needs.
 SUPPORT = 6
 ENTER = 1.5
 
-#: Letters that look like others: Cyrillic, Greek and full-width forms.
-LOOKS = dict(zip("авеѕіјкмнорстухһԁԛԝɡαβεικνορτυχ", "abesijkmhopctyxhdqwgabeiknoptux", strict=True)) | {chr(0xFF41 + k): chr(97 + k) for k in range(26)} | {chr(0xFF10 + k): chr(48 + k) for k in range(10)}
+#: Letters that look like others: Cyrillic, Greek and full-width forms. Capitals that look otherwise than their small letters come first.
+CAPITALS = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "abezhikmnoptyx", strict=True))
+LOOKS = dict(zip("авеѕіјкмнорстухһԁԛԝɡαβεζηικμνορτυχω", "abesijkmhopctyxhdqwgabeznikuvoptuxw", strict=True)) | {chr(0xFF41 + k): chr(97 + k) for k in range(26)} | {chr(0xFF10 + k): chr(48 + k) for k in range(10)}
 #: Digits that stand for letters.
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
 #: Signs that stand for letters between letters.
-SIGNS = {"@": "a", "$": "s", "!": "i"}
-_HIDDEN = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
+SIGNS = {"@": "a", "$": "s", "!": "i", "|": "i"}
+_HIDDEN = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, *range(0x300, 0x370)])
 
-_TABLE = {ord(a): DIGITS.get(b, b) for a, b in LOOKS.items()} | {ord(a): b for a, b in DIGITS.items()} | _HIDDEN
-_LATIN = bytes(ord(DIGITS.get(c, c)) if len(c := chr(b).lower()) == 1 and ord(c) < 256 else b for b in range(256))
-_SIGN = re.compile(r"(?<=[^\W\d_])[@$!](?=[^\W\d_])")
+
+def _bases() -> dict[str, str]:
+    """Small Latin letters with accents, and their letters without."""
+    found = ((chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)])
+    return {c: base for c, base in found if c == c.lower() and c != base and base.isascii()}
+
+
+_BASES = _bases()
+_TABLE = {ord(a): b for a, b in _BASES.items()} | {ord(a): DIGITS.get(b, b) for a, b in LOOKS.items()} | {ord(a): b for a, b in DIGITS.items()} | _HIDDEN
+_CAPITALS, _ANY_CAPITAL = str.maketrans(CAPITALS), re.compile("[" + "".join(CAPITALS) + "]")
+_LATIN = bytes(ord(_BASES.get(c, DIGITS.get(c, c))) if len(c := chr(b).lower()) == 1 and ord(c) < 256 else b for b in range(256))
+_SIGN = re.compile(r"(?<=[^\W\d_])[@$!|](?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -58,8 +70,8 @@ def fold(text: str) -> str:
     try:
         text = text.encode("latin-1").translate(_LATIN, b"\xad").decode("latin-1")
     except UnicodeEncodeError:
-        text = text.lower().translate(_TABLE)
-    return _SIGN.sub(lambda m: SIGNS[m[0]], text) if "@" in text or "$" in text or "!" in text else text
+        text = (text.translate(_CAPITALS) if _ANY_CAPITAL.search(text) else text).lower().translate(_TABLE)
+    return _SIGN.sub(lambda m: SIGNS[m[0]], text) if "@" in text or "$" in text or "!" in text or "|" in text else text
 
 
 def automaton(lexicon: dict[str, float], exceptions: list[str] = EXCEPTIONS):
@@ -75,7 +87,7 @@ def automaton(lexicon: dict[str, float], exceptions: list[str] = EXCEPTIONS):
 
 
 def evidence(found, folded: str) -> float:
-    """The weights of the whole-word hits outside exception phrases."""
+    """The weights of the whole-word hits outside exception phrases, in one sweep: both lists come in the order of their ends."""
     hits, spared = [], []
     last = len(folded) - 1
     for end, (length, weight) in found.iter(folded):
@@ -87,7 +99,11 @@ def evidence(found, folded: str) -> float:
         else:
             hits.append((start, end, weight))
     if spared:
-        hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b in spared)]
+        # a hit is spared if a phrase that ends no earlier starts no later: the least start of the phrases from each on
+        ends, least = [b for _, b in spared], [a for a, _ in spared]
+        for k in range(len(least) - 2, -1, -1):
+            least[k] = min(least[k], least[k + 1])
+        hits = [h for h in hits if (k := bisect_left(ends, h[1])) == len(ends) or least[k] > h[0]]
     return sum(h[2] for h in hits)
 
 
@@ -107,10 +123,9 @@ def fit(rows: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> list[float]:
     return w.tolist()
 
 
-def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> tuple[dict[str, float], list[float]]:
-    """The lexicon with its weights, and the curve, from at most ``sample`` rows of ``labels`` (id, label 0 or 1)."""
-    chosen = sample_of(labels, id_col, label_col, sample)
-    rows = df.select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("labelled")).select("labelled", text_col, "label")
+def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, terms: int = MOST) -> tuple[dict[str, float], list[float]]:
+    """The lexicon of at most ``terms`` learnt words with its weights, and the curve, from at most ``sample`` labelled ids of ``labels`` (id, label 0 or 1), whose texts have at most ``sample_bytes``."""
+    rows = sample_texts(df, labels, id_col, text_col, label_col, sample, sample_bytes)
 
     def pairs(batches):
         for block in blocks(batches, 1):
@@ -121,18 +136,17 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             words_, lefts, marks = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(words_, pa.string()), pa.array(lefts, pa.string()), pa.array(marks, pa.int32())], names=["word", "before", "label"])
 
-    rows = checkpointed(rows)
     sizes = {int(r[0] > 0): r[1] for r in rows.select((F.col("label") > 0).cast("int").alias("label")).groupBy("label").count().collect()}
     bad_all, good_all = sizes.get(1, 0), sizes.get(0, 0)
-    counted = arrow_map(rows, ["labelled", text_col, "label"], pairs, "word string, before string, label int").distinct()
+    counted = arrow_map(rows, ["labelled", "text", "label"], pairs, "word string, before string, label int").distinct()
     bad, good = F.sum(F.when(F.col("label") > 0, 1).otherwise(0)), F.sum(F.when(F.col("label") > 0, 0).otherwise(1))
     weight = F.log((F.col("bad") + 0.5) / (bad_all + 1)) - F.log((F.col("good") + 0.5) / (good_all + 1))
     known = counted.groupBy("word").agg(bad.alias("bad"), good.alias("good")).withColumn("weight", weight)
     sure = F.col("weight") - 2 * F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    top = known.where(((F.col("bad") >= SUPPORT) & (sure > ENTER) & (F.length("word") > 2)) | F.col("word").isin(SEEDS)).orderBy(F.desc("weight"), "word").limit(MOST).collect()
+    top = known.where(((F.col("bad") >= SUPPORT) & (sure > ENTER) & (F.length("word") > 2)) | F.col("word").isin(SEEDS)).orderBy(F.desc("weight"), "word").limit(terms).collect()
     lexicon = dict.fromkeys(SEEDS, SEED_WEIGHT) | {r["word"]: r["weight"] for r in top}
     lexicon = {w: x for w, x in lexicon.items() if x > 0}
-    totals = sums(rows, lexicon, "labelled", text_col, ["label"]).select("label", "total", "n_words").collect() if bad_all and good_all else []  # at most ``sample`` rows
+    totals = sums(rows, lexicon, "labelled", "text", ["label"]).select("label", "total", "n_words").collect() if bad_all and good_all else []  # one row for each id of the sample
     curve = fit(np.array([shape(r[1], r[2]) for r in totals]), np.array([float(r[0] > 0) for r in totals])) if totals else [-3.0, 1.0, 1.0]
     return lexicon, curve
 

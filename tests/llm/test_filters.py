@@ -264,13 +264,132 @@ def test_classifiers_without_labels(docs, spark):
 def test_folding_and_exceptions():
     found = toxicity.automaton({"idiot": 4.0, "trash": 2.0})
     score = lambda t: toxicity.evidence(found, toxicity.fold(t))
-    for disguised in ("IDIOT", "1d10t", "іdіоt", "ｉｄｉｏｔ", "i\u200bdiot", "id!ot", "an idiot."):
+    for disguised in ("IDIOT", "1d10t", "іdіоt", "ｉｄｉｏｔ", "i\u200bdiot", "id!ot", "an idiot.", "ídïöt", "ÍDIÖT 字", "i\u0301diot", "ΙDΙΟΤ", "id|ot", "іdíοt"):
         assert score(disguised) == 4.0, disguised
+    assert [toxicity.fold(t) for t in ("ΗΜΖ", "Ημζ", "ÀÉÎÕÜÇÑ", "ĀĒŁ字")] == ["hmz", "huz", "aeioucn", "aeł字"]
     assert score("idiotic") == 0 and score("trashy") == 0
     assert score("the trash can and trash") == 2.0
     assert score("") == 0
 
 
+def brute_evidence(lexicon, folded):
+    """Whole-word hits outside whole-word exception phrases, place by place."""
+    edge = lambda i, j: not (i and folded[i - 1].isalnum()) and not (j < len(folded) and folded[j].isalnum())
+    places = lambda t: [(i, i + len(t)) for i in range(len(folded) - len(t) + 1) if folded.startswith(t, i) and edge(i, i + len(t))]
+    spared = [x for e in toxicity.EXCEPTIONS for x in places(toxicity.fold(e))]
+    return sum(w for t, w in lexicon.items() for i, j in places(t) if not any(a <= i and j <= b for a, b in spared))
+
+
+def test_evidence():
+    import time
+
+    pick = np.random.default_rng(6)
+    lexicon = {"trash": 2.0, "can": 0.5, "clown": 3.0, "class clown fish": 0.25, "scum": 1.5, "winner": 1.0}
+    found = toxicity.automaton(lexicon)
+    for _ in range(300):
+        text = toxicity.fold(" ".join(pick.choice(["trash", "can", "class", "clown", "fish", "pond", "scum", "winner and loser", "winner", "xtrash", "bag", "."], pick.integers(0, 25))))
+        assert toxicity.evidence(found, text) == pytest.approx(brute_evidence(lexicon, text)), text
+    took = []
+    for n in (4000, 16000):
+        began = time.perf_counter()
+        toxicity.evidence(found, "the trash can and trash " * n)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0] + 0.1  # in proportion
+
+
+def test_lexicon_by_definition(spark):
+    import math
+
+    pick = np.random.default_rng(16)
+    common, vile = [f"w{k}" for k in range(60)], ["gr0ss", "vileness", "idiot", "meh"]
+    texts = []
+    for i in range(500):
+        bad = i % 4 == 0
+        ws = [*pick.choice(common, 15), *(pick.choice(vile, 2) if bad and pick.random() < 0.9 else []), *(["meh"] if pick.random() < 0.2 else [])]
+        texts.append((i, " ".join(pick.permutation(ws)), int(bad)))
+    df = spark.createDataFrame([(i, t) for i, t, _ in texts] + [(0, texts[0][1])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in texts], "doc_id long, toxic int")
+    lexicon, curve = toxicity.learn(df, labels)
+    left = {0: {}, 1: {}}
+    for _, t, y in texts:
+        found = re.findall(r"[^\W_]+", toxicity.fold(t))
+        for before, w in zip(["", *found[:-1]], found, strict=True):
+            left[y].setdefault(w, set()).add(before)
+    n = [sum(y == k for _, _, y in texts) for k in (0, 1)]
+    want = dict.fromkeys(toxicity.SEEDS, toxicity.SEED_WEIGHT)
+    for w in {*left[0], *left[1]}:
+        good, bad = (len(left[k].get(w, ())) + 0.5 for k in (0, 1))
+        weight = math.log(bad / (n[1] + 1)) - math.log(good / (n[0] + 1))
+        if w in toxicity.SEEDS or (bad - 0.5 >= toxicity.SUPPORT and weight - 2 * math.sqrt(1 / bad + 1 / good) > toxicity.ENTER and len(w) > 2):
+            want[w] = weight
+    want = {w: x for w, x in want.items() if x > 0}
+    assert {"gross", "vileness"} <= set(want) and "meh" not in want
+    assert lexicon == pytest.approx(want)
+    rows = np.array([toxicity.shape(brute_evidence(want, toxicity.fold(t)), len(t.split())) for _, t, _ in texts])
+    assert curve == pytest.approx(toxicity.fit(rows, np.array([float(y) for _, _, y in texts])))
+    scored = {r["doc_id"]: r["score"] for r in toxicity.score(df, lexicon, curve).collect()}
+    assert all(scored[i] == pytest.approx(1 / (1 + math.exp(-float(rows[i] @ np.array(curve))))) for i in range(500))
+    assert len(toxicity.learn(df, labels, terms=1)[0]) <= len(toxicity.SEEDS) + 1
+
+
+def plain_ftrl(slots, values, labels, epochs, size):
+    """FTRL-Proximal coordinate by coordinate, as published."""
+    import math
+
+    q = quality_classifier
+    z, n = [0.0] * size, [0.0] * size
+    weight = lambda i: 0.0 if abs(z[i]) <= q.L1 else -(z[i] - math.copysign(q.L1, z[i])) / ((q.BETA + math.sqrt(n[i])) / q.ALPHA + q.L2)
+    order = np.random.default_rng(11)
+    for _ in range(epochs):
+        for r in order.permutation(len(labels)):
+            row = [*zip(slots[r].tolist(), values[r].tolist(), strict=True), (size - 1, 1.0)]
+            w = {i: weight(i) for i, _ in row}
+            p = 1 / (1 + math.exp(-sum(w[i] * x for i, x in row)))
+            for i, x in row:
+                g = (p - labels[r]) * x
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / q.ALPHA
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in range(size) if weight(i)}
+
+
+def test_ftrl_by_definition(spark):
+    import pyarrow as pa
+
+    pick = np.random.default_rng(13)
+    texts = [" ".join(pick.choice(["good", "fine", "words", "BUY", "!!!!", "x1", "--==", "ok,", "ok,"], pick.integers(1, 30))) for _ in range(40)]
+    labels = np.array([float("BUY" not in t) for t in texts])
+    slots, values, at = quality_classifier.per_text(*quality_classifier.Featuriser()(pa.array(texts)))
+    cut = lambda x: [x[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+    got = quality_classifier.learn(cut(slots), cut(values), labels)
+    want = plain_ftrl(cut(slots), cut(values), labels, quality_classifier.EPOCHS, (1 << quality_classifier.BITS) + 1)
+    assert {i: got[i] for i in np.flatnonzero(got).tolist()} == pytest.approx(want)
+    # the table's weights are those of the same rows, one text for each id, and the score is the dot product
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (3, texts[3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    weights = quality_classifier.train(df, spark.createDataFrame([(i, int(y)) for i, y in enumerate(labels)], "doc_id long, quality int"))
+    order = sorted(range(len(texts)), key=str)
+    close = lambda x: [v.astype(np.float32).astype(float) for v in cut(x)]
+    assert weights == pytest.approx(quality_classifier.learn([cut(slots)[i] for i in order], [close(values)[i] for i in order], labels[order]))
+    scored = {r["doc_id"]: r["score"] for r in quality_classifier.score(df, weights).collect()}
+    for i in range(len(texts)):
+        z = sum(weights[s] * v for s, v in zip(cut(slots)[i], cut(values)[i], strict=True)) + weights[-1]
+        assert scored[i] == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_sample_bounds(spark):
+    """One text for each id, and no more bytes than the bound, whatever repeats or is long."""
+    rows = [(i % 50, f"text {i} " + "x" * (3000 if i % 50 == 7 else 10)) for i in range(400)] + [(60, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(70)], "doc_id long, quality int")
+    take = lambda most, size: quality_classifier.sample_texts(df, labels, "doc_id", "text", "quality", most, size).collect()
+    whole = take(100, 10**6)
+    assert sorted(r["labelled"] for r in whole) == [*range(50), 60] and {(r["labelled"], r["text"]) for r in whole} <= {(i, t or "") for i, t in rows}
+    few = take(100, 500)
+    assert sum(len(r["text"]) for r in few) <= 500 and 7 not in {r["labelled"] for r in few} and len(few) > 20
+    assert len(take(10, 10**6)) <= 10
+
+
 def brute_license(text):
     text = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     found = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)
