@@ -19,6 +19,8 @@ the id and the text are never read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -190,8 +192,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 SHINGLE = 5
 LEAST = 0.8
-#: Documents and characters that one task compares with as many others at once.
+#: Documents and characters that one task compares with as many others at once, at most.
 BLOCK_ROWS, BLOCK_CHARS = 1000, 4_000_000
+#: Classes of up to so many documents are one block; beyond, blocks grow with the root of the class, so that it spreads over many tasks.
+ONE_BLOCK = 256
+#: Times that a class beyond one block is held against one of its documents before its blocks are compared.
+PIVOTS = 4
 
 
 def shingle_set(text: str, width: int) -> np.ndarray:
@@ -224,12 +230,20 @@ def similar(sets: list[np.ndarray], least: float, sides: list[int]) -> list[tupl
     return out
 
 
-def similar_links(df: DataFrame, classes: DataFrame, id_col: str, text_col: str, width: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """Links (``a``, ``b``) between rows of one candidate class (``node``, ``root``) whose shingle sets are similar.
+def _parts(rows: str, chars: str):
+    """Blocks of a class from its numbers of rows and characters."""
+    block = F.least(F.lit(BLOCK_ROWS), F.greatest(F.lit(ONE_BLOCK), F.ceil(3 * F.sqrt(F.col(rows)))))
+    return F.greatest(F.lit(1), F.ceil(F.col(rows) / block), F.ceil(F.col(chars) / BLOCK_CHARS)).cast("int")
 
-    A class of more than a block's rows or characters is dealt into blocks, and each pair of its blocks is a task's
-    work: large classes spread over tasks, with bounded memory, and no pair is lost.
-    """
+
+def _sized(rows: DataFrame) -> DataFrame:
+    """The rows with ``parts``, the blocks of their class."""
+    sizes = rows.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    return rows.join(sizes.select("root", _parts("n", "chars").alias("parts")), "root")
+
+
+def _compared(dealt: DataFrame, width: int, least: float) -> DataFrame:
+    """Links (``a``, ``b``) that connect what is similar among rows (``node``, ``side``, ``text``) of one ``key``; where a key has both sides, only pairs across count."""
 
     def search(batches):
         held: list[tuple[int, int, str]] = []
@@ -257,15 +271,83 @@ def similar_links(df: DataFrame, classes: DataFrame, id_col: str, text_col: str,
         if (got := finish()) is not None:
             yield got
 
-    rows = df.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).join(classes, "node")
-    rows = checkpointed(rows)
-    parts = rows.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum(F.length("text")) / BLOCK_CHARS)).alias("parts"))
-    dealt = block_pairs(rows.join(parts, "root"), "root").select("key", "node", "side", "text")
-    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = dealt.repartition(n, "key").sortWithinPartitions("key", "side", "node")
+    n = max(1, int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = dealt.select("key", "node", "side", "text").repartition(n, "key").sortWithinPartitions("key", "side", "node")
     return arrow_map(dealt, ["key", "node", "side", "text"], search, "a long, b long")
 
 
+def _held_against(rows: DataFrame, width: int, least: float) -> DataFrame:
+    """The rows (``node``, ``text``, ``root``, ``parts``) with ``pivot``, the least node of their class, and ``like``: 2 if similar to it, 1 if something similar to it may be similar to them, else 0; -1 for the pivot itself.
+
+    Jaccard distance is a metric: what is similar to a row that is similar to the pivot is within twice the distance of the pivot.
+    """
+
+    def search(batches):
+        key, own = None, None
+        for block in blocks(batches, 3):
+            out = []
+            for k, side, node, text in zip(*(block.column(i).to_pylist() for i in range(4)), strict=True):
+                found = shingle_set(text, width)
+                if k != key:  # the pivot comes first
+                    key, own = k, found
+                if not side:
+                    out.append(-1)
+                    continue
+                both = len(np.intersect1d(own, found, assume_unique=True))
+                every = len(own) + len(found) - both
+                out.append(2 if both >= least * every else int(both >= (2 * least - 1 - 1e-9) * every))
+            yield pa.RecordBatch.from_arrays([block.column(2), block.column(3), block.column(4), block.column(5), pa.array(out, pa.int32())], names=["node", "text", "root", "pivot", "like"])
+
+    small = 2 * F.col("parts")  # tasks of this pass hold one block's half at most, and copies of the pivot are all that it moves besides
+    pivots = rows.groupBy("root").agg(F.min("node").alias("pivot"))
+    own = F.pmod(F.xxhash64("node"), small).cast("int")
+    dealt = rows.join(pivots, "root").withColumn("side", (F.col("node") != F.col("pivot")).cast("int"))
+    dealt = dealt.withColumn("part", F.explode(F.when(F.col("side") == 0, F.sequence(F.lit(0), (small - 1).cast("int"))).otherwise(F.array(own))))
+    dealt = dealt.select(F.xxhash64("root", "part").alias("key"), "side", "node", "text", "root", "pivot")
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = dealt.repartition(n, "key").sortWithinPartitions("key", "side", "node")
+    return arrow_map(dealt, ["key", "side", "node", "text", "root", "pivot"], search, "node long, text string, root long, pivot long, like int")
+
+
+def _across(held: DataFrame) -> DataFrame:
+    """Rows similar to a pivot beside those that may be similar to such a row, for ``_compared``: each pair of their blocks is a key."""
+    of = lambda like, name: held.where(F.col("like") == like).groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).select("root", _parts("n", "chars").alias(name))
+    sizes = of(2, "near").join(of(1, "ring"), "root")
+    rows = held.where(F.col("like") > 0).join(sizes, "root").withColumn("side", F.col("like") - 1)
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("side") == 1, F.col("near")).otherwise(F.col("ring"))).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 1, F.col("ring")).otherwise(F.col("near")) - 1))
+    rows = rows.withColumn("own", own).withColumn("other", other)
+    low, high = F.when(F.col("side") == 1, F.col("own")).otherwise(F.col("other")), F.when(F.col("side") == 1, F.col("other")).otherwise(F.col("own"))
+    return rows.select(F.xxhash64("pivot", low, high).alias("key"), "node", "side", "text")
+
+
+def similar_links(df: DataFrame, classes: DataFrame, id_col: str, text_col: str, width: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """Links (``a``, ``b``) that connect those rows of one candidate class (``node``, ``root``) whose shingle sets are similar.
+
+    A class of one block is one task's work. A larger one is first held against one of its rows, the pivot, which takes one
+    pass over the class: what is similar to the pivot is one group and needs no comparison with each other, only with the rows that
+    the triangle inequality leaves. The others go on as a smaller class. What PIVOTS such passes leave over one block is dealt into
+    blocks, and each pair of them is a task's work. So a large group of copies costs a few passes, memory is bounded, and no pair is lost.
+    """
+    rows = df.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).join(classes, "node")
+    rows = checkpointed(_sized(rows))
+    out, ready = [], [rows.where("parts = 1")]
+    for _ in range(PIVOTS):
+        rows = rows.where("parts > 1")
+        if rows.isEmpty():
+            break
+        held = checkpointed(_held_against(rows, width, least))
+        out.append(held.where("like = 2").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+        out.append(_compared(_across(held), width, least))
+        rows = checkpointed(_sized(held.where("like in (0, 1)").select("node", "text", "root")))
+        ready.append(rows.where("parts = 1"))
+    else:
+        ready.append(rows.where("parts > 1"))
+    # a class has one part in one pass only, or is left over after the last
+    whole = reduce(DataFrame.unionByName, (r.select("node", "text", "root", "parts") for r in ready))
+    return reduce(DataFrame.unionByName, [_compared(block_pairs(whole, "root"), width, least), *out])
+
+
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, least: float = LEAST) -> DataFrame:
     """The rows of ``df`` without near copies: of each group of texts linked by similarity, the row with the smallest id stays.
 
@@ -273,18 +355,20 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     propose classes; inside them, links are the pairs whose sets of ``width``-word shingles have a Jaccard similarity of ``least``
     or more. Rows without an id are compared like any other, and stay only where their group has no id; of rows that repeat an id and a text one stays.
     """
+    # a caller's columns stay in one struct, so that none of them meets the names used here
     digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    keyed = df.select(F.struct(F.col(id_col).cast("long").alias("id"), digest.alias("text_key")).alias("own"), text_col)
-    found = checkpointed(minhash.fingerprints(keyed, "own", text_col, width).select("own.*", "fingerprint", "bands"))
+    whole = df.select(F.struct(*df.columns).alias("row"), F.struct(F.col(id_col).cast("long").alias("id"), digest.alias("text_key")).alias("own"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = checkpointed(minhash.fingerprints(whole, "own", "text", width).select("own.*", "fingerprint", "bands"))
     repeats = not found.groupBy("id", "text_key").count().where("count > 1").isEmpty()
     first = found.groupBy("text_key").agg(F.min("id").alias("least"), F.first("fingerprint").alias("fingerprint"), F.first("bands").alias("bands"))
     first = checkpointed(first.withColumn("node", F.monotonically_increasing_id()))
     classes = checkpointed(connected_components(minhash.links(first, least)))
     wanted = first.select("node", "text_key", "least").join(classes.select("node"), "node")
-    texts = keyed.join(wanted, (F.col("own.text_key") == F.col("text_key")) & F.col("own.id").eqNullSafe(F.col("least"))).select("node", F.coalesce(text_col, F.lit("")).alias("text"))
+    same = lambda key, least_: (F.col("own.text_key") == F.col(key)) & F.col("own.id").eqNullSafe(F.col(least_))
+    texts = whole.select("own", "text").join(wanted, same("text_key", "least")).select("node", "text")
     roots = connected_components(similar_links(texts.dropDuplicates(["node"]) if repeats else texts, classes, "node", "text", width, least))
     rooted = first.select("node", "text_key", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     order = F.struct(F.col("least").isNull(), "least", "node")
     stay = checkpointed(rooted.groupBy("root").agg(F.min_by(F.struct("text_key", "least"), order).alias("stay")).select("stay.*"))
-    kept = df.withColumn("text_key_", digest).join(stay, (F.col("text_key_") == F.col("text_key")) & F.col(id_col).cast("long").eqNullSafe(F.col("least")), "left_semi")
-    return (kept.dropDuplicates(["text_key_"]) if repeats else kept).drop("text_key_")
+    kept = whole.select("row", "own").join(stay, same("text_key", "least"), "left_semi")
+    return (kept.dropDuplicates(["own"]) if repeats else kept).select("row.*")

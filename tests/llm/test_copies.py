@@ -109,7 +109,9 @@ def edits(seed=7):
     return out
 
 
-def test_deduplicated(spark, monkeypatch):
+@pytest.mark.parametrize("pivots", [0, 1, 4])
+def test_deduplicated(spark, monkeypatch, pivots):
+    monkeypatch.setattr(simhash, "PIVOTS", pivots)
     rows = edits()
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows] + [(900, None, "en", "s", 0), (901, "", "en", "s", 0), (None, "x", "en", "s", 1), (0, rows[0][1], "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     monkeypatch.setattr(simhash, "BLOCK_ROWS", 2)  # so that classes are dealt into blocks
@@ -123,6 +125,31 @@ def test_deduplicated(spark, monkeypatch):
     assert simhash.deduplicated(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("pivots", [0, 1, 3, 8])
+def test_similar_links_of_large_classes(spark, monkeypatch, pivots):
+    """Chains of texts of which only neighbours are alike, so that most links lie far from any pivot, beside a large group of copies."""
+    monkeypatch.setattr(simhash, "PIVOTS", pivots)
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 7)
+    pick = random.Random(41)
+    word = lambda: "".join(pick.choice("abcdefghij") for _ in range(6))
+    stream = [word() for _ in range(700)]
+    texts = [" ".join(stream[4 * k : 4 * k + 100]) for k in range(130) if pick.random() < 0.7]
+    base = [word() for _ in range(100)]
+    for _ in range(40):  # within 0.8 of the base, hardly of each other
+        own = list(base)
+        own[pick.randrange(100)] = word()
+        texts.append(" ".join(own))
+    texts += [" ".join(base[:70] + [word() for _ in range(30)]) for _ in range(20)]
+    pick.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    classes_ = spark.createDataFrame([(i, i % 2 if i < 6 else 1) for i in range(len(texts))], "node long, root long")
+    got = {r["node"]: r["root"] for r in components.connected_components(simhash.similar_links(df, classes_, "id", "text")).collect()}
+    root = {r["node"]: r["root"] for r in classes_.collect()}
+    want = classes(range(len(texts)), lambda a, b: root[a] == root[b] and jaccard(texts[a], texts[b], 5) >= 0.8)
+    assert {i: got.get(i, i) for i in want} == want
+    assert 5 < len(set(want.values())) < 60
+
+
 def runs(seed=19):
     """Copies made by adding, cutting or replacing one run of words, 0.80 to 0.95 alike, in groups of three with a relative under 0.8."""
     pick = random.Random(seed)
