@@ -7,6 +7,7 @@ are cut into chunks in Arrow, distinct chunks are encoded once, and texts' ids a
 from __future__ import annotations
 
 import json
+import os
 import weakref
 from itertools import chain
 
@@ -50,6 +51,10 @@ class Vocabulary:
         self.merges = [tuple(self.ids[p] for p in (m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
         self.merged = [self.ids["".join(m.split(" ") if isinstance(m, str) else m)] if not self.suffix else self.ids[_glued(m)] for m in model["merges"]]
         self.library = Tokenizer.from_file(file_path(name))
+        #: What every special string begins with: only texts with it can hold one. None without special strings.
+        self.marker = os.path.commonprefix(list(self.special)) if self.special else None
+        if any(c.isspace() for s in self.special for c in s):
+            raise ValueError("special strings with white space cross chunks")
         self.special_cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
 
     @property
@@ -104,9 +109,11 @@ def word_chunks(texts: pa.Array):
     return words(texts)
 
 
-def byte_chunks(texts: pa.Array):
-    """Chunks that start at each space, for the byte file; a text with a space in a longer white-space run is one chunk."""
-    joined = pc.or_(pc.match_substring_regex(texts, f"{_RUN} | {_RUN}"), pc.match_substring(texts, "<|"))
+def byte_chunks(texts: pa.Array, marker: str | None):
+    """Chunks that start at each space, for the byte file; a text with a space in a longer white-space run, or with the marker of special strings, is one chunk."""
+    joined = pc.match_substring_regex(texts, f"{_RUN} | {_RUN}")
+    if marker is not None:
+        joined = pc.or_(joined, pc.match_substring(texts, marker))
     whole = np.flatnonzero(joined.to_numpy(zero_copy_only=False))
     cut = texts
     if len(whole):
@@ -129,8 +136,8 @@ def byte_chunks(texts: pa.Array):
 class CodeBook:
     """Ids of the chunks seen so far, in flat arrays; when it is full, only chunks of several blocks stay."""
 
-    def __init__(self, encode, most: int = 300_000, most_bytes: int = 12 << 20):
-        self.encode, self.most, self.most_bytes = encode, most, most_bytes
+    def __init__(self, encode, most: int = 300_000, most_bytes: int = 12 << 20, marker: str | None = None):
+        self.encode, self.most, self.most_bytes, self.marker = encode, most, most_bytes, marker
         self.clear()
 
     def clear(self) -> None:
@@ -192,14 +199,16 @@ class CodeBook:
 def chunk_encoder(vocab: Vocabulary, pieces, encode_pieces):
     """An ``encode`` of CodeBook: chunks to pre-tokens, distinct pre-tokens to ids by ``encode_pieces``, and together."""
 
+    marker = vocab.marker
+
     def cut(chunk: str) -> list:
         found: list = []
         for part in vocab.special_cut.split(chunk):
-            found += [vocab.special[part]] if part in vocab.special else pieces(vocab, part)
+            found += [vocab.special[part]] if part in vocab.special else pieces(vocab, part) if part else []
         return found
 
     def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [pieces(vocab, c) if "<|" not in c else cut(c) for c in chunks]
+        found = [pieces(vocab, c) if marker is None or marker not in c else cut(c) for c in chunks]
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         flat = list(chain.from_iterable(found))
         distinct = dict.fromkeys(flat)

@@ -159,7 +159,7 @@ def encoder(file: str) -> tuple[TrieEncoder, _vocab.CodeBook]:
     def make() -> tuple[TrieEncoder, _vocab.CodeBook]:
         vocab = _vocab.vocabulary(file)
         trie = TrieEncoder(vocab)
-        return trie, _vocab.CodeBook(_vocab.chunk_encoder(vocab, _vocab.byte_pieces, trie.encode))
+        return trie, _vocab.CodeBook(_vocab.chunk_encoder(vocab, _vocab.byte_pieces, trie.encode), marker=vocab.marker)
 
     return kept(f"trie {file}", make)
 
@@ -170,7 +170,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", file:
     def run(batches):
         _, book = encoder(file)
         for block in blocks(batches, 1):
-            ids, at = book.texts(*_vocab.byte_chunks(block.column(1)))
+            ids, at = book.texts(*_vocab.byte_chunks(block.column(1), book.marker))
             yield pa.RecordBatch.from_arrays([block.column(0), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))], names=[id_col, "ids"])
 
     return arrow_map(df, [id_col, text_col], run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, ids array<int>")
@@ -198,7 +198,7 @@ def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
         trie, book = encoder(file)
         sha = hashlib.sha256
         for block in blocks(batches, 1):
-            ids, at = book.texts(*_vocab.byte_chunks(block.column(1)))
+            ids, at = book.texts(*_vocab.byte_chunks(block.column(1), book.marker))
             parts = [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             coded = [sha(p.astype("<u4").tobytes()).hexdigest() for p in parts]
             back = [sha(trie.decode(p).encode()).hexdigest() for p in parts]

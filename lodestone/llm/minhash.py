@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -138,37 +139,45 @@ def edited(text: str, following: str) -> str:
 def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id, ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``, ``near_edited`` and ``near_next``.
 
-    The next document is that of the next smaller id (after the last: the first); rows of one id follow by their text's hash. Ids are dealt into
-    ranges. The first row of a range also goes to the range before it, so ranges need nothing from each other, and
+    The next document is that of the next smaller id (after the last: the first); rows of one id follow by their text's hash, rows
+    without an id come last. Rows are dealt into ranges of this order: quantiles of the ids begin ranges, and an id that is several quantiles,
+    like the rows without one, has as many ranges of hashes. The first row of a range also goes to the range before it, so ranges need nothing from each other, and
     texts move once.
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranges = 4 * n
-    bounds = df.select(id_col).where(F.col(id_col).isNotNull()).agg(F.percentile_approx(id_col, [k / ranges for k in range(1, ranges)], max(10_000, 10 * ranges))).first()[0] or []
-    bounds = sorted(set(bounds), reverse=True)  # ids that occur: each begins a range, in descending order
-    # a row's range is the number of bounds that are not below its id, found among every STEP-th bound and then in that step
+    known = F.col("id").isNotNull()
+    quantiles, n_known, n_all = rows.agg(F.percentile_approx(F.when(known, F.col("id")), [k / ranges for k in range(1, ranges)], max(10_000, 10 * ranges)), F.count("id"), F.count(F.lit(1))).first()
+    times = Counter(quantiles or [])
+    bounds = sorted(times, reverse=True)  # ids that occur: each begins a range, in descending order
+    # ranges of hashes that the bound before each place has, and the first range of each place; behind all, those without an id
+    parts = [1, *(times[b] for b in bounds), max(1, ranges * (n_all - n_known) // max(1, n_all))]
+    begins = [sum(parts[:k]) for k in range(len(parts))]
+    # a row's place is the number of bounds that are not below its id, found among every STEP-th bound and then in that step
     step = max(1, math.isqrt(len(bounds)))
     kind = df.schema[id_col].dataType.simpleString()
     coarse = F.from_json(F.lit(json.dumps(bounds[step - 1 :: step])), f"array<{kind}>")
     fine = F.from_json(F.lit(json.dumps([bounds[k : k + step] for k in range(0, len(bounds) + 1, step)])), f"array<array<{kind}>>")
     full = F.size(F.filter(coarse, lambda b: b >= F.col("id")))
-    place = F.when(F.col("id").isNull(), F.lit(len(bounds))).otherwise(full * step + F.size(F.filter(F.get(fine, full), lambda b: b >= F.col("id"))))
-    last = len(bounds)
-    greatest = df.agg(F.max(id_col)).first()[0]  # the first document; it follows the last
-    placed = rows.withColumn("range", place)
-    begins = F.col("id").isin(bounds) if bounds else F.lit(False)
-    ends = (F.col("id") == F.lit(greatest)) if greatest is not None else F.col("id").isNull()
-    copies = F.filter(
-        F.array(
-            F.struct(F.col("range"), F.lit(0).alias("extra")),
-            F.when(begins, F.struct((F.col("range") - 1).alias("range"), F.lit(1).alias("extra"))),
-            F.when(ends, F.struct(F.lit(last).alias("range"), F.lit(2).alias("extra"))),
-        ),
-        lambda x: x.isNotNull(),
-    )
-    dealt = placed.withColumn("own", F.explode(copies)).select("id", "text", F.col("own.range").alias("range"), F.col("own.extra").alias("extra"), F.xxhash64("text").alias("hash"))
+    place = F.when(known, full * step + F.size(F.filter(F.get(fine, full), lambda b: b >= F.col("id")))).otherwise(len(bounds) + 1)
+    at = lambda values: F.get(F.from_json(F.lit(json.dumps(values)), "array<int>"), F.col("place"))
+    of_bound = F.from_json(F.lit(json.dumps([None, *bounds, None])), f"array<{kind}>")
+    share = F.floor((F.col("hash") / 2.0**64 + 0.5) * at(parts)).cast("int")  # hashes ascend along an id's ranges
+    inside = F.when(F.get(of_bound, F.col("place")).eqNullSafe(F.col("id")) & (at(parts) > 1), F.least(share, at(parts) - 1)).otherwise(F.when(known, at(parts) - 1).otherwise(0))
+    placed = rows.withColumn("hash", F.xxhash64("text")).withColumn("place", place).withColumn("range", at(begins) + inside)
+    # the first row of each range: at most a row for each range comes to the driver
+    falling = F.bitwise_not("id") if kind in ("bigint", "int", "smallint", "tinyint") else -F.col("id")
+    firsts = placed.groupBy("range").agg(F.min_by(F.struct("id", "hash"), F.struct(F.col("id").isNull(), falling, "hash")).alias("first")).select("range", "first.*").collect()
+    firsts.sort(key=lambda r: r["range"])
+    last = firsts[-1]["range"] if firsts else 0
+    heads = [(r["id"], r["hash"], [firsts[k - 1]["range"]] if k else [], [last] if not k else []) for k, r in enumerate(firsts)]
+    heads = spark.createDataFrame(heads, f"first_id {kind}, first_hash long, before array<int>, wrapped array<int>")
+    own = lambda column, extra: F.transform(F.coalesce(F.col(column), F.array().cast("array<int>")), lambda r: F.struct(r.alias("range"), F.lit(extra).alias("extra")))
+    copies = F.concat(F.array(F.struct("range", F.lit(0).alias("extra"))), own("before", 1), own("wrapped", 2))
+    placed = placed.join(F.broadcast(heads), F.col("id").eqNullSafe(F.col("first_id")) & (F.col("hash") == F.col("first_hash")), "left")
+    dealt = placed.withColumn("own", F.explode(copies)).select("id", "text", F.col("own.range").alias("range"), F.col("own.extra").alias("extra"), "hash")
     dealt = dealt.repartition(n, "range").sortWithinPartitions("range", "extra", F.desc_nulls_last("id"), "hash")
 
     def run(batches):
@@ -305,19 +314,15 @@ def links(prints: DataFrame, least: float = LEAST) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """Per row with an id: the id and ``class_id``, the least id of its near-duplicate class.
+    """Per row: the id and ``class_id``, the least id of its near-duplicate class (null if no row of the class has an id).
 
     Equal texts are one text first, and so are all texts without shingles. Candidate classes come from the buckets of the bands; inside them, all pairs of texts
     count whose shingle sets have a Jaccard similarity of ``least`` or more.
     """
-    from lodestone.llm import simhash  # proposes by the bands of this module
-
-    named = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = fingerprints(named, "id", "text").withColumn("digest", F.when(F.col("bands").isNotNull(), F.col("digest")).otherwise(""))
-    found = checkpointed(found)
-    first = found.groupBy("digest").agg(F.min("id").alias("least"), F.min_by("fingerprint", "id").alias("fingerprint"), F.min_by("bands", "id").alias("bands"))
-    first = checkpointed(first.withColumn("node", F.col("least").cast("long")))
-    classes = checkpointed(connected_components(links(first, least)))
-    roots = connected_components(simhash.similar_links(named.withColumn("id", F.col("id").cast("long")), classes, "id", "text", SHINGLE, least))
-    rooted = first.select("digest", F.col("node").alias("own")).join(roots, F.col("own") == F.col("node"), "left").select("digest", F.coalesce("root", "own").alias("class_id"))
-    return found.join(rooted, "digest").select(F.col("id").alias(id_col), "class_id")
+    from lodestone.llm import simhash  # its stage for near copies proposes by the bands of this module
+
+    whole = simhash.keyed(df, id_col, text_col)
+    found = checkpointed(simhash.text_classes(whole, SHINGLE, least))
+    smallest = found.groupBy("root").agg(F.min("least").alias("class_id"))
+    named = found.select("text_key", "root").join(smallest, "root").select("text_key", "class_id")
+    return whole.select(F.col(f"row.{id_col}").alias(id_col), F.col("own.text_key").alias("own_key")).join(named, F.col("own_key") == F.col("text_key")).select(id_col, "class_id")

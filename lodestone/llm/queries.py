@@ -57,8 +57,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"))
 
 
+def minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rest of operator 9: bands of the signatures joined, and the Jaccard similarity of the shingles verified."""
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe_trie, op2_url_reputation, op3_quality_rules, op4_harmonic_packing, op5_toxicity_lexicon, op6_license_scan, op7_simhash_covering, op8_quality_ftrl, op9_minhash, op10_token_counts)
+    f.__name__: f for f in (op1_bpe_trie, op2_url_reputation, op3_quality_rules, op4_harmonic_packing, op5_toxicity_lexicon, op6_license_scan, op7_simhash_covering, op8_quality_ftrl, op9_minhash, op10_token_counts, minhash_near_duplicates)
 }
 
 ORACLES: dict[str, str] = {"op2_url_reputation": url_reputation.oracle()}

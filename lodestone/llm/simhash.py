@@ -348,27 +348,40 @@ def similar_links(df: DataFrame, classes: DataFrame, id_col: str, text_col: str,
     return reduce(DataFrame.unionByName, [_compared(block_pairs(whole, "root"), width, least), *out])
 
 
-def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """The rows of ``df`` without near copies: of each group of texts linked by similarity, the row with the smallest id stays.
+def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows as ``row`` (all their columns), ``own`` (``id`` and ``text_key``, which texts without a word share) and ``text``.
 
-    Equal texts (nulls count as empty) are one text first. Buckets of MinHash bands over the same word shingles
-    propose classes; inside them, links are the pairs whose sets of ``width``-word shingles have a Jaccard similarity of ``least``
-    or more. Rows without an id are compared like any other, and stay only where their group has no id; of rows that repeat an id and a text one stays.
+    A caller's columns stay in one struct, so that none of them meets the names used here.
     """
-    # a caller's columns stay in one struct, so that none of them meets the names used here
-    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    whole = df.select(F.struct(*df.columns).alias("row"), F.struct(F.col(id_col).cast("long").alias("id"), digest.alias("text_key")).alias("own"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    key = F.when(text.rlike(r"[^\x09-\x0D ]"), F.sha2(text, 256)).otherwise(F.lit(""))
+    return df.select(F.struct(*df.columns).alias("row"), F.struct(F.col(id_col).cast("long").alias("id"), key.alias("text_key")).alias("own"), text.alias("text"))
+
+
+def text_classes(whole: DataFrame, width: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """Per distinct text of ``keyed`` rows: ``text_key``, ``least`` (its smallest id), ``node``, and ``root``, which similar texts share."""
     found = checkpointed(minhash.fingerprints(whole, "own", "text", width).select("own.*", "fingerprint", "bands"))
-    repeats = not found.groupBy("id", "text_key").count().where("count > 1").isEmpty()
     first = found.groupBy("text_key").agg(F.min("id").alias("least"), F.first("fingerprint").alias("fingerprint"), F.first("bands").alias("bands"))
     first = checkpointed(first.withColumn("node", F.monotonically_increasing_id()))
     classes = checkpointed(connected_components(minhash.links(first, least)))
     wanted = first.select("node", "text_key", "least").join(classes.select("node"), "node")
-    same = lambda key, least_: (F.col("own.text_key") == F.col(key)) & F.col("own.id").eqNullSafe(F.col(least_))
-    texts = whole.select("own", "text").join(wanted, same("text_key", "least")).select("node", "text")
-    roots = connected_components(similar_links(texts.dropDuplicates(["node"]) if repeats else texts, classes, "node", "text", width, least))
-    rooted = first.select("node", "text_key", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    texts = whole.select("own", "text").join(wanted, (F.col("own.text_key") == F.col("text_key")) & F.col("own.id").eqNullSafe(F.col("least"))).select("node", "text")
+    if not found.groupBy("id", "text_key").count().where("count > 1").isEmpty():
+        texts = texts.dropDuplicates(["node"])
+    roots = connected_components(similar_links(texts, classes, "node", "text", width, least))
+    return first.select("node", "text_key", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """The rows of ``df`` without near copies: of each group of texts linked by similarity, the row with the smallest id stays.
+
+    Equal texts are one text first, and so are all texts without a word (nulls count as empty). Buckets of MinHash bands over the same word shingles
+    propose classes; inside them, links are the pairs whose sets of ``width``-word shingles have a Jaccard similarity of ``least``
+    or more. Rows without an id are compared like any other, and stay only where their group has no id; of rows that repeat an id and a text one stays.
+    """
+    whole = keyed(df, id_col, text_col)
     order = F.struct(F.col("least").isNull(), "least", "node")
-    stay = checkpointed(rooted.groupBy("root").agg(F.min_by(F.struct("text_key", "least"), order).alias("stay")).select("stay.*"))
-    kept = whole.select("row", "own").join(stay, same("text_key", "least"), "left_semi")
+    stay = checkpointed(text_classes(whole, width, least).groupBy("root").agg(F.min_by(F.struct("text_key", "least"), order).alias("stay")).select("stay.*"))
+    kept = checkpointed(whole.select("row", "own").join(stay, (F.col("own.text_key") == F.col("text_key")) & F.col("own.id").eqNullSafe(F.col("least")), "left_semi"))
+    repeats = kept.count() > stay.count()
     return (kept.dropDuplicates(["own"]) if repeats else kept).select("row.*")

@@ -236,6 +236,45 @@ def test_edits(minhash_rows):
     assert np.mean(error) < 0.05
 
 
+def test_fingerprints_by_definition():
+    """Minima of a * x + b modulo 2**32 over the shingles, one permutation after the other."""
+    import pyarrow as pa
+
+    a, b = minhash._permutations()
+    texts = ["a b c d e f g", "One two", "", "x y z x y z x y z", "日本 words and \t more of them here"]
+    hashes, at = minhash.shingles(pa.array(texts), minhash._Hashes())
+    got = minhash.signatures(hashes, at)
+    for k, t in enumerate(texts):
+        found = word_list(t)
+        own = [int(x) >> 32 for x in hashes[at[k] : at[k + 1]]]
+        assert len(own) == (0 if not found else max(1, len(found) - 4))
+        assert len(set(own)) == len({tuple(found[i : i + 5]) for i in range(len(own))})
+        assert got[k].tolist() == [min(((int(p) * x + int(q)) % 2**32 for x in own), default=2**32 - 1) for p, q in zip(a, b, strict=True)]
+    same = minhash.bytes_of(got)
+    for i in range(len(texts)):
+        for j in range(len(texts)):
+            equal = sum(x == y for x, y in zip(same[i].tolist(), same[j].tolist(), strict=True)) / 128
+            assert minhash.likeness(same[i], same[j]) == pytest.approx(max(0, (equal - 1 / 256) / (255 / 256)))
+
+
+def test_edits_of_hot_ids(spark):
+    """One id, and rows without an id, that hold most rows: in the order of their texts' hashes, over many ranges."""
+    pick = random.Random(5)
+    rows = [(7, f"hot {i} " + "x" * pick.randrange(30)) for i in range(150)] + [(None, f"none {i} " + "y" * pick.randrange(30)) for i in range(120)]
+    rows += [(i, f"own {i} text") for i in range(20)] + [(7, "hot 3 twice")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    signed = lambda t: simhash.signed(xxhash.xxh64_intdigest(t.encode(), 42))
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), signed(r[1])))
+    want = []
+    for (i, t), (_, following) in zip(order, [*order[1:], order[0]], strict=True):
+        third = len(t) // 3
+        want.append((str(i), len(t), hashlib.sha256((t[: len(t) - third] + following[:third]).encode()).hexdigest()))
+    got = minhash.fingerprint_edits(df)
+    assert sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"]) for r in got.collect()) == sorted(want)
+    # the hot id's rows are dealt over several tasks
+    assert got.rdd.glom().map(len).filter(lambda n: n > 20).count() >= 3
+
+
 def test_edits_of_one_and_none(spark):
     one = spark.createDataFrame([(1, "abcdef")], "doc_id long, text string")
     r = minhash.fingerprint_edits(one).collect()
@@ -262,10 +301,14 @@ def test_minhash_shared_passage(spark):
     for i in range(100, 180, 2):
         start = shared + some(7)
         rows += [(i, " ".join(start + some(23))), (i + 1, " ".join(start + some(23)))]
-    rows += [(300, None), (301, " "), (302, rows[100][1])]
-    texts = dict(rows)
+    rows += [(300, None), (301, " "), (302, rows[100][1]), (None, rows[102][1]), (None, "no other like this")]
+    texts = {i: t for i, t in rows if i is not None}
     assert all(0.8 <= jaccard(texts[i], texts[i + 1], 5) < 0.83 and jaccard(texts[0], texts[i], 5) < 0.78 for i in range(100, 180, 2))
-    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, class_id int")
+    found = minhash.near_duplicates(df).collect()
+    got = {r["doc_id"]: r["class_id"] for r in found if r["doc_id"] is not None}
+    assert sorted(str(r["class_id"]) for r in found if r["doc_id"] is None) == ["102", "None"]
+    assert minhash.near_duplicates(df.limit(0)).count() == 0
     assert got == {**{i: i for i in range(100)}, **{i: i - i % 2 for i in range(100, 180)}, 300: 300, 301: 300, 302: 100}
 
 
