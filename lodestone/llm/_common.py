@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.shared import checkpointed, read, ship
 
-__all__ = ["LOWER", "arrow_map", "block_pairs", "blocks", "checkpointed", "crc_of_id", "kept", "mapped", "offsets", "ragged", "raw", "read", "words"]
+__all__ = ["LOWER", "arrow_map", "block_pairs", "blocks", "checkpointed", "crc_of_id", "kept", "mapped", "offsets", "parts_of", "ragged", "raw", "read", "words"]
 
 #: Text that a Python worker holds as one block; long record batches are cut to this.
 BLOCK_BYTES = 4 << 20
@@ -67,6 +67,16 @@ def blocks(batches: Iterator[pa.RecordBatch], text: int, most: int = BLOCK_BYTES
             base, start = int(ends[stop - 1]), stop
 
 
+#: Rows of a group that are one block whatever the group's size.
+ONE_BLOCK = 256
+
+
+def parts_of(rows: str, most: int):
+    """Blocks of a group from its number of rows: a block grows with the group's root, up to ``most``, so that a group spreads over many tasks."""
+    block = F.least(F.lit(most), F.greatest(F.lit(ONE_BLOCK), F.ceil(3 * F.sqrt(F.col(rows)))))
+    return F.greatest(F.lit(1), F.ceil(F.col(rows) / block)).cast("int")
+
+
 def block_pairs(rows: DataFrame, group: str) -> DataFrame:
     """Rows (``node``, a group, its number of ``parts``) dealt into ``parts`` blocks, a copy for each pair of blocks: ``key`` of the pair and ``side`` (0 or 1)."""
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-from lodestone.llm._common import ragged, words
+from lodestone.llm._common import LOWER, ragged, raw, words
 
 #: Byte-level alphabet: printable bytes stand for themselves, the others for code points from 256.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -123,14 +123,14 @@ def byte_chunks(texts: pa.Array, marker: str | None):
     at = split.offsets.to_numpy().astype(np.int64)
     at = at - at[0]
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
-    distinct = pc.binary_join_element_wise(" ", coded.dictionary, "").to_pylist()
+    distinct = pc.binary_join_element_wise(" ", coded.dictionary, "")
     # a text's first chunk has no space before it; a text set aside above is its own first chunk
     starts = [t.as_py() for t in coded.dictionary.take(pa.array(codes[at[:-1]]))] if len(codes) else []
     for i in whole.tolist():
         starts[i] = texts[i].as_py()
     own = {t: len(distinct) + k for k, t in enumerate(dict.fromkeys(starts))}
     codes[at[:-1]] = [own[t] for t in starts]
-    return codes, at, distinct + list(own)
+    return codes, at, pa.concat_arrays([distinct, pa.array(list(own), pa.string())])
 
 
 class CodeBook:
@@ -141,8 +141,7 @@ class CodeBook:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.bytes = 0
+        self.known = pa.array([], pa.string())
         self.lengths = np.zeros(0, dtype=np.int64)
         self.starts = np.zeros(0, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.int32)
@@ -152,36 +151,35 @@ class CodeBook:
         """Keeps the chunks that were looked up again, at most a half of what fits."""
         again = np.flatnonzero(self.hits > 1)
         kept = again[np.argsort(-self.hits[again], kind="stable")][: self.most // 2]
-        chunks = list(self.index)
-        chunks = [chunks[k] for k in kept.tolist()]
+        chunks = self.known.take(pa.array(kept))
         lengths, ids = self.lengths[kept], self.ids[ragged(self.starts[kept], self.lengths[kept])]
         self.clear()
-        if sum(map(len, chunks)) < self.most_bytes // 2:
+        if chunks.nbytes < self.most_bytes // 2:
             self.add(chunks, lengths, ids)
 
-    def add(self, chunks: list[str], lengths: np.ndarray, ids: np.ndarray) -> None:
-        n = len(self.index)
-        self.index.update(zip(chunks, range(n, n + len(chunks)), strict=True))
-        self.bytes += sum(map(len, chunks))
+    def add(self, chunks: pa.Array, lengths: np.ndarray, ids: np.ndarray) -> None:
+        self.known = pa.concat_arrays([self.known, chunks])
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.ids = np.concatenate([self.ids, ids])
         self.hits = np.concatenate([self.hits, np.zeros(len(chunks), dtype=np.int32)])
 
-    def codes(self, chunks: list[str]) -> np.ndarray:
-        """Places of the chunks; they hold until the next call."""
-        if len(self.index) + len(chunks) > self.most or self.bytes > self.most_bytes:
+    def codes(self, chunks: pa.Array) -> np.ndarray:
+        """Places of distinct chunks; they hold until the next call."""
+        if len(self.known) + len(chunks) > self.most or self.known.nbytes > self.most_bytes:
             self.shrink()
-        new = list(dict.fromkeys(c for c in chunks if c not in self.index))
-        if new:
-            self.add(new, *self.encode(new))
-        own = np.fromiter(map(self.index.__getitem__, chunks), dtype=np.int64, count=len(chunks))
+        own = pc.fill_null(pc.index_in(chunks, self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = own < 0
+        if new.any():
+            own[new] = len(self.known) + np.arange(int(new.sum()))
+            fresh = chunks.filter(pa.array(new))
+            self.add(fresh, *self.encode(fresh))
         self.hits[own] += 1
         return own
 
-    def texts(self, codes: np.ndarray, at: np.ndarray, chunks) -> tuple[np.ndarray, np.ndarray]:
+    def texts(self, codes: np.ndarray, at: np.ndarray, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and each text's offsets."""
-        own = self.codes(chunks if isinstance(chunks, list) else chunks.to_pylist())
+        own = self.codes(chunks)
         if not len(codes):
             return np.zeros(0, dtype=np.int32), np.zeros(len(at), dtype=np.int64)
         own = own[codes]
@@ -189,16 +187,44 @@ class CodeBook:
         ends = np.concatenate(([0], np.cumsum(lengths)))
         return self.ids[ragged(self.starts[own], lengths)], ends[at]
 
-    def counts(self, codes: np.ndarray, at: np.ndarray, chunks) -> np.ndarray:
+    def counts(self, codes: np.ndarray, at: np.ndarray, chunks: pa.Array) -> np.ndarray:
         """Ids in each text."""
-        own = self.codes(chunks if isinstance(chunks, list) else chunks.to_pylist())
+        own = self.codes(chunks)
         ends = np.concatenate(([0], np.cumsum(self.lengths[own][codes]))) if len(codes) else np.zeros(1, dtype=np.int64)
         return np.diff(ends[at])
 
 
-def chunk_encoder(vocab: Vocabulary, pieces, encode_pieces):
-    """An ``encode`` of CodeBook: chunks to pre-tokens, distinct pre-tokens to ids by ``encode_pieces``, and together."""
+#: Kinds of ASCII bytes for the word file's pre-tokens: letters, digits, and all others.
+_KIND = np.full(256, 2, dtype=np.uint8)
+_KIND[97:123], _KIND[48:58] = 0, 1
 
+
+def ascii_words(chunks: pa.Array, marker: str | None) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Which chunks are ASCII without an apostrophe or the marker's first character; for these the numbers of their pre-tokens under the word file, and the pre-tokens."""
+    data, at = raw(chunks)
+    odd = (data >= 128) | (data == 39)
+    if marker is not None:
+        odd |= data == marker.encode()[0]
+    plain = np.diff(np.concatenate(([0], np.cumsum(odd)))[at]) == 0
+    lengths = np.diff(at)
+    if not plain.all():
+        data, lengths = data[ragged(at[:-1][plain], lengths[plain])], lengths[plain]
+        at = np.concatenate(([0], np.cumsum(lengths)))
+    data = LOWER[data]
+    kind = _KIND[data]
+    begins = np.ones(len(data), dtype=bool)
+    begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 1)  # each digit by itself
+    begins[at[:-1][lengths > 0]] = True
+    starts = np.append(np.flatnonzero(begins), len(data)).astype(np.int32)
+    pieces = pa.Array.from_buffers(pa.string(), len(starts) - 1, [None, pa.py_buffer(starts.tobytes()), pa.py_buffer(data.tobytes())])
+    return plain, np.diff(np.concatenate(([0], np.cumsum(begins)))[at]), pieces
+
+
+def chunk_encoder(vocab: Vocabulary, pieces, encode_pieces, segment=None):
+    """An ``encode`` of CodeBook: chunks to pre-tokens, distinct pre-tokens to ids by ``encode_pieces``, and together.
+
+    ``segment`` cuts the chunks that it can in arrays; ``pieces`` cuts the others one by one.
+    """
     marker = vocab.marker
 
     def cut(chunk: str) -> list:
@@ -207,20 +233,33 @@ def chunk_encoder(vocab: Vocabulary, pieces, encode_pieces):
             found += [vocab.special[part]] if part in vocab.special else pieces(vocab, part) if part else []
         return found
 
-    def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [pieces(vocab, c) if marker is None or marker not in c else cut(c) for c in chunks]
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+    def encode(chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if segment is None:
+            easy, sizes_easy, flat_easy = np.zeros(len(chunks), dtype=bool), np.zeros(0, dtype=np.int64), pa.array([], pa.string())
+        else:
+            easy, sizes_easy, flat_easy = segment(chunks, marker)
+        coded = flat_easy.dictionary_encode()
+        hard = chunks if segment is None else chunks.filter(pa.array(~easy))
+        found = [pieces(vocab, c) if marker is None or marker not in c else cut(c) for c in hard.to_pylist()]
+        sizes = np.empty(len(chunks), dtype=np.int64)
+        sizes[easy] = sizes_easy
+        sizes[~easy] = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         flat = list(chain.from_iterable(found))
         distinct = dict.fromkeys(flat)
         plain = [p for p in distinct if p.__class__ is str]
-        lengths, ids = encode_pieces(plain)
+        known = pa.concat_arrays([coded.dictionary, pa.array(plain, pa.string())])
+        lengths, ids = encode_pieces(known)
         if len(plain) < len(distinct):  # special tokens: pieces of one id, behind the others
             extra = [p for p in distinct if p.__class__ is int]
             lengths = np.concatenate([lengths, np.ones(len(extra), dtype=np.int64)])
             ids = np.concatenate([ids, np.asarray(extra, dtype=np.int32)])
             plain += extra
-        place = dict(zip(plain, range(len(plain)), strict=True))
-        own = np.fromiter(map(place.__getitem__, flat), dtype=np.int64, count=len(flat))
+        base = len(coded.dictionary)
+        place = dict(zip(plain, range(base, base + len(plain)), strict=True))
+        begin = np.cumsum(sizes) - sizes
+        own = np.empty(int(sizes.sum()), dtype=np.int64)
+        own[ragged(begin[easy], sizes[easy])] = coded.indices.to_numpy(zero_copy_only=False)
+        own[ragged(begin[~easy], sizes[~easy])] = np.fromiter(map(place.__getitem__, flat), dtype=np.int64, count=len(flat))
         starts = np.cumsum(lengths) - lengths
         taken = lengths[own]
         total = np.concatenate(([0], np.cumsum(taken)))

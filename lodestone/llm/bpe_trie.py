@@ -105,9 +105,9 @@ class TrieEncoder:
             self.ending[got] = tuple((self.by_bytes[text[k:]], len(text) - k) for k in range(len(text)) if text[k:] in self.by_bytes)
         return got
 
-    def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Lengths and ids of the pieces, in their order."""
-        texts = [p.encode() for p in pieces]
+        texts = pieces.cast(pa.binary()).to_pylist()
         moves, ending, memo = self.moves, self.ending, self.memo
         # along the path to the current node: last token, its length, state of the automaton
         last, size, at = [-1], [0], [0]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import LOWER, arrow_map, block_pairs, blocks, checkpointed, kept, mapped, raw, words
+from lodestone.llm._common import LOWER, arrow_map, block_pairs, blocks, checkpointed, kept, mapped, parts_of, raw, words
 from lodestone.llm.components import connected_components, contract
 
 SHINGLE = 5
@@ -37,7 +37,7 @@ LEAST = 0.8
 BANDS = 32
 #: What the likeness of a bucket's texts may fall short of their similarity: at LEAST more has a chance under 1e-12.
 SLACK = 0.3
-#: Distinct texts of a bucket that one task compares with as many others at once.
+#: Distinct texts of a bucket that one task compares with as many others at once, at most.
 MOST = 2000
 
 
@@ -262,8 +262,8 @@ def forest(prints: np.ndarray, maybe: float) -> list[tuple[int, int]]:
 def links(prints: DataFrame, least: float = LEAST) -> DataFrame:
     """Candidate links (``a``, ``b``) among rows (``node`` long, ``fingerprint``, ``bands``), one for each distinct text.
 
-    Texts of one bucket whose likeness is within SLACK of ``least`` end up connected, whatever else the bucket holds. A bucket
-    of more than MOST texts is dealt into blocks, and each pair of its blocks is a task's work.
+    Texts of one bucket whose likeness is within SLACK of ``least`` end up connected, whatever else the bucket holds. A large bucket
+    is dealt into blocks of up to MOST texts, and each pair of its blocks is a task's work.
     """
 
     def search(batches):
@@ -307,7 +307,7 @@ def links(prints: DataFrame, least: float = LEAST) -> DataFrame:
     prints = checkpointed(prints.where("bands is not null"))
     bands = prints.select("node", F.explode("bands").alias("bucket"))
     shared = bands.join(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket")
-    dealt = block_pairs(shared.withColumn("parts", F.ceil(F.col("n") / MOST)), "bucket").select("node", "key")
+    dealt = block_pairs(shared.withColumn("parts", parts_of("n", MOST)), "bucket").select("node", "key")
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = dealt.join(prints.select("node", "fingerprint"), "node").repartition(n, "key").sortWithinPartitions("key", "node")
     return arrow_map(dealt, ["key", "node", "fingerprint"], search, "a long, b long")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import minhash
-from lodestone.llm._common import arrow_map, block_pairs, blocks, checkpointed, ragged
+from lodestone.llm._common import arrow_map, block_pairs, blocks, checkpointed, parts_of, ragged
 from lodestone.llm.components import connected_components, contract
 
 RADIUS = 3
@@ -194,8 +194,6 @@ SHINGLE = 5
 LEAST = 0.8
 #: Documents and characters that one task compares with as many others at once, at most.
 BLOCK_ROWS, BLOCK_CHARS = 1000, 4_000_000
-#: Classes of up to so many documents are one block; beyond, blocks grow with the root of the class, so that it spreads over many tasks.
-ONE_BLOCK = 256
 #: Times that a class beyond one block is held against one of its documents before its blocks are compared.
 PIVOTS = 4
 
@@ -232,8 +230,7 @@ def similar(sets: list[np.ndarray], least: float, sides: list[int]) -> list[tupl
 
 def _parts(rows: str, chars: str):
     """Blocks of a class from its numbers of rows and characters."""
-    block = F.least(F.lit(BLOCK_ROWS), F.greatest(F.lit(ONE_BLOCK), F.ceil(3 * F.sqrt(F.col(rows)))))
-    return F.greatest(F.lit(1), F.ceil(F.col(rows) / block), F.ceil(F.col(chars) / BLOCK_CHARS)).cast("int")
+    return F.greatest(parts_of(rows, BLOCK_ROWS), F.ceil(F.col(chars) / BLOCK_CHARS)).cast("int")
 
 
 def _sized(rows: DataFrame) -> DataFrame:
@@ -310,7 +307,7 @@ def _held_against(rows: DataFrame, width: int, least: float) -> DataFrame:
 
 
 def _across(held: DataFrame) -> DataFrame:
-    """Rows similar to a pivot beside those that may be similar to such a row, for ``_compared``: each pair of their blocks is a key."""
+    """Rows similar to a pivot (side 1) beside those that may be similar to such a row (side 0), for ``_compared``: each pair of their blocks is a key."""
     of = lambda like, name: held.where(F.col("like") == like).groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).select("root", _parts("n", "chars").alias(name))
     sizes = of(2, "near").join(of(1, "ring"), "root")
     rows = held.where(F.col("like") > 0).join(sizes, "root").withColumn("side", F.col("like") - 1)
@@ -318,7 +315,7 @@ def _across(held: DataFrame) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 1, F.col("ring")).otherwise(F.col("near")) - 1))
     rows = rows.withColumn("own", own).withColumn("other", other)
     low, high = F.when(F.col("side") == 1, F.col("own")).otherwise(F.col("other")), F.when(F.col("side") == 1, F.col("other")).otherwise(F.col("own"))
-    return rows.select(F.xxhash64("pivot", low, high).alias("key"), "node", "side", "text")
+    return rows.select(F.xxhash64(F.lit("across"), "pivot", low, high).alias("key"), "node", "side", "text")
 
 
 def similar_links(df: DataFrame, classes: DataFrame, id_col: str, text_col: str, width: int = SHINGLE, least: float = LEAST) -> DataFrame:
@@ -331,21 +328,22 @@ def similar_links(df: DataFrame, classes: DataFrame, id_col: str, text_col: str,
     """
     rows = df.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).join(classes, "node")
     rows = checkpointed(_sized(rows))
-    out, ready = [], [rows.where("parts = 1")]
+    found, dealt, ready = [], [], [rows.where("parts = 1")]
     for _ in range(PIVOTS):
         rows = rows.where("parts > 1")
         if rows.isEmpty():
             break
         held = checkpointed(_held_against(rows, width, least))
-        out.append(held.where("like = 2").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-        out.append(_compared(_across(held), width, least))
+        found.append(held.where("like = 2").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+        dealt.append(_across(held))
         rows = checkpointed(_sized(held.where("like in (0, 1)").select("node", "text", "root")))
         ready.append(rows.where("parts = 1"))
     else:
         ready.append(rows.where("parts > 1"))
-    # a class has one part in one pass only, or is left over after the last
+    # a class has one part after one pass only, or is left over after the last
     whole = reduce(DataFrame.unionByName, (r.select("node", "text", "root", "parts") for r in ready))
-    return reduce(DataFrame.unionByName, [_compared(block_pairs(whole, "root"), width, least), *out])
+    dealt.append(block_pairs(whole, "root").select("key", "node", "side", "text"))
+    return reduce(DataFrame.unionByName, [_compared(reduce(DataFrame.unionByName, dealt), width, least), *found])
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

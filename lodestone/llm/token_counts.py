@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lodestone.llm import _vocab
-from lodestone.llm._common import arrow_map, blocks, kept, offsets
+from lodestone.llm._common import arrow_map, blocks, kept, offsets, raw
 
 NONE = np.int32(2**31 - 1)
 
@@ -49,16 +49,15 @@ class RankMerger:
         at[at == len(self.keys)] = 0
         return np.where(self.keys[at] == wanted, self.ranks[at], NONE)
 
-    def symbols(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        texts = [p.encode() for p in pieces]
-        lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-        data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    def symbols(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        data, at = raw(pieces)
+        lengths = np.diff(at).astype(np.int64)
         out = self.byte[data]
         ends = np.cumsum(lengths)[lengths > 0] - 1
         out[ends] = self.last[data[ends]]
         return lengths, out
 
-    def rounds(self, pieces: list[str]):
+    def rounds(self, pieces: pa.Array):
         """Yields (sequence numbers, lengths, symbols) of the sequences that each round finishes."""
         lengths, sym = self.symbols(pieces)
         seq = np.flatnonzero(lengths)
@@ -95,14 +94,14 @@ class RankMerger:
                 rank[at] = self.rank(sym[at], sym[np.minimum(at + 1, len(sym) - 1)])
             rank[ends] = NONE
 
-    def counts(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def counts(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Surviving symbols of each piece; no ids."""
         out = np.zeros(len(pieces), dtype=np.int64)
         for seq, lengths, _ in self.rounds(pieces):
             out[seq] = lengths
         return out
 
-    def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Lengths and ids of the pieces."""
         lengths, found = np.zeros(len(pieces), dtype=np.int64), []
         for seq, own, sym in self.rounds(pieces):
@@ -120,7 +119,7 @@ def word_book(name: str) -> _vocab.CodeBook:
 
     def make() -> _vocab.CodeBook:
         vocab = _vocab.vocabulary(name)
-        return _vocab.CodeBook(_vocab.chunk_encoder(vocab, _vocab.word_pieces, RankMerger(vocab).encode))
+        return _vocab.CodeBook(_vocab.chunk_encoder(vocab, _vocab.word_pieces, RankMerger(vocab).encode, _vocab.ascii_words))
 
     return kept(f"ids {name}", make)
 
@@ -132,11 +131,11 @@ def count_book(name: str) -> _vocab.CodeBook:
         vocab = _vocab.vocabulary(name)
         merger = RankMerger(vocab)
 
-        def count(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        def count(pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             lengths = merger.counts(pieces)
             return lengths, np.zeros(int(lengths.sum()), dtype=np.int32)
 
-        return _vocab.CodeBook(_vocab.chunk_encoder(vocab, _vocab.word_pieces, count))
+        return _vocab.CodeBook(_vocab.chunk_encoder(vocab, _vocab.word_pieces, count, _vocab.ascii_words))
 
     return kept(f"counts {name}", make)
 

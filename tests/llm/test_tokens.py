@@ -86,7 +86,7 @@ def test_counts(texts):
 def test_cache_overflow_changes_nothing():
     vocab = _vocab.vocabulary("word_bpe_49k.json")
     merger = token_counts.RankMerger(vocab)
-    book = _vocab.CodeBook(_vocab.chunk_encoder(vocab, _vocab.word_pieces, merger.encode), most=50)
+    book = _vocab.CodeBook(_vocab.chunk_encoder(vocab, _vocab.word_pieces, merger.encode, _vocab.ascii_words), most=50)
     import pyarrow as pa
 
     pick = random.Random(9)
