@@ -2,6 +2,9 @@
 
 The metric names follow the stored models: neighbours are always ranked by the squared distance;
 ``squared_euclidean`` averages the distances, ``euclidean`` averages the squared ones.
+
+A null vector is no vector: operators leave such rows out before they come here (a query without a vector has no
+neighbours, a bank row without one is nobody's neighbour), and the kernels refuse nulls.
 """
 
 from __future__ import annotations
@@ -35,6 +38,45 @@ def squared_matrix(queries: np.ndarray, bank: np.ndarray, most: int = 4_000_000)
     return out
 
 
+class Bank:
+    """Vectors (their ids ascending) that queries are held against."""
+
+    #: Distances of a slab.
+    MOST = 4_000_000
+
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray):
+        self.vectors, self.ids = np.ascontiguousarray(vectors, dtype=np.float64), ids
+        self.norms = np.einsum("ij,ij->i", self.vectors, self.vectors)
+        self.largest = float(self.norms.max(initial=0.0))
+
+    def nearest(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Each query's k nearest (fewer in a small bank): squared distances and ids, nearest first, at equal distance the lower id.
+
+        Norms and one matrix product leave the vectors that may be among the k nearest, whatever rounding did; their
+        distances are then taken by differences, which are exact near 0.
+        """
+        queries = np.ascontiguousarray(queries, dtype=np.float64)
+        n, k = len(queries), min(k, len(self.ids))
+        near, ids = np.empty((n, k)), np.empty((n, k), dtype=np.int64)
+        step = max(1, self.MOST // max(1, len(self.ids)))
+        for at in range(0, n if k else 0, step):
+            own = queries[at : at + step]
+            norms = np.einsum("ij,ij->i", own, own)
+            rough = own @ self.vectors.T
+            rough *= -2
+            rough += norms[:, None]
+            rough += self.norms
+            bound = np.partition(rough, k - 1, axis=1)[:, k - 1] + 1e-12 * (own.shape[1] + 4) * (norms + self.largest)
+            row, column = np.nonzero(rough <= bound[:, None])
+            d = own[row] - self.vectors[column]
+            d2 = np.einsum("ij,ij->i", d, d)
+            order = np.lexsort((column, d2, row))
+            first = np.searchsorted(row, np.arange(len(own)))  # rows ascend, so an order within rows keeps their places
+            take = order[(first[:, None] + np.arange(k)).reshape(-1)]
+            near[at : at + step], ids[at : at + step] = d2[take].reshape(-1, k), self.ids[column[take]].reshape(-1, k)
+        return near, ids
+
+
 def top_k(squared: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Each row's k smallest and their ids, nearest first, at equal distance the lower id. ``ids`` ascend."""
     k = min(k, squared.shape[1])
@@ -49,7 +91,9 @@ def top_k(squared: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.
 
 
 def matrix(column, width: int | None = None) -> np.ndarray:
-    """An Arrow list column of equal lengths as a matrix."""
+    """An Arrow list column of equal lengths, without nulls, as a matrix."""
+    if column.null_count:
+        raise ValueError("null vectors have no distances")
     flat = column.flatten().to_numpy(zero_copy_only=False)
     n = len(column)
     if n and len(flat) % n:

@@ -3,9 +3,13 @@
 The first member is the row with the least seeded order; each next one is the row farthest from all
 members, the lowest id at equal distance. The result keeps the order of selection.
 
-Each pick depends on the one before. A bank within ONE_TASK_BYTES is sampled by one task in numpy; a larger one by a distributed
-loop whose step is one pass: the new member (one vector) is sent out, minima are relaxed where the rows are, and the
-partitions' farthest rows come back, one per partition.
+Each pick depends on the one before. A bank within ONE_TASK_BYTES is sampled by one task in numpy. A larger one is sampled in passes
+over the rows: the members found since the last pass are sent out, minima are relaxed where the rows are, and the CANDIDATES rows
+with the greatest minima come to the driver. Minima only fall, so no other row can be farther than the first one left
+out: as long as the farthest candidate is beyond it, the driver picks on among the candidates exactly as a pass over
+all rows would. A pass thus gives many members; the work stays that of the greedy method, members times rows.
+
+Rows without a vector are no members.
 """
 
 from __future__ import annotations
@@ -17,14 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.vectors import matrix, squared_l2
-from lodestone.operators.knn import bank_bytes
+from lodestone.functions.vectors import matrix
+from lodestone.operators.knn import bank_bytes, collected, with_vector
 from lodestone.operators.split import seeded
-from lodestone.shared import checkpointed
+from lodestone.shared import checkpointed, ship
 
 ONE_TASK_BYTES = 256 << 20
-#: Steps of the distributed loop between checkpoints.
-STEPS = 20
+#: Rows that a pass brings to the driver.
+CANDIDATES = 512
+#: Members that the driver holds before it hands them over.
+PART = 5000
 
 
 def target(n: int, ratio: float) -> int:
@@ -32,21 +38,25 @@ def target(n: int, ratio: float) -> int:
     return min(n, max(1, round(n * ratio)))
 
 
+def squared_from(vectors: np.ndarray, center: np.ndarray) -> np.ndarray:
+    return ((vectors - center) ** 2).sum(axis=1)
+
+
 def farthest_first(vectors: np.ndarray, first: int, m: int) -> list[int]:
     """Places of the members in order of selection."""
     vectors = vectors.astype(np.float64)
     chosen = [first]
-    nearest = ((vectors - vectors[first]) ** 2).sum(axis=1)
+    nearest = squared_from(vectors, vectors[first])
     while len(chosen) < m:
         at = int(np.argmax(nearest))
         chosen.append(at)
-        np.minimum(nearest, ((vectors - vectors[at]) ** 2).sum(axis=1), out=nearest)
+        np.minimum(nearest, squared_from(vectors, vectors[at]), out=nearest)
     return chosen
 
 
 def sample(bank: DataFrame, ratio: float, seed: int = 0, id_col: str = "bank_id", vector: str = "emb", limit: int = ONE_TASK_BYTES) -> DataFrame:
     """The members: ``pick`` from 0 in order of selection, the id and the vector. All rows, in id order, if the target is no fewer."""
-    rows = bank.select(F.col(id_col).cast("long").alias(id_col), vector)
+    rows = with_vector(bank, vector).select(F.col(id_col).cast("long").alias(id_col), vector)
     n = rows.count()
     m = target(n, ratio)
     kind = bank.schema[vector].dataType.simpleString()
@@ -72,24 +82,45 @@ def sample(bank: DataFrame, ratio: float, seed: int = 0, id_col: str = "bank_id"
     return _distributed(rows, first, m, id_col, vector)
 
 
+def _relaxed(state: DataFrame, centers: np.ndarray, id_col: str, vector: str) -> DataFrame:
+    """The state (id, vector, ``near``) with ``near`` no greater than the squared distance from any of the new members."""
+    shared = state.sparkSession.sparkContext.broadcast(centers)  # CANDIDATES at most
+
+    def run(batches):
+        for batch in batches:
+            near = batch.column(2).to_numpy().copy()
+            if len(near):
+                own = matrix(batch.column(1)).astype(np.float64)
+                for c in shared.value:
+                    np.minimum(near, squared_from(own, c), out=near)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near)], names=[id_col, vector, "near"])
+
+    return state.mapInArrow(run, state.schema)
+
+
 def _distributed(rows: DataFrame, first: int, m: int, id_col: str, vector: str) -> DataFrame:
     spark = rows.sparkSession
-    at = rows.where(F.col(id_col) == first).select(id_col, vector).first()
-    picks, written = [(0, at[0], at[1])], None
-    state = checkpointed(rows.withColumn("near", F.lit(math.inf)))
+    ship(spark)
     schema = f"pick int, {id_col} long, {vector} {rows.schema[vector].dataType.simpleString()}"
-    for k in range(1, m):
-        center = F.array(*(F.lit(float(x)) for x in at[1]))
-        state = state.withColumn("near", F.least("near", squared_l2(F.col(vector), center)))
-        best = state.agg(F.max_by(F.struct(id_col, vector), F.struct("near", -F.col(id_col))).alias("b")).first()["b"]
-        at = (best[0], best[1])
-        picks.append((k, *at))
-        if k % STEPS == 0:  # cut the lineage; hand the picks over
-            state = checkpointed(state)
+    _, fresh = collected(rows.where(F.col(id_col) == first), id_col, vector)
+    picks, written, done = [(0, first, fresh[0].tolist())], None, 1
+    state = rows.withColumn("near", F.lit(math.inf))
+    while done < m:
+        state = checkpointed(_relaxed(state, fresh, id_col, vector))
+        top = state.orderBy(F.desc("near"), id_col).limit(CANDIDATES + 1).select(id_col, "near").collect()
+        bound = top[CANDIDATES]["near"] if len(top) > CANDIDATES else -1.0
+        near = {r[id_col]: r["near"] for r in top[:CANDIDATES]}
+        ids, vectors = collected(state.where(F.col(id_col).isin(list(near))), id_col, vector)
+        left = np.array([near[i] for i in ids.tolist()])
+        members = []
+        while done < m and (not members or left.max() > bound):
+            at = int(np.argmax(left))  # ids ascend, so the lowest of equals
+            members.append(at)
+            picks.append((done, int(ids[at]), vectors[at].tolist()))
+            np.minimum(left, squared_from(vectors, vectors[at]), out=left)
+            done += 1
+        fresh = vectors[members]
+        if len(picks) >= PART or done == m:
             part = checkpointed(spark.createDataFrame(picks, schema))
-            written = part if written is None else written.unionByName(part)
-            picks = []
-    if picks:
-        part = spark.createDataFrame(picks, schema)
-        written = part if written is None else written.unionByName(part)
-    return written
+            written, picks = part if written is None else written.unionByName(part), []
+    return written if written is not None else spark.createDataFrame(picks, schema)

@@ -1,8 +1,10 @@
 """Inverted-file index over a bank, and the approximate neighbour join that probes it.
 
 Training is Lloyd's iteration: centroids (as many as configured) are broadcast, each partition gives its clusters' sums,
-and the driver only sees one row per cluster. Rows keep the cluster of the last assignment, which precedes the
-last update of the centroids; probing uses the updated centroids.
+and the driver only sees one row per cluster. A bank within BROADCAST_BYTES is read once and trained on the driver in the same steps.
+Rows keep the cluster of the last assignment, which precedes the last update of the centroids; probing uses the updated centroids.
+
+Rows without a vector are in no cluster, and a query without one has no neighbours.
 """
 
 from __future__ import annotations
@@ -12,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.vectors import matrix, squared_matrix, top_k
-from lodestone.operators.knn import BROADCAST_BYTES, bank_bytes, blocked, collected, merged, nearest
+from lodestone.functions.vectors import Bank, matrix, squared_matrix, top_k
+from lodestone.operators.knn import BROADCAST_BYTES, bank_bytes, blocked, collected, merged, nearest, records, with_vector
 from lodestone.operators.split import seeded
 from lodestone.shared import checkpointed, ship
 
@@ -26,6 +28,17 @@ def effective_clusters(configured: int, n: int) -> int:
     return max(2, min(configured, max(2, n)))
 
 
+def _own(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The nearest centroid of each vector; at equal distance the lower one."""
+    return np.argmin(squared_matrix(vectors, centroids), axis=1).astype(np.int32)
+
+
+def _sums(vectors: np.ndarray, own: np.ndarray, clusters: int) -> tuple[np.ndarray, np.ndarray]:
+    total = np.zeros((clusters, vectors.shape[1]))
+    np.add.at(total, own, vectors.astype(np.float64))
+    return total, np.bincount(own, minlength=clusters)
+
+
 def assigned(bank: DataFrame, centroids: np.ndarray, id_col: str = "bank_id", vector: str = "emb") -> DataFrame:
     """The bank with ``cluster_id``, its nearest centroid; at equal distance the lower one."""
     ship(bank.sparkSession)
@@ -34,11 +47,10 @@ def assigned(bank: DataFrame, centroids: np.ndarray, id_col: str = "bank_id", ve
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                near = np.argmin(squared_matrix(matrix(batch.column(1)), shared.value), axis=1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near)], names=[id_col, vector, "cluster_id"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_own(matrix(batch.column(1)), shared.value))], names=[id_col, vector, "cluster_id"])
 
     kind = bank.schema[vector].dataType.simpleString()
-    return bank.select(F.col(id_col).cast("long").alias(id_col), vector).mapInArrow(run, f"{id_col} long, {vector} {kind}, cluster_id int")
+    return with_vector(bank, vector).select(F.col(id_col).cast("long").alias(id_col), vector).mapInArrow(run, f"{id_col} long, {vector} {kind}, cluster_id int")
 
 
 def means(rows: DataFrame, centroids: np.ndarray, vector: str = "emb") -> np.ndarray:
@@ -48,9 +60,8 @@ def means(rows: DataFrame, centroids: np.ndarray, vector: str = "emb") -> np.nda
         total, count = np.zeros(centroids.shape), np.zeros(len(centroids), dtype=np.int64)
         for batch in batches:
             if batch.num_rows:
-                own = batch.column(1).to_numpy()
-                np.add.at(total, own, matrix(batch.column(0)).astype(np.float64))
-                count += np.bincount(own, minlength=len(count))
+                more = _sums(matrix(batch.column(0)), batch.column(1).to_numpy(), len(centroids))
+                total, count = total + more[0], count + more[1]
         used = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used].tolist(), pa.list_(pa.float64())), pa.array(count[used])], names=["cluster_id", "total", "n"])
 
@@ -62,18 +73,25 @@ def means(rows: DataFrame, centroids: np.ndarray, vector: str = "emb") -> np.nda
     return out
 
 
-def build(bank: DataFrame, clusters: int = 32, seed: int = 0, iterations: int = ITERATIONS, id_col: str = "bank_id", vector: str = "emb") -> tuple[DataFrame, np.ndarray]:
+def build(bank: DataFrame, clusters: int = 32, seed: int = 0, iterations: int = ITERATIONS, id_col: str = "bank_id", vector: str = "emb", limit: int = BROADCAST_BYTES) -> tuple[DataFrame, np.ndarray]:
     """The bank with its cluster of the last assignment, and the centroids after the last update. The first centroids are seeded distinct rows."""
+    bank = checkpointed(with_vector(bank, vector).select(F.col(id_col).cast("long").alias(id_col), vector))  # read once
     n = bank.count()
     if not n:
         raise ValueError("an empty bank has no index")
     first = bank.orderBy(seeded(seed, F.col(id_col)), id_col).limit(effective_clusters(clusters, n)).select(vector).collect()
-    centroids = np.array([r[0] for r in first], dtype=np.float64)
-    rows = None
-    for _ in range(iterations):
-        rows = assigned(bank, centroids, id_col, vector)
-        centroids_after = means(rows, centroids, vector)
-        last, centroids = centroids, centroids_after
+    centroids = last = np.array([r[0] for r in first], dtype=np.float64)
+    if bank_bytes(bank, vector) <= limit:
+        _, vectors = collected(bank, id_col, vector)
+        for _ in range(iterations):
+            last = centroids
+            total, count = _sums(vectors, _own(vectors, last), len(last))
+            used = count > 0
+            centroids = last.copy()
+            centroids[used] = np.round(total[used] / count[used][:, None], DECIMALS)
+    else:
+        for _ in range(iterations):
+            last, centroids = centroids, means(assigned(bank, centroids, id_col, vector), centroids, vector)
     return assigned(bank, last, id_col, vector), centroids
 
 
@@ -90,7 +108,42 @@ def probes(queries: DataFrame, keys: list[str], centroids: np.ndarray, n: int, v
                 yield pa.RecordBatch.from_arrays([*(batch.column(j).take(rows) for j in range(batch.num_columns)), pa.array(np.tile(np.arange(1, ids.shape[1] + 1, dtype=np.int32), batch.num_rows)), pa.array(ids.reshape(-1).astype(np.int32))], names=[*keys, vector, "probe", "cluster_id"])
 
     kinds = ", ".join(f"{c} {queries.schema[c].dataType.simpleString()}" for c in [*keys, vector])
-    return queries.select(*keys, vector).mapInArrow(run, f"{kinds}, probe int, cluster_id int")
+    return with_vector(queries, vector).select(*keys, vector).mapInArrow(run, f"{kinds}, probe int, cluster_id int")
+
+
+class Cells:
+    """A bank by clusters, for queries that probe some of them."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, owner: np.ndarray, centroids: np.ndarray):
+        self.centroids = centroids
+        self.cells = [Bank(vectors[owner == c], ids[owner == c]) for c in range(len(centroids))]
+        self.sizes = np.array([len(c.ids) for c in self.cells])
+        self.whole = Bank(vectors, ids)
+
+    def nearest(self, queries: np.ndarray, k: int, n_probes: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(queries' numbers, distances, ids) of all queries: only the probed clusters' vectors are looked at, and the whole bank's for queries with under k there."""
+        _, probed = top_k(squared_matrix(queries, self.centroids), np.arange(len(self.centroids)), n_probes)
+        enough = self.sizes[probed].sum(axis=1) >= k
+        out = []
+        few = np.flatnonzero(~enough)
+        if len(few):
+            out.append((few, *self.whole.nearest(queries[few], k)))
+        some = np.flatnonzero(enough)
+        if not len(some):
+            return out
+        own, near, ids = [], [], []
+        for c in np.unique(probed[some]).tolist():
+            asking = some[(probed[some] == c).any(axis=1)]
+            d2, found = self.cells[c].nearest(queries[asking], k)
+            own.append(np.repeat(asking, d2.shape[1]))
+            near.append(d2.reshape(-1))
+            ids.append(found.reshape(-1))
+        own, near, ids = (np.concatenate(x) for x in (own, near, ids))
+        order = np.lexsort((ids, near, own))
+        starts = np.searchsorted(own[order], some)
+        take = order[(starts[:, None] + np.arange(k)).reshape(-1)]
+        out.append((some, near[take].reshape(-1, k), ids[take].reshape(-1, k)))
+        return out
 
 
 def nearest_probed(queries: DataFrame, keys: list[str], indexed: DataFrame, centroids: np.ndarray, k: int, n_probes: int = 4, id_col: str = "bank_id", vector: str = "emb", limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -98,29 +151,18 @@ def nearest_probed(queries: DataFrame, keys: list[str], indexed: DataFrame, cent
     n_probes = max(1, min(n_probes, len(centroids)))
     spark = queries.sparkSession
     ship(spark)
+    queries, indexed = with_vector(queries, vector), with_vector(indexed, vector)
     if bank_bytes(indexed, vector) <= limit:
-        clusters = indexed.select(F.col(id_col).cast("long").alias(id_col), "cluster_id")
-        ids, rows = collected(indexed, id_col, vector)
-        owner = clusters.toArrow().combine_chunks().sort_by(id_col).column("cluster_id").to_numpy()
-        shared = spark.sparkContext.broadcast((ids, rows, owner, centroids))
+        shared = spark.sparkContext.broadcast((*collected(indexed, id_col, vector, ("cluster_id",)), centroids))
         names = [*keys, "rank", id_col, "d2"]
 
         def run(batches):
-            ids, rows, owner, centroids = shared.value
+            cells = Cells(*shared.value)
             for whole in batches:
-                for i in range(0, whole.num_rows, 512):
-                    batch = whole.slice(i, 512)
-                    own = matrix(batch.column(batch.num_columns - 1), rows.shape[1])
-                    _, probed = top_k(squared_matrix(own, centroids), np.arange(len(centroids)), n_probes)
-                    distance = squared_matrix(own, rows)
-                    open_ = np.zeros((len(own), len(centroids)), dtype=bool)
-                    np.put_along_axis(open_, probed, True, axis=1)
-                    seen = open_[:, owner]
-                    seen[seen.sum(axis=1) < k] = True  # too few: the whole bank
-                    near, near_ids = top_k(np.where(seen, distance, np.inf), ids, k)
-                    n, kk = near.shape
-                    take = pa.array(np.repeat(np.arange(n), kk))
-                    yield pa.RecordBatch.from_arrays([*(batch.column(j).take(take) for j in range(batch.num_columns - 1)), pa.array(np.tile(np.arange(1, kk + 1, dtype=np.int32), n)), pa.array(near_ids.reshape(-1)), pa.array(near.reshape(-1))], names=names)
+                for i in range(0, whole.num_rows if len(cells.whole.ids) else 0, 2048):
+                    batch = whole.slice(i, 2048)
+                    for own, near, ids in cells.nearest(matrix(batch.column(batch.num_columns - 1)), k, n_probes):
+                        yield records(batch.take(pa.array(own)), near, ids, names)
 
         kinds = ", ".join(f"{c} {queries.schema[c].dataType.simpleString()}" for c in keys)
         return queries.select(*keys, vector).mapInArrow(run, f"{kinds}, rank int, {id_col} long, d2 double")

@@ -3,6 +3,8 @@
 A bank whose vectors are within BROADCAST_BYTES goes to every worker, and queries never move. A larger
 bank is cut into blocks of rows, queries into parts, and every (part, block) pair is one bounded task; each gives k
 neighbours for each of its queries, which a window merges. In both ways distances are numpy differences in double.
+
+A query without a vector has no neighbours, and a bank row without one is nobody's neighbour.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.vectors import average_of, matrix, squared_matrix, top_k
+from lodestone.functions.vectors import Bank, average_of, matrix
 from lodestone.shared import ship
 
 BROADCAST_BYTES = 64 << 20
@@ -20,25 +22,32 @@ BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS, PART_ROWS = 50_000, 20_000
 
 
-def _kernel(bank: np.ndarray, ids: np.ndarray, k: int, names: list[str], most: int = 512):
+def records(batch: pa.RecordBatch, near: np.ndarray, ids: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    """A row for each query (the batch's columns but the last) and neighbour: keys, rank, id and squared distance."""
+    n, k = near.shape
+    keys = [batch.column(j).take(pa.array(np.repeat(np.arange(n), k))) for j in range(batch.num_columns - 1)]
+    return pa.RecordBatch.from_arrays([*keys, pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), n)), pa.array(ids.reshape(-1)), pa.array(near.reshape(-1))], names=names)
+
+
+def _kernel(bank: Bank, k: int, names: list[str], most: int = 2048):
     def rows(batch):
-        queries = matrix(batch.column(batch.num_columns - 1), bank.shape[1])
-        for i in range(0, batch.num_rows, most):
-            part = batch.slice(i, most)
-            near, near_ids = top_k(squared_matrix(queries[i : i + most], bank), ids, k) if len(ids) else (np.empty((part.num_rows, 0)), np.empty((part.num_rows, 0), dtype=np.int64))
-            n, kk = near.shape
-            keys = [part.column(j).take(pa.array(np.repeat(np.arange(n), kk))) for j in range(part.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(np.tile(np.arange(1, kk + 1, dtype=np.int32), n)), pa.array(near_ids.reshape(-1)), pa.array(near.reshape(-1))], names=names)
+        queries = matrix(batch.column(batch.num_columns - 1), bank.vectors.shape[1])
+        for i in range(0, batch.num_rows if len(bank.ids) else 0, most):
+            yield records(batch.slice(i, most), *bank.nearest(queries[i : i + most], k), names)
 
     return rows
 
 
-def collected(bank: DataFrame, id_col: str = "bank_id", vector: str = "emb") -> tuple[np.ndarray, np.ndarray]:
-    """A bank known to be small, sorted by id, on the driver."""
-    table = bank.select(F.col(id_col).cast("long").alias("id"), vector).toArrow().combine_chunks().sort_by("id")
+def with_vector(rows: DataFrame, vector: str) -> DataFrame:
+    return rows.where(F.col(vector).isNotNull())
+
+
+def collected(bank: DataFrame, id_col: str = "bank_id", vector: str = "emb", more: tuple[str, ...] = ()) -> tuple[np.ndarray, ...]:
+    """A bank known to be small, sorted by id, on the driver: ids, vectors and further columns."""
+    table = bank.select(F.col(id_col).cast("long").alias("id"), vector, *more).toArrow().combine_chunks().sort_by("id")
     flat = table.column(1).combine_chunks()
     flat = flat if isinstance(flat, pa.Array) else pa.concat_arrays(flat.chunks)
-    return table.column(0).to_numpy(), matrix(flat).astype(np.float64)
+    return (table.column(0).to_numpy(), matrix(flat).astype(np.float64), *(table.column(2 + k).to_numpy() for k in range(len(more))))
 
 
 def bank_bytes(bank: DataFrame, vector: str = "emb") -> int:
@@ -52,6 +61,7 @@ def nearest(queries: DataFrame, keys: list[str], bank: DataFrame, k: int, id_col
     """
     spark = queries.sparkSession
     ship(spark)
+    queries, bank = with_vector(queries, vector), with_vector(bank, vector)
     kinds = ", ".join(f"{c} {queries.schema[c].dataType.simpleString()}" for c in keys)
     names = [*keys, "rank", id_col, "d2"]
     schema = f"{kinds}, rank int, {id_col} long, d2 double"
@@ -60,7 +70,7 @@ def nearest(queries: DataFrame, keys: list[str], bank: DataFrame, k: int, id_col
 
         def run(batches):
             ids, rows = shared.value
-            kernel = _kernel(rows, ids, k, names)
+            kernel = _kernel(Bank(rows, ids), k, names)
             for batch in batches:
                 yield from kernel(batch)
 
@@ -71,6 +81,7 @@ def nearest(queries: DataFrame, keys: list[str], bank: DataFrame, k: int, id_col
 
 def blocked(queries: DataFrame, keys: list[str], bank: DataFrame, k: int, id_col: str, vector: str, block_rows: int = BLOCK_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
     """Neighbours among rows of the same ``cell``: each (cell, part of queries, block of bank) is one task of bounded size."""
+    queries, bank = with_vector(queries, vector), with_vector(bank, vector)
     parts = queries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("parts"))
     sizes = bank.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
     shape = parts.join(sizes, "cell")
@@ -83,7 +94,7 @@ def blocked(queries: DataFrame, keys: list[str], bank: DataFrame, k: int, id_col
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         left, right = left.combine_chunks(), right.combine_chunks().sort_by(id_col)
         vectors = lambda t: matrix(pa.concat_arrays(t.column(vector).chunks)) if t.num_rows else np.empty((0, 0))
-        kernel = _kernel(vectors(right), right.column(id_col).to_numpy(), k, names)
+        kernel = _kernel(Bank(vectors(right), right.column(id_col).to_numpy()), k, names)
         out = [x for batch in left.select([*keys, vector]).to_batches() for x in kernel(batch)]
         return pa.Table.from_batches(out) if out else pa.table({n: pa.array([], left.schema.field(n).type if n in keys else t) for n, t in zip(names, [None] * len(keys) + [pa.int32(), pa.int64(), pa.float64()], strict=True)})
 

@@ -39,7 +39,7 @@ def query(sql: str | None = None):
 D2 = "list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))"
 MAPS = "maps AS (SELECT vec_id AS image_id, embedding AS data, label, CASE WHEN label < 8 THEN 'OK' ELSE 'NG' END AS class FROM embeddings)"
 CELLS = f"{MAPS}, cells AS (SELECT image_id, label, i // 16 AS c, (i % 16) // 4 AS y, i % 4 AS x, data[i + 1]::DOUBLE AS v FROM maps, range(64) t(i))"
-BANK = f"{MAPS}, bank AS (SELECT image_id AS bank_id, data AS emb FROM maps WHERE label < 8 AND image_id % 2 = 0)"
+BANK = f"{MAPS}, bank AS (SELECT image_id AS bank_id, data AS emb FROM maps WHERE class = 'OK')"
 
 
 def sql_near(queries: str, k: int = K, bank: str = "bank") -> str:
@@ -56,15 +56,15 @@ D4 = "((q.e0 - b.e0) * (q.e0 - b.e0) + (q.e1 - b.e1) * (q.e1 - b.e1) + (q.e2 - b
 
 def sql_patch_scores(queries: str, bank: str, out: str) -> str:
     """CTE ``out`` (image_id, patch_idx, dist) of patch rows against bank rows."""
-    return f"""{out}_n AS (SELECT * FROM (SELECT q.image_id, q.patch_idx, {D4} AS d2, row_number() OVER (PARTITION BY q.image_id, q.patch_idx ORDER BY {D4}, b.bank_id) AS rank FROM {queries} q, {bank} b) WHERE rank <= {K}),
-{out} AS (SELECT image_id, patch_idx, avg(sqrt(d2)) AS dist FROM {out}_n GROUP BY image_id, patch_idx)"""
+    return f"""{out} AS (SELECT image_id, patch_idx, list_avg(list_transform(least_d2, lambda x: sqrt(x))) AS dist
+  FROM (SELECT q.image_id, q.patch_idx, min({D4}, {K}) AS least_d2 FROM {queries} q, {bank} b GROUP BY q.image_id, q.patch_idx))"""
 
 
 def sql_scores(k: int = K) -> str:
-    """CTEs up to ``scores`` (image_id, class, score): images with an odd number against the bank."""
-    return f"""{BANK}, odd AS (SELECT image_id, class, data AS emb FROM maps WHERE image_id % 2 = 1),
-{sql_near("odd", k)},
-scores AS (SELECT image_id, class, round(avg(sqrt(d2)), 6) AS score FROM near JOIN odd USING (image_id) GROUP BY image_id, class)"""
+    """CTEs up to ``scores`` (image_id, class, score): all images against the bank."""
+    return f"""{BANK}, q AS (SELECT image_id, class, data AS emb FROM maps),
+{sql_near("q", k)},
+scores AS (SELECT image_id, class, round(avg(sqrt(d2)), 6) AS score FROM near JOIN q USING (image_id) GROUP BY image_id, class)"""
 
 
 RATES = """CASE WHEN tp + tn + fp + fn > 0 THEN (tp + tn)::DOUBLE / (tp + tn + fp + fn) ELSE 0.0 END AS accuracy, CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0.0 END AS precision,
@@ -84,8 +84,7 @@ def sql_best(scores: str) -> str:
 
 
 def _scores(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
-    odd = tables.vectors(spark, sf_dir, "image_id % 2 = 1")
-    near = knn.nearest(odd, ["image_id"], tables.bank(spark, sf_dir), k)
+    near = knn.nearest(tables.vectors(spark, sf_dir), ["image_id"], tables.bank(spark, sf_dir), k)
     scored = knn.averaged(near, ["image_id"], "squared_euclidean").select("image_id", F.round("dist", 6).alias("score"))
     return scored.join(tables.maps(spark, sf_dir).select("image_id", "class"), "image_id")
 
@@ -231,46 +230,48 @@ def pairwise_l2(spark, sf_dir):
 
 # ---- neighbours -------------------------------------------------------------------------------------------------------------------
 
-_ODD_NG = f"{BANK}, q AS (SELECT image_id, data AS emb FROM maps WHERE label >= 8)"
+_EVERY = f"{BANK}, q AS (SELECT image_id, data AS emb FROM maps)"
+#: More neighbours than the smallest banks have rows.
+_MANY = 600
 
 
-@query(f"WITH {_ODD_NG}, {sql_near('q')} SELECT image_id, rank::BIGINT AS rank, bank_id, round(sqrt(d2), 6) AS dist FROM near")
+@query(f"WITH {_EVERY}, {sql_near('q')} SELECT image_id, rank::BIGINT AS rank, bank_id, round(sqrt(d2), 6) AS dist FROM near")
 def knn_exact_k9(spark, sf_dir):
-    near = knn.nearest(tables.vectors(spark, sf_dir, "label >= 8"), ["image_id"], tables.bank(spark, sf_dir), K)
+    near = knn.nearest(tables.vectors(spark, sf_dir), ["image_id"], tables.bank(spark, sf_dir), K)
     return _long(near, "rank").select("image_id", "rank", "bank_id", F.round(F.sqrt("d2"), 6).alias("dist"))
 
 
-@query(f"WITH {_ODD_NG}, {sql_near('q')} SELECT image_id, rank::BIGINT AS rank, bank_id, round(sqrt(d2), 6) AS dist FROM near")
+@query(f"WITH {_EVERY}, {sql_near('q')} SELECT image_id, rank::BIGINT AS rank, bank_id, round(sqrt(d2), 6) AS dist FROM near")
 def knn_exact_blocked(spark, sf_dir):
     """The same join by the way of large banks: no broadcast, bounded blocks."""
-    queries = tables.vectors(spark, sf_dir, "label >= 8").withColumn("cell", F.lit(0))
-    found = knn.blocked(queries, ["image_id"], tables.bank(spark, sf_dir).withColumn("cell", F.lit(0)), K, "bank_id", "emb", block_rows=100, part_rows=100)
+    queries = tables.vectors(spark, sf_dir).withColumn("cell", F.lit(0))
+    found = knn.blocked(queries, ["image_id"], tables.bank(spark, sf_dir).withColumn("cell", F.lit(0)), K, "bank_id", "emb", block_rows=400, part_rows=500)
     return _long(knn.merged(found, ["image_id"], K), "rank").select("image_id", "rank", "bank_id", F.round(F.sqrt("d2"), 6).alias("dist"))
 
 
-@query(f"WITH {_ODD_NG}, {sql_near('q')} SELECT image_id, round(avg(d2), 6) AS euclidean, round(avg(sqrt(d2)), 6) AS squared_euclidean FROM near GROUP BY image_id")
+@query(f"WITH {_EVERY}, {sql_near('q')} SELECT image_id, round(avg(d2), 6) AS euclidean, round(avg(sqrt(d2)), 6) AS squared_euclidean FROM near GROUP BY image_id")
 def knn_metrics(spark, sf_dir):
-    near = checkpointed(knn.nearest(tables.vectors(spark, sf_dir, "label >= 8"), ["image_id"], tables.bank(spark, sf_dir), K))
+    near = checkpointed(knn.nearest(tables.vectors(spark, sf_dir), ["image_id"], tables.bank(spark, sf_dir), K))
     a, b = (knn.averaged(near, ["image_id"], m).select("image_id", F.round("dist", 6).alias(m)) for m in ("euclidean", "squared_euclidean"))
     return a.join(b, "image_id")
 
 
-@query(f"WITH {MAPS}, bank AS (SELECT image_id AS bank_id, data AS emb FROM maps WHERE image_id < 5), q AS (SELECT image_id, data AS emb FROM maps WHERE label >= 8), {sql_near('q')} SELECT image_id, count(*) AS n, round(avg(sqrt(d2)), 6) AS dist FROM near GROUP BY image_id")
+@query(f"WITH {_EVERY}, {sql_near('q', _MANY)} SELECT image_id, count(*) AS n, round(avg(sqrt(d2)), 6) AS dist FROM near GROUP BY image_id")
 def knn_small_bank(spark, sf_dir):
-    bank = tables.vectors(spark, sf_dir, "image_id < 5").withColumnRenamed("image_id", "bank_id")
-    near = checkpointed(knn.nearest(tables.vectors(spark, sf_dir, "label >= 8"), ["image_id"], bank, K))
+    """More neighbours than a small bank has: all its rows count."""
+    near = checkpointed(knn.nearest(tables.vectors(spark, sf_dir), ["image_id"], tables.bank(spark, sf_dir), _MANY))
     mean = knn.averaged(near, ["image_id"], "squared_euclidean")
     return near.groupBy("image_id").agg(F.count(F.lit(1)).alias("n")).join(mean, "image_id").select("image_id", "n", F.round("dist", 6).alias("dist"))
 
 
-_PATCH_BANK = "b AS (SELECT image_id * 16 + patch_idx AS bank_id, e0, e1, e2, e3 FROM patches WHERE label < 3 AND image_id % 2 = 0), q AS (SELECT * FROM patches WHERE label >= 8)"
+_PATCH_BANK = "b AS (SELECT e0, e1, e2, e3 FROM patches WHERE label < 8), q AS (SELECT * FROM patches)"
 
 
 def _patch_scores(spark, sf_dir) -> DataFrame:
-    rows = tables.maps(spark, sf_dir)
-    made = lambda where: features.patches(rows.where(where), shape=tables.SHAPE, patch_size=3)
-    bank = made("label < 3 and image_id % 2 = 0").select((F.col("image_id") * 16 + F.col("patch_idx")).alias("bank_id"), "emb")
-    near = knn.nearest(made("label >= 8"), ["image_id", "patch_idx"], bank, K)
+    """Patches of all maps against those of the normal ones."""
+    every = features.patches(tables.maps(spark, sf_dir), shape=tables.SHAPE, patch_size=3)
+    normal = features.patches(tables.maps(spark, sf_dir).where("class = 'OK'"), shape=tables.SHAPE, patch_size=3)
+    near = knn.nearest(every, ["image_id", "patch_idx"], normal.select((F.col("image_id") * 16 + F.col("patch_idx")).alias("bank_id"), "emb"), K)
     return knn.averaged(near, ["image_id", "patch_idx"], "squared_euclidean")
 
 
@@ -328,16 +329,16 @@ pa{tag} AS (SELECT * FROM pp{tag} WHERE image_id NOT IN (SELECT image_id FROM fe
 near{tag} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY d2, bank_id) AS rank FROM pa{tag}) WHERE rank <= {k})"""
 
 
-@query(f"WITH {_sql_ivf()}, q AS (SELECT image_id, data AS emb FROM maps WHERE label >= 8), {_sql_probed('q', PROBES)} SELECT image_id, rank::BIGINT AS rank, bank_id, round(sqrt(d2), 6) AS dist FROM near")
+@query(f"WITH {_sql_ivf()}, q AS (SELECT image_id, data AS emb FROM maps), {_sql_probed('q', PROBES)} SELECT image_id, rank::BIGINT AS rank, bank_id, round(sqrt(d2), 6) AS dist FROM near")
 def ivf_knn_p4(spark, sf_dir):
-    near = ivf.nearest_probed(tables.vectors(spark, sf_dir, "label >= 8"), ["image_id"], *_index(spark, sf_dir), K, PROBES)
+    near = ivf.nearest_probed(tables.vectors(spark, sf_dir), ["image_id"], *_index(spark, sf_dir), K, PROBES)
     return _long(near, "rank").select("image_id", "rank", "bank_id", F.round(F.sqrt("d2"), 6).alias("dist"))
 
 
-@query(f"WITH {_sql_ivf()}, q AS (SELECT image_id, data AS emb FROM maps WHERE label >= 8), {_sql_probed('q', 1, 60)} SELECT image_id, rank::BIGINT AS rank, bank_id, round(sqrt(d2), 6) AS dist FROM near")
+@query(f"WITH {_sql_ivf()}, q AS (SELECT image_id, data AS emb FROM maps), {_sql_probed('q', 1, 60)} SELECT image_id, rank::BIGINT AS rank, bank_id, round(sqrt(d2), 6) AS dist FROM near")
 def ivf_knn_fallback(spark, sf_dir):
     """One probe and 60 neighbours, without broadcasting the bank: queries with too few candidates search the whole bank."""
-    near = ivf.nearest_probed(tables.vectors(spark, sf_dir, "label >= 8"), ["image_id"], *_index(spark, sf_dir), 60, 1, limit=0)
+    near = ivf.nearest_probed(tables.vectors(spark, sf_dir), ["image_id"], *_index(spark, sf_dir), 60, 1, limit=0)
     return _long(near, "rank").select("image_id", "rank", "bank_id", F.round(F.sqrt("d2"), 6).alias("dist"))
 
 
@@ -352,17 +353,18 @@ def sql_coreset(source: str, ratio: float) -> str:
     return f"src AS ({source}), " + _CORESET.format(ratio=ratio, first=D2.format(a="src.e", b="f.e"), next=D2.format(a="e", b="ne"))
 
 
-@query(f"WITH RECURSIVE {MAPS}, {sql_coreset('SELECT image_id AS id, data::DOUBLE[] AS e FROM maps WHERE label < 8', 0.1)} SELECT DISTINCT pick, cid AS bank_id FROM r")
+_CORESET_SQL = f"WITH RECURSIVE {MAPS}, {sql_coreset('''SELECT image_id AS id, data::DOUBLE[] AS e FROM maps WHERE class = 'OK' ''', 0.1)} SELECT DISTINCT pick, cid AS bank_id FROM r"
+
+
+@query(_CORESET_SQL)
 def coreset_greedy(spark, sf_dir):
-    bank = tables.vectors(spark, sf_dir, "label < 8").withColumnRenamed("image_id", "bank_id")
-    return _long(coreset.sample(bank, 0.1), "pick").select("pick", "bank_id")
+    return _long(coreset.sample(tables.bank(spark, sf_dir), 0.1), "pick").select("pick", "bank_id")
 
 
-@query(f"WITH RECURSIVE {MAPS}, {sql_coreset('SELECT image_id AS id, data::DOUBLE[] AS e FROM maps WHERE label < 2', 0.1)} SELECT DISTINCT pick, cid AS bank_id FROM r")
+@query(_CORESET_SQL)
 def coreset_distributed(spark, sf_dir):
     """The way of banks that do not fit one task."""
-    bank = tables.vectors(spark, sf_dir, "label < 2").withColumnRenamed("image_id", "bank_id")
-    return _long(coreset.sample(bank, 0.1, limit=0), "pick").select("pick", "bank_id")
+    return _long(coreset.sample(tables.bank(spark, sf_dir), 0.1, limit=0), "pick").select("pick", "bank_id")
 
 
 # ---- splits -----------------------------------------------------------------------------------------------------------------------
@@ -411,14 +413,14 @@ def best_threshold_ties(spark, sf_dir):
     return tuning.best_threshold(rows.select(F.col("n_chars").cast("double").alias("score"), F.when(F.col("quality") == 0, "NG").otherwise("OK").alias("class")))
 
 
-_KS = "WITH " + f"{BANK}, odd AS (SELECT image_id, class, data AS emb FROM maps WHERE image_id % 2 = 1), {sql_near('odd', max(tuning.NEIGHBOR_CANDIDATES))}" + "".join(
-    f", s{k} AS (SELECT image_id, class, round(avg(sqrt(d2)), 6) AS score FROM near JOIN odd USING (image_id) WHERE rank <= {k} GROUP BY image_id, class)" for k in tuning.NEIGHBOR_CANDIDATES
+_KS = "WITH " + f"{BANK}, q AS (SELECT image_id, class, data AS emb FROM maps), {sql_near('q', max(tuning.NEIGHBOR_CANDIDATES))}" + "".join(
+    f", s{k} AS (SELECT image_id, class, round(avg(sqrt(d2)), 6) AS score FROM near JOIN q USING (image_id) WHERE rank <= {k} GROUP BY image_id, class)" for k in tuning.NEIGHBOR_CANDIDATES
 )
 
 
 @query(_KS + " " + " UNION ALL ".join(f"SELECT *, {k}::BIGINT AS num_neighbors FROM {sql_best(f's{k}')}" for k in tuning.NEIGHBOR_CANDIDATES))
 def k_sweep(spark, sf_dir):
-    near = checkpointed(knn.nearest(tables.vectors(spark, sf_dir, "image_id % 2 = 1"), ["image_id"], tables.bank(spark, sf_dir), max(tuning.NEIGHBOR_CANDIDATES)))
+    near = checkpointed(knn.nearest(tables.vectors(spark, sf_dir), ["image_id"], tables.bank(spark, sf_dir), max(tuning.NEIGHBOR_CANDIDATES)))
     classes = tables.maps(spark, sf_dir).select("image_id", "class")
     scored = lambda k: knn.averaged(near, ["image_id"], "squared_euclidean", k).select("image_id", F.round("dist", 6).alias("score")).join(classes, "image_id")
     return _long(tuning.sweep(spark, "num_neighbors", tuning.NEIGHBOR_CANDIDATES, scored), "num_neighbors")
@@ -434,14 +436,14 @@ _PS = tuning.probe_candidates(CLUSTERS)
 
 
 @query(
-    f"WITH {_sql_ivf()}, odd AS (SELECT image_id, class, data AS emb FROM maps WHERE image_id % 2 = 1)"
-    + "".join(f", {_sql_probed('odd', p, K, f'_{p}')}, s{p} AS (SELECT image_id, class, round(avg(sqrt(d2)), 6) AS score FROM near_{p} JOIN odd USING (image_id) GROUP BY image_id, class)" for p in _PS)
+    f"WITH {_sql_ivf()}, q AS (SELECT image_id, class, data AS emb FROM maps)"
+    + "".join(f", {_sql_probed('q', p, K, f'_{p}')}, s{p} AS (SELECT image_id, class, round(avg(sqrt(d2)), 6) AS score FROM near_{p} JOIN q USING (image_id) GROUP BY image_id, class)" for p in _PS)
     + " " + " UNION ALL ".join(f"SELECT *, {p}::BIGINT AS ann_probes FROM {sql_best(f's{p}')}" for p in _PS)
 )
 def probe_sweep(spark, sf_dir):
     index = _index(spark, sf_dir)
-    odd, classes = tables.vectors(spark, sf_dir, "image_id % 2 = 1"), tables.maps(spark, sf_dir).select("image_id", "class")
-    scored = lambda p: knn.averaged(ivf.nearest_probed(odd, ["image_id"], *index, K, p), ["image_id"], "squared_euclidean").select("image_id", F.round("dist", 6).alias("score")).join(classes, "image_id")
+    every, classes = tables.vectors(spark, sf_dir), tables.maps(spark, sf_dir).select("image_id", "class")
+    scored = lambda p: knn.averaged(ivf.nearest_probed(every, ["image_id"], *index, K, p), ["image_id"], "squared_euclidean").select("image_id", F.round("dist", 6).alias("score")).join(classes, "image_id")
     return _long(tuning.sweep(spark, "ann_probes", _PS, scored), "ann_probes")
 
 
@@ -458,19 +460,20 @@ def manual_threshold(spark, sf_dir):
 
 # ---- the whole flow ---------------------------------------------------------------------------------------------------------------
 
-_RATIO = 0.02
-_FLOW = f"""{PATCHES}, {sql_coreset("SELECT image_id * 16 + patch_idx AS id, [e0, e1, e2, e3] AS e FROM patches WHERE label < 3", _RATIO)},
+_RATIO = EngineConfig().coreset_ratio
+_FLOW = f"""{PATCHES}, {sql_coreset("SELECT image_id * 16 + patch_idx AS id, [e0, e1, e2, e3] AS e FROM patches WHERE label < 8", _RATIO)},
 picked AS (SELECT DISTINCT pick, cid FROM r), b AS (SELECT pick AS bank_id, e[1] AS e0, e[2] AS e1, e[3] AS e2, e[4] AS e3 FROM picked JOIN src ON id = cid),
-own AS (SELECT * FROM patches WHERE label < 3), q AS (SELECT * FROM patches WHERE label >= 8), {sql_patch_scores("own", "b", "os")}, {sql_patch_scores("q", "b", "qs")},
-self AS (SELECT image_id, max(dist) AS score FROM os GROUP BY image_id),
+{sql_patch_scores("patches", "b", "qs")},
+self AS (SELECT image_id, max(dist) AS score FROM qs JOIN maps USING (image_id) WHERE class = 'OK' GROUP BY image_id),
 thr AS (SELECT score AS t FROM (SELECT score, row_number() OVER (ORDER BY score) AS r, count(*) OVER () AS n FROM self) WHERE r = greatest(1, least(n, round_even(n * 0.95, 0))))"""
 
 
 @query(f"WITH RECURSIVE {_FLOW} SELECT image_id, round(max(dist), 6) AS score, max(dist) > max(t) AS is_anomaly, CASE WHEN max(dist) > max(t) THEN 'NG' ELSE 'OK' END AS label FROM qs, thr GROUP BY image_id")
 def predict_pipeline(spark, sf_dir):
+    """A model of all normal maps, and the predictions for all maps."""
     rows = tables.maps(spark, sf_dir)
-    model = pipeline.train(rows.where("label < 3"), EngineConfig(coreset_ratio=_RATIO), tables.SHAPE)
-    return pipeline.predict(rows.where("label >= 8"), model, tables.SHAPE).withColumn("score", F.round("score", 6))
+    model = pipeline.train(rows.where("class = 'OK'"), EngineConfig(coreset_ratio=_RATIO), tables.SHAPE)
+    return pipeline.predict(rows, model, tables.SHAPE).withColumn("score", F.round("score", 6))
 
 
 @query()
@@ -483,5 +486,5 @@ def train_and_tune(spark, sf_dir):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Anomaly scores and labels of all odd images by exact neighbours."""
+    """Anomaly scores and labels of all images by exact neighbours."""
     return _scores(spark, sf_dir).withColumn("label", tuning.label(F.col("score"), MANUAL)).select("image_id", "class", "score", "label")

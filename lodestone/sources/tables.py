@@ -17,10 +17,10 @@ def maps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normal vectors with an even number: ``bank_id``, ``emb``."""
-    return maps(spark, sf_dir).where("label < 8 and image_id % 2 = 0").select(F.col("image_id").alias("bank_id"), F.col("data").alias("emb"))
+    """All normal vectors: ``bank_id``, ``emb``."""
+    return maps(spark, sf_dir).where("class = 'OK'").select(F.col("image_id").alias("bank_id"), F.col("data").alias("emb"))
 
 
-def vectors(spark: SparkSession, sf_dir: str, condition: str) -> DataFrame:
-    """``image_id`` and ``emb`` of the maps under a condition."""
-    return maps(spark, sf_dir).where(condition).select("image_id", F.col("data").alias("emb"))
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All maps as vectors: ``image_id`` and ``emb``."""
+    return maps(spark, sf_dir).select("image_id", F.col("data").alias("emb"))
