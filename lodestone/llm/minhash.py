@@ -322,7 +322,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     from lodestone.llm import simhash  # its stage for near copies proposes by the bands of this module
 
     whole = simhash.keyed(df, id_col, text_col)
-    found = checkpointed(simhash.text_classes(whole, SHINGLE, least))
+    found = checkpointed(simhash.text_classes(whole, SHINGLE, least)[0])
     smallest = found.groupBy("root").agg(F.min("least").alias("class_id"))
     named = found.select("text_key", "root").join(smallest, "root").select("text_key", "class_id")
     return whole.select(F.col(f"row.{id_col}").alias(id_col), F.col("own.text_key").alias("own_key")).join(named, F.col("own_key") == F.col("text_key")).select(id_col, "class_id")

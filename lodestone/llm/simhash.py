@@ -194,8 +194,8 @@ SHINGLE = 5
 LEAST = 0.8
 #: Documents and characters that one task compares with as many others at once, at most.
 BLOCK_ROWS, BLOCK_CHARS = 1000, 4_000_000
-#: Times that a class beyond one block is held against one of its documents before its blocks are compared.
-PIVOTS = 4
+#: Times that classes beyond one block are held against one of their documents before their blocks are compared, and the share of rows that a pass must settle to be worth another.
+PIVOTS, SETTLED = 4, 0.1
 
 
 def shingle_set(text: str, width: int) -> np.ndarray:
@@ -269,7 +269,8 @@ def _compared(dealt: DataFrame, width: int, least: float) -> DataFrame:
             yield got
 
     n = max(1, int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = dealt.select("key", "node", "side", "text").repartition(n, "key").sortWithinPartitions("key", "side", "node")
+    # by ranges, which even out what keys weigh: a few hundred heavy ones would not spread by hash
+    dealt = dealt.select("key", "node", "side", "text").repartitionByRange(n, "key").sortWithinPartitions("key", "side", "node")
     return arrow_map(dealt, ["key", "node", "side", "text"], search, "a long, b long")
 
 
@@ -334,12 +335,16 @@ def similar_links(df: DataFrame, classes: DataFrame, id_col: str, text_col: str,
         if rows.isEmpty():
             break
         held = checkpointed(_held_against(rows, width, least))
+        settled = held.agg(F.avg((F.col("like") == 2).cast("int"))).first()[0]
         found.append(held.where("like = 2").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
         dealt.append(_across(held))
         rows = checkpointed(_sized(held.where("like in (0, 1)").select("node", "text", "root")))
+        if settled < SETTLED:
+            break
         ready.append(rows.where("parts = 1"))
     else:
-        ready.append(rows.where("parts > 1"))
+        rows = rows.where("parts > 1")
+    ready.append(rows)  # what the passes left
     # a class has one part after one pass only, or is left over after the last
     whole = reduce(DataFrame.unionByName, (r.select("node", "text", "root", "parts") for r in ready))
     dealt.append(block_pairs(whole, "root").select("key", "node", "side", "text"))
@@ -356,18 +361,17 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.struct(*df.columns).alias("row"), F.struct(F.col(id_col).cast("long").alias("id"), key.alias("text_key")).alias("own"), text.alias("text"))
 
 
-def text_classes(whole: DataFrame, width: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """Per distinct text of ``keyed`` rows: ``text_key``, ``least`` (its smallest id), ``node``, and ``root``, which similar texts share."""
+def text_classes(whole: DataFrame, width: int = SHINGLE, least: float = LEAST) -> tuple[DataFrame, bool]:
+    """Per distinct text of ``keyed`` rows: ``text_key``, ``least`` (its smallest id), ``node``, and ``root``, which similar texts share; and whether rows repeat an id and a text."""
     found = checkpointed(minhash.fingerprints(whole, "own", "text", width).select("own.*", "fingerprint", "bands"))
+    repeats = not found.groupBy("id", "text_key").count().where("count > 1").isEmpty()
     first = found.groupBy("text_key").agg(F.min("id").alias("least"), F.first("fingerprint").alias("fingerprint"), F.first("bands").alias("bands"))
     first = checkpointed(first.withColumn("node", F.monotonically_increasing_id()))
     classes = checkpointed(connected_components(minhash.links(first, least)))
     wanted = first.select("node", "text_key", "least").join(classes.select("node"), "node")
     texts = whole.select("own", "text").join(wanted, (F.col("own.text_key") == F.col("text_key")) & F.col("own.id").eqNullSafe(F.col("least"))).select("node", "text")
-    if not found.groupBy("id", "text_key").count().where("count > 1").isEmpty():
-        texts = texts.dropDuplicates(["node"])
-    roots = connected_components(similar_links(texts, classes, "node", "text", width, least))
-    return first.select("node", "text_key", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = connected_components(similar_links(texts.dropDuplicates(["node"]) if repeats else texts, classes, "node", "text", width, least))
+    return first.select("node", "text_key", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), repeats
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, least: float = LEAST) -> DataFrame:
@@ -378,8 +382,8 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     or more. Rows without an id are compared like any other, and stay only where their group has no id; of rows that repeat an id and a text one stays.
     """
     whole = keyed(df, id_col, text_col)
+    found, repeats = text_classes(whole, width, least)
     order = F.struct(F.col("least").isNull(), "least", "node")
-    stay = checkpointed(text_classes(whole, width, least).groupBy("root").agg(F.min_by(F.struct("text_key", "least"), order).alias("stay")).select("stay.*"))
-    kept = checkpointed(whole.select("row", "own").join(stay, (F.col("own.text_key") == F.col("text_key")) & F.col("own.id").eqNullSafe(F.col("least")), "left_semi"))
-    repeats = kept.count() > stay.count()
+    stay = checkpointed(found.groupBy("root").agg(F.min_by(F.struct("text_key", "least"), order).alias("stay")).select("stay.*"))
+    kept = whole.select("row", "own").join(stay, (F.col("own.text_key") == F.col("text_key")) & F.col("own.id").eqNullSafe(F.col("least")), "left_semi")
     return (kept.dropDuplicates(["own"]) if repeats else kept).select("row.*")

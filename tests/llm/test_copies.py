@@ -130,6 +130,7 @@ def test_similar_links_of_large_classes(spark, monkeypatch, pivots):
     """Chains of texts of which only neighbours are alike, so that most links lie far from any pivot, beside a large group of copies."""
     monkeypatch.setattr(simhash, "PIVOTS", pivots)
     monkeypatch.setattr(simhash, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(simhash, "SETTLED", 0.3 if pivots == 3 else 0)
     pick = random.Random(41)
     word = lambda: "".join(pick.choice("abcdefghij") for _ in range(6))
     stream = [word() for _ in range(700)]
