@@ -6,6 +6,8 @@ from dataclasses import asdict, dataclass, fields, replace
 
 METRICS = ("euclidean", "squared_euclidean")
 SPLIT_MODES = ("ratio", "count")
+#: Least and greatest embedding dimension. Fixed values.
+EMBED = (32, 4096)
 
 #: Names in stored profiles and models, by option. Other tools read these documents.
 STORED = {
@@ -77,7 +79,7 @@ class EngineConfig:
         need(self.patch_size >= 1 and self.patch_size % 2 == 1, "patch size must be odd and 1 or more")
         need(self.num_neighbors >= 1, "neighbours must be 1 or more")
         need(0 < self.coreset_ratio <= 1, "coreset ratio must be over 0 and up to 1")
-        need(32 <= self.embed_dim <= 4096, "embedding dimension must be 32 to 4096")
+        need(EMBED[0] <= self.embed_dim <= EMBED[1], "embedding dimension must be 32 to 4096")
         need(1 <= self.downscale <= 8, "downscale must be 1 to 8")
         need(self.metric in METRICS, f"metric must be one of {METRICS}")
         need(self.ann_clusters >= 2, "clusters must be 2 or more")
@@ -92,10 +94,20 @@ class EngineConfig:
     def with_tuned(self, num_neighbors: int, ann_probes: int, threshold: float) -> EngineConfig:
         return replace(self, num_neighbors=num_neighbors, ann_probes=ann_probes, threshold=threshold)
 
-    def for_inference(self, model: dict) -> EngineConfig:
-        """The model's algorithmic options with this configuration's run-time options. A model without a metric was made with ``euclidean``."""
-        kept = ("backbone_id", "image_size", "patch_size", "num_neighbors", "coreset_ratio", "embed_dim", "downscale")
+    def for_inference(self, model: dict, sibling: EngineConfig | None = None) -> EngineConfig:
+        """The model's algorithmic options with this configuration's run-time options. A model without a metric was made with ``euclidean``.
+
+        ``sibling`` is the profile that lies beside the model: it tells the backbone that the model doesn't name, and a custom
+        backbone's file that this configuration doesn't. The threshold is this configuration's only if it is to be used by hand.
+        """
+        kept = ("image_size", "patch_size", "num_neighbors", "coreset_ratio", "downscale", "use_ann", "ann_clusters", "ann_probes")
         found = {k: model[k] for k in kept if model.get(k) is not None}
+        if EMBED[0] <= (model.get("embed_dim") or 0) <= EMBED[1]:  # the plain extractor has fewer channels than a network may have
+            found["embed_dim"] = model["embed_dim"]
+        found["backbone_id"] = (model.get("backbone_id") or "").strip() or (sibling or self).backbone_id
+        found["custom_backbone_path"] = self.custom_backbone_path.strip() or (sibling or self).custom_backbone_path
+        if not self.use_manual_threshold and model.get("threshold") is not None:
+            found["threshold"] = model["threshold"]
         return replace(self, **found, metric=model.get("metric") or "euclidean")
 
     def stored(self) -> dict:

@@ -85,7 +85,9 @@ def coloured(levels: np.ndarray) -> np.ndarray:
 
 
 def heatmap(bgr: np.ndarray, scores: np.ndarray, weight: float = 0.4) -> np.ndarray:
-    """The image with its scores smoothed, resized, spread and blended over it; the image itself if the scores are flat."""
+    """The image with its scores smoothed, resized, spread and blended over it; the image itself if the scores are flat, or one row or column only."""
+    if min(scores.shape) < 2:
+        return bgr
     full = resized(smoothed(scores), bgr.shape[0], bgr.shape[1])
     levels = spread(full)
     if levels is None:

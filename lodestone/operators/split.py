@@ -24,12 +24,13 @@ def seeded(seed: int, id_: Column) -> Column:
 
 def ranked(df: DataFrame, id_col: str, seed: int) -> DataFrame:
     """Adds ``place``, the row's rank from 0 in the seeded order."""
-    rows = df.withColumn("digest", seeded(seed, F.col(id_col))).withColumn("prefix", F.substring("digest", 1, PREFIX))
+    digest = seeded(seed, F.col(id_col))
+    rows = df.select(F.struct(*df.columns).alias("row"), digest.alias("digest"), F.substring(digest, 1, PREFIX).alias("prefix"))  # a caller's columns keep to themselves
     counts = rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)  # over 4096 rows at most
     offsets = counts.select("prefix", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = F.row_number().over(Window.partitionBy("prefix").orderBy("digest", id_col))
-    return rows.withColumn("inside", inside).join(F.broadcast(offsets), "prefix").withColumn("place", F.col("offset") + F.col("inside") - 1).drop("digest", "prefix", "inside", "offset")
+    inside = F.row_number().over(Window.partitionBy("prefix").orderBy("digest", F.col(f"row.{id_col}")))
+    return rows.withColumn("inside", inside).join(F.broadcast(offsets), "prefix").select("row.*", (F.col("offset") + F.col("inside") - 1).alias("place"))
 
 
 def ok_sizes(n: int, ratios: tuple[float, float, float]) -> tuple[int, int, int]:

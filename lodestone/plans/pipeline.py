@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.config import EngineConfig
 from lodestone.operators import coreset, features, ivf, knn, ordered, split, tuning
+from lodestone.plans.progress import Progress
 from lodestone.shared import checkpointed
 from lodestone.sources.models import Model
 
@@ -28,7 +29,12 @@ class Trained:
 class Scorer:
     """Scores maps against a model; an index is built once if it is asked for and the bank is large enough."""
 
-    def __init__(self, model: Model, shape: tuple[int, int, int]):
+    def __init__(self, model: Model, shape: tuple[int, int, int], config: EngineConfig | None = None):
+        """Searches as ``config`` says, or else as the model does; the metric is always the model's."""
+        if config is not None:
+            model = replace(model, downscale=config.downscale, use_ann=config.use_ann, ann_clusters=config.ann_clusters, ann_probes=config.ann_probes)
+        if shape[0] != model.embed_dim:
+            raise ValueError(f"the maps have {shape[0]} channels, the model {model.embed_dim}")
         self.model, self.shape = model, shape
         self.index = None
         if model.use_ann and ivf.uses_index(True, model.bank.count(), model.ann_clusters):
@@ -45,9 +51,19 @@ class Scorer:
             return ivf.nearest_probed(self.patches(maps), KEYS, *self.index, k, probes or m.ann_probes)
         return knn.nearest(self.patches(maps), KEYS, m.bank, k)
 
+    def patch_scores(self, maps: DataFrame, k: int | None = None, probes: int | None = None) -> DataFrame:
+        """Per image and patch: ``dist``."""
+        return knn.averaged(self.neighbours(maps, k, probes), KEYS, self.model.metric)
+
     def scores(self, maps: DataFrame, k: int | None = None, probes: int | None = None) -> DataFrame:
         """Per image: ``score``."""
-        return knn.image_scores(knn.averaged(self.neighbours(maps, k, probes), KEYS, self.model.metric))
+        return knn.image_scores(self.patch_scores(maps, k, probes))
+
+    def score_maps(self, maps: DataFrame) -> DataFrame:
+        """Per image: ``score`` and ``scores``, its patches' in order, for heatmaps."""
+        _, h, w = self.shape
+        f = self.model.downscale
+        return features.score_map(self.patch_scores(maps), "image_id", h // f, w // f).withColumn("score", F.array_max("scores"))
 
 
 def train(maps: DataFrame, config: EngineConfig, shape: tuple[int, int, int], seed: int = 0) -> Model:
@@ -83,37 +99,52 @@ def search_probes(scorer: Scorer, labelled: DataFrame, k: int, candidates=None)
     return [r.asDict() for r in tuning.sweep(labelled.sparkSession, "ann_probes", found, scored).collect()]
 
 
-def train_and_tune(maps: DataFrame, config: EngineConfig, shape: tuple[int, int, int]) -> Trained:
+def train_and_tune(maps: DataFrame, config: EngineConfig, shape: tuple[int, int, int], progress: Progress | None = None, search_probe_counts: bool = True) -> Trained:
     """Splits maps (``image_id``, ``data``, ``class``), trains on normal ones, then searches k and, with an index, probes on
     the tuning part, and evaluates on the test part. A search without both classes is left out and keeps the trained values."""
+    steps = progress or Progress()
     counts = (config.train_count, config.tune_count, config.ng_tune_count) if config.split_mode == "count" else None
-    parts = checkpointed(split.split(maps.select("image_id", "data", "class"), "image_id", "class", config.seed, (config.train_ratio, config.tune_ratio, config.test_ratio), config.ng_tune_ratio, counts))
-    model = train(parts.where("subset = 'train' and class = 'OK'"), config, shape)
-    out = Trained(model)
-    scorer = Scorer(model, shape)
+    with steps.step("split"):
+        parts = checkpointed(split.split(maps.select("image_id", "data", "class"), "image_id", "class", config.seed, (config.train_ratio, config.tune_ratio, config.test_ratio), config.ng_tune_ratio, counts))
+    with steps.step("train"):
+        model = train(parts.where("subset = 'train' and class = 'OK'"), config, shape)
+        out = Trained(model)
+        scorer = Scorer(model, shape)
     if split.can_tune(parts):
         tune = parts.where("subset = 'tune'")
         ks = tuning.NEIGHBOR_CANDIDATES if config.search_neighbors else [config.num_neighbors]
-        out.neighbor_sweep = search_neighbors(scorer, tune, ks)
+        with steps.step("search neighbours"):
+            out.neighbor_sweep = search_neighbors(scorer, tune, ks)
         best = tuning.best_neighbors(out.neighbor_sweep)
         k, threshold, probes = best["num_neighbors"], best["threshold"], model.ann_probes
-        if scorer.index:
-            out.probe_sweep = search_probes(scorer, tune, k)
+        if scorer.index and search_probe_counts:
+            with steps.step("search probes"):
+                out.probe_sweep = search_probes(scorer, tune, k)
             best = tuning.best_probes(out.probe_sweep)
             probes, threshold = best["ann_probes"], best["threshold"]
         out.model = scorer.model = model.tuned(k, probes, threshold)
     if split.can_test(parts):
-        test = parts.where("subset = 'test'")
-        scored = scorer.scores(test).join(test.select("image_id", "class"), "image_id")
-        out.test = tuning.confusion(scored, out.model.threshold).first().asDict()
+        with steps.step("test"):
+            test = parts.where("subset = 'test'")
+            scored = scorer.scores(test).join(test.select("image_id", "class"), "image_id")
+            out.test = tuning.confusion(scored, out.model.threshold).first().asDict()
     return out
 
 
+def judged(scored: DataFrame, threshold: float, *more: str) -> DataFrame:
+    """Scores with ``is_anomaly`` and ``label``."""
+    limit = F.lit(float(threshold))
+    return scored.select("image_id", "score", tuning.is_anomaly(F.col("score"), limit).alias("is_anomaly"), tuning.label(F.col("score"), limit).alias("label"), *more)
+
+
 def predict(maps: DataFrame, model: Model, shape: tuple[int, int, int], manual_threshold: float | None = None, scorer: Scorer | None = None) -> DataFrame:
     """Per image: ``image_id``, ``score``, ``is_anomaly`` and ``label``. A given threshold goes before the model's."""
-    threshold = F.coalesce(F.lit(manual_threshold).cast("double"), F.lit(float(model.threshold)))
-    scored = (scorer or Scorer(model, shape)).scores(maps)
-    return scored.select("image_id", "score", tuning.is_anomaly(F.col("score"), threshold).alias("is_anomaly"), tuning.label(F.col("score"), threshold).alias("label"))
+    return judged((scorer or Scorer(model, shape)).scores(maps), model.threshold if manual_threshold is None else manual_threshold)
+
+
+def predict_with_maps(maps: DataFrame, model: Model, shape: tuple[int, int, int], manual_threshold: float | None = None, scorer: Scorer | None = None) -> DataFrame:
+    """As ``predict``, with ``scores`` of the patches, from which ``render.heatmaps`` draws."""
+    return judged((scorer or Scorer(model, shape)).score_maps(maps), model.threshold if manual_threshold is None else manual_threshold, "scores")
 
 
 def label_counts(predictions: DataFrame) -> DataFrame:

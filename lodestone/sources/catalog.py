@@ -7,6 +7,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.sources import paths
+
 DEFAULT, CUSTOM = "wide_resnet50_2", "custom"
 
 #: (id, name, file). Fixed values.
@@ -78,6 +80,34 @@ def preferred_file(base: str | Path, prefer_gpu: bool = False) -> Path:
     return next((base.parent / n for n in variant_names(stem, prefer_gpu) if (base.parent / n).exists()), base)
 
 
+def model_file(backbone: str, custom: str = "", prefer_gpu: bool = False, start: str | Path = ".") -> Path:
+    """The file of a backbone: the custom one, or the preferred variant of the catalogue's that is there."""
+    key = backbone_id(backbone)
+    if key == CUSTOM:
+        if not custom.strip():
+            raise ValueError("a custom backbone needs a file")
+        return paths.resolved(custom, start)
+    return preferred_file(paths.resolved(next(b[2] for b in BACKBONES if b[0] == key), start), prefer_gpu)
+
+
+def status(backbone: str, custom: str = "", prefer_gpu: bool = False, start: str | Path = ".") -> str:
+    """Whether a backbone's file is there, in words."""
+    try:
+        file = model_file(backbone, custom, prefer_gpu, start)
+    except ValueError as problem:
+        return str(problem)
+    if not file.exists():
+        return f"missing: {file.name}"
+    slow = " (int8 may be slower on a GPU; float16 is the better choice)" if prefer_gpu and "_int8" in file.name.lower() else ""
+    return f"ready: {file.name}{slow}"
+
+
+def by_file(file: str | Path, prefer_gpu: bool = False, start: str | Path = ".") -> str:
+    """The backbone whose file this is; ``custom`` for any other."""
+    wanted = str(paths.resolved(file, start)).lower()
+    return next((b[0] for b in BACKBONES if b[0] != CUSTOM and str(model_file(b[0], "", prefer_gpu, start)).lower() == wanted), CUSTOM)
+
+
 def export_file(backbone: str, folder: str | Path, fused: bool = True, fp16: bool = False, int8: bool = False) -> Path:
     """Where an exported model of a backbone is put."""
     file = next((b[2] for b in BACKBONES if b[0] == backbone.lower()), BACKBONES[0][2])

@@ -45,6 +45,12 @@ def load(file: str | Path) -> EngineConfig:
     return replace(EngineConfig.from_stored(json.loads(file.read_text(encoding="utf-8"))), profile_name=file.stem)
 
 
+def beside(model: str | Path) -> EngineConfig | None:
+    """The profile in the folder of a model, if there is one."""
+    file = Path(model).parent / CONFIG_FILE
+    return load(file) if file.exists() else None
+
+
 def listed(folder: str | Path) -> list[str]:
     """Names of the profiles in a folder, in an order that ignores case."""
     folder = Path(folder)

@@ -10,7 +10,7 @@ from lodestone.functions.images import png
 
 
 def plate(stain: int | None = None, side: int = 256) -> np.ndarray:
-    """A grey plate with a square (BGR); ``stain`` places a disc, which for large numbers lies outside."""
+    """A grey plate with a square (BGR); ``stain`` places a disc, which for large numbers lies outside. Sizes and colours are fixed values."""
     out = np.full((side, side, 3), 180, dtype=np.uint8)
     low, high = 60 * side // 256, 196 * side // 256
     out[low : high + 1, low : high + 1] = (120, 150, 110)

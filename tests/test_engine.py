@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.config import EngineConfig, normalised_ratios
 from lodestone.functions import scalars
-from lodestone.functions.vectors import average_of, squared_l2, squared_matrix, top_k
+from lodestone.functions.vectors import Bank, average_of, squared_l2, squared_matrix, top_k
 from lodestone.operators import coreset, features, ivf, knn, ordered, split, tuning
 
 
@@ -79,6 +79,49 @@ def test_kernel_against_expression(spark):
     assert np.array_equal(ids, order) and np.array_equal(near, np.take_along_axis(want, order, axis=1))
 
 
+def test_bank_against_all_distances(monkeypatch):
+    """Neighbours by one product and exact distances, with ties, copies and vectors far from the origin."""
+    monkeypatch.setattr(Bank, "MOST", 500)  # so that queries go in slabs
+    random = np.random.default_rng(9)
+    for bank, queries in (
+        (random.normal(size=(120, 5)), random.normal(size=(33, 5))), (random.integers(0, 3, (200, 4)).astype(float), random.integers(0, 3, (40, 4)).astype(float)),
+        (random.normal(size=(50, 3)) * 1e-3 + 1e4, random.normal(size=(20, 3)) * 1e-3 + 1e4), (np.ones((30, 2)), np.ones((3, 2))), (random.normal(size=(4, 2)), random.normal(size=(5, 2))),
+    ):
+        ids = np.arange(len(bank)) * 3
+        near, found = Bank(bank, ids).nearest(queries, 7)
+        want, want_ids = top_k(squared_matrix(queries, bank), ids, 7)
+        assert np.array_equal(found, want_ids) and np.allclose(near, want, rtol=1e-12, atol=0)
+    assert Bank(np.empty((0, 2)), np.empty(0, dtype=np.int64)).nearest(np.ones((2, 2)), 3)[0].shape == (2, 0)
+
+
+def test_null_vectors(spark):
+    """A query without a vector has no neighbours, a bank row without one is nobody's; other rows' answers don't change."""
+    random = np.random.default_rng(19)
+    points = random.normal(size=(60, 3))
+    row = lambda i, v: (i, None if v is None else [float(x) for x in v])
+    bank = spark.createDataFrame([row(i, v) for i, v in enumerate(points)] + [row(100, None), row(101, None)], "bank_id long, emb array<float>")
+    whole = bank.where("emb is not null")
+    queries = spark.createDataFrame([row(0, [1, 2, 3]), row(1, None), row(2, [0, 0, 0])], "image_id long, emb array<float>")
+    asked = queries.where("emb is not null")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    for limit in (knn.BROADCAST_BYTES, 0):
+        want = rows(knn.nearest(asked, ["image_id"], whole, 4, limit=limit))
+        assert rows(knn.nearest(queries, ["image_id"], bank, 4, limit=limit)) == want and len(want) == 8
+        index = ivf.build(bank, 5, limit=limit)
+        assert rows(index[0].select("bank_id", "cluster_id")) == rows(ivf.build(whole, 5)[0].select("bank_id", "cluster_id"))
+        got = rows(ivf.nearest_probed(queries, ["image_id"], *index, 4, 2, limit=limit))
+        assert got == rows(ivf.nearest_probed(asked, ["image_id"], *ivf.build(whole, 5), 4, 2)) and len(got) == 8
+        assert rows(coreset.sample(bank, 0.2, limit=limit).select("pick", "bank_id")) == rows(coreset.sample(whole, 0.2).select("pick", "bank_id"))
+    assert rows(ivf.probes(queries, ["image_id"], index[1], 2).select("image_id", "probe")) == [(0, 1), (0, 2), (2, 1), (2, 2)]
+    two = spark.createDataFrame([row(0, [1, 2]), row(1, None)], "image_id long, emb array<float>")
+    near = knn.nearest(two, ["image_id"], spark.createDataFrame([row(5, [1, 2])], "bank_id long, emb array<float>"), 1).collect()
+    assert [(r["image_id"], r["bank_id"], r["d2"]) for r in near] == [(0, 5, 0.0)]
+    none = bank.where("bank_id >= 100")
+    assert knn.nearest(queries, ["image_id"], none, 3).count() == 0 and coreset.sample(none, 0.5).count() == 0
+    with pytest.raises(ValueError):
+        ivf.build(none, 3)
+
+
 def test_index_with_all_probes_is_exact(spark):
     random = np.random.default_rng(2)
     bank, queries = vectors(spark, random.normal(size=(300, 6))), vectors(spark, random.normal(size=(40, 6)), "image_id")
@@ -110,6 +153,23 @@ def test_coreset(spark):
     assert coreset.farthest_first(np.zeros((3, 2)), 1, 3) == [1, 0, 0]
 
 
+def test_coreset_in_passes(spark, monkeypatch):
+    """Many ties, so that the order of picks depends on ids, and few candidates in a pass."""
+    monkeypatch.setattr(coreset, "CANDIDATES", 5)
+    monkeypatch.setattr(coreset, "PART", 7)
+    random = np.random.default_rng(8)
+    for points in (random.integers(0, 4, (90, 2)), random.normal(size=(70, 3)), np.zeros((20, 2))):
+        bank = vectors(spark, points).repartition(5)
+        pick = lambda limit, bank=bank: [(r["pick"], r["bank_id"], list(r["emb"])) for r in coreset.sample(bank, 0.3, limit=limit).orderBy("pick").collect()]
+        assert pick(0) == pick(coreset.ONE_TASK_BYTES)
+
+
+def test_split_keeps_columns(spark):
+    df = spark.createDataFrame([(i, "OK" if i % 3 else "NG", i, i, i) for i in range(30)], "image_id long, class string, digest int, prefix int, place int")
+    rows = split.split(df.select("image_id", "class", "digest", "prefix")).collect()
+    assert all(r["digest"] == r["prefix"] == r["image_id"] for r in rows) and len(rows) == 30
+
+
 def test_split_sizes():
     assert split.ok_sizes(10, (0.6, 0.2, 0.2)) == (6, 2, 2)
     assert split.ok_sizes(1, (0.6, 0.2, 0.2)) == (1, 0, 0)
@@ -212,3 +272,39 @@ def test_config():
     merged = EngineConfig(patch_size=5, batch_size=4).for_inference({"patch_size": 3, "metric": None})
     assert (merged.patch_size, merged.batch_size, merged.metric) == (3, 4, "euclidean")
     assert EngineConfig(batch_size=0).effective_batch == 8
+    model = {"image_size": 128, "num_neighbors": 5, "threshold": 0.7, "use_ann": True, "ann_probes": 2, "embed_dim": 6, "metric": "euclidean", "backbone_id": " "}
+    user = EngineConfig(use_gpu=False, embed_dim=64)
+    merged = user.for_inference(model, EngineConfig(backbone_id="resnet18", custom_backbone_path="c.onnx"))
+    assert (merged.image_size, merged.num_neighbors, merged.threshold, merged.use_ann, merged.ann_probes, merged.use_gpu) == (128, 5, 0.7, True, 2, False)
+    assert (merged.backbone_id, merged.custom_backbone_path, merged.embed_dim) == ("resnet18", "c.onnx", 64)
+    assert EngineConfig(use_manual_threshold=True, threshold=0.2).for_inference(model).threshold == 0.2
+
+
+def test_progress():
+    from lodestone.plans.progress import Progress, elapsed
+
+    assert [elapsed(ms) for ms in (5, 999.6, 1500, 90_000, 5_400_000)] == ["5ms", "1000ms", "1.5s", "1.5m", "1.5h"]
+    lines = []
+    steps = Progress(lines.append)
+    for name in ("a", "b", "a"):
+        with steps.step(name):
+            pass
+    assert list(steps.stages) == ["a", "b"] and lines[0] == "a ..." and len(lines) == 6
+    steps.stages = {"a": 750.0, "b": 250.0}
+    assert steps.summary() == ["a 750ms | b 250ms | total 1.0s", "a 75.0% | b 25.0%"]
+    assert Progress().summary() == ["total 0ms", ""]
+
+
+def test_paths(tmp_path):
+    from lodestone.sources import catalog, paths
+
+    (tmp_path / "models").mkdir()
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    assert paths.root(tmp_path / "a" / "b") == tmp_path and paths.resolved("x/y", tmp_path / "a") == tmp_path / "x" / "y"
+    assert paths.resolved(tmp_path / "z") == tmp_path / "z"
+    start = tmp_path / "a"
+    assert catalog.status("resnet18", start=start) == "missing: resnet18_features.onnx"
+    (tmp_path / "models" / "resnet18_features_fused_int8.onnx").write_bytes(b"")
+    assert catalog.status("resnet18", start=start) == "ready: resnet18_features_fused_int8.onnx"
+    assert "slower" in catalog.status("resnet18", prefer_gpu=True, start=start) and "needs a file" in catalog.status("custom", start=start) and "no backbone" in catalog.status("x")
+    assert catalog.by_file("models/resnet18_features_fused_int8.onnx", start=start) == "resnet18" and catalog.by_file("models/other.onnx", start=start) == "custom"

@@ -184,6 +184,107 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def message(*fields) -> bytes:
+    """A protocol buffer: (number, int, bytes, text or list of ints)."""
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes((n & 127 | 128,)), n >> 7
+        return out + bytes((n,))
+
+    out = b""
+    for number, value in fields:
+        if isinstance(value, int):
+            out += varint(number << 3) + varint(value)
+        else:
+            value = value.encode() if isinstance(value, str) else value
+            out += varint(number << 3 | 2) + varint(len(value)) + value
+    return out
+
+
+def network(copies: int, side: int, metadata: dict[str, str]) -> bytes:
+    """An ONNX file: block means of the three channels, ``copies`` times over."""
+    shape = lambda *dims: message((1, message((1, 1), (2, message(*((1, message((2, d) if isinstance(d, str) else (1, d))) for d in dims))))))
+    ints = lambda name, *values: message((1, name), (20, 7), *((8, v) for v in values))
+    pool = message((1, "x"), (2, "p"), (4, "AveragePool"), (5, ints("kernel_shape", side, side)), (5, ints("strides", side, side)))
+    join = message(*((1, "p") for _ in range(copies)), (2, "y"), (4, "Concat"), (5, message((1, "axis"), (20, 2), (3, 1))))
+    graph = message((1, pool), (1, join), (2, "g"), (11, message((1, "x"), (2, shape("n", 3, "h", "w")))), (12, message((1, "y"), (2, shape("n", "c", "i", "j")))))
+    return message((1, 8), (8, message((1, ""), (2, 13))), (7, graph), *((14, message((1, k), (2, v))) for k, v in metadata.items()))
+
+
+def test_networks(spark, folder, tmp_path):
+    """A file's metadata or name say how its images are prepared, and its channels must be those that are asked for."""
+    raw_mean = sample(None)[:16, :16, ::-1].mean(axis=(0, 1))
+    files = {"a.onnx": {"any_preprocess": "fused", "any_precision": "int8"}, "b_fused_fp16.onnx": {}, "c.onnx": {}, "d_fused.onnx": {"any_precision": "fp32"}}
+    for name, meta in files.items():
+        (tmp_path / name).write_bytes(network(11, 16, meta))
+    facts = {n: images.model_facts(str(tmp_path / n)) for n in files}
+    assert facts == {"a.onnx": ("fused", "int8"), "b_fused_fp16.onnx": ("fused", "float16"), "c.onnx": ("standard", "float32"), "d_fused.onnx": ("standard", "float32")}
+    one = images.decoded(spark, str(folder / "ok_00.PNG"))
+    for name, (mode, _) in facts.items():
+        extract = images.onnx_extractor(tmp_path / name)
+        assert images.shape_of(extract, 64) == (33, 4, 4)
+        got = images.features(one, extract, 64, channels=33).first()
+        assert (got["c"], got["h"], got["w"]) == (33, 4, 4)
+        want = raw_mean if mode == "fused" else (raw_mean - kernels.MEAN) / 255 / kernels.STD
+        assert [got["data"][k * 16] for k in range(3)] == pytest.approx(want.tolist(), rel=1e-4)
+    with pytest.raises(Exception, match="33 channels"):
+        images.features(one, extract, 64, channels=32).collect()
+    model = models.Model(bank=None, embed_dim=5, height=4, width=4, threshold=0.0)
+    with pytest.raises(ValueError, match="channels"):
+        pipeline.Scorer(model, (33, 4, 4))
+
+
+def lines_of(text):
+    return {line.split()[0].rpartition("/")[2]: (line.split()[1], line.rpartition("=")[2]) for line in text.splitlines() if "score=" in line}
+
+
+def test_prediction_follows_the_model(spark, tmp_path, capsys):
+    """A model trained at 128 on a network is used at 128 with that network, without a word from the caller."""
+    from lodestone import __main__ as command
+    from lodestone.sources import samples
+
+    samples.write(tmp_path, side=64)
+    (tmp_path / "n.onnx").write_bytes(network(11, 16, {"any_preprocess": "fused"}))
+    command.main(["train", "--ok", str(tmp_path / "ok"), "--ng", str(tmp_path / "ng"), "--out", str(tmp_path / "models"), "--onnx", str(tmp_path / "n.onnx"), "--embed-dim", "33", "--image-size", "128", "--patch-size", "1", "--coreset", "0.5", "--distance-metric", "SquaredEuclidean", "--cpu"])
+    path = capsys.readouterr().out.strip()
+    model = models.load(spark, path)
+    assert (model.image_size, model.embed_dim, model.height) == (128, 33, 8)
+    command.main(["predict", "--model", path, "--input", str(tmp_path / "ng"), "--cpu"])
+    got = lines_of(capsys.readouterr().out)
+    maps = images.features(images.decoded(spark, str(tmp_path / "ng")), images.onnx_extractor(tmp_path / "n.onnx"), 128)
+    want = {r["image_id"].rpartition("/")[2]: (f"score={r['score']:.4f}", r["label"]) for r in pipeline.predict(maps, model, (33, 8, 8)).collect()}
+    assert got == want and len(want) == 6
+    with pytest.raises(Exception, match="channels"):
+        command.main(["train", "--ok", str(tmp_path / "ok"), "--out", str(tmp_path / "models"), "--onnx", str(tmp_path / "n.onnx"), "--image-size", "64"])
+    with pytest.raises(SystemExit):
+        command.main(["train", "--ok", "x", "--metric", "cosine"])
+
+
+def test_command_line_options(spark, tmp_path, capsys, caplog):
+    from lodestone import __main__ as command
+    from lodestone.sources import samples
+
+    samples.write(tmp_path, side=64)
+    options = ["--split-mode", "Count", "--ok-memory-count", "5", "--ok-tune-count", "2", "--ng-tune-count", "4", "--split-seed", "7", "--auto-search-neighbors", "false", "--neighbors", "2", "--ann", "--ann-clusters", "3", "--ann-probes", "1", "--auto-search-ann-probes", "false", "--feature-downscale", "7"]
+    with caplog.at_level("INFO", logger="lodestone"):
+        command.main(["train", "--data", str(tmp_path / "ok"), "--ng-data", str(tmp_path / "ng"), "--output", str(tmp_path / "m"), "--profile", "p", "--image-size", "64", "--coreset", "0.5", *options])
+    path = capsys.readouterr().out.strip()
+    assert any("search neighbours" in r.message for r in caplog.records) and not any("search probes" in r.message for r in caplog.records) and any("total" in r.message for r in caplog.records)
+    model = models.load(spark, path)
+    assert (model.num_neighbors, model.use_ann, model.ann_clusters, model.ann_probes, model.downscale) == (2, True, 3, 1, 7)
+    config = profiles.load(profiles.config_path(tmp_path / "m", "p"))
+    assert (config.split_mode, config.train_count, config.seed, config.search_neighbors) == ("count", 5, 7, False)
+    with caplog.at_level("INFO", logger="lodestone"):
+        command.main(["predict", "--model", path, "--input", str(tmp_path / "ng"), "--output", str(tmp_path / "out"), "--threshold", "1e9"])
+    assert {v[1] for v in lines_of(capsys.readouterr().out).values()} == {"OK"}  # the caller's threshold
+    assert any(r.message == "6 images, NG=0, OK=6" for r in caplog.records)
+    rows = spark.read.parquet(str(tmp_path / "out" / "predictions")).collect()
+    assert {f.name for f in (tmp_path / "out").glob("*.png")} == {f"{r['image_id'].rpartition('/')[2][:-4]}_OK_{r['score']:.4f}.png" for r in rows} and len(rows) == 6
+    command.main(["predict", "--model", path, "--input", str(tmp_path / "ng"), "--output", str(tmp_path / "none"), "--no-heatmap"])
+    assert not list((tmp_path / "none").glob("*.png"))
+
+
 def test_command_line(spark, tmp_path, capsys):
     from lodestone import __main__ as command
     from lodestone.sources import samples
@@ -193,7 +294,7 @@ def test_command_line(spark, tmp_path, capsys):
     command.main(["train", "--ok", str(tmp_path / "ok"), "--ng", str(tmp_path / "ng"), "--out", str(tmp_path / "models"), "--image-size", "64", "--patch-size", "1", "--coreset", "0.5"])
     model = capsys.readouterr().out.strip()
     assert model.endswith("models/default/model") and (tmp_path / "models/default/config.json").exists()
-    command.main(["predict", "--model", model, "--input", str(tmp_path), "--image-size", "64"])
+    command.main(["predict", "--model", model, "--input", str(tmp_path)])
     lines = capsys.readouterr().out.splitlines()
     label = {line.split()[0].rpartition("/")[2]: line.rpartition("=")[2] for line in lines}
     assert len(lines) == 18 and all(v == ("NG" if k.startswith("ng_0") else "OK") for k, v in label.items())
