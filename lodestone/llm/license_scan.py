@@ -172,3 +172,25 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
     kind = df.schema[id_col].dataType.simpleString()
     return arrow_map(df, [id_col, text_col], run, f"{id_col} {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+
+
+def oracle() -> str:
+    """DuckDB SQL for the rows of ``scan`` over ``documents``."""
+    lists = lambda text: "[" + ", ".join(f"'{w}'" for w in text.split()) + "]"
+    before = lambda t, key: len(f" {t} ".split(f" {key} ")[0].split())
+    phrases = ", ".join(f"({lists(p)}, '{label}')" for p, label in PHRASES)
+    templates = ", ".join(f"({lists(t)}, {lists(key)}, {before(t, key)}, '{label}')" for label, t, key in TEMPLATES)
+    places = lambda table, ph: f"{table}, w, unnest(range(1, len(w) - len({ph}) + 2)) r(i) WHERE contains(joined, ' ' || array_to_string({ph}, ' ') || ' ') AND list_slice(w, i, i + len({ph}) - 1) = {ph}"
+    upper, lower = ("".join(chr(c + k) for k in range(26)) for c in (65, 97))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+w AS (SELECT *, ' ' || array_to_string(w, ' ') || ' ' AS joined FROM d),
+p(ph, label) AS (VALUES {phrases}),
+t(t, ph, before, label) AS (VALUES {templates}),
+base AS (SELECT rid, i, label FROM {places("p", "ph")}),
+found AS (SELECT rid, label, t, w, i - before - 1 AS start FROM {places("t", "ph")}),
+shares AS (SELECT rid, label, len(list_filter(range(1, len(t) + 1), lambda k: list_contains(list_slice(w, greatest(1, start + k - {DRIFT}), greatest(0, start + k + {DRIFT})), t[k])))::DOUBLE / len(t) AS share FROM found),
+b AS (SELECT rid, count(*) AS n, min(i) - 1 AS low, max(i) - 1 AS high, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY rid),
+a AS (SELECT rid, max(share) AS share, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label, share FROM shares WHERE share >= {SHARE} UNION ALL SELECT rid, label, 1.0 FROM base) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, b.low::BIGINT AS first_word, b.high::BIGINT AS last_word, coalesce(b.labels, '') AS base_labels, coalesce(a.labels, '') AS labels, coalesce(a.share, 0.0)::DOUBLE AS score
+FROM w LEFT JOIN b USING (rid) LEFT JOIN a USING (rid)"""

@@ -135,7 +135,7 @@ def cutoffs(measured: DataFrame, good: DataFrame, id_col: str = "doc_id", risk:
     """
     labelled = measured.where(~F.col("base_failed")).join(good.select(id_col).where(F.col(id_col).isNotNull()).distinct(), id_col)
     over = [sum((F.lit(c) >= F.expr(m)).cast("int") for c in grid).alias(rule) for rule, (m, grid) in RULES.items()]  # cutoffs descend
-    half = F.pmod(F.xxhash64(id_col), F.lit(2)).cast("int").alias("half")
+    half = (F.substring(F.md5(F.col(id_col).cast("string")), 1, 1) >= "8").cast("int").alias("half")
     profiles = checkpointed(labelled.select("stratum", half, *over).groupBy("stratum", "half", *RULES).agg(F.count(F.lit(1)).alias("n")))
     level = (1 - confidence) / max(1, profiles.select("stratum").distinct().count())
 
@@ -159,3 +159,36 @@ def judge(df: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: str
         verdict = verdict & ~F.coalesce(F.expr(measure) > F.col(rule), F.lit(False))
     joined = measured.join(F.broadcast(found) if found.count() <= BROADCAST else found, F.col("stratum").eqNullSafe(F.col("stratum_")), "left")
     return joined.select(id_col, *MEASURES[:5], "base_failed", (~F.col("base_failed") & verdict).alias("kept"))
+
+
+def oracle(good: str = "SELECT doc_id FROM labels WHERE quality = 1") -> str:
+    """DuckDB SQL for the rows of ``judge`` over ``documents``, with the ids of good texts from ``good``."""
+    values = lambda table: " UNION ALL ".join(f"SELECT rid, lang, half, '{rule}' AS rule, {m} AS value FROM {table}" for rule, (m, _) in RULES.items())
+    grid = ", ".join(f"('{rule}', {k}, {c})" for rule, (_, cut) in RULES.items() for k, c in enumerate(cut))
+    word = r"[^\x20\x09-\x0D]"
+    chance = f"list_sum(list_transform(range(0, away + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK}) + (n - i) * ln(1 - {RISK}))))"
+    turned = " OR ".join(f"coalesce({m} > cut_{rule}, false)" for rule, (m, _) in RULES.items())
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '{word}+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{word}')) AS lines FROM t),
+windows AS (SELECT rid, i, list_slice(w, i, i + {WINDOW - 1}) AS own FROM w, unnest(range(1, len(w) - {WINDOW - 2})) r(i)),
+twice AS (SELECT rid, i FROM windows QUALIFY count(*) OVER (PARTITION BY rid, own) > 1),
+covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM twice, range({WINDOW}) r(k) GROUP BY rid),
+measured AS (SELECT rid, doc_id, lang, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines, length(regexp_replace(text, '[^!]', '', 'g'))::BIGINT AS n_bangs
+  FROM w LEFT JOIN covered USING (rid)),
+m AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM measured),
+labelled AS (SELECT m.*, (md5(doc_id::VARCHAR)[1] >= '8')::INT AS half FROM m WHERE NOT base_failed AND doc_id IN ({good})),
+v AS ({values("labelled")}),
+grid(rule, k, c) AS (VALUES {grid}),
+strata AS (SELECT lang, count(*) FILTER (half = 1) AS n, count(*) OVER () AS strata FROM labelled GROUP BY lang),
+steps AS (SELECT s.lang, n, strata, g.rule, g.k, g.c, row_number() OVER (PARTITION BY s.lang ORDER BY count(v.rid), g.k, g.rule) AS step
+  FROM strata s CROSS JOIN grid g LEFT JOIN v ON v.lang IS NOT DISTINCT FROM s.lang AND v.rule = g.rule AND v.half = 0 AND v.value > g.c GROUP BY s.lang, n, strata, g.rule, g.k, g.c),
+firsts AS (SELECT v.lang, rid, min(step) AS step FROM v JOIN steps s ON v.lang IS NOT DISTINCT FROM s.lang AND v.rule = s.rule AND v.value > s.c WHERE half = 1 GROUP BY v.lang, rid),
+fresh AS (SELECT lang, step, count(*) AS more FROM firsts GROUP BY lang, step),
+tried AS (SELECT s.*, sum(coalesce(more, 0)) OVER (PARTITION BY s.lang ORDER BY s.step)::BIGINT AS away FROM steps s LEFT JOIN fresh f ON s.lang IS NOT DISTINCT FROM f.lang AND s.step = f.step),
+tested AS (SELECT *, n > 0 AND away <= {RISK} * n AND {chance} <= {1 - CONFIDENCE} / strata AS holds FROM tried),
+passed AS (SELECT *, bool_and(holds) OVER (PARTITION BY lang ORDER BY step) AS certified FROM tested),
+cut AS (SELECT lang, {", ".join(f"min(c) FILTER (rule = '{rule}') AS cut_{rule}" for rule in RULES)} FROM passed WHERE certified GROUP BY lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({turned}) AS kept
+FROM m LEFT JOIN cut ON m.lang IS NOT DISTINCT FROM cut.lang"""

@@ -23,8 +23,9 @@ def docs(spark):
     return rows, spark.createDataFrame([(i, t, "en" if (i or 0) % 2 else None, 7) for i, t in rows], "doc_id long, text string, lang string, n_words int")
 
 
-def test_url_oracle(spark, sf_dir, duck):
-    same_rows(queries.op2_url_reputation(spark, sf_dir), duck.execute(queries.ORACLES["op2_url_reputation"]))
+@pytest.mark.parametrize("name", list(queries.ORACLES))
+def test_oracles(spark, sf_dir, duck, name):
+    same_rows(queries.QUERIES[name](spark, sf_dir), duck.execute(queries.ORACLES[name]))
 
 
 def test_url_cases(spark):
@@ -145,7 +146,7 @@ def test_rules_keep_good_texts(spark):
 
 def brute_kept(rows, good, risk=0.01, confidence=0.95):
     """Verdicts by the definition, row by row: rows are (id, text, stratum)."""
-    import xxhash
+    import hashlib
     from math import comb
 
     rules = quality_rules.RULES
@@ -160,7 +161,7 @@ def brute_kept(rows, good, risk=0.01, confidence=0.95):
     seen = [(i, s, *values(t)) for i, t, s in rows]
     labelled = [x for x in seen if x[0] in good and not x[3]]
     strata = {x[1] for x in labelled}
-    half = lambda i: xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 42) % 2
+    half = lambda i: int(hashlib.md5(str(i).encode()).hexdigest()[0] >= "8")
     cut = {}
     for s in strata:
         first, second = ([x[2] for x in labelled if x[1] == s and half(x[0]) == h] for h in (0, 1))
@@ -193,10 +194,10 @@ def test_kept_by_definition(spark):
     want = brute_kept(rows, good)
     assert got == want
     base = {i for i, t, _ in rows if brute_measures(t)[0] >= 20 and 100 * brute_measures(t)[4] <= 30 * brute_measures(t)[0]}
-    for s in ("a", "*"):  # the joint verdict keeps its promise, and does turn texts away
+    for s in ("a", "*"):  # the joint verdict keeps its promise
         own = [i for i, _, x in rows if x == s and i in good and i in base]
-        away = sum(not got[i] for i in own)
-        assert 0 < away <= 0.01 * len(own)
+        assert sum(not got[i] for i in own) <= 0.01 * len(own)
+    assert any(not got[i] for i in base)  # and does turn texts away
 
 
 def test_rules_of_strata(spark):
