@@ -146,14 +146,20 @@ class Cells:
         return out
 
 
-def nearest_probed(queries: DataFrame, keys: list[str], indexed: DataFrame, centroids: np.ndarray, k: int, n_probes: int = 4, id_col: str = "bank_id", vector: str = "emb", limit: int = BROADCAST_BYTES) -> DataFrame:
+def shared_cells(indexed: DataFrame, centroids: np.ndarray, id_col: str = "bank_id", vector: str = "emb", limit: int = BROADCAST_BYTES):
+    """An index within the limit as a broadcast, for many calls of ``nearest_probed``; None beyond it."""
+    indexed = with_vector(indexed, vector)
+    return indexed.sparkSession.sparkContext.broadcast((*collected(indexed, id_col, vector, ("cluster_id",)), centroids)) if bank_bytes(indexed, vector) <= limit else None
+
+
+def nearest_probed(queries: DataFrame, keys: list[str], indexed: DataFrame, centroids: np.ndarray, k: int, n_probes: int = 4, id_col: str = "bank_id", vector: str = "emb", limit: int = BROADCAST_BYTES, shared=None) -> DataFrame:
     """As ``knn.nearest``, among the rows of the nearest clusters. A query that finds under k rows there is answered from the whole bank."""
     n_probes = max(1, min(n_probes, len(centroids)))
     spark = queries.sparkSession
     ship(spark)
     queries, indexed = with_vector(queries, vector), with_vector(indexed, vector)
-    if bank_bytes(indexed, vector) <= limit:
-        shared = spark.sparkContext.broadcast((*collected(indexed, id_col, vector, ("cluster_id",)), centroids))
+    shared = shared or shared_cells(indexed, centroids, id_col, vector, limit)
+    if shared is not None:
         names = [*keys, "rank", id_col, "d2"]
 
         def run(batches):

@@ -54,10 +54,16 @@ def bank_bytes(bank: DataFrame, vector: str = "emb") -> int:
     return int(bank.agg(F.sum(F.size(vector) * 8)).first()[0] or 0)
 
 
-def nearest(queries: DataFrame, keys: list[str], bank: DataFrame, k: int, id_col: str = "bank_id", vector: str = "emb", limit: int = BROADCAST_BYTES) -> DataFrame:
+def shared_bank(bank: DataFrame, id_col: str = "bank_id", vector: str = "emb", limit: int = BROADCAST_BYTES):
+    """A bank within the limit as a broadcast, for many calls of ``nearest``; None beyond it."""
+    bank = with_vector(bank, vector)
+    return bank.sparkSession.sparkContext.broadcast(collected(bank, id_col, vector)) if bank_bytes(bank, vector) <= limit else None
+
+
+def nearest(queries: DataFrame, keys: list[str], bank: DataFrame, k: int, id_col: str = "bank_id", vector: str = "emb", limit: int = BROADCAST_BYTES, shared=None) -> DataFrame:
     """Per query and neighbour: the keys, ``rank`` from 1, the bank's id and ``d2``. At equal distance the lower id comes first.
 
-    A bank of fewer than k rows gives fewer neighbours; an empty bank gives none.
+    A bank of fewer than k rows gives fewer neighbours; an empty bank gives none. ``shared`` is the bank's ``shared_bank``, if that is at hand.
     """
     spark = queries.sparkSession
     ship(spark)
@@ -65,8 +71,8 @@ def nearest(queries: DataFrame, keys: list[str], bank: DataFrame, k: int, id_col
     kinds = ", ".join(f"{c} {queries.schema[c].dataType.simpleString()}" for c in keys)
     names = [*keys, "rank", id_col, "d2"]
     schema = f"{kinds}, rank int, {id_col} long, d2 double"
-    if bank_bytes(bank, vector) <= limit:
-        shared = spark.sparkContext.broadcast(collected(bank, id_col, vector))
+    shared = shared or shared_bank(bank, id_col, vector, limit)
+    if shared is not None:
 
         def run(batches):
             ids, rows = shared.value

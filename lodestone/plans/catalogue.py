@@ -294,12 +294,12 @@ def heat_normalise(spark, sf_dir):
 # ---- index, coreset ---------------------------------------------------------------------------------------------------------------
 
 
-def _sql_ivf() -> str:
-    """CTEs up to ``posts`` (bank_id, emb, cluster_id) and ``cents`` (cluster_id, e) after eight iterations."""
-    out = f"{BANK}, c0 AS (SELECT row_number() OVER (ORDER BY md5('0:' || bank_id), bank_id) - 1 AS cluster_id, emb::DOUBLE[] AS e FROM bank QUALIFY row_number() OVER (ORDER BY md5('0:' || bank_id), bank_id) <= {CLUSTERS})"
+def _sql_ivf(before: str = BANK, width: int = 64) -> str:
+    """CTEs up to ``posts`` (bank_id, emb, cluster_id) and ``cents`` (cluster_id, e) after eight iterations. ``before`` has the CTE ``bank``."""
+    out = f"{before}, c0 AS (SELECT row_number() OVER (ORDER BY md5('0:' || bank_id), bank_id) - 1 AS cluster_id, emb::DOUBLE[] AS e FROM bank QUALIFY row_number() OVER (ORDER BY md5('0:' || bank_id), bank_id) <= {CLUSTERS})"
     for i in range(ivf.ITERATIONS):
         out += f""", a{i} AS MATERIALIZED (SELECT bank_id, emb, cluster_id FROM (SELECT bank_id, emb, cluster_id, row_number() OVER (PARTITION BY bank_id ORDER BY {D2.format(a="emb", b="e")}, cluster_id) AS r FROM bank, c{i}) WHERE r = 1),
-m{i} AS (SELECT cluster_id, list(x ORDER BY d) AS e FROM (SELECT cluster_id, d, round(avg(emb[d]::DOUBLE), {ivf.DECIMALS}) AS x FROM a{i}, range(1, 65) t(d) GROUP BY cluster_id, d) GROUP BY cluster_id),
+m{i} AS (SELECT cluster_id, list(x ORDER BY d) AS e FROM (SELECT cluster_id, d, round(avg(emb[d]::DOUBLE), {ivf.DECIMALS}) AS x FROM a{i}, range(1, {width + 1}) t(d) GROUP BY cluster_id, d) GROUP BY cluster_id),
 c{i + 1} AS MATERIALIZED (SELECT cluster_id, coalesce(m{i}.e, c{i}.e) AS e FROM c{i} LEFT JOIN m{i} USING (cluster_id))"""
     return f"{out}, posts AS (SELECT * FROM a{ivf.ITERATIONS - 1}), cents AS (SELECT * FROM c{ivf.ITERATIONS})"
 
@@ -320,8 +320,8 @@ def ivf_centroids(spark, sf_dir):
     return spark.createDataFrame([(i, j, float(x)) for i, row in enumerate(centroids.tolist()) for j, x in enumerate(row)], "cluster_id long, dim long, value double").withColumn("value", F.round("value", 6))
 
 
-def _sql_probed(queries: str, probes: int, k: int = K, tag: str = "") -> str:
-    """CTE ``near`` + tag: neighbours among the probed clusters, from the whole bank where they are too few."""
+def _sql_probed(queries: str, probes: int | str, k: int | str = K, tag: str = "") -> str:
+    """CTE ``near`` + tag: neighbours among the probed clusters, from the whole bank where they are too few. Numbers may be scalar subqueries."""
     return f"""pr{tag} AS (SELECT * FROM (SELECT image_id, emb, cluster_id, row_number() OVER (PARTITION BY image_id ORDER BY {D2.format(a="emb", b="e")}, cluster_id) AS p FROM {queries}, cents) WHERE p <= {probes}),
 pp{tag} AS (SELECT pr{tag}.image_id, posts.bank_id, {D2.format(a=f"pr{tag}.emb", b="posts.emb")} AS d2 FROM pr{tag} JOIN posts USING (cluster_id)),
 few{tag} AS (SELECT image_id FROM {queries} WHERE image_id NOT IN (SELECT image_id FROM pp{tag} GROUP BY image_id HAVING count(*) >= {k})),
@@ -476,13 +476,35 @@ def predict_pipeline(spark, sf_dir):
     return pipeline.predict(rows, model, tables.SHAPE).withColumn("score", F.round("score", 6))
 
 
-@query()
+_TUNE_RATIO = 0.01
+
+
+def _sql_tuned() -> str:
+    """The flow in SQL: the seeded split, the coreset of the training part, its index, both searches on the tuning part, and the test."""
+    parts = _sql_split("CASE WHEN p < floor(n * 0.6) THEN 'train' WHEN p < floor(n * 0.6) + floor(n * 0.2) THEN 'tune' ELSE 'test' END", "CASE WHEN p < floor(n * 0.5) THEN 'tune' ELSE 'test' END").removeprefix(f"WITH {MAPS} ")
+    source = "SELECT image_id * 16 + patch_idx AS id, [e0, e1, e2, e3] AS e FROM patches JOIN parts USING (image_id) WHERE subset = 'train'"
+    before = f"{PATCHES}, parts AS ({parts}), {sql_coreset(source, _TUNE_RATIO)}, bank AS (SELECT DISTINCT pick AS bank_id, src.e AS emb FROM r JOIN src ON src.id = cid)"
+    asked = lambda name, subset: f"{name} AS (SELECT image_id * 16 + patch_idx AS image_id, [e0, e1, e2, e3] AS emb FROM patches JOIN parts USING (image_id) WHERE subset = '{subset}')"
+    scores = lambda name, near, k: f"{name} AS (SELECT image_id, class, max(dist) AS score FROM (SELECT image_id // 16 AS image_id, avg(sqrt(d2)) AS dist FROM {near} WHERE rank <= {k} GROUP BY {near}.image_id) JOIN parts USING (image_id) GROUP BY image_id, class)"
+    out = f"WITH RECURSIVE {_sql_ivf(before, 4)}, {asked('q', 'tune')}, {_sql_probed('q', PROBES, max(tuning.NEIGHBOR_CANDIDATES))}"
+    out += "".join(f", {scores(f's{k}', 'near', k)}" for k in tuning.NEIGHBOR_CANDIDATES)
+    out += ", ks AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {k}::BIGINT AS candidate, threshold, f1 FROM {sql_best(f's{k}')}" for k in tuning.NEIGHBOR_CANDIDATES) + "), k AS MATERIALIZED (SELECT candidate AS k FROM ks ORDER BY f1 DESC, candidate LIMIT 1)"
+    out += "".join(f", {_sql_probed('q', p, '(SELECT k FROM k)', f'_{p}')}, {scores(f'p{p}', f'near_{p}', '(SELECT k FROM k)')}" for p in _PS)
+    out += ", ps AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {p}::BIGINT AS candidate, threshold, f1 FROM {sql_best(f'p{p}')}" for p in _PS) + ")"
+    # fewer probes unless more of them are better by over the tolerance, one after the other
+    out += f", best AS MATERIALIZED (SELECT list_reduce(list({{'p': candidate, 't': threshold, 'f': f1}} ORDER BY candidate), lambda b, x: CASE WHEN x.f > b.f + {tuning.TOLERANCE} THEN x ELSE b END) AS b FROM ps)"
+    out += f", {asked('tq', 'test')}, {_sql_probed('tq', '(SELECT b.p FROM best)', '(SELECT k FROM k)', '_t')}, {scores('scores', 'near_t', '(SELECT k FROM k)')}"
+    out += f", test AS (SELECT threshold, tp, tn, fp, fn, {RATES} FROM (SELECT b.t AS threshold, {COUNTS.replace('threshold', 'b.t')} FROM scores, best GROUP BY b.t))"
+    return out + " SELECT 'neighbors' AS step, candidate, round(threshold, 6) AS threshold, round(f1, 6) AS f1 FROM ks UNION ALL SELECT 'probes', candidate, round(threshold, 6), round(f1, 6) FROM ps UNION ALL SELECT 'test', k, round(threshold, 6), round(f1, 6) FROM test, k"
+
+
+@query(_sql_tuned())
 def train_and_tune(spark, sf_dir):
     """Split, training, both searches with an index, and the test: one row per candidate and one for the test."""
-    done = pipeline.train_and_tune(tables.maps(spark, sf_dir), EngineConfig(coreset_ratio=0.01, use_ann=True, ann_clusters=CLUSTERS), tables.SHAPE)
+    done = pipeline.train_and_tune(tables.maps(spark, sf_dir), EngineConfig(coreset_ratio=_TUNE_RATIO, use_ann=True, ann_clusters=CLUSTERS), tables.SHAPE)
     rows = [("neighbors", r["num_neighbors"], r["threshold"], r["f1"]) for r in done.neighbor_sweep] + [("probes", r["ann_probes"], r["threshold"], r["f1"]) for r in done.probe_sweep]
     rows.append(("test", done.model.num_neighbors, done.model.threshold, done.test["f1"]))
-    return spark.createDataFrame(rows, "step string, candidate long, threshold double, f1 double")
+    return spark.createDataFrame([(s, c, round(t, 6), round(f, 6)) for s, c, t, f in rows], "step string, candidate long, threshold double, f1 double")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ class Scorer:
         if shape[0] != model.embed_dim:
             raise ValueError(f"the maps have {shape[0]} channels, the model {model.embed_dim}")
         self.model, self.shape = model, shape
-        self.index = None
+        self.index = self.shared = None
         if model.use_ann and ivf.uses_index(True, model.bank.count(), model.ann_clusters):
             indexed, centroids = ivf.build(model.bank, model.ann_clusters)
             self.index = checkpointed(indexed), centroids
@@ -47,9 +47,11 @@ class Scorer:
 
     def neighbours(self, maps: DataFrame, k: int | None = None, probes: int | None = None) -> DataFrame:
         m, k = self.model, k or self.model.num_neighbors
+        if self.shared is None:  # one broadcast serves all searches and micro-batches
+            self.shared = ivf.shared_cells(*self.index) if self.index else knn.shared_bank(m.bank)
         if self.index:
-            return ivf.nearest_probed(self.patches(maps), KEYS, *self.index, k, probes or m.ann_probes)
-        return knn.nearest(self.patches(maps), KEYS, m.bank, k)
+            return ivf.nearest_probed(self.patches(maps), KEYS, *self.index, k, probes or m.ann_probes, shared=self.shared)
+        return knn.nearest(self.patches(maps), KEYS, m.bank, k, shared=self.shared)
 
     def patch_scores(self, maps: DataFrame, k: int | None = None, probes: int | None = None) -> DataFrame:
         """Per image and patch: ``dist``."""
