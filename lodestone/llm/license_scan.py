@@ -183,7 +183,7 @@ def oracle() -> str:
     places = lambda table, ph: f"{table}, w, unnest(range(1, len(w) - len({ph}) + 2)) r(i) WHERE contains(joined, ' ' || array_to_string({ph}, ' ') || ' ') AND list_slice(w, i, i + len({ph}) - 1) = {ph}"
     upper, lower = ("".join(chr(c + k) for k in range(26)) for c in (65, 97))
     return f"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 w AS (SELECT *, ' ' || array_to_string(w, ' ') || ' ' AS joined FROM d),
 p(ph, label) AS (VALUES {phrases}),
 t(t, ph, before, label) AS (VALUES {templates}),

@@ -260,7 +260,7 @@ def forest(prints: np.ndarray, maybe: float) -> list[tuple[int, int]]:
 
 
 def links(prints: DataFrame, least: float = LEAST) -> DataFrame:
-    """Candidate links (``a``, ``b``) among rows (``node`` long, ``fingerprint``, ``bands``), one for each distinct text.
+    """Candidate links (``a``, ``b``) among rows (``node`` long, ``fingerprint``, ``bands``), one for each distinct text; they are read twice, so hand in a table or a checkpoint.
 
     Texts of one bucket whose likeness is within SLACK of ``least`` end up connected, whatever else the bucket holds. A large bucket
     is dealt into blocks of up to MOST texts, and each pair of its blocks is a task's work.
@@ -304,7 +304,7 @@ def links(prints: DataFrame, least: float = LEAST) -> DataFrame:
             yield flush()
 
     spark = prints.sparkSession
-    prints = checkpointed(prints.where("bands is not null"))
+    prints = prints.where("bands is not null")
     bands = prints.select("node", F.explode("bands").alias("bucket"))
     shared = bands.join(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket")
     dealt = block_pairs(shared.withColumn("parts", parts_of("n", MOST)), "bucket").select("node", "key")
@@ -326,3 +326,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     smallest = found.groupBy("root").agg(F.min("least").alias("class_id"))
     named = found.select("text_key", "root").join(smallest, "root").select("text_key", "class_id")
     return whole.select(F.col(f"row.{id_col}").alias(id_col), F.col("own.text_key").alias("own_key")).join(named, F.col("own_key") == F.col("text_key")).select(id_col, "class_id")
+
+
+def oracle() -> str:
+    """DuckDB SQL for the rows of ``near_duplicates`` over ``documents``: all pairs of texts that share a shingle, and what they connect."""
+    upper, lower = ("".join(chr(c + k) for k in range(26)) for c in (65, 97))
+    return f"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+n AS (SELECT w, row_number() OVER () AS node, least_id FROM (SELECT w, min(doc_id) AS least_id FROM t GROUP BY w)),
+s AS (SELECT DISTINCT node, unnest(CASE WHEN len(w) >= {SHINGLE} THEN list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: list_slice(w, i, i + {SHINGLE - 1})) WHEN len(w) > 0 THEN [w] ELSE [] END) AS shingle FROM n),
+c AS (SELECT node, count(*) AS n FROM s GROUP BY node),
+pairs AS (SELECT a.node AS a, b.node AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.node < b.node GROUP BY a.node, b.node),
+e AS (SELECT a, b FROM pairs JOIN c x ON x.node = a JOIN c y ON y.node = b WHERE shared >= {LEAST} * (x.n + y.n - shared)),
+sides AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reached(node, root) AS (SELECT node, node FROM n UNION SELECT b, root FROM reached JOIN sides ON a = node),
+class AS (SELECT r.node, min(m.least_id) AS class_id FROM reached r JOIN n m ON m.node = r.root GROUP BY r.node)
+SELECT doc_id, class_id FROM t JOIN n USING (w) JOIN class USING (node)"""

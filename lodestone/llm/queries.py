@@ -66,4 +66,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_bpe_trie, op2_url_reputation, op3_quality_rules, op4_harmonic_packing, op5_toxicity_lexicon, op6_license_scan, op7_simhash_covering, op8_quality_ftrl, op9_minhash, op10_token_counts, minhash_near_duplicates)
 }
 
-ORACLES: dict[str, str] = {"op2_url_reputation": url_reputation.oracle(), "op3_quality_rules": quality_rules.oracle(), "op6_license_scan": license_scan.oracle()}
+ORACLES: dict[str, str] = {"op2_url_reputation": url_reputation.oracle(), "op3_quality_rules": quality_rules.oracle(), "op6_license_scan": license_scan.oracle(), "minhash_near_duplicates": minhash.oracle()}

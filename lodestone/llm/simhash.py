@@ -167,8 +167,10 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
         covers = [r[0] for r in rest.select("covered").distinct().collect()]  # no more than the masks of a level
         if not covers:
             return found
-        choice = F.create_map(*(x for c in covers for x in (F.lit(c), F.array(*(F.lit(signed(m)) for m in covering(radius, [p for p in range(BITS) if not c >> p & 1]))))))
-        rows = rest.select(F.col("a").alias("node"), F.col("b").alias("bits"), "bucket", "covered", F.explode(choice[F.col("covered")]).alias("mask"))
+        # the masks of the next level by what a key has covered: bits that are open halve, so there are at most three levels, and 15 * 15 rows here
+        masks = [(c, signed(m)) for c in covers for m in covering(radius, [p for p in range(BITS) if not c >> p & 1])]
+        level = spark.createDataFrame(masks, "covered long, mask long")
+        rows = rest.select(F.col("a").alias("node"), F.col("b").alias("bits"), "bucket", "covered").join(F.broadcast(level), "covered")
 
 
 def components(prints: DataFrame, id_col: str = "doc_id", radius: int = RADIUS) -> DataFrame:
