@@ -15,6 +15,8 @@ Rows without a vector are no members.
 from __future__ import annotations
 
 import math
+import uuid
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.vectors import matrix
 from lodestone.operators.knn import bank_bytes, collected, with_vector
 from lodestone.operators.split import seeded
-from lodestone.shared import checkpointed, ship
+from lodestone.shared import checkpointed, removed, shared_folder, ship
 
 ONE_TASK_BYTES = 256 << 20
 #: Rows that a pass brings to the driver.
@@ -56,6 +58,7 @@ def farthest_first(vectors: np.ndarray, first: int, m: int) -> list[int]:
 
 def sample(bank: DataFrame, ratio: float, seed: int = 0, id_col: str = "bank_id", vector: str = "emb", limit: int = ONE_TASK_BYTES) -> DataFrame:
     """The members: ``pick`` from 0 in order of selection, the id and the vector. All rows, in id order, if the target is no fewer."""
+    ship(bank.sparkSession)
     rows = with_vector(bank, vector).select(F.col(id_col).cast("long").alias(id_col), vector)
     n = rows.count()
     m = target(n, ratio)
@@ -100,13 +103,19 @@ def _relaxed(state: DataFrame, centers: np.ndarray, id_col: str, vector: str) ->
 
 def _distributed(rows: DataFrame, first: int, m: int, id_col: str, vector: str) -> DataFrame:
     spark = rows.sparkSession
-    ship(spark)
     schema = f"pick int, {id_col} long, {vector} {rows.schema[vector].dataType.simpleString()}"
     _, fresh = collected(rows.where(F.col(id_col) == first), id_col, vector)
     picks, written, done = [(0, first, fresh[0].tolist())], None, 1
     state = rows.withColumn("near", F.lit(math.inf))
-    while done < m:
-        state = checkpointed(_relaxed(state, fresh, id_col, vector))
+    folder = f"{shared_folder(spark)}/coreset-{uuid.uuid4().hex}"
+    for step in count():
+        if done >= m:
+            break
+        # as Parquet, so that the searches below read two columns or a few rows; the pass before is removed, so two are on disk at most
+        _relaxed(state, fresh, id_col, vector).write.parquet(f"{folder}/{step}")
+        state = spark.read.parquet(f"{folder}/{step}")
+        if step:
+            removed(spark, f"{folder}/{step - 1}")
         top = state.orderBy(F.desc("near"), id_col).limit(CANDIDATES + 1).select(id_col, "near").collect()
         bound = top[CANDIDATES]["near"] if len(top) > CANDIDATES else -1.0
         near = {r[id_col]: r["near"] for r in top[:CANDIDATES]}
@@ -123,4 +132,5 @@ def _distributed(rows: DataFrame, first: int, m: int, id_col: str, vector: str)
         if len(picks) >= PART or done == m:
             part = checkpointed(spark.createDataFrame(picks, schema))
             written, picks = part if written is None else written.unionByName(part), []
+    removed(spark, folder)
     return written if written is not None else spark.createDataFrame(picks, schema)

@@ -9,6 +9,8 @@ A query without a vector has no neighbours, and a bank row without one is nobody
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -116,13 +118,23 @@ def merged(found: DataFrame, keys: list[str], k: int, id_col: str = "bank_id") -
     return found.drop("rank").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*keys, "rank", id_col, "d2")
 
 
-def averaged(neighbours: DataFrame, keys: list[str], metric: str, k: int | None = None) -> DataFrame:
-    """Per query: ``dist``, the mean over its neighbours (the first k of them) in ascending order."""
-    rows = neighbours if k is None else neighbours.where(F.col("rank") <= k)
+def _listed(neighbours: DataFrame, keys: list[str]) -> DataFrame:
+    """Per query: ``near``, its squared distances in ascending order."""
     squared = F.transform(F.sort_array(F.collect_list(F.struct("rank", "d2"))), lambda p: p["d2"])
-    return rows.groupBy(*keys).agg(squared.alias("near")).select(*keys, average_of(F.col("near"), metric).alias("dist"))
+    return neighbours.groupBy(*keys).agg(squared.alias("near"))
+
+
+def averaged(neighbours: DataFrame, keys: list[str], metric: str) -> DataFrame:
+    """Per query: ``dist``, the mean over its neighbours in ascending order."""
+    return _listed(neighbours, keys).select(*keys, average_of(F.col("near"), metric).alias("dist"))
+
+
+def averaged_each(neighbours: DataFrame, keys: list[str], metric: str, ks: list[int], name: str) -> DataFrame:
+    """Per query and k (``name``): ``dist``, the mean over its first k neighbours. One grouping serves all k."""
+    rows = _listed(neighbours, keys).withColumn(name, F.explode(F.array(*map(F.lit, ks))))
+    return rows.select(*keys, name, average_of(F.slice("near", 1, F.col(name)), metric).alias("dist"))
 
 
-def image_scores(patch_scores: DataFrame, id_col: str = "image_id") -> DataFrame:
-    """Per image: ``score``, the greatest patch distance."""
-    return patch_scores.groupBy(id_col).agg(F.max("dist").alias("score"))
+def image_scores(patch_scores: DataFrame, id_col: str = "image_id", by: Sequence[str] = ()) -> DataFrame:
+    """Per image (and group of ``by``): ``score``, the greatest patch distance."""
+    return patch_scores.groupBy(id_col, *by).agg(F.max("dist").alias("score"))

@@ -6,6 +6,9 @@ and the next partition's first key.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from itertools import groupby
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,23 +18,29 @@ from lodestone.shared import checkpointed
 FEW = 10_000
 
 
-def running(df: DataFrame, key: str, sums: list[str]) -> DataFrame:
-    """Rows of distinct ``key`` with ``cum_<s>`` for each sum (this row included) and ``next_key``, the next greater key or null."""
+def running(df: DataFrame, key: str, sums: list[str], by: Sequence[str] = ()) -> DataFrame:
+    """Rows of distinct ``key`` with ``cum_<s>`` for each sum (this row included) and ``next_key``, the next greater key or null.
+
+    With ``by`` (columns without nulls, of few values) each group is summed by itself, all in the same jobs.
+    """
     spark = df.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = checkpointed(df.repartitionByRange(n, key).withColumn("part", F.spark_partition_id()))
-    parts = dealt.groupBy("part").agg(F.min(key).alias("low"), *(F.sum(s).alias(s) for s in sums)).orderBy("part").collect()  # one row per partition
-    before, total = [], dict.fromkeys(sums, 0)
-    for k, r in enumerate(parts):
-        before.append((r["part"], *(int(total[s]) for s in sums), parts[k + 1]["low"] if k + 1 < len(parts) else None))
-        total = {s: total[s] + r[s] for s in sums}
-    kind = df.schema[key].dataType.simpleString()
-    offsets = spark.createDataFrame(before, "part int, " + "".join(f"before_{s} long, " for s in sums) + f"after {kind}")
-    up_to = Window.partitionBy("part").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    out = dealt.join(F.broadcast(offsets), "part")
+    dealt = checkpointed(df.repartitionByRange(n, *by, key).withColumn("part", F.spark_partition_id()))
+    parts = dealt.groupBy(*by, "part").agg(F.min(key).alias("low"), *(F.sum(s).alias(s) for s in sums)).orderBy(*by, "part").collect()  # one row per partition and group
+    before = []
+    for _, group in groupby(parts, lambda r: tuple(r[c] for c in by)):
+        own, total = list(group), dict.fromkeys(sums, 0)
+        for r, after in zip(own, [*own[1:], None], strict=True):
+            before.append((*(r[c] for c in by), r["part"], *(int(total[s]) for s in sums), after and after["low"]))
+            total = {s: total[s] + r[s] for s in sums}
+    kind = lambda c: f"{c} {df.schema[c].dataType.simpleString()}, "
+    offsets = spark.createDataFrame(before, "".join(map(kind, by)) + "part int, " + "".join(f"before_{s} long, " for s in sums) + f"after {df.schema[key].dataType.simpleString()}")
+    inside = Window.partitionBy(*by, "part").orderBy(key)
+    up_to = inside.rowsBetween(Window.unboundedPreceding, 0)
+    out = dealt.join(F.broadcast(offsets), [*by, "part"])
     for s in sums:
         out = out.withColumn(f"cum_{s}", F.col(f"before_{s}") + F.sum(s).over(up_to))
-    out = out.withColumn("next_key", F.coalesce(F.lead(key).over(Window.partitionBy("part").orderBy(key)), F.col("after")))
+    out = out.withColumn("next_key", F.coalesce(F.lead(key).over(inside), F.col("after")))
     return out.drop("part", "after", *(f"before_{s}" for s in sums))
 
 

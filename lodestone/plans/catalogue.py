@@ -420,10 +420,10 @@ _KS = "WITH " + f"{BANK}, q AS (SELECT image_id, class, data AS emb FROM maps),
 
 @query(_KS + " " + " UNION ALL ".join(f"SELECT *, {k}::BIGINT AS num_neighbors FROM {sql_best(f's{k}')}" for k in tuning.NEIGHBOR_CANDIDATES))
 def k_sweep(spark, sf_dir):
-    near = checkpointed(knn.nearest(tables.vectors(spark, sf_dir), ["image_id"], tables.bank(spark, sf_dir), max(tuning.NEIGHBOR_CANDIDATES)))
-    classes = tables.maps(spark, sf_dir).select("image_id", "class")
-    scored = lambda k: knn.averaged(near, ["image_id"], "squared_euclidean", k).select("image_id", F.round("dist", 6).alias("score")).join(classes, "image_id")
-    return _long(tuning.sweep(spark, "num_neighbors", tuning.NEIGHBOR_CANDIDATES, scored), "num_neighbors")
+    near = knn.nearest(tables.vectors(spark, sf_dir), ["image_id"], tables.bank(spark, sf_dir), max(tuning.NEIGHBOR_CANDIDATES))
+    distances = knn.averaged_each(near, ["image_id"], "squared_euclidean", list(tuning.NEIGHBOR_CANDIDATES), "num_neighbors")
+    scored = distances.withColumn("score", F.round("dist", 6)).join(tables.maps(spark, sf_dir).select("image_id", "class"), "image_id")
+    return _long(tuning.best_threshold(scored, ["num_neighbors"]), "num_neighbors")
 
 
 @query("SELECT DISTINCT p::BIGINT AS ann_probes FROM (SELECT unnest([1, 2, 4, 6, 8, 12, 16, 24, 32]) AS p UNION ALL SELECT 10) WHERE p BETWEEN 1 AND 10")
@@ -442,9 +442,10 @@ _PS = tuning.probe_candidates(CLUSTERS)
 )
 def probe_sweep(spark, sf_dir):
     index = _index(spark, sf_dir)
-    every, classes = tables.vectors(spark, sf_dir), tables.maps(spark, sf_dir).select("image_id", "class")
-    scored = lambda p: knn.averaged(ivf.nearest_probed(every, ["image_id"], *index, K, p), ["image_id"], "squared_euclidean").select("image_id", F.round("dist", 6).alias("score")).join(classes, "image_id")
-    return _long(tuning.sweep(spark, "ann_probes", _PS, scored), "ann_probes")
+    every, shared = tables.vectors(spark, sf_dir), ivf.shared_cells(*index)
+    distances = tuning.each("ann_probes", _PS, lambda p: knn.averaged(ivf.nearest_probed(every, ["image_id"], *index, K, p, shared=shared), ["image_id"], "squared_euclidean"))
+    scored = distances.withColumn("score", F.round("dist", 6)).join(tables.maps(spark, sf_dir).select("image_id", "class"), "image_id")
+    return _long(tuning.best_threshold(scored, ["ann_probes"]), "ann_probes")
 
 
 @query(f"WITH {sql_scores()} SELECT CASE WHEN score > {MANUAL} THEN 'NG' ELSE 'OK' END AS label, count(*) AS n FROM scores GROUP BY 1")

@@ -87,18 +87,19 @@ def train(maps: DataFrame, config: EngineConfig, shape: tuple[int, int, int], se
 
 def search_neighbors(scorer: Scorer, labelled: DataFrame, candidates=tuning.NEIGHBOR_CANDIDATES) -> list[dict]:
     """The best threshold for every k, from one list of the most neighbours: the nearest k are its first."""
-    most = max(candidates)
-    near = checkpointed(scorer.neighbours(labelled, most))
-    classes = labelled.select("image_id", "class")
-    scored = lambda k: knn.image_scores(knn.averaged(near, KEYS, scorer.model.metric, k)).join(classes, "image_id")
-    return [r.asDict() for r in tuning.sweep(labelled.sparkSession, "num_neighbors", candidates, scored).collect()]
+    name = "num_neighbors"
+    ks = tuning.candidates_of(name, candidates)
+    distances = knn.averaged_each(scorer.neighbours(labelled, max(ks)), KEYS, scorer.model.metric, ks, name)
+    scored = knn.image_scores(distances, by=[name]).join(labelled.select("image_id", "class"), "image_id")
+    return [r.asDict() for r in tuning.best_threshold(scored, [name]).collect()]
 
 
 def search_probes(scorer: Scorer, labelled: DataFrame, k: int, candidates=None) -> list[dict]:
-    found = tuning.probe_candidates(scorer.model.ann_clusters, candidates)
-    classes = labelled.select("image_id", "class")
-    scored = lambda p: scorer.scores(labelled, k, p).join(classes, "image_id")
-    return [r.asDict() for r in tuning.sweep(labelled.sparkSession, "ann_probes", found, scored).collect()]
+    """The best threshold for every number of probes; their scores are one table."""
+    name = "ann_probes"
+    found = tuning.each(name, tuning.probe_candidates(scorer.model.ann_clusters, candidates), lambda p: scorer.scores(labelled, k, p))
+    scored = found.join(labelled.select("image_id", "class"), "image_id")
+    return [r.asDict() for r in tuning.best_threshold(scored, [name]).collect()]
 
 
 def train_and_tune(maps: DataFrame, config: EngineConfig, shape: tuple[int, int, int], progress: Progress | None = None, search_probe_counts: bool = True) -> Trained:

@@ -219,10 +219,55 @@ def test_thresholds(spark):
         assert (r["threshold"], r["f1"]) == (pytest.approx(t), pytest.approx(f1))
         assert r["tp"] == sum(x > t for x in ng) and r["tn"] == sum(x <= t for x in ok)
     assert tuning.best_threshold(labelled(spark, [1, 2], [])).count() == 0
+    # all groups at once; one without NG rows has no threshold
+    every = labelled(spark, [1, 2], []).withColumn("k", F.lit(99))
+    for k, (ok, ng) in enumerate(cases):
+        every = every.unionByName(labelled(spark, ok, ng).withColumn("k", F.lit(k)))
+    got = {r["k"]: (r["threshold"], r["f1"]) for r in tuning.best_threshold(every, ["k"]).collect()}
+    assert got == {k: pytest.approx(brute_best(*case)) for k, case in enumerate(cases)}
+    assert tuning.best_threshold(every.limit(0), ["k"]).count() == 0
     r = tuning.confusion(labelled(spark, [1.0], []), 1.0).first()
     assert (r["tn"], r["fp"], r["f1"], r["precision"]) == (1, 0, 0.0, 0.0)  # equal to the threshold is OK
 
 
+def test_averages_for_several_k(spark):
+    near = knn.nearest(vectors(spark, [[0, 0], [9, 1]], "image_id"), ["image_id"], vectors(spark, [[1, 0], [0, 2], [3, 0]]), 3)
+    each = knn.averaged_each(near, ["image_id"], "squared_euclidean", [1, 2, 5], "k")
+    got = {(r["image_id"], r["k"]): r["dist"] for r in each.collect()}
+    for k in (1, 2, 5):
+        for r in knn.averaged(near.where(F.col("rank") <= k), ["image_id"], "squared_euclidean").collect():
+            assert got.pop((r["image_id"], k)) == r["dist"]
+    assert not got
+    with pytest.raises(ValueError):
+        tuning.candidates_of("k", [])
+
+
+@pytest.mark.parametrize("module, call", [
+    (knn, lambda b, q: knn.nearest(q, ["image_id"], b, 1)), (knn, lambda b, q: knn.nearest(q, ["image_id"], b, 1, limit=0)),
+    (ivf, lambda b, q: ivf.build(b, 2)), (ivf, lambda b, q: ivf.probes(q, ["image_id"], np.zeros((2, 2)), 1)),
+    (coreset, lambda b, q: coreset.sample(b, 0.5)), (coreset, lambda b, q: coreset.sample(b, 0.5, limit=0)),
+    (features, lambda b, q: features.patches(q, "image_id", "emb", (1, 1, 2))),
+])
+def test_code_is_shipped(spark, monkeypatch, module, call):
+    """Workers of a cluster have this package only if the operator hands it over."""
+    sent = []
+    monkeypatch.setattr(module, "ship", lambda session: sent.append(session))
+    call(vectors(spark, [[0, 1], [2, 3], [4, 5]]), vectors(spark, [[0, 0]], "image_id"))
+    assert sent
+
+
+def test_passes_of_a_coreset_leave_nothing(spark):
+    import os
+    import urllib.parse
+
+    from lodestone.shared import shared_folder
+
+    folder = urllib.parse.urlparse(shared_folder(spark)).path
+    picks = coreset.sample(vectors(spark, [[k * k, k] for k in range(40)]), 0.25, limit=0).orderBy("pick")
+    assert [r["bank_id"] for r in picks.collect()] == [r["bank_id"] for r in coreset.sample(vectors(spark, [[k * k, k] for k in range(40)]), 0.25).orderBy("pick").collect()]
+    assert not [f for f in os.listdir(folder) if f.startswith("coreset-")]
+
+
 def test_searches():
     rows = [{"num_neighbors": k, "f1": f, "threshold": 0.0} for k, f in ((1, 0.5), (3, 0.7), (5, 0.7), (9, 0.6))]
     assert tuning.best_neighbors(rows)["num_neighbors"] == 3
@@ -249,6 +294,12 @@ def test_running(spark):
     for k, r in enumerate(got):
         total += r["n"]
         assert r["cum_n"] == total and r["next_key"] == (got[k + 1]["s"] if k + 1 < len(got) else None)
+    parted = ordered.running(df.withColumn("g", F.expr("int(sqrt(s))")), "s", ["n"], ["g"]).orderBy("g", "s").collect()
+    assert len(parted) == 101
+    for k, r in enumerate(parted):
+        same = [x for x in parted if x["g"] == r["g"]]
+        assert r["cum_n"] == sum(x["n"] for x in same if x["s"] <= r["s"])
+        assert r["next_key"] == min((x["s"] for x in same if x["s"] > r["s"]), default=None)
 
 
 def test_scalars(spark):

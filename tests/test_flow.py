@@ -169,10 +169,7 @@ def test_predictions_against_numpy(spark, sf_dir):
     assert got == pytest.approx(score(query))
 
 
-QUICK = [n for n in catalogue.ORACLES if n not in ("probe_sweep", "k_sweep")]
-
-
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", catalogue.ORACLES)
 def test_oracle(spark, sf_dir, duck, name):
     same_rows(catalogue.QUERIES[name](spark, sf_dir), duck.execute(catalogue.ORACLES[name]))
 
