@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Callable
 from itertools import count
 
 import numpy as np
@@ -56,8 +57,11 @@ def farthest_first(vectors: np.ndarray, first: int, m: int) -> list[int]:
     return chosen
 
 
-def sample(bank: DataFrame, ratio: float, seed: int = 0, id_col: str = "bank_id", vector: str = "emb", limit: int = ONE_TASK_BYTES) -> DataFrame:
-    """The members: ``pick`` from 0 in order of selection, the id and the vector. All rows, in id order, if the target is no fewer."""
+def sample(bank: DataFrame, ratio: float, seed: int = 0, id_col: str = "bank_id", vector: str = "emb", limit: int = ONE_TASK_BYTES, report: Callable[[int, int], None] | None = None) -> DataFrame:
+    """The members: ``pick`` from 0 in order of selection, the id and the vector. All rows, in id order, if the target is no fewer.
+
+    Sampling in passes tells ``report`` after each how many members it has, and of how many.
+    """
     ship(bank.sparkSession)
     rows = with_vector(bank, vector).select(F.col(id_col).cast("long").alias(id_col), vector)
     n = rows.count()
@@ -82,7 +86,7 @@ def sample(bank: DataFrame, ratio: float, seed: int = 0, id_col: str = "bank_id"
                 yield from out.combine_chunks().to_batches()
 
         return rows.repartition(1).mapInArrow(run, f"pick int, {id_col} long, {vector} {kind}")
-    return _distributed(rows, first, m, id_col, vector)
+    return _distributed(rows, first, m, id_col, vector, report)
 
 
 def _relaxed(state: DataFrame, centers: np.ndarray, id_col: str, vector: str) -> DataFrame:
@@ -101,7 +105,7 @@ def _relaxed(state: DataFrame, centers: np.ndarray, id_col: str, vector: str) ->
     return state.mapInArrow(run, state.schema)
 
 
-def _distributed(rows: DataFrame, first: int, m: int, id_col: str, vector: str) -> DataFrame:
+def _distributed(rows: DataFrame, first: int, m: int, id_col: str, vector: str, report: Callable[[int, int], None] | None) -> DataFrame:
     spark = rows.sparkSession
     schema = f"pick int, {id_col} long, {vector} {rows.schema[vector].dataType.simpleString()}"
     _, fresh = collected(rows.where(F.col(id_col) == first), id_col, vector)
@@ -129,6 +133,8 @@ def _distributed(rows: DataFrame, first: int, m: int, id_col: str, vector: str)
             np.minimum(left, squared_from(vectors, vectors[at]), out=left)
             done += 1
         fresh = vectors[members]
+        if report:
+            report(done, m)
         if len(picks) >= PART or done == m:
             part = checkpointed(spark.createDataFrame(picks, schema))
             written, picks = part if written is None else written.unionByName(part), []

@@ -68,14 +68,14 @@ class Scorer:
         return features.score_map(self.patch_scores(maps), "image_id", h // f, w // f).withColumn("score", F.array_max("scores"))
 
 
-def train(maps: DataFrame, config: EngineConfig, shape: tuple[int, int, int], seed: int = 0) -> Model:
+def train(maps: DataFrame, config: EngineConfig, shape: tuple[int, int, int], seed: int = 0, progress: Progress | None = None) -> Model:
     """A model of normal maps: patches (not downscaled), their coreset, and the 95th percentile of the maps' own scores as threshold."""
     c, h, w = shape
     found = features.patches(maps, "image_id", "data", shape, config.patch_size)
     if found.isEmpty():
         raise ValueError("there is no image to train on")
     bank = found.select((F.col("image_id").cast("long") * (h * w) + F.col("patch_idx")).alias("bank_id"), "emb") if dict(maps.dtypes)["image_id"] in ("bigint", "int") else found.select(F.xxhash64("image_id", "patch_idx").alias("bank_id"), "emb")
-    picked = checkpointed(coreset.sample(bank, config.coreset_ratio, seed))
+    picked = checkpointed(coreset.sample(bank, config.coreset_ratio, seed, report=(progress or Progress()).counter("coreset")))
     members = picked.select(F.col("pick").cast("long").alias("bank_id"), "emb")
     model = Model(
         bank=members, embed_dim=c, height=h, width=w, threshold=0.0, patch_size=config.patch_size, num_neighbors=config.num_neighbors, coreset_ratio=config.coreset_ratio, image_size=config.image_size,
@@ -110,7 +110,7 @@ def train_and_tune(maps: DataFrame, config: EngineConfig, shape: tuple[int, int,
     with steps.step("split"):
         parts = checkpointed(split.split(maps.select("image_id", "data", "class"), "image_id", "class", config.seed, (config.train_ratio, config.tune_ratio, config.test_ratio), config.ng_tune_ratio, counts))
     with steps.step("train"):
-        model = train(parts.where("subset = 'train' and class = 'OK'"), config, shape)
+        model = train(parts.where("subset = 'train' and class = 'OK'"), config, shape, progress=steps)
         out = Trained(model)
         scorer = Scorer(model, shape)
     if split.can_tune(parts):

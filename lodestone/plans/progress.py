@@ -38,6 +38,17 @@ class Progress:
             self.stages[name] = self.stages.get(name, 0.0) + 1000 * (time.perf_counter() - began)
             self.report(f"{name} {elapsed(self.stages[name])}")
 
+    def counter(self, name: str) -> Callable[[int, int], None]:
+        """What to tell a step's progress to, as (done, all): a line has the share, the time so far, and the time left at this rate."""
+        began = time.perf_counter()
+
+        def told(done: int, every: int) -> None:
+            ms = 1000 * (time.perf_counter() - began)
+            left = elapsed(ms / done * (every - done)) if done else "?"
+            self.report(f"{name} {done}/{every} ({100 * done / max(1, every):.0f}%) | {elapsed(ms)} | {left} left")
+
+        return told
+
     @property
     def total(self) -> float:
         return sum(self.stages.values())

@@ -67,6 +67,11 @@ def _session(file: str, use_gpu: bool = False, device: int = 0):
     return onnxruntime.InferenceSession(file, options, providers=providers(use_gpu, device))
 
 
+def forget_sessions() -> None:
+    """Opens files anew from here on: one of them was written."""
+    _session.cache_clear()
+
+
 def model_metadata(file: str) -> dict[str, str]:
     """The metadata map of a model file."""
     return dict(_session(file).get_modelmeta().custom_metadata_map)

@@ -266,6 +266,9 @@ def test_passes_of_a_coreset_leave_nothing(spark):
     picks = coreset.sample(vectors(spark, [[k * k, k] for k in range(40)]), 0.25, limit=0).orderBy("pick")
     assert [r["bank_id"] for r in picks.collect()] == [r["bank_id"] for r in coreset.sample(vectors(spark, [[k * k, k] for k in range(40)]), 0.25).orderBy("pick").collect()]
     assert not [f for f in os.listdir(folder) if f.startswith("coreset-")]
+    told = []
+    coreset.sample(vectors(spark, [[k * k, k] for k in range(40)]), 0.25, limit=0, report=lambda done, every: told.append((done, every)))
+    assert told[-1] == (10, 10) and told == sorted(told)
 
 
 def test_searches():
@@ -344,6 +347,12 @@ def test_progress():
     steps.stages = {"a": 750.0, "b": 250.0}
     assert steps.summary() == ["a 750ms | b 250ms | total 1.0s", "a 75.0% | b 25.0%"]
     assert Progress().summary() == ["total 0ms", ""]
+    tell = Progress(lines.append).counter("coreset")
+    tell(0, 8)
+    tell(2, 8)
+    tell(8, 8)
+    assert lines[-3].startswith("coreset 0/8 (0%) | ") and lines[-3].endswith("| ? left")
+    assert lines[-2].startswith("coreset 2/8 (25%) | ") and lines[-1].endswith("| 0ms left")
 
 
 def test_paths(tmp_path):

@@ -232,6 +232,26 @@ def test_networks(spark, folder, tmp_path):
         pipeline.Scorer(model, (33, 4, 4))
 
 
+def test_metadata_of_networks(tmp_path):
+    """Facts are written into a file, in place of older ones, and nothing else changes."""
+    from lodestone.sources import metadata
+
+    file = tmp_path / "n.onnx"
+    file.write_bytes(network(11, 16, {"author": "someone", "backbone_precision": "fp32"}))
+    x = np.random.default_rng(0).random((1, 3, 64, 64), dtype=np.float32)
+    before = images.onnx_extractor(file)(x)
+    for size in (224, 128):
+        metadata.attach(file, fused=True, precision="fp16", image_size=size, target_dim=33)
+        assert images.model_metadata(str(file)) == {"author": "someone", "backbone_preprocess": "fused", "backbone_precision": "fp16", "backbone_image_size": str(size), "backbone_target_dim": "33"}
+    assert images.model_facts(str(file)) == ("fused", "float16") and np.array_equal(images.onnx_extractor(file)(x), before)
+    plain = network(1, 16, {})
+    assert metadata.with_entries(plain, {}) == plain
+    long = "x" * 300
+    assert metadata.with_entries(metadata.with_entries(plain, {"k": long}), {"k": "v"}) == metadata.with_entries(plain, {"k": "v"})
+    with pytest.raises(ValueError):
+        metadata.with_entries(plain[:-3], {"k": "v"})
+
+
 def lines_of(text):
     return {line.split()[0].rpartition("/")[2]: (line.split()[1], line.rpartition("=")[2]) for line in text.splitlines() if "score=" in line}
 
