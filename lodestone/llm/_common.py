@@ -36,7 +36,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def arrow_map(df: DataFrame, columns: list, fn: Callable, schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, columns: list, fn: Callable, schema) -> DataFrame:
     """``fn`` over Arrow record batches of only the named columns.
 
     Selecting first keeps clashing extra columns of the caller out of the operator, and out of

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import alignment, bpe_trie, license_scan, minhash, packing, quality_classifier, quality_rules, simhash, token_counts, toxicity, url_reputation
+from lodestone.llm import alignment, bpe_trie, golden_record, license_scan, minhash, packing, quality_classifier, quality_rules, simhash, token_counts, toxicity, url_reputation
 from lodestone.llm._common import read
 
 
@@ -61,13 +61,17 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.agreement(read(spark, sf_dir, "documents"))
 
 
+def op13_golden_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golden_record.golden(read(spark, sf_dir, "clients"))
+
+
 def minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rest of operator 9: bands of the signatures joined, and the Jaccard similarity of the shingles verified."""
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe_trie, op2_url_reputation, op3_quality_rules, op4_harmonic_packing, op5_toxicity_lexicon, op6_license_scan, op7_simhash_covering, op8_quality_ftrl, op9_minhash, op10_token_counts, op11_token_alignment, minhash_near_duplicates)
+    f.__name__: f for f in (op1_bpe_trie, op2_url_reputation, op3_quality_rules, op4_harmonic_packing, op5_toxicity_lexicon, op6_license_scan, op7_simhash_covering, op8_quality_ftrl, op9_minhash, op10_token_counts, op11_token_alignment, op13_golden_record, minhash_near_duplicates)
 }
 
-ORACLES: dict[str, str] = {"op2_url_reputation": url_reputation.oracle(), "op3_quality_rules": quality_rules.oracle(), "op6_license_scan": license_scan.oracle(), "minhash_near_duplicates": minhash.oracle()}
+ORACLES: dict[str, str] = {"op2_url_reputation": url_reputation.oracle(), "op3_quality_rules": quality_rules.oracle(), "op6_license_scan": license_scan.oracle(), "op13_golden_record": golden_record.oracle(), "minhash_near_duplicates": minhash.oracle()}
