@@ -29,14 +29,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import arrow_map, blocks, kept, ragged
+from lodestone.llm._common import arrow_map, blocks, kept
 from lodestone.llm._vocab import _RUN, CHAR_BYTE, CodeBook, file_path
 from lodestone.shared import shared_folder
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
-#: The id that stands for a chunk whose tokens don't join to its bytes.
-BROKEN = -1
+#: The id that stands for a chunk whose tokens don't join to its bytes, and where a cached chunk's B ids begin.
+BROKEN, SECOND = -1, 1 << 20
+#: Text of a block: its arrays have some 150 times as many bytes for a moment.
+BLOCK = 1 << 20
 #: Sentencepiece's mark of a space.
 MARK = "▁"
 
@@ -71,29 +73,10 @@ class Side:
         self.lengths = np.array([len(t) for t in self.token], dtype=np.int64)
         if not self.lengths.all():
             raise ValueError(f"{file} has a token without bytes")
-        self.book = CodeBook(self._chunks)
-
-    def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        texts = chunks.to_pylist()
-        found = [ids if self.joined(ids) == (" " + t).encode() else [BROKEN] for t, ids in zip(texts, self.coded(texts), strict=True)]
-        sizes = np.array([len(x) for x in found], dtype=np.int64)
-        return sizes, np.fromiter((i for x in found for i in x), dtype=np.int32, count=int(sizes.sum()))
 
     def joined(self, ids: list[int]) -> bytes:
         return b"".join([self.token[i] for i in ids])
 
-    def texts(self, codes: np.ndarray, at: np.ndarray, chunks: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after the other, and the texts' offsets; a text with a broken chunk is coded whole, and has no ids if it's broken too."""
-        ids, at = self.book.texts(codes, at, chunks)
-        places = np.flatnonzero(ids == BROKEN)
-        for k in np.unique(np.searchsorted(at, places, side="right") - 1)[::-1].tolist():
-            text = texts[k].as_py()
-            whole = self.coded([text])[0]
-            whole = whole if self.joined(whole) == (" " + text).encode() else []
-            ids = np.concatenate([ids[: at[k]], np.array(whole, dtype=np.int32), ids[at[k + 1] :]])
-            at = np.concatenate([at[: k + 1], at[k + 1 :] + (len(whole) - (at[k + 1] - at[k]))])
-        return ids, at
-
 
 class Pairing:
     """Two sides, and every pair of their tokens of which one is a suffix of the other, numbered in order of (a, b)."""
@@ -108,6 +91,32 @@ class Pairing:
         pairs |= {(a, b) for b, t in enumerate(self.b.token) for k in range(1, len(t)) for a in by_bytes[0].get(t[k:], ())}
         self.shift = len(self.b.token)
         self.keys = np.sort(np.fromiter((a * self.shift + b for a, b in pairs), dtype=np.int64, count=len(pairs)))
+        self.book = CodeBook(self._chunks)
+
+    def _coded(self, texts: list[str]) -> list[list[int]]:
+        """Each text's A ids and then its B ids, these from SECOND; BROKEN alone if one side's tokens don't join to space + text."""
+        found = []
+        for t, a, b in zip(texts, self.a.coded(texts), self.b.coded(texts), strict=True):
+            whole = (" " + t).encode()
+            found.append([*a, *(i + SECOND for i in b)] if self.a.joined(a) == whole == self.b.joined(b) else [BROKEN])
+        return found
+
+    def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = self._coded(chunks.to_pylist())
+        sizes = np.array([len(x) for x in found], dtype=np.int64)
+        return sizes, np.fromiter((i for x in found for i in x), dtype=np.int32, count=int(sizes.sum()))
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A ids of all texts, one after the other, and the texts' offsets; then those of B. A text with a broken chunk is coded whole, and has no ids if it's broken too."""
+        ids, at = self.book.texts(*chunks_of(texts, self.a.chunked and self.b.chunked))
+        places = np.flatnonzero(ids == BROKEN)
+        for k in np.unique(np.searchsorted(at, places, side="right") - 1)[::-1].tolist():
+            whole = [i for i in self._coded([texts[k].as_py()])[0] if i != BROKEN]
+            ids = np.concatenate([ids[: at[k]], np.array(whole, dtype=np.int32), ids[at[k + 1] :]])
+            at = np.concatenate([at[: k + 1], at[k + 1 :] + (len(whole) - (at[k + 1] - at[k]))])
+        second = ids >= SECOND
+        before = np.concatenate(([0], np.cumsum(second)))[at]
+        return ids[~second], at - before, ids[second] - SECOND, before
 
     @property
     def b_of(self) -> np.ndarray:
@@ -158,12 +167,7 @@ class Aligned:
     """A block of documents cut where both sides end a token: ids and token offsets of each side, and the places of tokens that end at a cut."""
 
     def __init__(self, pair: Pairing, texts: pa.Array):
-        parts = chunks_of(texts, pair.a.chunked and pair.b.chunked)
-        a, at_a = pair.a.texts(*parts, texts)
-        b, at_b = pair.b.texts(*parts, texts)
-        none = (at_a[1:] == at_a[:-1]) | (at_b[1:] == at_b[:-1])  # a text counts only if both sides join to it
-        self.a, self.at_a = _without(a, at_a, none)
-        self.b, self.at_b = _without(b, at_b, none)
+        self.a, self.at_a, self.b, self.at_b = pair.texts(texts)
         ends_a, ends_b = np.cumsum(pair.a.lengths[self.a]), np.cumsum(pair.b.lengths[self.b])
         bytes_ = int(ends_a[-1]) + 1 if len(ends_a) else 1
         cut = (np.bincount(ends_a, minlength=bytes_) > 0) & (np.bincount(ends_b, minlength=bytes_) > 0)
@@ -201,12 +205,6 @@ class Aligned:
         return flat, ends[self.at_a + self.at_b]
 
 
-def _without(ids: np.ndarray, at: np.ndarray, none: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.where(none, 0, np.diff(at))
-    ids = ids[ragged(at[:-1], sizes)] if none.any() else ids
-    return ids, np.concatenate(([0], np.cumsum(sizes)))
-
-
 def _decimals(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The decimal digits of the numbers under ``n``, with room for one more byte, and how many digits each has."""
 
@@ -225,7 +223,7 @@ def align(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_file:
 
     def run(batches: Iterator[pa.RecordBatch]):
         pair = pairing(a_file, b_file)
-        for block in blocks(batches, 1):
+        for block in blocks(batches, 1, BLOCK):
             got = Aligned(pair, block.column(1))
             lists = lambda at, flat: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat))
             places = got.ends_a[got.last_a] - np.repeat(got.at[:-1], got.n_groups)
@@ -239,7 +237,7 @@ def _linked(df: DataFrame, id_col: str, text_col: str, a_file: str, b_file: str)
 
     def run(batches: Iterator[pa.RecordBatch]):
         pair = pairing(a_file, b_file)
-        for block in blocks(batches, 1, 2 << 20):
+        for block in blocks(batches, 1, BLOCK):
             got = Aligned(pair, block.column(1))
             a, b, at = got.links()
             text, bounds = got.written()
