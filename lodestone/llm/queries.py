@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import alignment, bpe_trie, golden_record, license_scan, minhash, packing, quality_classifier, quality_rules, simhash, token_counts, toxicity, url_reputation
+from lodestone.llm import alignment, bpe_trie, golden_record, license_scan, minhash, packing, pii, quality_classifier, quality_rules, simhash, token_counts, toxicity, url_reputation
 from lodestone.llm._common import read
 
 
@@ -61,6 +61,11 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.agreement(read(spark, sf_dir, "documents"))
 
 
+def op12_pii_semi_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return pii.digest(pii.find(docs, pii.learn(docs)))
+
+
 def op13_golden_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golden_record.golden(read(spark, sf_dir, "clients"))
 
@@ -71,7 +76,7 @@ def minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe_trie, op2_url_reputation, op3_quality_rules, op4_harmonic_packing, op5_toxicity_lexicon, op6_license_scan, op7_simhash_covering, op8_quality_ftrl, op9_minhash, op10_token_counts, op11_token_alignment, op13_golden_record, minhash_near_duplicates)
+    f.__name__: f for f in (op1_bpe_trie, op2_url_reputation, op3_quality_rules, op4_harmonic_packing, op5_toxicity_lexicon, op6_license_scan, op7_simhash_covering, op8_quality_ftrl, op9_minhash, op10_token_counts, op11_token_alignment, op12_pii_semi_markov, op13_golden_record, minhash_near_duplicates)
 }
 
 ORACLES: dict[str, str] = {"op2_url_reputation": url_reputation.oracle(), "op3_quality_rules": quality_rules.oracle(), "op6_license_scan": license_scan.oracle(), "op13_golden_record": golden_record.oracle(), "minhash_near_duplicates": minhash.oracle()}
