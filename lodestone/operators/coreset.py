@@ -3,37 +3,51 @@
 The first member is the row with the least seeded order; each next one is the row farthest from all
 members, the lowest id at equal distance. The result keeps the order of selection.
 
-Each pick depends on the one before. A bank within ONE_TASK_BYTES is sampled by one task in numpy. A larger one is sampled in passes
-over the rows: the members found since the last pass are sent out, minima are relaxed where the rows are, and the CANDIDATES rows
-with the greatest minima come to the driver. Minima only fall, so no other row can be farther than the first one left
-out: as long as the farthest candidate is beyond it, the driver picks on among the candidates exactly as a pass over
-all rows would. A pass thus gives many members; the work stays that of the greedy method, members times rows.
+Each pick depends on the one before. A bank within ONE_TASK_BYTES is sampled by one task in numpy. A larger one is sampled in passes,
+by bounds that leave out what no pick can depend on, and with the very members of the greedy method:
+
+- Rows are dealt once into pieces: those nearest to the same pivot, cut into slices of bounded size. Their vectors are written once, bucketed by
+  piece, and never again.
+- What a row is from its nearest member only falls. So a piece's greatest such distance, from whenever it was last taken, bounds all its rows: while it
+  is below the distances at which members are being picked, the piece isn't read.
+- A member reaches a piece only if it is closer to the piece's pivot than the piece's radius and that bound together (the triangle inequality); all
+  others are left out for the piece.
+- A pass takes the pieces of the greatest bounds up to date in one join without a shuffle of vectors, and writes their rows' ids and distances only. The rows
+  farthest from the members come to the driver, CANDIDATES at most, and members are picked among them for as long as none outside can be
+  farther than the farthest candidate. A candidate's own distance is taken up to date only when it stands first.
+- In a task, norms and a matrix product leave the pairs that may be a row's nearest, whose distances are then taken exactly.
 
 Rows without a vector are no members.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import uuid
 from collections.abc import Callable
-from itertools import count
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.vectors import matrix
+from lodestone.functions.vectors import Bank, matrix
+from lodestone.operators import ordered
 from lodestone.operators.knn import bank_bytes, collected, with_vector
 from lodestone.operators.split import seeded
 from lodestone.shared import checkpointed, removed, shared_folder, ship
 
-ONE_TASK_BYTES = 256 << 20
-#: Rows that a pass brings to the driver.
-CANDIDATES = 512
+ONE_TASK_BYTES = 16 << 20
+#: Rows that a pass brings to the driver, and the bytes of their vectors.
+CANDIDATES, CANDIDATE_BYTES = 8192, 8 << 20
 #: Members that the driver holds before it hands them over.
 PART = 5000
+#: Members that a piece may lag behind, and the bytes of their vectors: they are sent to the workers.
+LAG, LAG_BYTES = 16_384, 32 << 20
+#: Pivots at most, rows for each, and rows of a piece.
+PIVOTS, ROWS_A_PIVOT, PIECE_ROWS = 256, 1000, 50_000
 
 
 def target(n: int, ratio: float) -> int:
@@ -57,10 +71,22 @@ def farthest_first(vectors: np.ndarray, first: int, m: int) -> list[int]:
     return chosen
 
 
-def sample(bank: DataFrame, ratio: float, seed: int = 0, id_col: str = "bank_id", vector: str = "emb", limit: int = ONE_TASK_BYTES, report: Callable[[int, int], None] | None = None) -> DataFrame:
+@dataclass
+class Work:
+    """What sampling in passes did: passes, rows taken up to date, and pairs of a row and a member whose distance was taken exactly."""
+
+    passes: int = 0
+    rows: int = 0
+    pairs: int = 0
+    members: int = 0
+
+
+def sample(
+    bank: DataFrame, ratio: float, seed: int = 0, id_col: str = "bank_id", vector: str = "emb", limit: int = ONE_TASK_BYTES, report: Callable[[int, int], None] | None = None, work: Work | None = None
+) -> DataFrame:
     """The members: ``pick`` from 0 in order of selection, the id and the vector. All rows, in id order, if the target is no fewer.
 
-    Sampling in passes tells ``report`` after each how many members it has, and of how many.
+    Sampling in passes tells ``report`` after each how many members it has, and of how many, and fills ``work``.
     """
     ship(bank.sparkSession)
     rows = with_vector(bank, vector).select(F.col(id_col).cast("long").alias(id_col), vector)
@@ -70,9 +96,7 @@ def sample(bank: DataFrame, ratio: float, seed: int = 0, id_col: str = "bank_id"
     if n == 0:
         return rows.select(F.lit(0).alias("pick"), id_col, vector)
     first = rows.orderBy(seeded(seed, F.col(id_col)), id_col).select(id_col).first()[0]
-    if bank_bytes(rows, vector) <= limit or m >= n:
-        if m >= n and bank_bytes(rows, vector) > limit:
-            raise ValueError("a coreset of all rows needs no sampling: use the bank")
+    if bank_bytes(rows, vector) <= limit:
 
         def run(batches):
             table = pa.Table.from_batches(list(batches)).combine_chunks().sort_by(id_col)
@@ -86,57 +110,223 @@ def sample(bank: DataFrame, ratio: float, seed: int = 0, id_col: str = "bank_id"
                 yield from out.combine_chunks().to_batches()
 
         return rows.repartition(1).mapInArrow(run, f"pick int, {id_col} long, {vector} {kind}")
-    return _distributed(rows, first, m, id_col, vector, report)
-
-
-def _relaxed(state: DataFrame, centers: np.ndarray, id_col: str, vector: str) -> DataFrame:
-    """The state (id, vector, ``near``) with ``near`` no greater than the squared distance from any of the new members."""
-    shared = state.sparkSession.sparkContext.broadcast(centers)  # CANDIDATES at most
-
-    def run(batches):
-        for batch in batches:
-            near = batch.column(2).to_numpy().copy()
-            if len(near):
-                own = matrix(batch.column(1)).astype(np.float64)
-                for c in shared.value:
-                    np.minimum(near, squared_from(own, c), out=near)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near)], names=[id_col, vector, "near"])
-
-    return state.mapInArrow(run, state.schema)
-
-
-def _distributed(rows: DataFrame, first: int, m: int, id_col: str, vector: str, report: Callable[[int, int], None] | None) -> DataFrame:
-    spark = rows.sparkSession
-    schema = f"pick int, {id_col} long, {vector} {rows.schema[vector].dataType.simpleString()}"
-    _, fresh = collected(rows.where(F.col(id_col) == first), id_col, vector)
-    picks, written, done = [(0, first, fresh[0].tolist())], None, 1
-    state = rows.withColumn("near", F.lit(math.inf))
-    folder = f"{shared_folder(spark)}/coreset-{uuid.uuid4().hex}"
-    for step in count():
-        if done >= m:
-            break
-        # as Parquet, so that the searches below read two columns or a few rows; the pass before is removed, so two are on disk at most
-        _relaxed(state, fresh, id_col, vector).write.parquet(f"{folder}/{step}")
-        state = spark.read.parquet(f"{folder}/{step}")
-        if step:
-            removed(spark, f"{folder}/{step - 1}")
-        top = state.orderBy(F.desc("near"), id_col).limit(CANDIDATES + 1).select(id_col, "near").collect()
-        bound = top[CANDIDATES]["near"] if len(top) > CANDIDATES else -1.0
-        near = {r[id_col]: r["near"] for r in top[:CANDIDATES]}
-        ids, vectors = collected(state.where(F.col(id_col).isin(list(near))), id_col, vector)
-        left = np.array([near[i] for i in ids.tolist()])
-        members = []
-        while done < m and (not members or left.max() > bound):
-            at = int(np.argmax(left))  # ids ascend, so the lowest of equals
-            members.append(at)
-            picks.append((done, int(ids[at]), vectors[at].tolist()))
-            np.minimum(left, squared_from(vectors, vectors[at]), out=left)
-            done += 1
-        fresh = vectors[members]
-        if report:
-            report(done, m)
-        if len(picks) >= PART or done == m:
-            part = checkpointed(spark.createDataFrame(picks, schema))
-            written, picks = part if written is None else written.unionByName(part), []
-    removed(spark, folder)
-    return written if written is not None else spark.createDataFrame(picks, schema)
+    if m >= n:
+        numbered = ordered.running(rows.withColumn("one", F.lit(1).cast("long")), id_col, ["one"])
+        return numbered.select((F.col("cum_one") - 1).cast("int").alias("pick"), id_col, vector)
+    return _Passes(rows, n, first, m, id_col, vector).members(report, work or Work())
+
+
+def relaxed(near: np.ndarray, own: np.ndarray, members: np.ndarray, slab: int = 4_000_000) -> int:
+    """Lowers ``near`` to the squared distances from ``own`` rows to the nearest of ``members``; returns the pairs whose distance was taken."""
+    taken = 0
+    norms = np.einsum("ij,ij->i", members, members)
+    largest = float(norms.max(initial=0.0))
+    step = max(1, slab // max(1, len(members)))
+    for at in range(0, len(own) if len(members) else 0, step):
+        rows, now = own[at : at + step], near[at : at + step]
+        squares = np.einsum("ij,ij->i", rows, rows)
+        rough = rows @ members.T
+        rough *= -2
+        rough += squares[:, None]
+        rough += norms
+        slack = 1e-12 * (own.shape[1] + 4) * (squares + largest)  # over any error of the product
+        bound = np.minimum(now, rough.min(axis=1) + slack) + slack
+        row, column = np.nonzero(rough <= bound[:, None])
+        np.minimum.at(now, row, squared_from(rows[row], members[column]))
+        taken += len(row)
+    return taken
+
+
+@dataclass
+class _Pieces:
+    """The pieces on the driver: for each its pivot, radius and rows, a bound of its rows' squared distances to the members, the members it has been held against, and the table that its distances are in."""
+
+    pivot: np.ndarray
+    radius: np.ndarray
+    size: np.ndarray
+    high: np.ndarray = field(init=False)
+    upto: np.ndarray = field(init=False)
+    table: np.ndarray = field(init=False)
+
+    def __post_init__(self):
+        n = len(self.pivot)
+        self.high, self.upto, self.table = np.full(n, np.inf), np.zeros(n, dtype=np.int64), np.full(n, -1)
+
+
+class _Passes:
+    def __init__(self, rows: DataFrame, n: int, first: int, m: int, id_col: str, vector: str):
+        self.spark, self.rows, self.n, self.first, self.m, self.id_col, self.vector = rows.sparkSession, rows, n, first, m, id_col, vector
+        self.name = f"coreset_{uuid.uuid4().hex}"
+        self.folder = f"{shared_folder(self.spark)}/coreset-{self.name[8:]}"
+        self.tables: list[str] = []
+
+    def _write(self, rows: DataFrame, what: str) -> DataFrame:
+        """A table bucketed by piece, in the shared folder."""
+        name = f"{self.name}_{what}"
+        rows.repartition(self.buckets, "piece").write.bucketBy(self.buckets, "piece").option("path", f"{self.folder}/{what}").saveAsTable(name)
+        self.tables.append(name)
+        return self.spark.table(name)
+
+    def _drop(self, what: str) -> None:
+        name = f"{self.name}_{what}"
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        removed(self.spark, f"{self.folder}/{what}")
+        self.tables.remove(name)
+
+    def _deal(self) -> None:
+        """Writes the vectors by piece."""
+        _, self.pivots = collected(self.rows.orderBy(F.xxhash64(self.id_col), self.id_col).limit(max(1, min(PIVOTS, self.n // ROWS_A_PIVOT))), self.id_col, self.vector)
+        width = self.pivots.shape[1]
+        shared, names = self.spark.sparkContext.broadcast(self.pivots), [self.id_col, self.vector, "cell", "d2"]  # PIVOTS at most
+
+        def run(batches):
+            bank = Bank(shared.value, np.arange(len(shared.value)))
+            for batch in batches:
+                d2, cell = bank.nearest(matrix(batch.column(1), width), 1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell[:, 0].astype(np.int32)), pa.array(d2[:, 0])], names=names)
+
+        kind = self.rows.schema[self.vector].dataType.simpleString()
+        celled = self.rows.select(self.id_col, self.vector).mapInArrow(run, f"{self.id_col} long, {self.vector} {kind}, cell int, d2 double")
+        counts = celled.groupBy("cell").count().orderBy("cell").collect()  # a row for each pivot
+        slices = [-(-r["count"] // PIECE_ROWS) for r in counts]
+        starts = np.concatenate(([0], np.cumsum(slices)))
+        deal = self.spark.createDataFrame([(r["cell"], int(s), k) for r, s, k in zip(counts, starts, slices, strict=False)], "cell int, start int, slices int")
+        total = sum(r["count"] for r in counts)
+        self.buckets = max(1, min(int(starts[-1]), max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), total // PIECE_ROWS)))
+        piece = (F.col("start") + F.pmod(F.xxhash64(self.id_col), F.col("slices"))).cast("int")
+        self.vectors = self._write(celled.join(F.broadcast(deal), "cell").select(piece.alias("piece"), F.col(self.id_col), F.col(self.vector), "d2", "cell"), "vectors")
+        of = {r["piece"]: r for r in self.vectors.groupBy("piece").agg(F.first("cell").alias("cell"), F.max("d2").alias("d2"), F.count(F.lit(1)).alias("n")).collect()}
+        empty = {"cell": 0, "d2": 0.0, "n": 0}
+        each = [of.get(k, empty) for k in range(int(starts[-1]))]
+        self.pieces = _Pieces(np.array([r["cell"] for r in each]), np.sqrt([r["d2"] for r in each]), np.array([r["n"] for r in each]))
+        self.pieces.high[self.pieces.size == 0] = -1.0
+
+    def _refresh(self, which: np.ndarray, pending: np.ndarray, base: int, number: int, work: Work) -> DataFrame:
+        """Takes the given pieces up to date with ``pending``, the members from number ``base`` on; returns their rows' ids and distances."""
+        pieces, id_col, vector = self.pieces, self.id_col, self.vector
+        ids = which.tolist()
+        rows = self.vectors.where(F.col("piece").isin(ids)).select("piece", id_col, vector)
+        old = [k for k in np.unique(pieces.table[which]).tolist() if k >= 0]
+        if old:
+            parts = [self.spark.table(f"{self.name}_near{k}").where(F.col("piece").isin(which[pieces.table[which] == k].tolist())) for k in old]
+            known = parts[0]
+            for part in parts[1:]:
+                known = known.unionByName(part)
+            rows = rows.join(known.hint("shuffle_hash"), ["piece", id_col], "left").select("piece", id_col, vector, F.coalesce("near", F.lit(math.inf)).alias("near"))
+        else:
+            rows = rows.withColumn("near", F.lit(math.inf))
+        state = (pending, base, self.pivots, pieces.pivot, pieces.radius, np.sqrt(np.maximum(pieces.high, 0)), pieces.upto)
+        shared = self.spark.sparkContext.broadcast(state)  # LAG members at most, PIVOTS, and a few numbers for each piece
+
+        def run(batches):
+            members, base, pivots, pivot, radius, high, upto = shared.value
+            reach: dict[int, np.ndarray] = {}
+            for batch in batches:
+                piece = batch.column(0).to_numpy()
+                own, near = matrix(batch.column(2)).astype(np.float64), batch.column(3).to_numpy().copy()
+                pairs = 0
+                for p in np.unique(piece).tolist():
+                    if p not in reach:
+                        new = members[upto[p] - base :]
+                        apart = np.sqrt(squared_from(new, pivots[pivot[p]]))
+                        reach[p] = new[apart * (1 - 1e-9) <= (radius[p] + high[p]) * (1 + 1e-9)]
+                    at = np.flatnonzero(piece == p)
+                    if len(at) and len(reach[p]):
+                        part = near[at]
+                        pairs += relaxed(part, own[at], reach[p])
+                        near[at] = part
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near), pa.array(np.eye(1, len(near), dtype=np.int64)[0] * pairs)], names=["piece", id_col, "near", "pairs"])
+
+        found = self._write(rows.mapInArrow(run, f"piece int, {id_col} long, near double, pairs long"), f"near{number}")
+        for r in found.groupBy("piece").agg(F.max("near").alias("high"), F.sum("pairs").alias("pairs")).collect():  # a row for each piece
+            pieces.high[r["piece"]] = r["high"]
+            work.pairs += r["pairs"]
+        pieces.upto[which], pieces.table[which] = base + len(pending), number
+        work.rows += int(pieces.size[which].sum())
+        work.passes += 1
+        for k in old:
+            if not (pieces.table == k).any():
+                self._drop(f"near{k}")
+        return found
+
+    def members(self, report: Callable[[int, int], None] | None, work: Work) -> DataFrame:
+        spark, id_col, vector, m = self.spark, self.id_col, self.vector, self.m
+        schema = f"pick int, {id_col} long, {vector} {self.rows.schema[vector].dataType.simpleString()}"
+        self._deal()
+        width = self.pivots.shape[1]
+        most, lag = min(CANDIDATES, max(1, CANDIDATE_BYTES // (8 * width))), min(LAG, max(1, LAG_BYTES // (8 * width)))
+        _, pending = collected(self.rows.where(F.col(id_col) == self.first), id_col, vector)
+        picks, written, done, base, share, number = [(0, self.first, pending[0].tolist())], None, 1, 0, 0.9, 0
+        pieces = self.pieces
+        while done < m:
+            # the pieces of the greatest bounds, and those that would lag too far behind
+            which = np.flatnonzero((pieces.size > 0) & (pieces.upto < done) & ((pieces.high >= share**2 * pieces.high.max()) | (done - pieces.upto > lag // 2)))
+            if len(which):
+                self._refresh(which, pending, base, number, work)
+                number += 1
+            keep = int(pieces.upto[pieces.size > 0].min())
+            pending, base = pending[keep - base :], keep
+            # candidates stand in pieces that are up to date; all other rows are bounded
+            fresh = np.flatnonzero((pieces.size > 0) & (pieces.upto == done))
+            stale = float(pieces.high[(pieces.size > 0) & (pieces.upto < done)].max(initial=-1.0))
+            top = self._farthest(fresh, max(stale, 0.0), most + 1)
+            bound = max(stale, top[most]["near"] if len(top) > most else -1.0)
+            members = self._pick(top[:most], bound, stale < 0, m - done, work)
+            if members is None:  # all rows have members at distance 0
+                low = self.rows.orderBy(id_col).limit(1)
+                one, v = collected(low, id_col, vector)
+                picks += [(done + k, int(one[0]), v[0].tolist()) for k in range(m - done)]
+                done = m
+            else:
+                ids, vectors = members
+                share = 0.9 if len(ids) else share / 2
+                picks += [(done + k, int(i), v.tolist()) for k, (i, v) in enumerate(zip(ids, vectors, strict=True))]
+                done += len(ids)
+                pending = np.concatenate([pending, vectors]) if len(ids) else pending
+            if report:
+                report(done, m)
+            if len(picks) >= PART or done == m:
+                part = checkpointed(spark.createDataFrame(picks, schema))
+                written, picks = part if written is None else written.unionByName(part), []
+        work.members = m
+        for name in list(self.tables):
+            self._drop(name[len(self.name) + 1 :])
+        removed(spark, self.folder)
+        return written if written is not None else spark.createDataFrame(picks, schema)
+
+    def _farthest(self, fresh: np.ndarray, over: float, most: int) -> list:
+        """The rows of up-to-date pieces that are farthest from the members, no nearer than ``over``: piece, id and distance, the lower id first at equal distance."""
+        pieces = self.pieces
+        where = fresh[pieces.high[fresh] >= over]
+        found = None
+        for k in np.unique(pieces.table[where]).tolist():
+            part = self.spark.table(f"{self.name}_near{k}").where(F.col("piece").isin(where[pieces.table[where] == k].tolist()) & (F.col("near") >= over)).select("piece", self.id_col, "near")
+            found = part if found is None else found.unionByName(part)
+        return found.orderBy(F.desc("near"), self.id_col).limit(most).collect() if found is not None else []
+
+    def _pick(self, top: list, bound: float, all_fresh: bool, most: int, work: Work) -> tuple[np.ndarray, np.ndarray] | None:
+        """Members among candidates that no row outside can come before, as the greedy method picks them; None if all distances are 0."""
+        if top and top[0]["near"] == 0 and all_fresh:
+            return None
+        if not top or top[0]["near"] < bound or top[0]["near"] == bound and not all_fresh:
+            return np.zeros(0, dtype=np.int64), np.zeros((0, self.pivots.shape[1]))
+        near = {r[self.id_col]: r["near"] for r in top}
+        wanted = self.spark.createDataFrame([(r["piece"], r[self.id_col]) for r in top], f"piece int, {self.id_col} long")
+        some = self.vectors.where(F.col("piece").isin(sorted({r["piece"] for r in top})))
+        ids, vectors = collected(some.join(F.broadcast(wanted), ["piece", self.id_col]), self.id_col, self.vector)
+        heap = [(-near[i], k, 0) for k, i in enumerate(ids.tolist())]  # ids ascend, so the lowest of equals is first
+        heapq.heapify(heap)
+        chosen: list[int] = []
+        held = np.empty((min(most, len(ids)), vectors.shape[1]))
+        while len(chosen) < len(held):
+            far, k, upto = heap[0]
+            if upto < len(chosen):  # an old distance is a bound: bring it up to date and look again
+                heapq.heapreplace(heap, (max(far, -float(squared_from(held[upto : len(chosen)], vectors[k]).min())), k, len(chosen)))
+                work.pairs += len(chosen) - upto
+                continue
+            if chosen and -far <= bound:
+                break
+            held[len(chosen)] = vectors[k]
+            chosen.append(k)
+            heapq.heapreplace(heap, (0.0, k, len(chosen)))
+        return ids[chosen], vectors[chosen]

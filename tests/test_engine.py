@@ -155,15 +155,36 @@ def test_coreset(spark):
 
 def test_coreset_in_passes(spark, monkeypatch):
     """Many ties, so that the order of picks depends on ids, and few candidates in a pass."""
-    monkeypatch.setattr(coreset, "CANDIDATES", 5)
+    monkeypatch.setattr(coreset, "CANDIDATES", 8)
     monkeypatch.setattr(coreset, "PART", 7)
+    monkeypatch.setattr(coreset, "ROWS_A_PIVOT", 20)
+    monkeypatch.setattr(coreset, "PIECE_ROWS", 30)
     random = np.random.default_rng(8)
-    for points in (random.integers(0, 4, (90, 2)), random.normal(size=(70, 3)), np.zeros((20, 2))):
-        bank = vectors(spark, points).repartition(5)
-        pick = lambda limit, bank=bank: [(r["pick"], r["bank_id"], list(r["emb"])) for r in coreset.sample(bank, 0.3, limit=limit).orderBy("pick").collect()]
+    for points in (random.integers(0, 4, (45, 2)), np.zeros((20, 2))):
+        bank = vectors(spark, points).repartition(3)
+        pick = lambda limit, bank=bank: [(r["pick"], r["bank_id"], list(r["emb"])) for r in coreset.sample(bank, 0.2, limit=limit).orderBy("pick").collect()]
         assert pick(0) == pick(coreset.ONE_TASK_BYTES)
 
 
+def test_coreset_reads_only_what_a_member_can_reach(spark, monkeypatch):
+    """Far groups of rows: a pass leaves out the pieces whose rows are near a member already, and members that reach no row of a piece."""
+    monkeypatch.setattr(coreset, "ROWS_A_PIVOT", 40)
+    monkeypatch.setattr(coreset, "CANDIDATES", 60)
+    random = np.random.default_rng(4)
+    spread = np.repeat([30.0, 3.0, 0.3, 0.03], 200)[:, None]
+    points = np.repeat(np.arange(4) * 1000.0, 200)[:, None] + spread * random.normal(size=(800, 3))
+    bank, work = vectors(spark, points), coreset.Work()
+    got = [r["bank_id"] for r in coreset.sample(bank, 0.15, limit=0, work=work).orderBy("pick").collect()]
+    assert got == [r["bank_id"] for r in coreset.sample(bank, 0.15).orderBy("pick").collect()]
+    assert work.members == 120 and work.rows < 0.7 * work.passes * 800 and work.pairs < 0.2 * 120 * 800
+
+
+def test_all_rows_as_a_coreset(spark):
+    bank = vectors(spark, [[k, 1] for k in range(50)]).repartition(3)
+    for limit in (0, coreset.ONE_TASK_BYTES):
+        assert [(r["pick"], r["bank_id"]) for r in coreset.sample(bank, 1.0, limit=limit).orderBy("pick").collect()] == [(k, k) for k in range(50)]
+
+
 def test_split_keeps_columns(spark):
     df = spark.createDataFrame([(i, "OK" if i % 3 else "NG", i, i, i) for i in range(30)], "image_id long, class string, digest int, prefix int, place int")
     rows = split.split(df.select("image_id", "class", "digest", "prefix")).collect()
