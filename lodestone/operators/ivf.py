@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.vectors import Bank, matrix, squared_matrix, top_k
-from lodestone.operators.knn import BROADCAST_BYTES, bank_bytes, blocked, collected, merged, nearest, records, with_vector
+from lodestone.operators.knn import BROADCAST_BYTES, Means, averaged, averaged_each, bank_bytes, blocked, collected, merged, nearest, records, with_vector
 from lodestone.operators.split import seeded
 from lodestone.shared import checkpointed, ship
 
@@ -152,7 +152,7 @@ def shared_cells(indexed: DataFrame, centroids: np.ndarray, id_col: str = "bank_
     return indexed.sparkSession.sparkContext.broadcast((*collected(indexed, id_col, vector, ("cluster_id",)), centroids)) if bank_bytes(indexed, vector) <= limit else None
 
 
-def nearest_probed(queries: DataFrame, keys: list[str], indexed: DataFrame, centroids: np.ndarray, k: int, n_probes: int = 4, id_col: str = "bank_id", vector: str = "emb", limit: int = BROADCAST_BYTES, shared=None) -> DataFrame:
+def nearest_probed(queries: DataFrame, keys: list[str], indexed: DataFrame, centroids: np.ndarray, k: int, n_probes: int = 4, id_col: str = "bank_id", vector: str = "emb", limit: int = BROADCAST_BYTES, shared=None, means: Means | None = None) -> DataFrame:
     """As ``knn.nearest``, among the rows of the nearest clusters. A query that finds under k rows there is answered from the whole bank."""
     n_probes = max(1, min(n_probes, len(centroids)))
     spark = queries.sparkSession
@@ -160,7 +160,7 @@ def nearest_probed(queries: DataFrame, keys: list[str], indexed: DataFrame, cent
     queries, indexed = with_vector(queries, vector), with_vector(indexed, vector)
     shared = shared or shared_cells(indexed, centroids, id_col, vector, limit)
     if shared is not None:
-        names = [*keys, "rank", id_col, "d2"]
+        names = keys if means else [*keys, "rank", id_col, "d2"]
 
         def run(batches):
             cells = Cells(*shared.value)
@@ -168,16 +168,20 @@ def nearest_probed(queries: DataFrame, keys: list[str], indexed: DataFrame, cent
                 for i in range(0, whole.num_rows if len(cells.whole.ids) else 0, 2048):
                     batch = whole.slice(i, 2048)
                     for own, near, ids in cells.nearest(matrix(batch.column(batch.num_columns - 1)), k, n_probes):
-                        yield records(batch.take(pa.array(own)), near, ids, names)
+                        part = batch.take(pa.array(own))
+                        yield means.records(part, near, names) if means else records(part, near, ids, names)
 
         kinds = ", ".join(f"{c} {queries.schema[c].dataType.simpleString()}" for c in keys)
-        return queries.select(*keys, vector).mapInArrow(run, f"{kinds}, rank int, {id_col} long, d2 double")
+        return queries.select(*keys, vector).mapInArrow(run, f"{kinds}, {means.kinds}" if means else f"{kinds}, rank int, {id_col} long, d2 double")
     candidates = probes(queries, keys, centroids, n_probes, vector).withColumn("cell", F.col("cluster_id"))
     found = merged(blocked(candidates, keys, indexed.withColumn("cell", F.col("cluster_id")), k, id_col, vector), keys, k, id_col)
     found = checkpointed(found)
     full = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).drop("n")
     rest = queries.join(full, keys, "left_anti")
-    return found.join(full, keys, "left_semi").unionByName(nearest(rest, keys, indexed, k, id_col, vector, limit))
+    found = found.join(full, keys, "left_semi").unionByName(nearest(rest, keys, indexed, k, id_col, vector, limit))
+    if not means:
+        return found
+    return averaged_each(found, keys, means.metric, list(means.ks), means.name) if means.name else averaged(found, keys, means.metric)
 
 
 def uses_index(use_ann: bool, n: int, clusters: int) -> bool:

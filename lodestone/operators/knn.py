@@ -1,15 +1,21 @@
 """Exact k-nearest-neighbour joins.
 
-A bank whose vectors are within BROADCAST_BYTES goes to every worker, and queries never move. A larger
-bank is cut into blocks of rows, queries into parts, and every (part, block) pair is one bounded task; each gives k
-neighbours for each of its queries, which a window merges. In both ways distances are numpy differences in double.
+A bank whose vectors are within BROADCAST_BYTES goes to every worker, and queries never move. A larger bank comes round in blocks of that size, one
+at a time: each block is a broadcast of its own, a worker holds one of them beside a chunk of its queries, and a chunk keeps the k nearest
+rows so far while the blocks pass. Queries stay where they are and no vector is copied or shuffled. Broadcasts stand on the executors' disks while a
+round of them is in use; beyond ROUND_BYTES there are several rounds, and a grouping merges a few neighbours of each. In both
+ways distances are numpy differences in double.
+
+``mean_distances`` takes the mean over a query's neighbours where they are found, so that one row a query leaves the worker.
 
 A query without a vector has no neighbours, and a bank row without one is nobody's neighbour.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +23,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.vectors import Bank, average_of, matrix
-from lodestone.shared import ship
+from lodestone.shared import removed, shared_folder, ship
 
 BROADCAST_BYTES = 64 << 20
-#: Rows of a bank block, and queries of a part, beyond that.
+#: Bytes of a bank that passes in one round of blocks, and queries that a worker holds while it does.
+ROUND_BYTES, CHUNK_ROWS = 4 << 30, 16_384
+#: Rows of a bank block, and queries of a part, of clusters beyond that.
 BLOCK_ROWS, PART_ROWS = 50_000, 20_000
 
 
@@ -31,11 +39,39 @@ def records(batch: pa.RecordBatch, near: np.ndarray, ids: np.ndarray, names: lis
     return pa.RecordBatch.from_arrays([*keys, pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), n)), pa.array(ids.reshape(-1)), pa.array(near.reshape(-1))], names=names)
 
 
-def _kernel(bank: Bank, k: int, names: list[str], most: int = 2048):
+@dataclass(frozen=True)
+class Means:
+    """What becomes of a query's neighbours: the mean distance over the first k of them, for each k (in column ``name`` if that is given)."""
+
+    metric: str
+    ks: tuple[int, ...]
+    name: str | None = None
+
+    @property
+    def columns(self) -> list[str]:
+        return [*((self.name,) if self.name else ()), "dist"]
+
+    @property
+    def kinds(self) -> str:
+        return (f"{self.name} int, " if self.name else "") + "dist double"
+
+    def records(self, batch: pa.RecordBatch, near: np.ndarray, keys: list[str]) -> pa.RecordBatch:
+        """A row for each query (the batch's columns but the last) and k. Distances are summed from the nearest on."""
+        sums = np.cumsum(np.sqrt(near) if self.metric == "squared_euclidean" else near, axis=1)
+        counts = np.minimum(self.ks, near.shape[1])
+        dist = sums[:, counts - 1] / counts
+        n, m = dist.shape
+        out = [batch.column(j).take(pa.array(np.repeat(np.arange(n), m))) for j in range(batch.num_columns - 1)]
+        named = [pa.array(np.tile(np.array(self.ks, dtype=np.int32), n))] if self.name else []
+        return pa.RecordBatch.from_arrays([*out, *named, pa.array(dist.reshape(-1))], names=[*keys, *self.columns])
+
+
+def _kernel(bank: Bank, k: int, names: list[str], means: Means | None = None, most: int = 2048):
     def rows(batch):
         queries = matrix(batch.column(batch.num_columns - 1), bank.vectors.shape[1])
         for i in range(0, batch.num_rows if len(bank.ids) else 0, most):
-            yield records(batch.slice(i, most), *bank.nearest(queries[i : i + most], k), names)
+            part, found = batch.slice(i, most), bank.nearest(queries[i : i + most], k)
+            yield means.records(part, found[0], names) if means else records(part, *found, names)
 
     return rows
 
@@ -62,29 +98,97 @@ def shared_bank(bank: DataFrame, id_col: str = "bank_id", vector: str = "emb", l
     return bank.sparkSession.sparkContext.broadcast(collected(bank, id_col, vector)) if bank_bytes(bank, vector) <= limit else None
 
 
-def nearest(queries: DataFrame, keys: list[str], bank: DataFrame, k: int, id_col: str = "bank_id", vector: str = "emb", limit: int = BROADCAST_BYTES, shared=None) -> DataFrame:
+def nearest(
+    queries: DataFrame, keys: list[str], bank: DataFrame, k: int, id_col: str = "bank_id", vector: str = "emb", limit: int = BROADCAST_BYTES, shared=None, means: Means | None = None, round_bytes: int = ROUND_BYTES
+) -> DataFrame:
     """Per query and neighbour: the keys, ``rank`` from 1, the bank's id and ``d2``. At equal distance the lower id comes first.
 
-    A bank of fewer than k rows gives fewer neighbours; an empty bank gives none. ``shared`` is the bank's ``shared_bank``, if that is at hand.
+    A bank of fewer than k rows gives fewer neighbours; an empty bank gives none. ``shared`` is the bank's ``shared_bank``, if that is at hand. Beyond
+    ``limit`` bytes the bank comes in blocks of about that size. ``means`` gives the rows of ``mean_distances`` instead.
     """
     spark = queries.sparkSession
     ship(spark)
     queries, bank = with_vector(queries, vector), with_vector(bank, vector)
     kinds = ", ".join(f"{c} {queries.schema[c].dataType.simpleString()}" for c in keys)
-    names = [*keys, "rank", id_col, "d2"]
-    schema = f"{kinds}, rank int, {id_col} long, d2 double"
-    shared = shared or shared_bank(bank, id_col, vector, limit)
+    names = keys if means else [*keys, "rank", id_col, "d2"]
+    schema = f"{kinds}, {means.kinds}" if means else f"{kinds}, rank int, {id_col} long, d2 double"
+    size = None if shared is not None else bank_bytes(bank, vector)
+    if shared is None and size <= limit:
+        shared = spark.sparkContext.broadcast(collected(bank, id_col, vector))
     if shared is not None:
 
         def run(batches):
             ids, rows = shared.value
-            kernel = _kernel(Bank(rows, ids), k, names)
+            kernel = _kernel(Bank(rows, ids), k, names, means)
             for batch in batches:
                 yield from kernel(batch)
 
         return queries.select(*keys, vector).mapInArrow(run, schema)
-    found = blocked(queries.withColumn("cell", F.lit(0)), keys, bank.withColumn("cell", F.lit(0)), k, id_col, vector)
-    return merged(found, keys, k, id_col)
+    rounds = _rounds(bank, id_col, vector, size, limit or BROADCAST_BYTES, max(1, round_bytes))
+    if len(rounds) <= 1:
+        return queries.select(*keys, vector).mapInArrow(_passing(rounds[0] if rounds else [], k, names, means), schema)
+    plain = f"{kinds}, rank int, {id_col} long, d2 double"
+    found = None
+    for blocks in rounds:
+        part = queries.select(*keys, vector).mapInArrow(_passing(blocks, k, [*keys, "rank", id_col, "d2"], None), plain)
+        found = part if found is None else found.unionByName(part)
+    found = merged(found, keys, k, id_col)
+    if not means:
+        return found
+    return averaged_each(found, keys, means.metric, list(means.ks), means.name) if means.name else averaged(found, keys, means.metric)
+
+
+def mean_distances(queries: DataFrame, keys: list[str], bank: DataFrame, metric: str, ks: Sequence[int], name: str | None = None, **rest) -> DataFrame:
+    """Per query: ``dist``, the mean over its k nearest in ascending order; for several k a row for each (``name``). The rest is ``nearest``'s."""
+    return nearest(queries, keys, bank, max(ks), means=Means(metric, tuple(ks), name), **rest)
+
+
+def _rounds(bank: DataFrame, id_col: str, vector: str, size: int, block_bytes: int, round_bytes: int) -> list[list]:
+    """Broadcasts of the bank's blocks, by round. The bank is dealt into blocks once, and one block at a time passes the driver."""
+    spark = bank.sparkSession
+    n = max(1, -(-size // block_bytes))
+    path = f"{shared_folder(spark)}/bank-{uuid.uuid4().hex}"
+    dealt = bank.select(F.pmod(F.xxhash64(id_col, vector), F.lit(n)).cast("int").alias("block"), F.col(id_col).cast("long").alias(id_col), vector)
+    dealt.repartition(min(n, 1000), "block").write.partitionBy("block").parquet(path)
+    schema = dealt.drop("block").schema
+    blocks = [spark.sparkContext.broadcast(collected(spark.read.schema(schema).parquet(f"{path}/block={k}"), id_col, vector)) for k in sorted(r[0] for r in spark.read.parquet(path).select("block").distinct().collect())]
+    removed(spark, path)
+    each = max(1, round_bytes // block_bytes)
+    return [blocks[i : i + each] for i in range(0, len(blocks), each)]
+
+
+def _passing(blocks: list, k: int, names: list[str], means: Means | None) -> Callable:
+    """A chunk of queries at a time, held against one block after the other; what it keeps are its k nearest so far."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for chunk in _chunks(batches) if blocks else ():
+            queries = matrix(chunk.column(chunk.num_columns - 1)).astype(np.float64)
+            near, ids = np.empty((len(queries), 0)), np.empty((len(queries), 0), dtype=np.int64)
+            for block in blocks:
+                own_ids, rows = block.value
+                block.__dict__.pop("_value", None)  # a worker keeps one block, not all that it has seen
+                d2, found = Bank(rows, own_ids).nearest(queries, k)
+                near, ids = np.concatenate([near, d2], axis=1), np.concatenate([ids, found], axis=1)
+                order = np.lexsort((ids, near), axis=1)[:, :k]
+                near, ids = np.take_along_axis(near, order, axis=1), np.take_along_axis(ids, order, axis=1)
+            for i in range(0, chunk.num_rows, 2048):
+                part = chunk.slice(i, 2048)
+                yield means.records(part, near[i : i + 2048], names) if means else records(part, near[i : i + 2048], ids[i : i + 2048], names)
+
+    return run
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, rows = [], 0
+    for batch in batches:
+        for i in range(0, batch.num_rows, CHUNK_ROWS):
+            held.append(batch.slice(i, CHUNK_ROWS))
+            rows += held[-1].num_rows
+            if rows >= CHUNK_ROWS:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, rows = [], 0
+    if rows:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def blocked(queries: DataFrame, keys: list[str], bank: DataFrame, k: int, id_col: str, vector: str, block_rows: int = BLOCK_ROWS, part_rows: int = PART_ROWS) -> DataFrame:

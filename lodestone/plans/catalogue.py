@@ -84,8 +84,8 @@ def sql_best(scores: str) -> str:
 
 
 def _scores(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
-    near = knn.nearest(tables.vectors(spark, sf_dir), ["image_id"], tables.bank(spark, sf_dir), k)
-    scored = knn.averaged(near, ["image_id"], "squared_euclidean").select("image_id", F.round("dist", 6).alias("score"))
+    near = knn.mean_distances(tables.vectors(spark, sf_dir), ["image_id"], tables.bank(spark, sf_dir), "squared_euclidean", [k])
+    scored = near.select("image_id", F.round("dist", 6).alias("score"))
     return scored.join(tables.maps(spark, sf_dir).select("image_id", "class"), "image_id")
 
 
@@ -243,10 +243,10 @@ def knn_exact_k9(spark, sf_dir):
 
 @query(f"WITH {_EVERY}, {sql_near('q')} SELECT image_id, rank::BIGINT AS rank, bank_id, round(sqrt(d2), 6) AS dist FROM near")
 def knn_exact_blocked(spark, sf_dir):
-    """The same join by the way of large banks: no broadcast, bounded blocks."""
-    queries = tables.vectors(spark, sf_dir).withColumn("cell", F.lit(0))
-    found = knn.blocked(queries, ["image_id"], tables.bank(spark, sf_dir).withColumn("cell", F.lit(0)), K, "bank_id", "emb", block_rows=400, part_rows=500)
-    return _long(knn.merged(found, ["image_id"], K), "rank").select("image_id", "rank", "bank_id", F.round(F.sqrt("d2"), 6).alias("dist"))
+    """The same join by the way of large banks: blocks of the bank come round, in two rounds at the least."""
+    bank = tables.bank(spark, sf_dir)
+    near = knn.nearest(tables.vectors(spark, sf_dir), ["image_id"], bank, K, limit=knn.bank_bytes(bank) // 7, round_bytes=knn.bank_bytes(bank) // 2)
+    return _long(near, "rank").select("image_id", "rank", "bank_id", F.round(F.sqrt("d2"), 6).alias("dist"))
 
 
 @query(f"WITH {_EVERY}, {sql_near('q')} SELECT image_id, round(avg(d2), 6) AS euclidean, round(avg(sqrt(d2)), 6) AS squared_euclidean FROM near GROUP BY image_id")
@@ -271,8 +271,7 @@ def _patch_scores(spark, sf_dir) -> DataFrame:
     """Patches of all maps against those of the normal ones."""
     every = features.patches(tables.maps(spark, sf_dir), shape=tables.SHAPE, patch_size=3)
     normal = features.patches(tables.maps(spark, sf_dir).where("class = 'OK'"), shape=tables.SHAPE, patch_size=3)
-    near = knn.nearest(every, ["image_id", "patch_idx"], normal.select((F.col("image_id") * 16 + F.col("patch_idx")).alias("bank_id"), "emb"), K)
-    return knn.averaged(near, ["image_id", "patch_idx"], "squared_euclidean")
+    return knn.mean_distances(every, ["image_id", "patch_idx"], normal.select((F.col("image_id") * 16 + F.col("patch_idx")).alias("bank_id"), "emb"), "squared_euclidean", [K])
 
 
 @query(f"WITH {PATCHES}, {_PATCH_BANK}, {sql_patch_scores('q', 'b', 'ps')} SELECT image_id, round(max(dist), 6) AS score FROM ps GROUP BY image_id")
@@ -420,8 +419,7 @@ _KS = "WITH " + f"{BANK}, q AS (SELECT image_id, class, data AS emb FROM maps),
 
 @query(_KS + " " + " UNION ALL ".join(f"SELECT *, {k}::BIGINT AS num_neighbors FROM {sql_best(f's{k}')}" for k in tuning.NEIGHBOR_CANDIDATES))
 def k_sweep(spark, sf_dir):
-    near = knn.nearest(tables.vectors(spark, sf_dir), ["image_id"], tables.bank(spark, sf_dir), max(tuning.NEIGHBOR_CANDIDATES))
-    distances = knn.averaged_each(near, ["image_id"], "squared_euclidean", list(tuning.NEIGHBOR_CANDIDATES), "num_neighbors")
+    distances = knn.mean_distances(tables.vectors(spark, sf_dir), ["image_id"], tables.bank(spark, sf_dir), "squared_euclidean", list(tuning.NEIGHBOR_CANDIDATES), "num_neighbors")
     scored = distances.withColumn("score", F.round("dist", 6)).join(tables.maps(spark, sf_dir).select("image_id", "class"), "image_id")
     return _long(tuning.best_threshold(scored, ["num_neighbors"]), "num_neighbors")
 
@@ -443,7 +441,7 @@ _PS = tuning.probe_candidates(CLUSTERS)
 def probe_sweep(spark, sf_dir):
     index = _index(spark, sf_dir)
     every, shared = tables.vectors(spark, sf_dir), ivf.shared_cells(*index)
-    distances = tuning.each("ann_probes", _PS, lambda p: knn.averaged(ivf.nearest_probed(every, ["image_id"], *index, K, p, shared=shared), ["image_id"], "squared_euclidean"))
+    distances = tuning.each("ann_probes", _PS, lambda p: ivf.nearest_probed(every, ["image_id"], *index, K, p, shared=shared, means=knn.Means("squared_euclidean", (K,))))
     scored = distances.withColumn("score", F.round("dist", 6)).join(tables.maps(spark, sf_dir).select("image_id", "class"), "image_id")
     return _long(tuning.best_threshold(scored, ["ann_probes"]), "ann_probes")
 

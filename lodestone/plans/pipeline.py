@@ -45,17 +45,17 @@ class Scorer:
         m = self.model
         return features.patches(maps, "image_id", "data", self.shape, m.patch_size, m.downscale)
 
-    def neighbours(self, maps: DataFrame, k: int | None = None, probes: int | None = None) -> DataFrame:
+    def neighbours(self, maps: DataFrame, k: int | None = None, probes: int | None = None, means: knn.Means | None = None) -> DataFrame:
         m, k = self.model, k or self.model.num_neighbors
         if self.shared is None:  # one broadcast serves all searches and micro-batches
             self.shared = ivf.shared_cells(*self.index) if self.index else knn.shared_bank(m.bank)
         if self.index:
-            return ivf.nearest_probed(self.patches(maps), KEYS, *self.index, k, probes or m.ann_probes, shared=self.shared)
-        return knn.nearest(self.patches(maps), KEYS, m.bank, k, shared=self.shared)
+            return ivf.nearest_probed(self.patches(maps), KEYS, *self.index, k, probes or m.ann_probes, shared=self.shared, means=means)
+        return knn.nearest(self.patches(maps), KEYS, m.bank, k, shared=self.shared, means=means)
 
     def patch_scores(self, maps: DataFrame, k: int | None = None, probes: int | None = None) -> DataFrame:
         """Per image and patch: ``dist``."""
-        return knn.averaged(self.neighbours(maps, k, probes), KEYS, self.model.metric)
+        return self.neighbours(maps, k, probes, knn.Means(self.model.metric, (k or self.model.num_neighbors,)))
 
     def scores(self, maps: DataFrame, k: int | None = None, probes: int | None = None) -> DataFrame:
         """Per image: ``score``."""
@@ -89,7 +89,7 @@ def search_neighbors(scorer: Scorer, labelled: DataFrame, candidates=tuning.NEIG
     """The best threshold for every k, from one list of the most neighbours: the nearest k are its first."""
     name = "num_neighbors"
     ks = tuning.candidates_of(name, candidates)
-    distances = knn.averaged_each(scorer.neighbours(labelled, max(ks)), KEYS, scorer.model.metric, ks, name)
+    distances = scorer.neighbours(labelled, max(ks), means=knn.Means(scorer.model.metric, tuple(ks), name))
     scored = knn.image_scores(distances, by=[name]).join(labelled.select("image_id", "class"), "image_id")
     return [r.asDict() for r in tuning.best_threshold(scored, [name]).collect()]
 

@@ -122,6 +122,27 @@ def test_null_vectors(spark):
         ivf.build(none, 3)
 
 
+def test_blocks_of_a_bank_come_round(spark, monkeypatch):
+    """Blocks in one round or several, chunks of few queries, ties, and fewer rows than neighbours: all as one broadcast bank gives them."""
+    random = np.random.default_rng(6)
+    bank = vectors(spark, random.integers(0, 3, (90, 3)))
+    queries = vectors(spark, random.integers(0, 3, (50, 3)), "image_id").repartition(3)
+    monkeypatch.setattr(knn, "CHUNK_ROWS", 7)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    size = knn.bank_bytes(bank)
+    for k in (4, 200):
+        want = rows(knn.nearest(queries, ["image_id"], bank, k))
+        for round_bytes in (size * 2, size // 2):
+            assert rows(knn.nearest(queries, ["image_id"], bank, k, limit=size // 5, round_bytes=round_bytes)) == want
+    plan = knn.nearest(queries, ["image_id"], bank, 4, limit=size // 5)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
+    near = knn.nearest(queries, ["image_id"], bank, 5)
+    for metric in ("euclidean", "squared_euclidean"):
+        for rest in ({}, {"limit": size // 5}, {"limit": size // 5, "round_bytes": size // 2}):
+            assert rows(knn.mean_distances(queries, ["image_id"], bank, metric, [5], **rest)) == rows(knn.averaged(near, ["image_id"], metric))
+            assert rows(knn.mean_distances(queries, ["image_id"], bank, metric, [1, 5], "k", **rest)) == rows(knn.averaged_each(near, ["image_id"], metric, [1, 5], "k"))
+
+
 def test_index_with_all_probes_is_exact(spark):
     random = np.random.default_rng(2)
     bank, queries = vectors(spark, random.normal(size=(300, 6))), vectors(spark, random.normal(size=(40, 6)), "image_id")
