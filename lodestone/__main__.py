@@ -18,7 +18,7 @@ from lodestone.config import METRICS, SPLIT_MODES, EngineConfig
 from lodestone.plans import pipeline, render
 from lodestone.plans.progress import Progress
 from lodestone.shared import checkpointed
-from lodestone.sources import catalog, images, models, profiles
+from lodestone.sources import catalog, files, images, models, profiles
 
 log = logging.getLogger("lodestone")
 
@@ -152,12 +152,10 @@ def predict(spark: SparkSession, args) -> None:
 
 
 def save_heatmaps(pictures: DataFrame, rows: DataFrame, scorer: pipeline.Scorer, folder: Path) -> None:
-    """Draws on the workers, and writes the files one after the other here."""
+    """Draws and writes on the workers."""
     _, h, w = scorer.shape
     f = scorer.model.downscale
-    folder.mkdir(parents=True, exist_ok=True)
-    for r in render.heatmaps(pictures, rows.withColumnRenamed("image_id", "path"), h // f, w // f).toLocalIterator():
-        (folder / r["name"]).write_bytes(bytes(r["content"]))
+    files.write(render.heatmaps(pictures, rows.withColumnRenamed("image_id", "path"), h // f, w // f), str(folder.absolute()))
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -1,4 +1,4 @@
-"""Feature maps to patch vectors: downscale, neighbourhood mean, flattening.
+"""Feature maps to patch vectors: fusion of layers, downscale, neighbourhood mean, flattening.
 
 A map is an array in channel, row, column order. Rows are independent, so all of it is one pass over Arrow
 batches without a shuffle.
@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from lodestone.functions.maps import bilinear
 from lodestone.functions.vectors import matrix
 from lodestone.shared import ship
 
@@ -67,6 +70,40 @@ def patches(df: DataFrame, id_col: str = "image_id", data_col: str = "data", sha
     return df.select(id_col, data_col).mapInArrow(run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, patch_idx int, y int, x int, emb array<double>")
 
 
+def fused(df: DataFrame, near: str, near_shape: tuple[int, int, int], far: str, far_shape: tuple[int, int, int], projection: np.ndarray, bias: np.ndarray | None = None, out: str = "data") -> DataFrame:
+    """The rows with ``out``: the map ``far`` brought to the rows and columns of ``near`` (bilinear, half-pixel centres), its channels behind those of ``near``, and ``projection`` (target, channels) at each point.
+
+    Up-sampling is two small products and the projection one product for a whole Arrow batch; its size is the network's. A null map of either gives null.
+    """
+    ship(df.sparkSession)
+    (c, h, w), (cc, hh, ww) = near_shape, far_shape
+    projection = np.ascontiguousarray(projection, dtype=np.float64)
+    if projection.shape[1] != c + cc:
+        raise ValueError(f"{c} and {cc} channels don't fit a projection of {projection.shape[1]}")
+    dense = lambda taps, n: np.array([[sum(x for p, x in row if p == j) for j in range(n)] for row in taps])
+    rows, columns = dense(bilinear(h, hh), hh), dense(bilinear(w, ww), ww)
+    shift = np.zeros(len(projection)) if bias is None else np.asarray(bias, dtype=np.float64)
+    kept = [x for x in df.columns if x != out]
+
+    def run(batches):
+        for batch in batches:
+            both = pc.and_(pc.is_valid(batch.column(0)), pc.is_valid(batch.column(1)))
+            some = batch.filter(both)
+            a, b = (matrix(some.column(k)).astype(np.float64) for k in (0, 1))
+            if some.num_rows and (a.shape[1] != c * h * w or b.shape[1] != cc * hh * ww):
+                raise ValueError(f"maps must have {c} x {h} x {w} and {cc} x {hh} x {ww} values")
+            up = np.einsum("yi,ncij,xj->ncyx", rows, b.reshape(-1, cc, hh, ww), columns, optimize=True)
+            every = np.concatenate([a.reshape(-1, c, h * w), up.reshape(-1, cc, h * w)], axis=1)
+            flat = (projection @ every + shift[:, None]).reshape(-1)
+            width = len(projection) * h * w
+            ends = np.concatenate(([0], np.cumsum(both.to_numpy(zero_copy_only=False)))) * width
+            made = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat), mask=pc.invert(both))
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], made], names=[*kept, out])
+
+    schema = StructType([*(df.schema[x] for x in kept), StructField(out, ArrayType(DoubleType()))])
+    return df.select(F.col(near), F.col(far), *kept).mapInArrow(run, schema)
+
+
 def cells(df: DataFrame, id_col: str, data_col: str, height: int, width: int) -> DataFrame:
     """Every value of a map with its channel, row and column, by index arithmetic in the JVM."""
     at = F.col("pos")

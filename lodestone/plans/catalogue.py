@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.config import EngineConfig
-from lodestone.functions import scalars
+from lodestone.functions import maps, scalars
 from lodestone.functions.vectors import squared_l2
 from lodestone.operators import coreset, features, ivf, knn, ordered, split, tuning
 from lodestone.plans import pipeline, render
@@ -228,6 +229,96 @@ def pairwise_l2(spark, sf_dir):
     return rows.join(after, "image_id").select("image_id", F.round(squared_l2(F.col("data"), F.col("other")), 6).alias("d2"))
 
 
+# ---- maps and images as columns ---------------------------------------------------------------------------------------------------
+
+#: A weight for each of the fused channels and targets: fixed, plain numbers.
+_PROJECTION = np.array([[((t * 7 + c) % 5 - 2) / 4 for c in range(7)] for t in range(3)])
+_SIDE = 5  # of the kernel on a map of 4 x 4
+
+
+def _sql_bilinear(name: str, n_out: int, n_in: int) -> str:
+    """CTE (o, i, wt): the weight of source place i in place o of the result."""
+    return f"""{name}_at AS (SELECT o::BIGINT AS o, floor((o + 0.5) * {n_in} / {n_out} - 0.5)::BIGINT AS low, (o + 0.5) * {n_in} / {n_out} - 0.5 AS src FROM range({n_out}) t(o)),
+{name} AS (SELECT o, i, sum(wt)::DOUBLE AS wt FROM (SELECT o, least(greatest(low, 0), {n_in - 1}) AS i, CASE WHEN low < 0 THEN 1 ELSE 1 - (src - low) END AS wt FROM {name}_at
+UNION ALL SELECT o, least(greatest(low + 1, 0), {n_in - 1}), CASE WHEN low < 0 THEN 0 ELSE src - low END FROM {name}_at) GROUP BY o, i)"""
+
+
+_GAUSS = f"""taps AS (SELECT k, exp(-(k * k) / 32.0) / (SELECT sum(exp(-(j * j) / 32.0)) FROM range({-(_SIDE // 2)}, {_SIDE // 2 + 1}) u(j)) AS wt FROM range({-(_SIDE // 2)}, {_SIDE // 2 + 1}) t(k)),
+mirror AS (SELECT o, CASE WHEN abs(o + k) > 3 THEN 6 - abs(o + k) ELSE abs(o + k) END AS i, wt FROM range(4) t(o), taps),
+smooth AS (SELECT c.image_id, a.o AS y, b.o AS x, sum(a.wt * b.wt * c.v) AS v FROM cells c JOIN mirror a ON c.y = a.i JOIN mirror b ON c.x = b.i WHERE c.c = 0 GROUP BY c.image_id, a.o, b.o)"""
+#: An image of 4 x 4 points from the first 48 values of a vector.
+_IMAGE = "image AS (SELECT vec_id AS image_id, i // 3 AS p, i % 3 AS c, floor(abs(embedding[i + 1]::DOUBLE) * 97)::BIGINT % 256 AS v FROM embeddings, range(48) t(i))"
+
+
+def _first_map(spark, sf_dir) -> DataFrame:
+    """The first channel of each map, as a score map of 4 x 4."""
+    return tables.maps(spark, sf_dir).select("image_id", F.slice("data", 1, 16).cast("array<double>").alias("scores"))
+
+
+def _images(spark, sf_dir) -> DataFrame:
+    point = lambda x: F.floor(F.abs(x.cast("double")) * 97) % 256
+    return tables.maps(spark, sf_dir).select("image_id", F.transform(F.slice("data", 1, 48), point).cast("array<double>").alias("image"))
+
+
+def _points(rows: DataFrame, values: str, digits: int = 6) -> DataFrame:
+    return _long(rows.select("image_id", F.posexplode(values).alias("pos", "value")), "pos").select("image_id", "pos", F.round("value", digits).alias("value"))
+
+
+@query(
+    f"""WITH {CELLS}, {_sql_bilinear('up', 4, 2)}, far AS (SELECT vec_id AS image_id, i // 4 AS c, (i % 4) // 2 AS y, i % 2 AS x, embedding[48 + i + 1]::DOUBLE AS v FROM embeddings, range(16) t(i)),
+every AS (SELECT image_id, c, y, x, v FROM cells WHERE c < 3 UNION ALL SELECT image_id, 3 + f.c, a.o, b.o, sum(a.wt * b.wt * f.v) FROM far f JOIN up a ON f.y = a.i JOIN up b ON f.x = b.i GROUP BY image_id, f.c, a.o, b.o)
+SELECT image_id, (t * 16 + y * 4 + x)::BIGINT AS pos, round(sum(((t * 7 + c) % 5 - 2) / 4.0 * v), 6) AS value FROM every, range(3) u(t) GROUP BY image_id, t, y, x"""
+)
+def fused_layers(spark, sf_dir):
+    """Two layers' maps, of 4 x 4 and 2 x 2 points, fused and projected to three channels."""
+    rows = tables.maps(spark, sf_dir).select("image_id", F.slice("data", 1, 48).alias("near"), F.slice("data", 49, 16).alias("far"))
+    return _points(features.fused(rows, "near", (3, 4, 4), "far", (4, 2, 2), _PROJECTION).select("image_id", "data"), "data")
+
+
+@query(f"WITH {CELLS}, {_GAUSS} SELECT image_id, (y * 4 + x)::BIGINT AS pos, round(v, 6) AS value FROM smooth")
+def map_smoothing(spark, sf_dir):
+    return _points(_first_map(spark, sf_dir).select("image_id", maps.smoothed(F.col("scores"), (4, 4)).alias("smooth")), "smooth")
+
+
+@query(
+    f"WITH {CELLS}, {_sql_bilinear('up', 7, 4)}, {_sql_bilinear('across', 3, 4)} SELECT image_id, (a.o * 3 + b.o)::BIGINT AS pos, round(sum(a.wt * b.wt * v), 6) AS value "
+    "FROM cells JOIN up a ON y = a.i JOIN across b ON x = b.i WHERE c = 0 GROUP BY image_id, a.o, b.o"
+)
+def map_resize(spark, sf_dir):
+    return _points(_first_map(spark, sf_dir).select("image_id", maps.resized(F.col("scores"), (4, 4), (7, 3)).alias("full")), "full")
+
+
+_RAMP = "round_even(greatest(least(1.5 - abs(4 * (level / 255.0) - {c}), 1), 0) * 255, 0)"
+
+
+@query(
+    f"""WITH {CELLS}, {_IMAGE}, ranged AS (SELECT image_id, y * 4 + x AS p, v, min(v) OVER w AS low, max(v) OVER w AS high FROM cells WHERE c = 0 WINDOW w AS (PARTITION BY image_id)),
+leveled AS (SELECT image_id, p, CASE WHEN high - low > 1e-8 THEN round_even((v - low) * 255 / (high - low), 0) END AS level FROM ranged)
+SELECT image_id, (p * 3 + c)::BIGINT AS pos, coalesce(round_even(0.6 * v + 0.4 * CASE c WHEN 0 THEN {_RAMP.format(c=1)} WHEN 1 THEN {_RAMP.format(c=2)} ELSE {_RAMP.format(c=3)} END, 0), v)::BIGINT AS value
+FROM image JOIN leveled USING (image_id, p)"""
+)
+def heat_blend(spark, sf_dir):
+    """Levels of a score map on the rainbow, blended over an image."""
+    rows = _images(spark, sf_dir).join(_first_map(spark, sf_dir), "image_id")
+    out = rows.select("image_id", maps.blended(F.col("image"), maps.colours(maps.levels(F.col("scores")))).alias("points"))
+    return _long(out.select("image_id", F.posexplode("points").alias("pos", "value")), "pos", "value")
+
+
+_MODES = {"fused": "px", "standard": "(px - mean) / 255 / std", "normalised": "(px / 255 - mean) / std"}
+
+
+@query(
+    f"""WITH {_IMAGE}, {_sql_bilinear('wide', 8, 4)}, full_ AS (SELECT image_id, a.o AS y, b.o AS x, c, round_even(sum(a.wt * b.wt * v), 0) AS px FROM image JOIN wide a ON p // 4 = a.i JOIN wide b ON p % 4 = b.i GROUP BY image_id, a.o, b.o, c),
+stats AS (SELECT * FROM (VALUES (2, 0.485::DOUBLE, 0.229::DOUBLE), (1, 0.456, 0.224), (0, 0.406, 0.225)) s(c, mean, std)) """
+    + " UNION ALL ".join(f"SELECT image_id, '{m}' AS mode, ((2 - c) * 64 + y * 8 + x)::BIGINT AS pos, round({e}, 6) AS value FROM full_ JOIN stats USING (c)" for m, e in _MODES.items())
+)
+def preprocess_modes(spark, sf_dir):
+    """Images resized (to a power of two, whose weights and halves are exact), their channels in the other order and as planes, in all three modes."""
+    rows = checkpointed(_images(spark, sf_dir))
+    parts = [_points(rows.select("image_id", maps.preprocessed(F.col("image"), (4, 4), 8, m).alias("planes")), "planes").withColumn("mode", F.lit(m)) for m in _MODES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 # ---- neighbours -------------------------------------------------------------------------------------------------------------------
 
 _EVERY = f"{BANK}, q AS (SELECT image_id, data AS emb FROM maps)"
@@ -475,7 +566,7 @@ def predict_pipeline(spark, sf_dir):
     return pipeline.predict(rows, model, tables.SHAPE).withColumn("score", F.round("score", 6))
 
 
-_TUNE_RATIO = 0.01
+_TUNE_RATIO = _RATIO
 
 
 def _sql_tuned() -> str:

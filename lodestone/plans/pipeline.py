@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.config import EngineConfig
 from lodestone.operators import coreset, features, ivf, knn, ordered, split, tuning
+from lodestone.plans.batch import Batch
 from lodestone.plans.progress import Progress
 from lodestone.shared import checkpointed
 from lodestone.sources.models import Model
@@ -150,5 +151,11 @@ def predict_with_maps(maps: DataFrame, model: Model, shape: tuple[int, int, int]
     return judged((scorer or Scorer(model, shape)).score_maps(maps), model.threshold if manual_threshold is None else manual_threshold, "scores")
 
 
+def predict_batch(maps: DataFrame, model: Model, shape: tuple[int, int, int], folder: str, manual_threshold: float | None = None, parts: int = 8) -> Batch:
+    """``predict`` in parts, with its rows in ``folder``: run it, cancel it from any thread, and run it again to score what is left."""
+    scorer = Scorer(model, shape)
+    return Batch(maps, lambda part: predict(part, model, shape, manual_threshold, scorer), folder, parts)
+
+
 def label_counts(predictions: DataFrame) -> DataFrame:
     return predictions.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
