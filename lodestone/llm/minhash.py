@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from lodestone.llm._common import LOWER, arrow_map, block_pairs, blocks, checkpointed, kept, mapped, parts_of, raw, words
 from lodestone.llm.components import connected_components, contract
@@ -37,6 +38,10 @@ LEAST = 0.8
 BANDS = 32
 #: What the likeness of a bucket's texts may fall short of their similarity: at LEAST more has a chance under 1e-12.
 SLACK = 0.3
+#: Rows of one id and text from which they are folded, and rows for each range that quantiles of ids other than numbers are taken from.
+OFTEN, SAMPLE = 10_000, 64
+#: Passes over crowded buckets with a pivot each, before blocks; another pass must have settled this share of their rows.
+PIVOTS, SETTLED = 6, 0.05
 #: Distinct texts of a bucket that one task compares with as many others at once, at most.
 MOST = 2000
 
@@ -140,16 +145,27 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per row: the id, ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``, ``near_edited`` and ``near_next``.
 
     The next document is that of the next smaller id (after the last: the first); rows of one id follow by their text's hash, rows
-    without an id come last. Rows are dealt into ranges of this order: quantiles of the ids begin ranges, and an id that is several quantiles,
+    without an id come last. Ids may be of any type that sorts. Of rows that repeat an id and a text over OFTEN times two go through, as all but the last have their own text
+    next; the rest are made from the first of them. Rows are dealt into ranges of this order: quantiles of the ids begin ranges, and an id that is several quantiles,
     like the rows without one, has as many ranges of hashes. The first row of a range also goes to the range before it, so ranges need nothing from each other, and
     texts move once.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kind = df.schema[id_col].dataType.simpleString()
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text")).withColumn("weight", F.lit(1).cast("long"))
+    often = checkpointed(rows.groupBy("id", "hash").count().where(F.col("count") > OFTEN))
+    repeats = not often.isEmpty()
+    if repeats:
+        rows = _folded(rows, often)
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranges = 4 * n
     known = F.col("id").isNotNull()
-    quantiles, n_known, n_all = rows.agg(F.percentile_approx(F.when(known, F.col("id")), [k / ranges for k in range(1, ranges)], max(10_000, 10 * ranges)), F.count("id"), F.count(F.lit(1))).first()
+    numbers = isinstance(df.schema[id_col].dataType, NumericType)
+    middle = F.percentile_approx(F.when(known, F.col("id")), [k / ranges for k in range(1, ranges)], max(10_000, 10 * ranges)) if numbers else F.lit(None)
+    quantiles, n_known, n_all = rows.agg(middle, F.count("id"), F.count(F.lit(1))).first()
+    if not numbers:  # of a bounded sample: the rows with the least hashes
+        some = sorted(r[0] for r in rows.where(known).orderBy(F.xxhash64("id", "hash"), "id").limit(SAMPLE * ranges).select("id").collect())
+        quantiles = [some[len(some) * k // ranges] for k in range(1, ranges)] if some else []
     times = Counter(quantiles or [])
     bounds = sorted(times, reverse=True)  # ids that occur: each begins a range, in descending order
     # ranges of hashes that the bound before each place has, and the first range of each place; behind all, those without an id
@@ -157,19 +173,18 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     begins = [sum(parts[:k]) for k in range(len(parts))]
     # a row's place is the number of bounds that are not below its id, found among every STEP-th bound and then in that step
     step = max(1, math.isqrt(len(bounds)))
-    kind = df.schema[id_col].dataType.simpleString()
-    coarse = F.from_json(F.lit(json.dumps(bounds[step - 1 :: step])), f"array<{kind}>")
-    fine = F.from_json(F.lit(json.dumps([bounds[k : k + step] for k in range(0, len(bounds) + 1, step)])), f"array<array<{kind}>>")
+    held = lambda values, form: F.from_json(F.lit(json.dumps(values, default=str)), form.format("string")).cast(form.format(kind))
+    coarse = held(bounds[step - 1 :: step], "array<{}>")
+    fine = held([bounds[k : k + step] for k in range(0, len(bounds) + 1, step)], "array<array<{}>>")
     full = F.size(F.filter(coarse, lambda b: b >= F.col("id")))
     place = F.when(known, full * step + F.size(F.filter(F.get(fine, full), lambda b: b >= F.col("id")))).otherwise(len(bounds) + 1)
     at = lambda values: F.get(F.from_json(F.lit(json.dumps(values)), "array<int>"), F.col("place"))
-    of_bound = F.from_json(F.lit(json.dumps([None, *bounds, None])), f"array<{kind}>")
+    of_bound = held([None, *bounds, None], "array<{}>")
     share = F.floor((F.col("hash") / 2.0**64 + 0.5) * at(parts)).cast("int")  # hashes ascend along an id's ranges
     inside = F.when(F.get(of_bound, F.col("place")).eqNullSafe(F.col("id")) & (at(parts) > 1), F.least(share, at(parts) - 1)).otherwise(F.when(known, at(parts) - 1).otherwise(0))
-    placed = rows.withColumn("hash", F.xxhash64("text")).withColumn("place", place).withColumn("range", at(begins) + inside)
+    placed = rows.withColumn("place", place).withColumn("range", at(begins) + inside)
     # the first row of each range: at most a row for each range comes to the driver
-    falling = F.bitwise_not("id") if kind in ("bigint", "int", "smallint", "tinyint") else -F.col("id")
-    firsts = placed.groupBy("range").agg(F.min_by(F.struct("id", "hash"), F.struct(F.col("id").isNull(), falling, "hash")).alias("first")).select("range", "first.*").collect()
+    firsts = placed.groupBy("range").agg(F.max_by(F.struct("id", "hash"), F.struct(known, "id", F.bitwise_not("hash"))).alias("first")).select("range", "first.*").collect()
     firsts.sort(key=lambda r: r["range"])
     last = firsts[-1]["range"] if firsts else 0
     heads = [(r["id"], r["hash"], [firsts[k - 1]["range"]] if k else [], [last] if not k else []) for k, r in enumerate(firsts)]
@@ -177,13 +192,13 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = lambda column, extra: F.transform(F.coalesce(F.col(column), F.array().cast("array<int>")), lambda r: F.struct(r.alias("range"), F.lit(extra).alias("extra")))
     copies = F.concat(F.array(F.struct("range", F.lit(0).alias("extra"))), own("before", 1), own("wrapped", 2))
     placed = placed.join(F.broadcast(heads), F.col("id").eqNullSafe(F.col("first_id")) & (F.col("hash") == F.col("first_hash")), "left")
-    dealt = placed.withColumn("own", F.explode(copies)).select("id", "text", F.col("own.range").alias("range"), F.col("own.extra").alias("extra"), "hash")
-    dealt = dealt.repartition(n, "range").sortWithinPartitions("range", "extra", F.desc_nulls_last("id"), "hash")
+    dealt = placed.withColumn("own", F.explode(copies)).select("id", "text", F.col("own.range").alias("range"), F.col("own.extra").alias("extra"), "hash", "weight")
+    dealt = dealt.repartition(n, "range").sortWithinPartitions("range", "extra", F.desc_nulls_last("id"), "hash", F.desc("weight"))
 
     def run(batches):
         hashes = kept("hashes", _Hashes)
-        waiting: list[tuple] = []  # (range, id, text) whose next row is not known yet
-        done: list[tuple] = []  # (id, text, next text)
+        waiting: list[tuple] = []  # (range, id, text, weight) whose next row is not known yet
+        done: list[tuple] = []  # (id, text, next text, weight)
         closed = None  # the range whose last row has got its next
         size = 0
 
@@ -195,22 +210,22 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([d[0] for d in done], ids), pa.array([len(d[1]) for d in done], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed]),
-                    pa.array([x.tobytes().hex() for x in own]), pa.array([x.tobytes().hex() for x in other]), pa.array(likeness(own, other)), pa.array(likeness(own, after)),
+                    pa.array([x.tobytes().hex() for x in own]), pa.array([x.tobytes().hex() for x in other]), pa.array(likeness(own, other)), pa.array(likeness(own, after)), pa.array([d[3] for d in done], pa.int64()),
                 ],
-                names=names,
+                names=[*names, "weight"],
             )
 
         for block in blocks(batches, 1):
             ids = block.column(0).type
-            for key, text, range_, extra in zip(*(block.column(k).to_pylist() for k in range(4)), strict=True):
+            for key, text, range_, extra, weight in zip(*(block.column(k).to_pylist() for k in range(5)), strict=True):
                 if waiting and waiting[0][0] == range_:
-                    done.append((waiting[0][1], waiting[0][2], text))
+                    done.append((waiting[0][1], waiting[0][2], text, waiting[0][3]))
                     size += len(waiting[0][2])
                     waiting = []
                     if extra:
                         closed = range_
                 if not extra and closed != range_:
-                    waiting = [(range_, key, text)]
+                    waiting = [(range_, key, text, weight)]
                 if size > 2_000_000:
                     yield emit()
                     done, size = [], 0
@@ -218,7 +233,21 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield emit()
 
     names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    return arrow_map(dealt, ["id", "text", "range", "extra"], run, f"{id_col} {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    out = arrow_map(dealt, ["id", "text", "range", "extra", "weight"], run, f"{id_col} {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, weight long")
+    if repeats:  # a row for each that was folded, in two steps, so that no array is long
+        out = out.withColumn("tens", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("weight") - 1) / OFTEN))))
+        out = out.withColumn("ones", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(OFTEN).cast("long"), F.col("weight") - F.col("tens") * OFTEN))))
+    return out.select(*names)
+
+
+def _folded(rows: DataFrame, often: DataFrame) -> DataFrame:
+    """The rows with two for each (``id``, ``hash``) of ``often``: the first stands for all but one."""
+    same = rows["id"].eqNullSafe(often["id"]) & (rows["hash"] == often["hash"])
+    marked = rows.join(often.select("id", "hash", "count"), same, "left").select(rows["id"], rows["text"], rows["hash"], rows["weight"], "count")
+    few = marked.where("count is null").drop("count")
+    one = marked.where("count is not null").groupBy("id", "hash").agg(F.min("text").alias("text"), F.first("count").alias("count"))
+    two = one.withColumn("weight", F.explode(F.array(F.col("count") - 1, F.lit(1).cast("long"))))
+    return few.unionByName(two.select("id", "text", "hash", "weight"))
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
@@ -303,14 +332,89 @@ def links(prints: DataFrame, least: float = LEAST) -> DataFrame:
             runs(*held)
             yield flush()
 
-    spark = prints.sparkSession
     prints = prints.where("bands is not null")
     bands = prints.select("node", F.explode("bands").alias("bucket"))
-    shared = bands.join(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket")
-    dealt = block_pairs(shared.withColumn("parts", parts_of("n", MOST)), "bucket").select("node", "key")
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = dealt.join(prints.select("node", "fingerprint"), "node").repartition(n, "key").sortWithinPartitions("key", "node")
-    return arrow_map(dealt, ["key", "node", "fingerprint"], search, "a long, b long")
+    sizes = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("parts", parts_of("n", MOST)).drop("n")
+    shared = bands.join(sizes, "bucket")
+    crowded = checkpointed(shared.where("parts > 1").join(prints.select("node", "fingerprint"), "node"))
+    found, left = _pivoted(crowded, least) if not crowded.isEmpty() else ([], [])
+    dealt = block_pairs(shared.where("parts = 1"), "bucket").select("node", "key").join(prints.select("node", "fingerprint"), "node").withColumn("side", F.lit(0))
+    for more in left:
+        dealt = dealt.unionByName(more)
+    n = max(1, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = dealt.repartition(n, "key").sortWithinPartitions("key", "side", "node")
+    out = arrow_map(dealt, ["key", "node", "fingerprint"], search, "a long, b long")
+    for more in found:
+        out = out.unionByName(more)
+    return out
+
+
+def _pivoted(rows: DataFrame, least: float) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Links, and rows still to be compared by ``key``, of crowded buckets (``bucket``, ``node``, ``fingerprint``, ``parts``).
+
+    A pass holds each bucket's rows against one of them, the pivot, a row once: those like it are linked to it, and are one candidate class. The number of
+    bytes in which fingerprints differ is a metric, so of the others only those within twice the linking distance of the pivot, the ring, can be
+    like a row that is like it: these two are compared block by block, but for rows that the pivot's distances keep apart. All others go on as a smaller bucket. A family of near copies is
+    linked in one pass, with one copy of each row; what PIVOTS passes leave is compared in pairs of blocks.
+    """
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    reach = _differing(least - SLACK)
+
+    def against(batches):
+        key, own = None, None
+        for batch in batches:
+            keys, nodes = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            prints = raw(batch.column(3))[0].reshape(-1, PERMUTATIONS)
+            apart = np.zeros(len(keys), dtype=np.int32)
+            starts = np.append(np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))[: len(keys)]), len(keys))
+            for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                if keys[i] != key:  # the pivot comes first
+                    key, own = keys[i], prints[i].copy()
+                apart[i:j] = (prints[i:j] != own).sum(axis=1)
+            side = batch.column(1).to_numpy()
+            keep = side == 1
+            out = pa.RecordBatch.from_arrays([batch.column(4), pa.array(nodes), batch.column(3), batch.column(5), pa.array(apart)], names=["bucket", "node", "fingerprint", "pivot", "apart"])
+            yield out.filter(pa.array(keep))
+
+    found, left = [], []
+    for _ in range(PIVOTS):
+        pivots = rows.groupBy("bucket").agg(F.min("node").alias("pivot"))
+        sided = rows.join(pivots, "bucket").withColumn("side", (F.col("node") != F.col("pivot")).cast("int"))
+        part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+        sided = sided.withColumn("part", F.explode(F.when(F.col("side") == 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(part))))
+        dealt = sided.select(F.xxhash64("bucket", "part").alias("key"), "side", "node", "fingerprint", "bucket", "pivot").repartition(n, "key").sortWithinPartitions("key", "side", "node")
+        held = checkpointed(arrow_map(dealt, ["key", "side", "node", "fingerprint", "bucket", "pivot"], against, "bucket long, node long, fingerprint binary, pivot long, apart int"))
+        near, rest = F.col("apart") <= reach, F.col("apart") > reach
+        found.append(held.where(near).select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+        # a ring row at distance d can only be like rows that are d - reach or farther from the pivot
+        closest = held.where(rest & (F.col("apart") <= 2 * reach)).groupBy("bucket").agg(F.min("apart").alias("closest"))
+        farthest = held.where(near).groupBy("bucket").agg(F.max("apart").alias("farthest"))
+        facing = held.join(closest.join(farthest, "bucket"), "bucket")
+        facing = facing.where(near & (F.col("apart") >= F.col("closest") - reach) | rest & (F.col("apart") - reach <= F.col("farthest"))).withColumn("ring", rest.cast("int"))
+        counts = facing.groupBy("bucket").agg(F.sum(1 - F.col("ring")).alias("near_n"), F.sum("ring").alias("ring_n")).where("near_n > 0 and ring_n > 0")
+        counts = counts.select("bucket", parts_of("near_n", MOST).alias("near_parts"), parts_of("ring_n", MOST).alias("ring_parts"))
+        facing = facing.join(counts, "bucket")
+        own = F.pmod(F.xxhash64("node"), F.when(F.col("ring") == 1, F.col("ring_parts")).otherwise(F.col("near_parts"))).cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.when(F.col("ring") == 1, F.col("near_parts")).otherwise(F.col("ring_parts")) - 1))
+        facing = facing.withColumn("own", own).withColumn("other", other)
+        a, b = F.when(F.col("ring") == 0, F.col("own")).otherwise(F.col("other")), F.when(F.col("ring") == 0, F.col("other")).otherwise(F.col("own"))
+        left.append(facing.select("node", F.xxhash64(F.lit("ring"), "bucket", "pivot", a, b).alias("key"), "fingerprint", F.col("ring").alias("side")))
+        settled = held.agg(F.avg(near.cast("int"))).first()[0] or 0.0
+        others = held.where(rest).select("bucket", "node", "fingerprint")
+        sizes = others.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", parts_of("n", MOST)).drop("n")
+        rows = checkpointed(others.join(sizes, "bucket"))
+        done = rows.where("parts = 1")
+        left.append(done.select("node", F.xxhash64(F.lit("rest"), "bucket", "parts").alias("key"), "fingerprint", F.lit(0).alias("side")))
+        rows = rows.where("parts > 1")
+        if settled < SETTLED or rows.isEmpty():
+            break
+    left.append(block_pairs(rows, "bucket").select("node", "key", "fingerprint", F.lit(0).alias("side")))
+    return found, left
+
+
+def _differing(like: float) -> int:
+    """The most bytes in which fingerprints of a likeness may differ."""
+    return int(math.floor(PERMUTATIONS * (1 - (like * (1 - 1 / 256) + 1 / 256)) + 1e-9))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:

@@ -360,7 +360,7 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.when(text.rlike(r"[^\x09-\x0D ]"), F.sha2(text, 256)).otherwise(F.lit(""))
-    return df.select(F.struct(*df.columns).alias("row"), F.struct(F.col(id_col).cast("long").alias("id"), key.alias("text_key")).alias("own"), text.alias("text"))
+    return df.select(F.struct(*df.columns).alias("row"), F.struct(F.col(id_col).alias("id"), key.alias("text_key")).alias("own"), text.alias("text"))
 
 
 def text_classes(whole: DataFrame, width: int = SHINGLE, least: float = LEAST) -> tuple[DataFrame, bool]:

@@ -1,11 +1,13 @@
 """SimHash, MinHash and components against brute force."""
 
+import decimal
 import hashlib
 import random
 import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
 from lodestone.llm import components, minhash, queries, simhash
@@ -320,3 +322,45 @@ def test_deduplicated_keys(spark):
     df = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
     got = sorted((str(r["doc_id"]), r["text"]) for r in simhash.deduplicated(df).collect())
     assert got == sorted([("7", base + " x"), ("8", "one text"), ("8", "another text"), ("None", "alone"), ("9", "")])
+
+
+def test_a_family_of_near_copies_is_dealt_once(spark):
+    """Texts that differ in one word of 200: rows dealt for each text don't grow with the family."""
+    base = [f"word{k}" for k in range(200)]
+    rows = [(i, " ".join([*base[: i % 200], f"own{i}", *base[i % 200 + 1 :]])) for i in range(900)]
+    prints = minhash.checkpointed(minhash.fingerprints(spark.createDataFrame(rows, "node long, text string"), "node"))
+    bands = prints.select("node", "fingerprint", F.explode("bands").alias("bucket"))
+    sizes = bands.groupBy("bucket").count().where("count > 256").select("bucket", minhash.parts_of("count", minhash.MOST).alias("parts"))
+    crowded = bands.join(sizes, "bucket")
+    found, left = minhash._pivoted(crowded, 0.8)
+    n = crowded.count()
+    assert n > 900 and sum(x.count() for x in found) <= n and sum(x.count() for x in left) < n // 10
+    root = {r["node"]: r["root"] for r in components.connected_components(minhash.links(prints)).collect()}
+    assert len(root) == 900 and len(set(root.values())) == 1
+
+
+@pytest.mark.parametrize("kind, make", [("string", lambda i: f"id {i:04d}"), ("decimal(12,1)", lambda i: decimal.Decimal(f"{i}.5"))])
+def test_ids_of_other_types(spark, kind, make):
+    rows = [(i, t) for i, t in edits(13)[:50]]
+    named = [(make(i), t) for i, t in rows] + [(None, "none")]
+    df = spark.createDataFrame(named, f"doc_id {kind}, text string").repartition(3)
+    texts = dict(rows)
+    want = {make(i): make(j) for i, j in classes(sorted(texts), lambda a, b: jaccard(texts[a], texts[b], 5) >= 0.8).items()}
+    assert {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(df).collect() if r["doc_id"] is not None} == want
+    assert sorted(str(r["doc_id"]) for r in simhash.deduplicated(df).collect()) == sorted([*map(str, set(want.values())), "None"])
+    order = sorted(named[:-1], key=lambda r: r[0], reverse=True) + named[-1:]
+    edit = lambda t, f: hashlib.sha256((t[: len(t) - len(t) // 3] + f[: len(t) // 3]).encode()).hexdigest()
+    got = {r["doc_id"]: r["edited_sha256"] for r in minhash.fingerprint_edits(df).collect()}
+    assert got == {i: edit(t or "", f or "") for (i, t), (_, f) in zip(order, [*order[1:], order[0]], strict=True)}
+
+
+def test_edits_of_a_row_repeated_very_often(spark):
+    rows = spark.createDataFrame([(3, "before it"), (1, "after it, as ids fall"), (None, "last")], "doc_id long, text string")
+    many = spark.range(100_000).select(F.lit(2).cast("long").alias("doc_id"), F.lit("the same text again").alias("text"))
+    got = minhash.fingerprint_edits(rows.unionByName(many)).groupBy("doc_id", "edited_sha256", "near_next").count().collect()
+    edit = lambda t, f: hashlib.sha256((t[: len(t) - len(t) // 3] + f[: len(t) // 3]).encode()).hexdigest()
+    text = "the same text again"
+    assert {(r["doc_id"], r["edited_sha256"]): r["count"] for r in got} == {
+        (3, edit("before it", text)): 1, (2, edit(text, text)): 99_999, (2, edit(text, "after it, as ids fall")): 1, (1, edit("after it, as ids fall", "last")): 1, (None, edit("last", "before it")): 1,
+    }
+    assert {r["near_next"] for r in got if r["count"] > 1} == {1.0}
