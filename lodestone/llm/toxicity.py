@@ -2,13 +2,14 @@
 
 Texts are folded: lower case, without accents, look-alike letters of other alphabets and digits standing for letters become the
 Latin letters meant, and so do signs between letters. An Aho-Corasick automaton over the folded lexicon and the exception phrases finds
-all whole-word hits in one scan; a hit inside an exception phrase does not count. The hits' weights
+all whole-word hits in one scan; a hit inside an exception phrase does not count, whatever white space, line ends or hyphens
+stand between the phrase's words. The hits' weights
 are normalised by the text's length and put through a logistic curve.
 
 The lexicon is the seed terms and the words that the labelled sample shows to be toxic. A word's support
 is its number of different left neighbours, so that copies of one text count once. Weights are smoothed log
 odds; a word enters if a lower bound of its weight is over ENTER. The sample is bounded: one text for each of the SAMPLE labelled ids with the
-lowest hash, as many as SAMPLE_BYTES hold. The lexicon has the ``terms`` heaviest words (MOST, if not given otherwise), so that it fits in a worker.
+lowest hash, as many as SAMPLE_BYTES hold. All words that enter are terms: the sample's bytes bound them, as each stands there SUPPORT times at the least.
 
 Results in special cases: a null or empty text has no hits and scores the curve at no evidence; very long texts are scanned
 whole; repeated rows each get their row; null ids and null labels are not learnt from; without labels the seeds
@@ -35,8 +36,6 @@ SEEDS = ["clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "
 SEED_WEIGHT = 3.0
 EXCEPTIONS = ["class clown", "clown fish", "pond scum", "soap scum", "trash bag", "trash bin", "trash can", "winner and loser", "worthless check"]
 
-#: Learnt terms, at most, where the caller gives no other bound.
-MOST = 4000
 #: Different left neighbours in toxic texts that a learnt word needs.
 SUPPORT = 6
 ENTER = 1.5
@@ -63,6 +62,8 @@ _CAPITALS, _ANY_CAPITAL = str.maketrans(CAPITALS), re.compile("[" + "".join(CAPI
 _LATIN = bytes(ord(_BASES.get(c, DIGITS.get(c, c))) if len(c := chr(b).lower()) == 1 and ord(c) < 256 else b for b in range(256))
 _SIGN = re.compile(r"(?<=[^\W\d_])[@$!|](?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")
+#: What may part the words of a phrase.
+_GAP = re.compile("[\\s\u2010-\u2015-]+")
 
 
 def fold(text: str) -> str:
@@ -87,7 +88,24 @@ def automaton(lexicon: dict[str, float], exceptions: list[str] = EXCEPTIONS):
 
 
 def evidence(found, folded: str) -> float:
-    """The weights of the whole-word hits outside exception phrases, in one sweep: both lists come in the order of their ends."""
+    """The weights of the whole-word hits outside exception phrases.
+
+    Terms are words, so gaps only matter where there is a hit: such a text is swept again with each run of white space or hyphens as one space.
+    """
+    if not _hits(found, folded)[0]:
+        return 0.0
+    hits, spared = _hits(found, _GAP.sub(" ", folded))
+    if spared:
+        # a hit is spared if a phrase that ends no earlier starts no later: the least start of the phrases from each on
+        ends, least = [b for _, b in spared], [a for a, _ in spared]
+        for k in range(len(least) - 2, -1, -1):
+            least[k] = min(least[k], least[k + 1])
+        hits = [h for h in hits if (k := bisect_left(ends, h[1])) == len(ends) or least[k] > h[0]]
+    return sum(h[2] for h in hits)
+
+
+def _hits(found, folded: str) -> tuple[list[tuple[int, int, float]], list[tuple[int, int]]]:
+    """Whole-word hits and exception phrases in one sweep, each in the order of their ends."""
     hits, spared = [], []
     last = len(folded) - 1
     for end, (length, weight) in found.iter(folded):
@@ -98,13 +116,7 @@ def evidence(found, folded: str) -> float:
             spared.append((start, end))
         else:
             hits.append((start, end, weight))
-    if spared:
-        # a hit is spared if a phrase that ends no earlier starts no later: the least start of the phrases from each on
-        ends, least = [b for _, b in spared], [a for a, _ in spared]
-        for k in range(len(least) - 2, -1, -1):
-            least[k] = min(least[k], least[k + 1])
-        hits = [h for h in hits if (k := bisect_left(ends, h[1])) == len(ends) or least[k] > h[0]]
-    return sum(h[2] for h in hits)
+    return hits, spared
 
 
 def shape(total: float, n_words: int) -> list[float]:
@@ -123,8 +135,8 @@ def fit(rows: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> list[float]:
     return w.tolist()
 
 
-def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, terms: int = MOST) -> tuple[dict[str, float], list[float]]:
-    """The lexicon of at most ``terms`` learnt words with its weights, and the curve, from at most ``sample`` labelled ids of ``labels`` (id, label 0 or 1), whose texts have at most ``sample_bytes``."""
+def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> tuple[dict[str, float], list[float]]:
+    """The lexicon with its weights, and the curve, from at most ``sample`` labelled ids of ``labels`` (id, label 0 or 1), whose texts have at most ``sample_bytes``."""
     rows = sample_texts(df, labels, id_col, text_col, label_col, sample, sample_bytes)
 
     def pairs(batches):
@@ -143,7 +155,7 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     weight = F.log((F.col("bad") + 0.5) / (bad_all + 1)) - F.log((F.col("good") + 0.5) / (good_all + 1))
     known = counted.groupBy("word").agg(bad.alias("bad"), good.alias("good")).withColumn("weight", weight)
     sure = F.col("weight") - 2 * F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    top = known.where(((F.col("bad") >= SUPPORT) & (sure > ENTER) & (F.length("word") > 2)) | F.col("word").isin(SEEDS)).orderBy(F.desc("weight"), "word").limit(terms).collect()
+    top = known.where(((F.col("bad") >= SUPPORT) & (sure > ENTER) & (F.length("word") > 2)) | F.col("word").isin(SEEDS)).orderBy(F.desc("weight"), "word").collect()  # bounded by the sample
     lexicon = dict.fromkeys(SEEDS, SEED_WEIGHT) | {r["word"]: r["weight"] for r in top}
     lexicon = {w: x for w, x in lexicon.items() if x > 0}
     totals = sums(rows, lexicon, "labelled", "text", ["label"]).select("label", "total", "n_words").collect() if bad_all and good_all else []  # one row for each id of the sample

@@ -1,5 +1,7 @@
 """URL reputation, quality rules, classifier, toxicity and licences."""
 
+import math
+import random
 import re
 import zlib
 
@@ -270,6 +272,7 @@ def test_folding_and_exceptions():
     assert [toxicity.fold(t) for t in ("ΗΜΖ", "Ημζ", "ÀÉÎÕÜÇÑ", "ĀĒŁ字")] == ["hmz", "huz", "aeioucn", "aeł字"]
     assert score("idiotic") == 0 and score("trashy") == 0
     assert score("the trash can and trash") == 2.0
+    assert all(score(f"the trash{gap}can and trash") == 2.0 for gap in ("\n", "  ", "-", "\t \r\n", " - ", "\u2011"))
     assert score("") == 0
 
 
@@ -330,7 +333,7 @@ def test_lexicon_by_definition(spark):
     assert curve == pytest.approx(toxicity.fit(rows, np.array([float(y) for _, _, y in texts])))
     scored = {r["doc_id"]: r["score"] for r in toxicity.score(df, lexicon, curve).collect()}
     assert all(scored[i] == pytest.approx(1 / (1 + math.exp(-float(rows[i] @ np.array(curve))))) for i in range(500))
-    assert len(toxicity.learn(df, labels, terms=1)[0]) <= len(toxicity.SEEDS) + 1
+    assert set(toxicity.SEEDS) <= set(toxicity.learn(df, labels)[0])
 
 
 def plain_ftrl(slots, values, labels, epochs, size):
@@ -424,22 +427,62 @@ def test_license_templates(spark):
     assert all(set(r["base_labels"].split(",")) - {""} <= set(r["labels"].split(",")) for r in got.values())
 
 
-def brute_labels(text):
-    """Labels and score from the meaning of templates: an exact key phrase, and SHARE of the words within DRIFT of their places."""
+INDEX = license_scan.Index()
+
+
+def lacks(n):
+    return n - math.ceil(0.8 * n)
+
+
+def brute_labels(text, templates=license_scan.TEMPLATES, index=INDEX):
+    """Labels and score from the meaning of templates, word by word: starts at which a posted word stands in its place."""
     found = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    labels, best = set(filter(None, brute_license(text)[4].split(","))), float(brute_license(text)[1] > 0)
-    for label, template, key in license_scan.TEMPLATES:
+    drift = license_scan.DRIFT
+    verified = []
+    for t, (label, template, key) in enumerate(templates):
         ws, ks = template.split(), key.split()
         before = next(i for i in range(len(ws)) if ws[i : i + len(ks)] == ks)
-        for p in (i for i in range(len(found)) if found[i : i + len(ks)] == ks):
-            near = lambda k, p=p, before=before: found[max(0, p - before + k - license_scan.DRIFT) : max(0, p - before + k + license_scan.DRIFT + 1)]
-            share = sum(w in near(k) for k, w in enumerate(ws)) / len(ws)
-            if share >= license_scan.SHARE:
-                labels.add(label)
-                best = max(best, share)
+        others = [k.split() for other, _, k in templates if other != label]
+        must = {w for o in others for w in ks if sum(x not in o for x in ks) <= lacks(len(ks)) and w not in o}
+        near = lambda place: found[max(0, place - drift) : max(0, place + drift + 1)]
+        for start in {i - place for k, place in index.posted.tolist() if k == t for i, w in enumerate(found) if w == ws[place]}:
+            gone = [w for k, w in enumerate(ks) if w not in near(start + before + k)]
+            share = sum(w in near(start + k) for k, w in enumerate(ws)) / len(ws)
+            if len(gone) <= lacks(len(ks)) and not must & set(gone) and share >= license_scan.SHARE - 1e-9:
+                verified.append((label, set(ks), start + before, share))
+    labels, best = set(filter(None, brute_license(text)[4].split(","))), float(brute_license(text)[1] > 0)
+    for label, ks, place, share in verified:
+        if not any(other != label and ks < longer and abs(there - place) <= 2 * drift for other, longer, there, _ in verified):
+            labels.add(label)
+            best = max(best, share)
     return ",".join(sorted(labels)), best
 
 
+@pytest.mark.parametrize("text, labels", [
+    ("Permission is hereby also granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction", "mit"),
+    ("Permission is granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction", "mit"),
+    ("SPDX-License-Identifier: GPL-3.0-only", "gpl-3"), ("// SPDX-License-Identifier: MIT", "mit"), ("SPDX-License-Identifier: CC-BY-NC-4.0", "cc-by-nc"), ("licensed under the GNU GPL v3", "gpl-3"),
+    ("the BSD 3-Clause license", "bsd"), ("licensed under CC BY 4.0", "cc-by"), ("licensed under the GNU Lesser General Public License", "lgpl"), ("This work is licensed under the GNU General Public License version 2", "gpl-2"),
+    ("it is licensed to drive under the general terms of the public library, version 3 of the plan", ""), ("identifier of the mit building", ""),
+])
+def test_license_spellings(spark, text, labels):
+    assert license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["labels"] == labels == brute_labels(text)[0]
+
+
+def test_license_templates_from_a_table(spark):
+    """600 made-up licences beside the known ones: the same labels for the known, and their own."""
+    pick = random.Random(2)
+    word = lambda: "".join(pick.choice("abcdefghijklmnop") for _ in range(6))
+    made = [(f"own-{k}", " ".join(["This license", *(word() for _ in range(20)), "Permission, granted"])) for k in range(600)]
+    table = spark.createDataFrame([(label, text, " ".join(text.split()[3:8])) for label, text in made], "label string, text string, key string")
+    templates = [*license_scan.TEMPLATES, *license_scan.templates_of(table)]
+    rows = [(0, TEXTS[3]), (1, "before. " + made[5][1] + " after"), (2, made[7][1].replace("This license", "This fine license")), (3, "plain")]
+    got = {r["doc_id"]: r["labels"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates=templates).collect()}
+    assert got == {0: brute_labels(TEXTS[3])[0], 1: "own-5", 2: "own-7", 3: ""}
+    with pytest.raises(ValueError):
+        license_scan.templates_of(spark.createDataFrame([("x", "some words", "other")], "label string, text string, key string"))
+
+
 def altered(template, pick, n, drop):
     ws = template.split()
     for _ in range(min(n, len(ws) // 2)):
@@ -462,7 +505,7 @@ def test_license_labels(spark, filler):
     assert {i: g[0] for i, g in got.items()} == {i: w[0] for i, w in want.items()}
     assert all(got[i][1] == pytest.approx(want[i][1]) for i in got)
     assert all(license_scan.TEMPLATES[i][0] in got[i][0].split(",") for i in range(len(whole)))
-    assert got[len(whole)][0] == ",".join(sorted({label for label, _, _ in license_scan.TEMPLATES}))
+    assert set(got[len(whole)][0].split(",")) == {label for label, _, _ in license_scan.TEMPLATES}
 
 
 def test_license_notice_with_a_word_more(spark):
@@ -490,4 +533,4 @@ def test_license_of_many_notices(spark):
     rows = [*((i, f"plain words number {i}") for i in range(200)), (300, f"{notice}. {line}."), (301, " . ".join([t for _, t, _ in license_scan.TEMPLATES] + [p for p, _ in license_scan.PHRASES]))]
     got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[300]["labels"] == "gpl-3,mit" and got[300]["score"] == 1
-    assert got[301]["labels"] == ",".join(sorted({label for label, _, _ in license_scan.TEMPLATES} | {label for _, label in license_scan.PHRASES}))
+    assert set(got[301]["labels"].split(",")) == {label for label, _, _ in license_scan.TEMPLATES}
