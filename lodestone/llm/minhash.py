@@ -20,6 +20,7 @@ import hashlib
 import json
 import math
 from collections import Counter
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -250,8 +251,8 @@ def _folded(rows: DataFrame, often: DataFrame) -> DataFrame:
     return few.unionByName(two.select("id", "text", "hash", "weight"))
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
-    """Per row: the id, ``digest`` of the text, ``fingerprint`` (binary), and ``bands``, a hash of each band of the full signature (null for a text without shingles)."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, majority: Callable[[str], int] | None = None) -> DataFrame:
+    """Per row: the id, ``digest`` of the text, ``fingerprint`` (binary), and ``bands``, a hash of each band of the full signature (null for a text without shingles); with ``majority`` also ``bits``, what it gives of the text."""
 
     def run(batches):
         import xxhash
@@ -268,9 +269,13 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             some = np.diff(at) > 0
             lists = pa.array([x if y else None for x, y in zip(key.view(np.int64), some.tolist(), strict=True)], pa.list_(pa.int64()))
             digests = [xxhash.xxh128_hexdigest(t.encode()) for t in block.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(digests, pa.string()), pa.array([x.tobytes() for x in bytes_of(full)], pa.binary()), lists], names=[id_col, "digest", "fingerprint", "bands"])
+            out = [block.column(0), pa.array(digests, pa.string()), pa.array([x.tobytes() for x in bytes_of(full)], pa.binary()), lists]
+            if majority:
+                out.append(pa.array(np.array([majority(t) for t in block.column(1).to_pylist()], dtype=np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays(out, names=names)
 
-    return arrow_map(df, [id_col, text_col], run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, digest string, fingerprint binary, bands array<long>")
+    names = [id_col, "digest", "fingerprint", "bands", *(["bits"] if majority else [])]
+    return arrow_map(df, [id_col, text_col], run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, digest string, fingerprint binary, bands array<long>" + (", bits long" if majority else ""))
 
 
 def forest(prints: np.ndarray, maybe: float) -> list[tuple[int, int]]:

@@ -167,7 +167,7 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
         covers = [r[0] for r in rest.select("covered").distinct().collect()]  # no more than the masks of a level
         if not covers:
             return found
-        # the masks of the next level by what a key has covered: bits that are open halve, so there are at most three levels, and 15 * 15 rows here
+        # the masks of the next level by what a key has covered: bits that are open halve, so there are at most three levels: 15 * 15 rows here, and 15 times as many at the last
         masks = [(c, signed(m)) for c in covers for m in covering(radius, [p for p in range(BITS) if not c >> p & 1])]
         level = spark.createDataFrame(masks, "covered long, mask long")
         rows = rest.select(F.col("a").alias("node"), F.col("b").alias("bits"), "bucket", "covered").join(F.broadcast(level), "covered")
@@ -190,7 +190,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return found.select(id_col, F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Similar texts: bands of MinHash signatures propose, word shingles decide.
+# Similar texts: covering masks over fingerprints propose, and bands of MinHash signatures beyond their radius; word shingles decide.
 
 SHINGLE = 5
 LEAST = 0.8
@@ -363,13 +363,19 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.struct(*df.columns).alias("row"), F.struct(F.col(id_col).alias("id"), key.alias("text_key")).alias("own"), text.alias("text"))
 
 
-def text_classes(whole: DataFrame, width: int = SHINGLE, least: float = LEAST) -> tuple[DataFrame, bool]:
-    """Per distinct text of ``keyed`` rows: ``text_key``, ``least`` (its smallest id), ``node``, and ``root``, which similar texts share; and whether rows repeat an id and a text."""
-    found = checkpointed(minhash.fingerprints(whole, "own", "text", width).select("own.*", "fingerprint", "bands"))
+def text_classes(whole: DataFrame, width: int = SHINGLE, least: float = LEAST, covered: bool = False) -> tuple[DataFrame, bool]:
+    """Per distinct text of ``keyed`` rows: ``text_key``, ``least`` (its smallest id), ``node``, and ``root``, which similar texts share; and whether rows repeat an id and a text.
+
+    Candidates are texts that MinHash bands bring together, and with ``covered`` also those whose fingerprints over the same shingles are within RADIUS, found by the covering masks.
+    """
+    found = checkpointed(minhash.fingerprints(whole, "own", "text", width, (lambda t: majority(shingle_hashes(t, width))) if covered else None).drop("digest").select("own.*", "fingerprint", "bands", *(["bits"] if covered else [])))
     repeats = not found.groupBy("id", "text_key").count().where("count > 1").isEmpty()
-    first = found.groupBy("text_key").agg(F.min("id").alias("least"), F.first("fingerprint").alias("fingerprint"), F.first("bands").alias("bands"))
+    first = found.groupBy("text_key").agg(F.min("id").alias("least"), F.first("fingerprint").alias("fingerprint"), F.first("bands").alias("bands"), *([F.first("bits").alias("bits")] if covered else []))
     first = checkpointed(first.withColumn("node", F.monotonically_increasing_id()))
-    classes = checkpointed(connected_components(minhash.links(first, least)))
+    proposed = minhash.links(first, least)
+    if covered:
+        proposed = proposed.unionByName(links(first.where("bands is not null").select("node", "bits", F.lit(0).alias("salt"))))
+    classes = checkpointed(connected_components(proposed))
     wanted = first.select("node", "text_key", "least").join(classes.select("node"), "node")
     texts = whole.select("own", "text").join(wanted, (F.col("own.text_key") == F.col("text_key")) & F.col("own.id").eqNullSafe(F.col("least"))).select("node", "text")
     roots = connected_components(similar_links(texts.dropDuplicates(["node"]) if repeats else texts, classes, "node", "text", width, least))
@@ -379,12 +385,12 @@ def text_classes(whole: DataFrame, width: int = SHINGLE, least: float = LEAST) -
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, least: float = LEAST) -> DataFrame:
     """The rows of ``df`` without near copies: of each group of texts linked by similarity, the row with the smallest id stays.
 
-    Equal texts are one text first, and so are all texts without a word (nulls count as empty). Buckets of MinHash bands over the same word shingles
-    propose classes; inside them, links are the pairs whose sets of ``width``-word shingles have a Jaccard similarity of ``least``
+    Equal texts are one text first, and so are all texts without a word (nulls count as empty). Fingerprints within RADIUS bits, found by covering masks, and
+    buckets of MinHash bands over the same word shingles, for what lies beyond, propose classes; inside them, links are the pairs whose sets of ``width``-word shingles have a Jaccard similarity of ``least``
     or more. Rows without an id are compared like any other, and stay only where their group has no id; of rows that repeat an id and a text one stays.
     """
     whole = keyed(df, id_col, text_col)
-    found, repeats = text_classes(whole, width, least)
+    found, repeats = text_classes(whole, width, least, covered=True)
     order = F.struct(F.col("least").isNull(), "least", "node")
     stay = checkpointed(found.groupBy("root").agg(F.min_by(F.struct("text_key", "least"), order).alias("stay")).select("stay.*"))
     kept = whole.select("row", "own").join(stay, (F.col("own.text_key") == F.col("text_key")) & F.col("own.id").eqNullSafe(F.col("least")), "left_semi")
