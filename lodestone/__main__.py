@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lodestone.config import METRICS, SPLIT_MODES, EngineConfig
 from lodestone.plans import pipeline, render
-from lodestone.plans.progress import Progress
+from lodestone.plans.progress import Progress, StageTimes, elapsed
 from lodestone.shared import checkpointed
 from lodestone.sources import catalog, files, images, models, profiles
 
@@ -121,7 +121,7 @@ def train(spark: SparkSession, args) -> None:
 
 
 def predict(spark: SparkSession, args) -> None:
-    steps = Progress(log.info)
+    steps, times = Progress(log.info), StageTimes(spark)
     model = models.load(spark, args.model)
     user = EngineConfig(use_gpu=not args.cpu, gpu_device=args.gpu_device, batch_size=args.batch_size, save_heatmap=not args.no_heatmap, custom_backbone_path=args.onnx or "", use_manual_threshold=args.threshold is not None, threshold=args.threshold if args.threshold is not None else EngineConfig.threshold)
     config = user.for_inference(model.options(), profiles.beside(args.model))
@@ -130,14 +130,14 @@ def predict(spark: SparkSession, args) -> None:
     extract = extractor_of(config, args.onnx or config.custom_backbone_path.strip() or None, bool(args.backbone_id))
     pictures = images.decoded(spark, args.input)
     with steps.step("extract"):
-        maps = checkpointed(images.features(pictures, extract, config.image_size, batch=config.effective_batch, channels=model.embed_dim if network else None))
+        maps = checkpointed(images.features(pictures, extract, config.image_size, batch=config.effective_batch, channels=model.embed_dim if network else None, times=times))
         if maps.isEmpty():
             raise ValueError(f"there is no image in {args.input}")
     with steps.step("score"):
-        scorer = pipeline.Scorer(model, images.shape_of(extract, config.image_size), config)
+        scorer = pipeline.Scorer(model, images.shape_of(extract, config.image_size), config, times)
         found = checkpointed(scorer.score_maps(maps))
     with steps.step("judge"):
-        rows = checkpointed(pipeline.judged(found, config.threshold, "scores"))
+        rows = checkpointed(pipeline.judged_timed(found, config.threshold, times, "scores"))
         counts = {r["label"]: r["n"] for r in pipeline.label_counts(rows).collect()}
     if args.output:
         rows.drop("scores").write.mode("overwrite").parquet(f"{args.output}/predictions")
@@ -147,7 +147,7 @@ def predict(spark: SparkSession, args) -> None:
     for r in rows.drop("scores").orderBy("image_id").toLocalIterator():
         print(f"{r['image_id']} score={r['score']:.4f} label={r['label']}")
     log.info("%d images, NG=%d, OK=%d", sum(counts.values()), counts.get("NG", 0), counts.get("OK", 0))
-    for line in steps.summary():
+    for line in [*steps.summary(), " | ".join(f"{stage} {elapsed(1000 * s)}" for stage, s in times.seconds().items()) + " on all workers"]:
         log.info(line)
 
 
@@ -155,7 +155,7 @@ def save_heatmaps(pictures: DataFrame, rows: DataFrame, scorer: pipeline.Scorer,
     """Draws and writes on the workers."""
     _, h, w = scorer.shape
     f = scorer.model.downscale
-    files.write(render.heatmaps(pictures, rows.withColumnRenamed("image_id", "path"), h // f, w // f), str(folder.absolute()))
+    files.write(render.heatmaps(pictures, rows.withColumnRenamed("image_id", "path"), h // f, w // f, scorer.times), str(folder.absolute()))
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -15,6 +15,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from lodestone.functions.maps import bilinear
 from lodestone.functions.vectors import matrix
+from lodestone.plans.progress import untimed
 from lodestone.shared import ship
 
 
@@ -43,7 +44,7 @@ def neighbourhood_means(maps: np.ndarray, size: int) -> np.ndarray:
     return total / count
 
 
-def patches(df: DataFrame, id_col: str = "image_id", data_col: str = "data", shape: tuple[int, int, int] = (4, 4, 4), patch_size: int = 1, downscale: int = 1) -> DataFrame:
+def patches(df: DataFrame, id_col: str = "image_id", data_col: str = "data", shape: tuple[int, int, int] = (4, 4, 4), patch_size: int = 1, downscale: int = 1, times=untimed) -> DataFrame:
     """Per map and position: the id, ``patch_idx`` (row by row), ``y``, ``x`` and ``emb`` (double), after downscaling and averaging.
 
     An empty or null map, or one of another size than ``shape``, is an error.
@@ -58,7 +59,10 @@ def patches(df: DataFrame, id_col: str = "image_id", data_col: str = "data", sha
             flat = matrix(batch.column(1))
             if batch.column(1).null_count or flat.shape[1] != c * h * w:
                 raise ValueError(f"a map must have {c} x {h} x {w} values")
-            maps = neighbourhood_means(block_means(flat.astype(np.float64).reshape(-1, c, h, w), downscale), patch_size)
+            with times("downscale"):
+                maps = block_means(flat.astype(np.float64).reshape(-1, c, h, w), downscale)
+            with times("aggregate"):
+                maps = neighbourhood_means(maps, patch_size)
             n, _, hh, ww = maps.shape
             emb = np.ascontiguousarray(maps.transpose(0, 2, 3, 1)).reshape(-1)
             at = np.tile(np.arange(hh * ww, dtype=np.int32), n)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.vectors import Bank, matrix, squared_matrix, top_k
 from lodestone.operators.knn import BROADCAST_BYTES, Means, averaged, averaged_each, bank_bytes, blocked, collected, merged, nearest, records, with_vector
 from lodestone.operators.split import seeded
+from lodestone.plans.progress import untimed
 from lodestone.shared import checkpointed, ship
 
 ITERATIONS = 8
@@ -152,7 +153,7 @@ def shared_cells(indexed: DataFrame, centroids: np.ndarray, id_col: str = "bank_
     return indexed.sparkSession.sparkContext.broadcast((*collected(indexed, id_col, vector, ("cluster_id",)), centroids)) if bank_bytes(indexed, vector) <= limit else None
 
 
-def nearest_probed(queries: DataFrame, keys: list[str], indexed: DataFrame, centroids: np.ndarray, k: int, n_probes: int = 4, id_col: str = "bank_id", vector: str = "emb", limit: int = BROADCAST_BYTES, shared=None, means: Means | None = None) -> DataFrame:
+def nearest_probed(queries: DataFrame, keys: list[str], indexed: DataFrame, centroids: np.ndarray, k: int, n_probes: int = 4, id_col: str = "bank_id", vector: str = "emb", limit: int = BROADCAST_BYTES, shared=None, means: Means | None = None, times=untimed) -> DataFrame:
     """As ``knn.nearest``, among the rows of the nearest clusters. A query that finds under k rows there is answered from the whole bank."""
     n_probes = max(1, min(n_probes, len(centroids)))
     spark = queries.sparkSession
@@ -167,7 +168,9 @@ def nearest_probed(queries: DataFrame, keys: list[str], indexed: DataFrame, cent
             for whole in batches:
                 for i in range(0, whole.num_rows if len(cells.whole.ids) else 0, 2048):
                     batch = whole.slice(i, 2048)
-                    for own, near, ids in cells.nearest(matrix(batch.column(batch.num_columns - 1)), k, n_probes):
+                    with times("knn"):
+                        found = cells.nearest(matrix(batch.column(batch.num_columns - 1)), k, n_probes)
+                    for own, near, ids in found:
                         part = batch.take(pa.array(own))
                         yield means.records(part, near, names) if means else records(part, near, ids, names)
 

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.vectors import Bank, average_of, matrix
+from lodestone.plans.progress import untimed
 from lodestone.shared import removed, shared_folder, ship
 
 BROADCAST_BYTES = 64 << 20
@@ -66,11 +67,12 @@ class Means:
         return pa.RecordBatch.from_arrays([*out, *named, pa.array(dist.reshape(-1))], names=[*keys, *self.columns])
 
 
-def _kernel(bank: Bank, k: int, names: list[str], means: Means | None = None, most: int = 2048):
+def _kernel(bank: Bank, k: int, names: list[str], means: Means | None = None, times=untimed, most: int = 2048):
     def rows(batch):
         queries = matrix(batch.column(batch.num_columns - 1), bank.vectors.shape[1])
         for i in range(0, batch.num_rows if len(bank.ids) else 0, most):
-            part, found = batch.slice(i, most), bank.nearest(queries[i : i + most], k)
+            with times("knn"):
+                part, found = batch.slice(i, most), bank.nearest(queries[i : i + most], k)
             yield means.records(part, found[0], names) if means else records(part, *found, names)
 
     return rows
@@ -99,7 +101,7 @@ def shared_bank(bank: DataFrame, id_col: str = "bank_id", vector: str = "emb", l
 
 
 def nearest(
-    queries: DataFrame, keys: list[str], bank: DataFrame, k: int, id_col: str = "bank_id", vector: str = "emb", limit: int = BROADCAST_BYTES, shared=None, means: Means | None = None, round_bytes: int = ROUND_BYTES
+    queries: DataFrame, keys: list[str], bank: DataFrame, k: int, id_col: str = "bank_id", vector: str = "emb", limit: int = BROADCAST_BYTES, shared=None, means: Means | None = None, round_bytes: int = ROUND_BYTES, times=untimed
 ) -> DataFrame:
     """Per query and neighbour: the keys, ``rank`` from 1, the bank's id and ``d2``. At equal distance the lower id comes first.
 
@@ -119,18 +121,18 @@ def nearest(
 
         def run(batches):
             ids, rows = shared.value
-            kernel = _kernel(Bank(rows, ids), k, names, means)
+            kernel = _kernel(Bank(rows, ids), k, names, means, times)
             for batch in batches:
                 yield from kernel(batch)
 
         return queries.select(*keys, vector).mapInArrow(run, schema)
     rounds = _rounds(bank, id_col, vector, size, limit or BROADCAST_BYTES, max(1, round_bytes))
     if len(rounds) <= 1:
-        return queries.select(*keys, vector).mapInArrow(_passing(rounds[0] if rounds else [], k, names, means), schema)
+        return queries.select(*keys, vector).mapInArrow(_passing(rounds[0] if rounds else [], k, names, means, times), schema)
     plain = f"{kinds}, rank int, {id_col} long, d2 double"
     found = None
     for blocks in rounds:
-        part = queries.select(*keys, vector).mapInArrow(_passing(blocks, k, [*keys, "rank", id_col, "d2"], None), plain)
+        part = queries.select(*keys, vector).mapInArrow(_passing(blocks, k, [*keys, "rank", id_col, "d2"], None, times), plain)
         found = part if found is None else found.unionByName(part)
     found = merged(found, keys, k, id_col)
     if not means:
@@ -157,7 +159,7 @@ def _rounds(bank: DataFrame, id_col: str, vector: str, size: int, block_bytes: i
     return [blocks[i : i + each] for i in range(0, len(blocks), each)]
 
 
-def _passing(blocks: list, k: int, names: list[str], means: Means | None) -> Callable:
+def _passing(blocks: list, k: int, names: list[str], means: Means | None, times=untimed) -> Callable:
     """A chunk of queries at a time, held against one block after the other; what it keeps are its k nearest so far."""
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -165,12 +167,13 @@ def _passing(blocks: list, k: int, names: list[str], means: Means | None) -> Cal
             queries = matrix(chunk.column(chunk.num_columns - 1)).astype(np.float64)
             near, ids = np.empty((len(queries), 0)), np.empty((len(queries), 0), dtype=np.int64)
             for block in blocks:
-                own_ids, rows = block.value
-                block.__dict__.pop("_value", None)  # a worker keeps one block, not all that it has seen
-                d2, found = Bank(rows, own_ids).nearest(queries, k)
-                near, ids = np.concatenate([near, d2], axis=1), np.concatenate([ids, found], axis=1)
-                order = np.lexsort((ids, near), axis=1)[:, :k]
-                near, ids = np.take_along_axis(near, order, axis=1), np.take_along_axis(ids, order, axis=1)
+                with times("knn"):
+                    own_ids, rows = block.value
+                    block.__dict__.pop("_value", None)  # a worker keeps one block, not all that it has seen
+                    d2, found = Bank(rows, own_ids).nearest(queries, k)
+                    near, ids = np.concatenate([near, d2], axis=1), np.concatenate([ids, found], axis=1)
+                    order = np.lexsort((ids, near), axis=1)[:, :k]
+                    near, ids = np.take_along_axis(near, order, axis=1), np.take_along_axis(ids, order, axis=1)
             for i in range(0, chunk.num_rows, 2048):
                 part = chunk.slice(i, 2048)
                 yield means.records(part, near[i : i + 2048], names) if means else records(part, near[i : i + 2048], ids[i : i + 2048], names)

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from lodestone.config import EngineConfig
 from lodestone.operators import coreset, features, ivf, knn, ordered, split, tuning
 from lodestone.plans.batch import Batch
-from lodestone.plans.progress import Progress
-from lodestone.shared import checkpointed
+from lodestone.plans.progress import Progress, untimed
+from lodestone.shared import checkpointed, ship
 from lodestone.sources.models import Model
 
 KEYS = ["image_id", "patch_idx"]
@@ -30,10 +33,11 @@ class Trained:
 class Scorer:
     """Scores maps against a model; an index is built once if it is asked for and the bank is large enough."""
 
-    def __init__(self, model: Model, shape: tuple[int, int, int], config: EngineConfig | None = None):
-        """Searches as ``config`` says, or else as the model does; the metric is always the model's."""
+    def __init__(self, model: Model, shape: tuple[int, int, int], config: EngineConfig | None = None, times=untimed):
+        """Searches as ``config`` says, or else as the model does; the metric is always the model's. ``times`` (``progress.StageTimes``) sums what its stages take."""
         if config is not None:
             model = replace(model, downscale=config.downscale, use_ann=config.use_ann, ann_clusters=config.ann_clusters, ann_probes=config.ann_probes)
+        self.times = times
         if shape[0] != model.embed_dim:
             raise ValueError(f"the maps have {shape[0]} channels, the model {model.embed_dim}")
         self.model, self.shape = model, shape
@@ -44,15 +48,15 @@ class Scorer:
 
     def patches(self, maps: DataFrame) -> DataFrame:
         m = self.model
-        return features.patches(maps, "image_id", "data", self.shape, m.patch_size, m.downscale)
+        return features.patches(maps, "image_id", "data", self.shape, m.patch_size, m.downscale, self.times)
 
     def neighbours(self, maps: DataFrame, k: int | None = None, probes: int | None = None, means: knn.Means | None = None) -> DataFrame:
         m, k = self.model, k or self.model.num_neighbors
         if self.shared is None:  # one broadcast serves all searches and micro-batches
             self.shared = ivf.shared_cells(*self.index) if self.index else knn.shared_bank(m.bank)
         if self.index:
-            return ivf.nearest_probed(self.patches(maps), KEYS, *self.index, k, probes or m.ann_probes, shared=self.shared, means=means)
-        return knn.nearest(self.patches(maps), KEYS, m.bank, k, shared=self.shared, means=means)
+            return ivf.nearest_probed(self.patches(maps), KEYS, *self.index, k, probes or m.ann_probes, shared=self.shared, means=means, times=self.times)
+        return knn.nearest(self.patches(maps), KEYS, m.bank, k, shared=self.shared, means=means, times=self.times)
 
     def patch_scores(self, maps: DataFrame, k: int | None = None, probes: int | None = None) -> DataFrame:
         """Per image and patch: ``dist``."""
@@ -141,6 +145,23 @@ def judged(scored: DataFrame, threshold: float, *more: str) -> DataFrame:
     return scored.select("image_id", "score", tuning.is_anomaly(F.col("score"), limit).alias("is_anomaly"), tuning.label(F.col("score"), limit).alias("label"), *more)
 
 
+def judged_timed(scored: DataFrame, threshold: float, times, *more: str) -> DataFrame:
+    """As ``judged``, in a worker's kernel that tells ``times`` what it took."""
+    ship(scored.sparkSession)
+    rows = scored.select("image_id", "score", *more)
+    names = ["image_id", "score", "is_anomaly", "label", *more]
+
+    def run(batches):
+        for batch in batches:
+            with times("judge"):
+                over = pc.greater(batch.column(1), float(threshold))
+                labels = pc.if_else(over, "NG", "OK")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), over, labels, *batch.columns[2:]], names=names)
+
+    kinds = rows.schema
+    return rows.mapInArrow(run, StructType([kinds["image_id"], kinds["score"], StructField("is_anomaly", BooleanType()), StructField("label", StringType()), *(kinds[c] for c in more)]))
+
+
 def predict(maps: DataFrame, model: Model, shape: tuple[int, int, int], manual_threshold: float | None = None, scorer: Scorer | None = None) -> DataFrame:
     """Per image: ``image_id``, ``score``, ``is_anomaly`` and ``label``. A given threshold goes before the model's."""
     return judged((scorer or Scorer(model, shape)).scores(maps), model.threshold if manual_threshold is None else manual_threshold)

@@ -1,6 +1,6 @@
 """Steps of a run: what began, how long it took, and its share of the whole.
 
-Spark runs a plan's steps together, so a step is what the caller materialises in it.
+Spark runs a plan's steps together, so a step is what the caller materialises in it. What the stages inside one job took is summed by the workers: ``StageTimes``.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+from pyspark.sql import SparkSession
+
 
 def elapsed(ms: float) -> str:
     """A duration as ``scalars.elapsed`` writes it."""
@@ -18,6 +20,36 @@ def elapsed(ms: float) -> str:
     return f"{ms:.0f}ms"
 
 
+class StageTimes:
+    """Seconds that the stages of a prediction took on all workers together, within whatever jobs run them.
+
+    A worker's kernel times a stage as ``with times("knn"):``; the sums come back with the tasks' results. Work of a task that is tried again counts again.
+    """
+
+    STAGES = ("preprocess", "extract", "downscale", "aggregate", "knn", "judge", "heatmap")
+
+    def __init__(self, spark: SparkSession):
+        self._sums = {s: spark.sparkContext.accumulator(0.0) for s in self.STAGES}
+
+    @contextmanager
+    def __call__(self, stage: str) -> Iterator[None]:
+        began = time.perf_counter()
+        try:
+            yield
+        finally:
+            self._sums[stage].add(time.perf_counter() - began)
+
+    def seconds(self) -> dict[str, float]:
+        """So far, on the driver."""
+        return {s: a.value for s, a in self._sums.items()}
+
+
+@contextmanager
+def untimed(stage: str) -> Iterator[None]:
+    """Stands for ``StageTimes`` where nobody asks."""
+    yield
+
+
 class Progress:
     """Times steps and reports them; ``report`` gets one line for each."""
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.images import heatmap, png
 from lodestone.functions.scalars import stem
+from lodestone.plans.progress import untimed
 from lodestone.shared import ship
 
 
@@ -17,7 +18,7 @@ def file_name(path, label, score):
     return F.format_string("%s_%s_%.4f.png", stem(path), label, score)
 
 
-def heatmaps(images: DataFrame, scores: DataFrame, height: int, width: int) -> DataFrame:
+def heatmaps(images: DataFrame, scores: DataFrame, height: int, width: int, times=untimed) -> DataFrame:
     """Per image of both (``path``, ``height``, ``width``, ``data`` BGR) and (``path``, ``label``, ``score``, ``scores`` in order): ``name`` and ``content``, a PNG.
 
     Write the rows with any sink; the bytes stay on the workers.
@@ -29,7 +30,8 @@ def heatmaps(images: DataFrame, scores: DataFrame, height: int, width: int) -> D
         for batch in batches:
             out = []
             for h, w, data, values in zip(*(batch.column(c).to_pylist() for c in ("height", "width", "data", "scores")), strict=True):
-                out.append(png(heatmap(np.frombuffer(data, dtype=np.uint8).reshape(h, w, 3), np.array(values, dtype=float).reshape(height, width))))
+                with times("heatmap"):
+                    out.append(png(heatmap(np.frombuffer(data, dtype=np.uint8).reshape(h, w, 3), np.array(values, dtype=float).reshape(height, width))))
             yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("name"), pa.array(out, pa.binary())], names=["path", "name", "content"])
 
     return rows.withColumn("name", file_name(F.col("path"), F.col("label"), F.col("score"))).mapInArrow(run, "path string, name string, content binary")

@@ -86,7 +86,7 @@ def model_file(backbone: str, custom: str = "", prefer_gpu: bool = False, start:
     if key == CUSTOM:
         if not custom.strip():
             raise ValueError("a custom backbone needs a file")
-        return paths.resolved(custom, start)
+        return preferred_file(paths.resolved(custom, start), prefer_gpu)
     return preferred_file(paths.resolved(next(b[2] for b in BACKBONES if b[0] == key), start), prefer_gpu)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.images import preprocessed
 from lodestone.functions.scalars import is_image
+from lodestone.plans.progress import untimed
 from lodestone.shared import ship
 
 #: Runtimes in order of preference. Fixed values.
@@ -123,11 +124,11 @@ def shape_of(extract: Extractor, size: int) -> tuple[int, int, int]:
     return tuple(extract(np.zeros((1, 3, size, size), dtype=np.float32)).shape[1:])
 
 
-def features(images: DataFrame, extract: Extractor = block_statistics, size: int = 224, mode: str | None = None, batch: int = 8, channels: int | None = None) -> DataFrame:
+def features(images: DataFrame, extract: Extractor = block_statistics, size: int = 224, mode: str | None = None, batch: int = 8, channels: int | None = None, times=untimed) -> DataFrame:
     """Per decoded image: ``image_id`` (its path), ``data`` (channel, row, column), ``c``, ``h``, ``w``.
 
     Images are prepared as ``mode`` says, or else as the extractor asks. An extractor that gives another number of
-    ``channels`` than asked for is an error.
+    ``channels`` than asked for is an error. ``times`` (``progress.StageTimes``) sums what preparing and extracting take.
     """
     ship(images.sparkSession)
 
@@ -137,11 +138,13 @@ def features(images: DataFrame, extract: Extractor = block_statistics, size: int
             for i in range(0, len(frame), batch):
                 part = frame.iloc[i : i + batch]
                 ready = []
-                for h, w, c, data in zip(part["height"], part["width"], part["channels"], part["data"], strict=True):
-                    pixels = np.frombuffer(data, dtype=np.uint8).reshape(h, w, c)
-                    pixels = np.repeat(pixels, 3, axis=2) if c == 1 else pixels[:, :, :3]
-                    ready.append(preprocessed(pixels, size, how))
-                out = extract(np.stack(ready))
+                with times("preprocess"):
+                    for h, w, c, data in zip(part["height"], part["width"], part["channels"], part["data"], strict=True):
+                        pixels = np.frombuffer(data, dtype=np.uint8).reshape(h, w, c)
+                        pixels = np.repeat(pixels, 3, axis=2) if c == 1 else pixels[:, :, :3]
+                        ready.append(preprocessed(pixels, size, how))
+                with times("extract"):
+                    out = extract(np.stack(ready))
                 _, c, h, w = out.shape
                 if channels is not None and c != channels:
                     raise ValueError(f"the extractor gives {c} channels, the configuration and the model say {channels}")

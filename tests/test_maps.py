@@ -142,3 +142,38 @@ def test_a_running_part_is_interrupted(spark, tmp_path):
     with pytest.raises(Cancelled):
         batch.run()
     assert time.monotonic() - began < 15 and batch.done() == []
+
+
+def test_seven_stage_times_of_one_job(spark):
+    import time
+
+    from lodestone.config import EngineConfig
+    from lodestone.plans import pipeline, render
+    from lodestone.plans.progress import StageTimes
+    from lodestone.sources import images as source
+
+    random = np.random.default_rng(8)
+    pictures = spark.createDataFrame([(f"/p/{k}.png", 32, 32, 3, random.integers(0, 256, (32, 32, 3)).astype(np.uint8).tobytes()) for k in range(12)], "path string, height int, width int, channels int, data binary").repartition(3)
+    shape = source.shape_of(source.block_statistics, 32)
+    model = pipeline.train(source.features(pictures, size=32), EngineConfig(coreset_ratio=0.2, patch_size=3, num_neighbors=3), shape)
+    times = StageTimes(spark)
+    scorer = pipeline.Scorer(model, shape, times=times)
+    began = time.monotonic()
+    scored = scorer.score_maps(source.features(pictures, size=32, times=times))
+    rows = pipeline.judged_timed(scored, model.threshold, times, "scores")
+    drawn = render.heatmaps(pictures, rows.withColumnRenamed("image_id", "path"), *shape[1:], times=times)
+    assert drawn.count() >= 0 and len(drawn.collect()) == 12
+    wall = time.monotonic() - began
+    seconds = times.seconds()
+    assert list(seconds) == list(StageTimes.STAGES) and all(s > 0 for s in seconds.values()) and sum(seconds.values()) <= 4 * wall
+    plain = {r["image_id"]: (r["score"], r["is_anomaly"], r["label"]) for r in pipeline.predict(source.features(pictures, size=32), model, shape).collect()}
+    assert {r["image_id"]: (r["score"], r["is_anomaly"], r["label"]) for r in rows.collect()} == plain
+
+
+def test_a_custom_network_has_variants(tmp_path):
+    from lodestone.sources import catalog
+
+    for name in ("own.onnx", "own_fp16.onnx"):
+        (tmp_path / name).write_bytes(b"")
+    assert catalog.model_file("custom", str(tmp_path / "own.onnx"), prefer_gpu=True).name in catalog.variant_names("own", True)
+    assert catalog.model_file("custom", str(tmp_path / "own.onnx"), prefer_gpu=True).name == catalog.preferred_file(tmp_path / "own.onnx", True).name
