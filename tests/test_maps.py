@@ -177,3 +177,37 @@ def test_a_custom_network_has_variants(tmp_path):
         (tmp_path / name).write_bytes(b"")
     assert catalog.model_file("custom", str(tmp_path / "own.onnx"), prefer_gpu=True).name in catalog.variant_names("own", True)
     assert catalog.model_file("custom", str(tmp_path / "own.onnx"), prefer_gpu=True).name == catalog.preferred_file(tmp_path / "own.onnx", True).name
+
+
+@pytest.mark.parametrize("n", [1, 3000])
+def test_a_document_is_read_and_written_in_parts(spark, tmp_path, n):
+    import json
+
+    from lodestone.sources import models
+
+    random = np.random.default_rng(9)
+    emb = random.normal(size=(n, 6)).astype(np.float32)
+    emb[0, 0], emb[-1, 1] = 1e-20, -3e15
+    bank = spark.createDataFrame([(k, e.tolist()) for k, e in enumerate(emb)], "bank_id long, emb array<float>").repartition(4)
+    model = models.Model(bank=bank, embed_dim=6, height=2, width=2, threshold=0.25, metric="squared_euclidean", backbone_id="a]b [1, 2]c")
+    path = str(tmp_path / "model.json")
+    models.write_document(model, path)
+    document = json.loads((tmp_path / "model.json").read_text())
+    assert np.array_equal(np.array(document["MemoryBank"], dtype=np.float32), emb) and document["BackboneId"] == "a]b [1, 2]c"
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")  # many splits
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        back = models.read_document(spark, path)
+        rows = back.bank.orderBy("bank_id").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [r["bank_id"] for r in rows] == list(range(n)) and np.array_equal(np.array([r["emb"] for r in rows], dtype=np.float32), emb)
+    assert back.options() == model.options()
+    (tmp_path / "other.json").write_text(json.dumps({"MemoryBank": [[1, 2.5], [3, 4]], "TargetEmbedDimension": 2, "FeatureHeight": 1, "FeatureWidth": 1, "AnomalyThreshold": 0.5}, indent=2))
+    other = models.read_document(spark, str(tmp_path / "other.json"))
+    assert other.metric == "euclidean" and [list(r["emb"]) for r in other.bank.orderBy("bank_id").collect()] == [[1, 2.5], [3, 4]]
+    (tmp_path / "none.json").write_text(json.dumps({"MemoryBank": [], "TargetEmbedDimension": 2, "FeatureHeight": 1, "FeatureWidth": 1, "AnomalyThreshold": 0.5}))
+    with pytest.raises(ValueError):
+        models.read_document(spark, str(tmp_path / "none.json"))
