@@ -37,7 +37,7 @@ def duck():
     import duckdb
 
     c = duckdb.connect()
-    for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
+    for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps".split():
         c.execute(f"create view {t} as select * from '{TESTDATA}/{t}.parquet'")
     return c
 
