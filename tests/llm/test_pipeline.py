@@ -45,7 +45,7 @@ def test_stages(spark, tmp_path):
 def test_registered():
     import __spark_entry__ as entry
 
-    assert [n for n in entry.queries() if n.startswith("op") and n[2].isdigit()] == [f"op{k}_{n}" for k, n in enumerate(["bpe_trie", "url_reputation", "quality_rules", "harmonic_packing", "toxicity_lexicon", "license_scan", "simhash_covering", "quality_ftrl", "minhash", "token_counts"], 1)]
+    assert [n for n in entry.queries() if n.startswith("op") and n[2].isdigit()] == [f"op{k}_{n}" for k, n in enumerate(["bpe_trie", "url_reputation", "quality_rules", "harmonic_packing", "toxicity_lexicon", "license_scan", "simhash_covering", "quality_ftrl", "minhash", "token_counts", "token_alignment", "pii_semi_markov", "golden_record"], 1)]
     assert "pipeline" in entry.queries() and corpus_pipeline.ORACLE_SQL is None
 
 
