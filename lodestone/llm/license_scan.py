@@ -124,13 +124,19 @@ class Index:
         self.key = [np.array([number[w] for w in k]) for _, _, k in rows]
         self.must = [np.zeros(len(k), dtype=bool) for _, _, k in rows]
         self.longer: list[list[int]] = [[] for _ in rows]
-        for i in range(self.n_templates):
-            for j in range(self.n_templates):
+        keys = [set(k.tolist()) for k in self.key[: self.n_templates]]
+        holding: list[list[int]] = [[] for _ in self.vocabulary]
+        for j, own in enumerate(keys):
+            for w in own:
+                holding[w].append(j)
+        for i, own in enumerate(keys):
+            shared = Counter(j for w in own for j in holding[w])  # other keys with some of its words
+            for j in sorted(shared):
                 if self.labels[i] != self.labels[j]:
-                    differ = ~np.isin(self.key[i], self.key[j])
+                    differ = np.array([w not in keys[j] for w in self.key[i].tolist()])
                     if differ.sum() <= lacking(len(differ)):
                         self.must[i] |= differ
-                    if not differ.any() and not np.isin(self.key[j], self.key[i]).all():
+                    if shared[j] == len(own) < len(keys[j]):
                         self.longer[i].append(j)
         posts = []  # (word, template, place): of each template one word more than may lack
         for k, ws in enumerate(self.words):
