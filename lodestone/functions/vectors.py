@@ -9,6 +9,8 @@ neighbours, a bank row without one is nobody's neighbour), and the kernels refus
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,16 +40,129 @@ def squared_matrix(queries: np.ndarray, bank: np.ndarray, most: int = 4_000_000)
     return out
 
 
+def kd_order(vectors: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which runs of at most ``size`` vectors lie close together, and where the runs start: the widest side is halved, again and again."""
+    order, starts, stack = np.arange(len(vectors)), [], [(0, len(vectors))]
+    while stack:
+        a, b = stack.pop()
+        if b - a <= size:
+            starts.append(a)
+            continue
+        own = vectors[order[a:b]]
+        half = (b - a) // 2
+        order[a:b] = order[a:b][np.argpartition(own[:, np.argmax(own.max(axis=0) - own.min(axis=0))], half)]
+        stack += [(a + half, b), (a, a + half)]
+    return order, np.array(starts)
+
+
+class Tree:
+    """Vectors of few dimensions by boxes, so that a query meets only those that can be near it. The work for a query hardly grows with their number."""
+
+    #: Dimensions at most and vectors at least for which boxes pay; vectors of a box, boxes of a group, queries of a block at most, and vectors for which it is split.
+    WIDTH, LEAST, LEAF, GROUP, BLOCK, MANY = 8, 2048, 64, 32, 32, 6000
+
+    def __init__(self, vectors: np.ndarray):
+        self.order, starts = kd_order(vectors, self.LEAF)
+        self.vectors = vectors[self.order]
+        self.norms = np.einsum("ij,ij->i", self.vectors, self.vectors)
+        self.starts, self.sizes = starts, np.diff(np.append(starts, len(vectors)))
+        self.low, self.high = np.minimum.reduceat(self.vectors, starts), np.maximum.reduceat(self.vectors, starts)
+        self.groups = np.arange(0, len(starts), self.GROUP)
+        self.group_low, self.group_high = np.minimum.reduceat(self.low, self.groups), np.maximum.reduceat(self.high, self.groups)
+
+    @staticmethod
+    def serves(vectors: np.ndarray) -> bool:
+        return 0 < vectors.shape[1] <= Tree.WIDTH and len(vectors) >= Tree.LEAST and bool(np.isfinite(vectors).all())
+
+    @staticmethod
+    def _apart(low: np.ndarray, high: np.ndarray, own_low: np.ndarray, own_high: np.ndarray) -> np.ndarray:
+        """The least squared distances of boxes from one."""
+        gap = np.maximum(np.maximum(low - own_high, own_low - high), 0)
+        return np.einsum("ij,ij->i", gap, gap)
+
+    def _boxes(self, groups: np.ndarray) -> np.ndarray:
+        every = (self.groups[groups][:, None] + np.arange(self.GROUP)).reshape(-1)
+        return every[every < len(self.starts)]
+
+    def _places(self, boxes: np.ndarray) -> np.ndarray:
+        sizes = self.sizes[boxes]
+        return np.repeat(self.starts[boxes] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+    def _closest(self, point: np.ndarray, k: int) -> np.ndarray:
+        """A few boxes near a point: of its nearest group, four or as many as hold k vectors."""
+        boxes = self._boxes(np.argmin(self._apart(self.group_low, self.group_high, point, point))[None])
+        boxes = boxes[np.argsort(self._apart(self.low[boxes], self.high[boxes], point, point), kind="stable")]
+        return boxes[: max(4, int(np.searchsorted(np.cumsum(self.sizes[boxes]), k)) + 1)]
+
+    def _reached(self, low: np.ndarray, high: np.ndarray, within: float) -> np.ndarray:
+        """Places of the vectors in boxes within a squared distance of a box."""
+        boxes = self._boxes(np.flatnonzero(self._apart(self.group_low, self.group_high, low, high) <= within))
+        return self._places(boxes[self._apart(self.low[boxes], self.high[boxes], low, high) <= within])
+
+    def _rough(self, own: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Squared distances by norms and a product, and what rounding may have done to a query's."""
+        squares, norms = np.einsum("ij,ij->i", own, own), self.norms[places]
+        rough = own @ (self.vectors[places].T * -2)
+        rough += squares[:, None]
+        rough += norms
+        return rough, 1e-12 * (own.shape[1] + 4) * (squares + norms.max(initial=0.0))
+
+    def pairs(self, queries: np.ndarray, k: int, bound: np.ndarray | None = None):
+        """By blocks of queries: the queries, and for pairs of one of them (by its place in the block) and a vector (by its number) that may be
+        among its k nearest, and within ``bound`` if that is given, the squared distances. A pair that is left out is none of these."""
+        order, starts = kd_order(queries, self.BLOCK)
+        blocks = [order[a:b] for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(queries)], strict=True)][::-1]
+        while blocks:
+            at = blocks.pop()
+            own = queries[at]
+            low, high = own.min(axis=0), own.max(axis=0)
+            limit = np.full(len(at), np.inf) if bound is None else bound[at] * (1 + 1e-9)
+            if bound is None or not np.isfinite(limit).all():
+                places = self._places(self._closest((low + high) / 2, k))
+                if len(places) >= k:
+                    rough, slack = self._rough(own, places)
+                    limit = np.minimum(limit, np.partition(rough, k - 1, axis=1)[:, k - 1] + slack)
+            places = self._reached(low, high, max(float(limit.max()), 0.0) * (1 + 1e-9))
+            if len(places) > self.MANY and len(at) > 4:  # queries that lie far apart are held against fewer vectors in halves
+                half = len(at) // 2
+                halves = np.argpartition(own[:, np.argmax(high - low)], half)
+                blocks += [at[halves[half:]], at[halves[:half]]]
+                continue
+            step = max(1, 4_000_000 // max(1, len(places)))
+            for i in range(0, len(at), step):
+                rough, slack = self._rough(own[i : i + step], places)
+                row, column = np.nonzero(rough <= (limit[i : i + step] + slack)[:, None])
+                d = own[i : i + step][row] - self.vectors[places[column]]
+                yield at[i : i + step], row, self.order[places[column]], np.einsum("ij,ij->i", d, d)
+
+    def lower(self, near: np.ndarray, queries: np.ndarray) -> int:
+        """Lowers ``near`` to the squared distances from the queries to the nearest vector; returns the pairs whose distance was taken."""
+        taken = 0
+        for at, row, _, d2 in self.pairs(queries, 1, near):
+            now = near[at]
+            np.minimum.at(now, row, d2)
+            near[at] = now
+            taken += len(row)
+        return taken
+
+
 class Bank:
-    """Vectors (their ids ascending) that queries are held against."""
+    """Vectors (their ids ascending) that queries are held against. Many vectors of few dimensions are held by boxes."""
 
     #: Distances of a slab.
     MOST = 4_000_000
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray):
         self.vectors, self.ids = np.ascontiguousarray(vectors, dtype=np.float64), ids
-        self.norms = np.einsum("ij,ij->i", self.vectors, self.vectors)
-        self.largest = float(self.norms.max(initial=0.0))
+        self.tree = Tree(self.vectors) if Tree.serves(self.vectors) else None
+
+    @cached_property
+    def norms(self) -> np.ndarray:
+        return np.einsum("ij,ij->i", self.vectors, self.vectors)
+
+    @cached_property
+    def largest(self) -> float:
+        return float(self.norms.max(initial=0.0))
 
     def nearest(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Each query's k nearest (fewer in a small bank): squared distances and ids, nearest first, at equal distance the lower id.
@@ -58,6 +173,13 @@ class Bank:
         queries = np.ascontiguousarray(queries, dtype=np.float64)
         n, k = len(queries), min(k, len(self.ids))
         near, ids = np.empty((n, k)), np.empty((n, k), dtype=np.int64)
+        if self.tree is not None and 0 < k <= Tree.LEAF and n and np.isfinite(queries).all():
+            for at, row, number, d2 in self.tree.pairs(queries, k):
+                order = np.lexsort((number, d2, row))
+                first = np.searchsorted(row, np.arange(len(at)))
+                take = order[(first[:, None] + np.arange(k)).reshape(-1)]
+                near[at], ids[at] = d2[take].reshape(-1, k), self.ids[number[take]].reshape(-1, k)
+            return near, ids
         step = max(1, self.MOST // max(1, len(self.ids)))
         for at in range(0, n if k else 0, step):
             own = queries[at : at + step]

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.vectors import Bank, matrix, squared_matrix, top_k
-from lodestone.operators.knn import BROADCAST_BYTES, Means, averaged, averaged_each, bank_bytes, blocked, collected, merged, nearest, records, with_vector
+from lodestone.operators.knn import BROADCAST_BYTES, NARROW_ROWS, Means, _chunks, averaged, averaged_each, bank_bytes, blocked, collected, merged, nearest, records, with_vector
 from lodestone.operators.split import seeded
 from lodestone.plans.progress import untimed
 from lodestone.shared import checkpointed, ship
@@ -165,9 +165,10 @@ def nearest_probed(queries: DataFrame, keys: list[str], indexed: DataFrame, cent
 
         def run(batches):
             cells = Cells(*shared.value)
-            for whole in batches:
-                for i in range(0, whole.num_rows if len(cells.whole.ids) else 0, 2048):
-                    batch = whole.slice(i, 2048)
+            step = NARROW_ROWS if cells.whole.tree else 2048
+            for whole in _chunks(batches, step) if cells.whole.tree else batches:
+                for i in range(0, whole.num_rows if len(cells.whole.ids) else 0, step):
+                    batch = whole.slice(i, step)
                     with times("knn"):
                         found = cells.nearest(matrix(batch.column(batch.num_columns - 1)), k, n_probes)
                     for own, near, ids in found:

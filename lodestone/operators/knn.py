@@ -29,6 +29,10 @@ from lodestone.shared import removed, shared_folder, ship
 BROADCAST_BYTES = 64 << 20
 #: Bytes of a bank that passes in one round of blocks, and queries that a worker holds while it does.
 ROUND_BYTES, CHUNK_ROWS = 4 << 30, 16_384
+#: Queries that a worker holds beside a bank of few dimensions: the more there are, the closer together lie those that are held against the same boxes.
+NARROW_ROWS = 131_072
+#: Vectors around which such queries are dealt, and tasks for those around one.
+PIVOTS, SHARES = 1024, 4
 #: Rows of a bank block, and queries of a part, of clusters beyond that.
 BLOCK_ROWS, PART_ROWS = 50_000, 20_000
 
@@ -68,12 +72,16 @@ class Means:
 
 
 def _kernel(bank: Bank, k: int, names: list[str], means: Means | None = None, times=untimed, most: int = 2048):
+    step = NARROW_ROWS if bank.tree else most
+
     def rows(batch):
         queries = matrix(batch.column(batch.num_columns - 1), bank.vectors.shape[1])
-        for i in range(0, batch.num_rows if len(bank.ids) else 0, most):
+        for i in range(0, batch.num_rows if len(bank.ids) else 0, step):
             with times("knn"):
-                part, found = batch.slice(i, most), bank.nearest(queries[i : i + most], k)
-            yield means.records(part, found[0], names) if means else records(part, *found, names)
+                near, ids = bank.nearest(queries[i : i + step], k)
+            for j in range(0, len(near), most):
+                part = batch.slice(i + j, min(most, len(near) - j))
+                yield means.records(part, near[j : j + most], names) if means else records(part, near[j : j + most], ids[j : j + most], names)
 
     return rows
 
@@ -97,7 +105,13 @@ def bank_bytes(bank: DataFrame, vector: str = "emb") -> int:
 def shared_bank(bank: DataFrame, id_col: str = "bank_id", vector: str = "emb", limit: int = BROADCAST_BYTES):
     """A bank within the limit as a broadcast, for many calls of ``nearest``; None beyond it."""
     bank = with_vector(bank, vector)
-    return bank.sparkSession.sparkContext.broadcast(collected(bank, id_col, vector)) if bank_bytes(bank, vector) <= limit else None
+    return _broadcast(bank, id_col, vector) if bank_bytes(bank, vector) <= limit else None
+
+
+def _broadcast(bank: DataFrame, id_col: str, vector: str):
+    """A bank known to be small, with its boxes if it has any: these are made once."""
+    ids, rows = collected(bank, id_col, vector)
+    return bank.sparkSession.sparkContext.broadcast(Bank(rows, ids))
 
 
 def nearest(
@@ -116,16 +130,16 @@ def nearest(
     schema = f"{kinds}, {means.kinds}" if means else f"{kinds}, rank int, {id_col} long, d2 double"
     size = None if shared is not None else bank_bytes(bank, vector)
     if shared is None and size <= limit:
-        shared = spark.sparkContext.broadcast(collected(bank, id_col, vector))
+        shared = _broadcast(bank, id_col, vector)
     if shared is not None:
 
         def run(batches):
-            ids, rows = shared.value
-            kernel = _kernel(Bank(rows, ids), k, names, means, times)
-            for batch in batches:
+            kernel = _kernel(shared.value, k, names, means, times)
+            for batch in _chunks(batches, NARROW_ROWS) if shared.value.tree else batches:
                 yield from kernel(batch)
 
-        return queries.select(*keys, vector).mapInArrow(run, schema)
+        queries = queries.select(*keys, vector)
+        return (_together(queries, keys, shared.value.tree.vectors, vector) if shared.value.tree else queries).mapInArrow(run, schema)
     rounds = _rounds(bank, id_col, vector, size, limit or BROADCAST_BYTES, max(1, round_bytes))
     if len(rounds) <= 1:
         return queries.select(*keys, vector).mapInArrow(_passing(rounds[0] if rounds else [], k, names, means, times), schema)
@@ -140,6 +154,24 @@ def nearest(
     return averaged_each(found, keys, means.metric, list(means.ks), means.name) if means.name else averaged(found, keys, means.metric)
 
 
+def _together(queries: DataFrame, keys: list[str], near: np.ndarray, vector: str) -> DataFrame:
+    """The queries, dealt so that those near the same of a few vectors of ``near`` (which lie in order of boxes) are in the same tasks, and a crowd of them in several."""
+    spark = queries.sparkSession
+    pivots = near[:: max(1, len(near) // PIVOTS)]
+    bank = spark.sparkContext.broadcast(Bank(pivots, np.arange(len(pivots))))
+    names, width = [*keys, vector, "cell"], pivots.shape[1]
+
+    def run(batches):
+        for batch in batches:
+            _, cell = bank.value.nearest(matrix(batch.column(batch.num_columns - 1), width), 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell[:, 0].astype(np.int32))], names=names)
+
+    kinds = ", ".join(f"{c} {queries.schema[c].dataType.simpleString()}" for c in [*keys, vector])
+    celled = queries.mapInArrow(run, f"{kinds}, cell int")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return celled.repartition(parts, "cell", F.pmod(F.xxhash64(*keys), F.lit(SHARES))).drop("cell")
+
+
 def mean_distances(queries: DataFrame, keys: list[str], bank: DataFrame, metric: str, ks: Sequence[int], name: str | None = None, **rest) -> DataFrame:
     """Per query: ``dist``, the mean over its k nearest in ascending order; for several k a row for each (``name``). The rest is ``nearest``'s."""
     return nearest(queries, keys, bank, max(ks), means=Means(metric, tuple(ks), name), **rest)
@@ -153,7 +185,7 @@ def _rounds(bank: DataFrame, id_col: str, vector: str, size: int, block_bytes: i
     dealt = bank.select(F.pmod(F.xxhash64(id_col, vector), F.lit(n)).cast("int").alias("block"), F.col(id_col).cast("long").alias(id_col), vector)
     dealt.repartition(min(n, 1000), "block").write.partitionBy("block").parquet(path)
     schema = dealt.drop("block").schema
-    blocks = [spark.sparkContext.broadcast(collected(spark.read.schema(schema).parquet(f"{path}/block={k}"), id_col, vector)) for k in sorted(r[0] for r in spark.read.parquet(path).select("block").distinct().collect())]
+    blocks = [_broadcast(spark.read.schema(schema).parquet(f"{path}/block={k}"), id_col, vector) for k in sorted(r[0] for r in spark.read.parquet(path).select("block").distinct().collect())]
     removed(spark, path)
     each = max(1, round_bytes // block_bytes)
     return [blocks[i : i + each] for i in range(0, len(blocks), each)]
@@ -163,14 +195,15 @@ def _passing(blocks: list, k: int, names: list[str], means: Means | None, times=
     """A chunk of queries at a time, held against one block after the other; what it keeps are its k nearest so far."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for chunk in _chunks(batches) if blocks else ():
+        narrow = bool(blocks) and blocks[0].value.tree is not None
+        for chunk in _chunks(batches, NARROW_ROWS if narrow else CHUNK_ROWS) if blocks else ():
             queries = matrix(chunk.column(chunk.num_columns - 1)).astype(np.float64)
             near, ids = np.empty((len(queries), 0)), np.empty((len(queries), 0), dtype=np.int64)
             for block in blocks:
                 with times("knn"):
-                    own_ids, rows = block.value
+                    bank = block.value
                     block.__dict__.pop("_value", None)  # a worker keeps one block, not all that it has seen
-                    d2, found = Bank(rows, own_ids).nearest(queries, k)
+                    d2, found = bank.nearest(queries, k)
                     near, ids = np.concatenate([near, d2], axis=1), np.concatenate([ids, found], axis=1)
                     order = np.lexsort((ids, near), axis=1)[:, :k]
                     near, ids = np.take_along_axis(near, order, axis=1), np.take_along_axis(ids, order, axis=1)
@@ -181,13 +214,13 @@ def _passing(blocks: list, k: int, names: list[str], means: Means | None, times=
     return run
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     held, rows = [], 0
     for batch in batches:
-        for i in range(0, batch.num_rows, CHUNK_ROWS):
-            held.append(batch.slice(i, CHUNK_ROWS))
+        for i in range(0, batch.num_rows, most):
+            held.append(batch.slice(i, most))
             rows += held[-1].num_rows
-            if rows >= CHUNK_ROWS:
+            if rows >= most:
                 yield from pa.Table.from_batches(held).combine_chunks().to_batches()
                 held, rows = [], 0
     if rows:

@@ -410,3 +410,32 @@ def test_paths(tmp_path):
     assert catalog.status("resnet18", start=start) == "ready: resnet18_features_fused_int8.onnx"
     assert "slower" in catalog.status("resnet18", prefer_gpu=True, start=start) and "needs a file" in catalog.status("custom", start=start) and "no backbone" in catalog.status("x")
     assert catalog.by_file("models/resnet18_features_fused_int8.onnx", start=start) == "resnet18" and catalog.by_file("models/other.onnx", start=start) == "custom"
+
+
+def test_a_query_meets_only_the_boxes_near_it():
+    rng = np.random.default_rng(3)
+    for width in (2, 4, 8):
+        rows = np.concatenate([rng.normal(size=(4000, width)), rng.integers(0, 3, size=(2000, width)), np.zeros((300, width)), 1e6 + rng.normal(size=(200, width))])
+        bank, queries = Bank(rows, np.sort(rng.choice(10**6, len(rows), replace=False))), np.concatenate([rows[::7], 9 * rng.normal(size=(50, width))])
+        near, found = bank.nearest(queries, 9)
+        tree, bank.tree = bank.tree, None
+        plain, plain_ids = bank.nearest(queries, 9)
+        assert (near == plain).all() and (found == plain_ids).all()
+        lowered = np.where(np.arange(len(queries)) % 2, 0.05, np.inf)
+        wanted = np.minimum(lowered, plain[:, 0])
+        tree.lower(lowered, queries)
+        assert (lowered == wanted).all()
+    rows, met = rng.normal(size=(40_000, 4)), 0
+    tree, reached = Bank(rows, np.arange(40_000)).tree, []
+    tree._reached = lambda *a, own=tree._reached: reached.append(len(own(*a))) or own(*a)
+    for at, *_ in tree.pairs(rows[:20_000], 9):
+        met += len(at) * reached[-1]
+    assert met < 20_000 * 40_000 / 8
+
+
+def test_near_queries_are_dealt_together(spark):
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(3000, 3)).tolist()
+    bank, queries = vectors(spark, rows), spark.createDataFrame([(k, r) for k, r in enumerate(rows[::3])], "image_id long, emb array<double>")
+    by_boxes, by_blocks = (sorted(map(tuple, knn.nearest(queries, ["image_id"], bank, 4, limit=limit).collect())) for limit in (knn.BROADCAST_BYTES, 30_000))
+    assert by_boxes == by_blocks and len(by_boxes) == 4000
