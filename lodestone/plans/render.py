@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.images import heatmap, png
@@ -39,6 +39,7 @@ def heatmaps(images: DataFrame, scores: DataFrame, height: int, width: int, time
 
 def normalised(scores: DataFrame, id_col: str = "image_id", value: str = "dist") -> DataFrame:
     """Each patch score over its image's range, 0 to 1; null where the range is at most 1e-8."""
-    ends = scores.groupBy(id_col).agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    image = Window.partitionBy(id_col)  # no join with a second reading of the scores: these would be taken twice
+    ended = scores.withColumns({"low": F.min(value).over(image), "high": F.max(value).over(image)})
     span = F.col("high") - F.col("low")
-    return scores.join(ends, id_col).withColumn("level", F.when(span > 1e-8, (F.col(value) - F.col("low")) / span)).drop("low", "high")
+    return ended.withColumn("level", F.when(span > 1e-8, (F.col(value) - F.col("low")) / span)).drop("low", "high")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import images, maps
 from lodestone.operators import features
+from lodestone.plans import render
 
 
 @pytest.mark.parametrize("shape, to", [((4, 4), (7, 3)), ((1, 5), (3, 2)), ((3, 2), (3, 2)), ((5, 3), (2, 1))])
@@ -211,3 +212,10 @@ def test_a_document_is_read_and_written_in_parts(spark, tmp_path, n):
     (tmp_path / "none.json").write_text(json.dumps({"MemoryBank": [], "TargetEmbedDimension": 2, "FeatureHeight": 1, "FeatureWidth": 1, "AnomalyThreshold": 0.5}))
     with pytest.raises(ValueError):
         models.read_document(spark, str(tmp_path / "none.json"))
+
+
+def test_levels_take_the_scores_once(spark):
+    scores = spark.createDataFrame([(1, 0, 2.0), (1, 1, 4.0), (1, 2, 3.0), (2, 0, 5.0), (2, 1, 5.0)], "image_id long, patch_idx int, dist double").mapInArrow(lambda batches: batches, "image_id long, patch_idx int, dist double")
+    levels = render.normalised(scores)
+    assert sorted((r["image_id"], r["patch_idx"], r["level"]) for r in levels.collect()) == [(1, 0, 0.0), (1, 1, 1.0), (1, 2, 0.5), (2, 0, None), (2, 1, None)]
+    assert levels._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
