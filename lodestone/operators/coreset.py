@@ -13,9 +13,11 @@ by bounds that leave out what no pick can depend on, and with the very members o
 - A member reaches a piece only if it is closer to the piece's pivot than the piece's radius and that bound together (the triangle inequality); all
   others are left out for the piece.
 - A pass takes the pieces of the greatest bounds up to date in one join without a shuffle of vectors, and writes their rows' ids and distances only. The rows
-  farthest from the members come to the driver, CANDIDATES at most, and members are picked among them for as long as none outside can be
-  farther than the farthest candidate. A candidate's own distance is taken up to date only when it stands first.
-- In a task, norms and a matrix product leave the pairs that may be a row's nearest, whose distances are then taken exactly.
+  farthest from the members, CANDIDATES at most, meet in one task, and members are picked among them for as long as none outside can be
+  farther than the farthest candidate. Only the members themselves come to the driver. A candidate's own distance is taken up to date only when it stands
+  first; of few dimensions, candidates are held in boxes, and a member lowers those that it reaches.
+- In a task, norms and a matrix product leave the pairs that may be a row's nearest, whose distances are then taken exactly. Where vectors have few
+  dimensions, only members in boxes near a row are looked at.
 
 Rows without a vector are no members.
 """
@@ -33,19 +35,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.vectors import Bank, matrix
+from lodestone.functions.vectors import Bank, Tree, matrix
 from lodestone.operators import ordered
 from lodestone.operators.knn import bank_bytes, collected, with_vector
 from lodestone.operators.split import seeded
 from lodestone.shared import checkpointed, removed, shared_folder, ship
 
 ONE_TASK_BYTES = 16 << 20
-#: Rows that a pass brings to the driver, and the bytes of their vectors.
-CANDIDATES, CANDIDATE_BYTES = 8192, 8 << 20
+#: Rows that meet in a pass's task, and the bytes of their vectors. They are all rows over one of LEVELS squared distances, each STEP of the one before.
+CANDIDATES, CANDIDATE_BYTES = 262_144, 8 << 20
+LEVELS, STEP = 64, 0.97
+#: The share of the greatest distance down to which a pass takes pieces up to date; for few dimensions, where that is cheap, a smaller one.
+SHARE, NARROW_SHARE = 0.9, 0.5
 #: Members that the driver holds before it hands them over.
 PART = 5000
 #: Members that a piece may lag behind, and the bytes of their vectors: they are sent to the workers.
-LAG, LAG_BYTES = 16_384, 32 << 20
+LAG, LAG_BYTES = 262_144, 8 << 20
 #: Pivots at most, rows for each, and rows of a piece.
 PIVOTS, ROWS_A_PIVOT, PIECE_ROWS = 256, 1000, 50_000
 
@@ -64,6 +69,9 @@ def farthest_first(vectors: np.ndarray, first: int, m: int) -> list[int]:
     vectors = vectors.astype(np.float64)
     chosen = [first]
     nearest = squared_from(vectors, vectors[first])
+    if Tree.serves(vectors):
+        chosen += _picked_by_boxes(vectors, nearest, 0.0, False, m - 1)[0]
+        return chosen + [0] * (m - len(chosen))  # at distance 0 the lowest place comes again and again
     while len(chosen) < m:
         at = int(np.argmax(nearest))
         chosen.append(at)
@@ -71,6 +79,60 @@ def farthest_first(vectors: np.ndarray, first: int, m: int) -> list[int]:
     return chosen
 
 
+def picked(ids: np.ndarray, vectors: np.ndarray, near: np.ndarray, bound: float, first: bool, most: int) -> tuple[list[int], int]:
+    """Places of members among candidates (``ids`` ascending, ``near`` their squared distances), as the greedy method picks them while the farthest is over ``bound``
+    (the first also at it, if ``first``); and the pairs whose distance was taken."""
+    vectors = np.ascontiguousarray(vectors, dtype=np.float64)
+    return (_picked_by_boxes if Tree.serves(vectors) else _picked_by_heap)(vectors, near, bound, first, min(most, len(ids)))
+
+
+def _picked_by_heap(vectors: np.ndarray, near: np.ndarray, bound: float, first: bool, most: int) -> tuple[list[int], int]:
+    heap = [(-d, k, 0) for k, d in enumerate(near.tolist())]  # ids ascend, so the lowest of equals is first
+    heapq.heapify(heap)
+    chosen: list[int] = []
+    held, pairs = np.empty((most, vectors.shape[1])), 0
+    while len(chosen) < most:
+        far, k, upto = heap[0]
+        if upto < len(chosen):  # an old distance is a bound: bring it up to date and look again
+            heapq.heapreplace(heap, (max(far, -float(squared_from(held[upto : len(chosen)], vectors[k]).min())), k, len(chosen)))
+            pairs += len(chosen) - upto
+            continue
+        if -far <= bound and (chosen or not first or -far < bound):
+            break
+        held[len(chosen)] = vectors[k]
+        chosen.append(k)
+        heapq.heapreplace(heap, (0.0, k, len(chosen)))
+    return chosen, pairs
+
+
+def _picked_by_boxes(vectors: np.ndarray, near: np.ndarray, bound: float, first: bool, most: int) -> tuple[list[int], int]:
+    tree = Tree(vectors)
+    box = np.repeat(np.arange(len(tree.starts)), tree.sizes)
+    order = np.lexsort((tree.order, box))  # in a box the lowest id is first
+    place, starts, sizes = tree.order[order], tree.starts, tree.sizes
+    rows, now = vectors[place], near[place].astype(np.float64)
+    high = np.maximum.reduceat(now, starts)
+    chosen: list[int] = []
+    pairs = 0
+    while len(chosen) < most:
+        far = high.max()
+        if far <= bound and (chosen or not first or far < bound):
+            break
+        at = min((int(starts[b] + np.argmax(now[starts[b] : starts[b] + sizes[b]])) for b in np.flatnonzero(high == far)), key=lambda i: place[i])
+        chosen.append(int(place[at]))
+        member = rows[at]
+        reached = np.flatnonzero(tree._apart(tree.low, tree.high, member, member) * (1 - 1e-9) < high)
+        if len(reached):
+            n = sizes[reached]
+            ends = np.cumsum(n)
+            inside = np.repeat(starts[reached] - ends + n, n) + np.arange(ends[-1])
+            lowered = np.minimum(now[inside], squared_from(rows[inside], member))
+            now[inside] = lowered
+            high[reached] = np.maximum.reduceat(lowered, ends - n)
+            pairs += len(inside)
+    return chosen, pairs
+
+
 @dataclass
 class Work:
     """What sampling in passes did: passes, rows taken up to date, and pairs of a row and a member whose distance was taken exactly."""
@@ -118,6 +180,8 @@ def sample(
 
 def relaxed(near: np.ndarray, own: np.ndarray, members: np.ndarray, slab: int = 4_000_000) -> int:
     """Lowers ``near`` to the squared distances from ``own`` rows to the nearest of ``members``; returns the pairs whose distance was taken."""
+    if Tree.serves(members) and np.isfinite(own).all():
+        return Tree(members).lower(near, own)
     taken = 0
     norms = np.einsum("ij,ij->i", members, members)
     largest = float(norms.max(initial=0.0))
@@ -163,7 +227,7 @@ class _Passes:
     def _write(self, rows: DataFrame, what: str) -> DataFrame:
         """A table bucketed by piece, in the shared folder."""
         name = f"{self.name}_{what}"
-        rows.repartition(self.buckets, "piece").write.bucketBy(self.buckets, "piece").option("path", f"{self.folder}/{what}").saveAsTable(name)
+        rows.repartition(self.buckets, "piece").write.bucketBy(self.buckets, "piece").sortBy("piece").option("path", f"{self.folder}/{what}").saveAsTable(name)
         self.tables.append(name)
         return self.spark.table(name)
 
@@ -221,10 +285,13 @@ class _Passes:
         def run(batches):
             members, base, pivots, pivot, radius, high, upto = shared.value
             reach: dict[int, np.ndarray] = {}
+            tree = Tree(members) if Tree.serves(members) else None
             for batch in batches:
                 piece = batch.column(0).to_numpy()
                 own, near = matrix(batch.column(2)).astype(np.float64), batch.column(3).to_numpy().copy()
                 pairs = 0
+                if tree is not None and np.isfinite(own).all():  # a member that a piece has been held against lowers nothing
+                    pairs, piece = tree.lower(near, own), piece[:0]
                 for p in np.unique(piece).tolist():
                     if p not in reach:
                         new = members[upto[p] - base :]
@@ -235,7 +302,7 @@ class _Passes:
                         part = near[at]
                         pairs += relaxed(part, own[at], reach[p])
                         near[at] = part
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near), pa.array(np.eye(1, len(near), dtype=np.int64)[0] * pairs)], names=["piece", id_col, "near", "pairs"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near), pa.array(np.where(np.arange(len(near)) == 0, pairs, 0))], names=["piece", id_col, "near", "pairs"])
 
         found = self._write(rows.mapInArrow(run, f"piece int, {id_col} long, near double, pairs long"), f"near{number}")
         for r in found.groupBy("piece").agg(F.max("near").alias("high"), F.sum("pairs").alias("pairs")).collect():  # a row for each piece
@@ -256,7 +323,8 @@ class _Passes:
         width = self.pivots.shape[1]
         most, lag = min(CANDIDATES, max(1, CANDIDATE_BYTES // (8 * width))), min(LAG, max(1, LAG_BYTES // (8 * width)))
         _, pending = collected(self.rows.where(F.col(id_col) == self.first), id_col, vector)
-        picks, written, done, base, share, number = [(0, self.first, pending[0].tolist())], None, 1, 0, 0.9, 0
+        first_share = NARROW_SHARE if width <= Tree.WIDTH else SHARE
+        picks, written, done, told, base, share, number = [(np.array([self.first]), pending)], None, 1, 0, 0, first_share, 0
         pieces = self.pieces
         while done < m:
             # the pieces of the greatest bounds, and those that would lag too far behind
@@ -269,64 +337,64 @@ class _Passes:
             # candidates stand in pieces that are up to date; all other rows are bounded
             fresh = np.flatnonzero((pieces.size > 0) & (pieces.upto == done))
             stale = float(pieces.high[(pieces.size > 0) & (pieces.upto < done)].max(initial=-1.0))
-            top = self._farthest(fresh, max(stale, 0.0), most + 1)
-            bound = max(stale, top[most]["near"] if len(top) > most else -1.0)
-            members = self._pick(top[:most], bound, stale < 0, m - done, work)
-            if members is None:  # all rows have members at distance 0
-                low = self.rows.orderBy(id_col).limit(1)
-                one, v = collected(low, id_col, vector)
-                picks += [(done + k, int(one[0]), v[0].tolist()) for k in range(m - done)]
-                done = m
+            highest = float(pieces.high[fresh].max(initial=-1.0))
+            if stale < 0 and highest == 0:  # all rows have members at distance 0
+                one, v = collected(self.rows.orderBy(id_col).limit(1), id_col, vector)
+                ids, vectors = np.repeat(one, m - done), np.repeat(v, m - done, axis=0)
+            elif highest < stale or highest == stale and stale >= 0:
+                ids, vectors = np.zeros(0, dtype=np.int64), np.zeros((0, width))
             else:
-                ids, vectors = members
-                share = 0.9 if len(ids) else share / 2
-                picks += [(done + k, int(i), v.tolist()) for k, (i, v) in enumerate(zip(ids, vectors, strict=True))]
-                done += len(ids)
-                pending = np.concatenate([pending, vectors]) if len(ids) else pending
+                ids, vectors = self._pick(fresh, highest, stale, most, m - done, work)
+                pending = np.concatenate([pending, vectors])
+            share = first_share if len(ids) else share / 2
+            picks.append((ids, vectors))
+            done += len(ids)
             if report:
                 report(done, m)
-            if len(picks) >= PART or done == m:
-                part = checkpointed(spark.createDataFrame(picks, schema))
-                written, picks = part if written is None else written.unionByName(part), []
+            if done - told >= PART or done == m:
+                part = checkpointed(self._handed(picks, told, schema))
+                written, picks, told = part if written is None else written.unionByName(part), [], done
         work.members = m
         for name in list(self.tables):
             self._drop(name[len(self.name) + 1 :])
         removed(spark, self.folder)
-        return written if written is not None else spark.createDataFrame(picks, schema)
+        return written if written is not None else self._handed(picks, 0, schema)
 
-    def _farthest(self, fresh: np.ndarray, over: float, most: int) -> list:
-        """The rows of up-to-date pieces that are farthest from the members, no nearer than ``over``: piece, id and distance, the lower id first at equal distance."""
-        pieces = self.pieces
-        where = fresh[pieces.high[fresh] >= over]
-        found = None
-        for k in np.unique(pieces.table[where]).tolist():
-            part = self.spark.table(f"{self.name}_near{k}").where(F.col("piece").isin(where[pieces.table[where] == k].tolist()) & (F.col("near") >= over)).select("piece", self.id_col, "near")
-            found = part if found is None else found.unionByName(part)
-        return found.orderBy(F.desc("near"), self.id_col).limit(most).collect() if found is not None else []
-
-    def _pick(self, top: list, bound: float, all_fresh: bool, most: int, work: Work) -> tuple[np.ndarray, np.ndarray] | None:
-        """Members among candidates that no row outside can come before, as the greedy method picks them; None if all distances are 0."""
-        if top and top[0]["near"] == 0 and all_fresh:
-            return None
-        if not top or top[0]["near"] < bound or top[0]["near"] == bound and not all_fresh:
-            return np.zeros(0, dtype=np.int64), np.zeros((0, self.pivots.shape[1]))
-        near = {r[self.id_col]: r["near"] for r in top}
-        wanted = self.spark.createDataFrame([(r["piece"], r[self.id_col]) for r in top], f"piece int, {self.id_col} long")
-        some = self.vectors.where(F.col("piece").isin(sorted({r["piece"] for r in top})))
-        ids, vectors = collected(some.join(F.broadcast(wanted), ["piece", self.id_col]), self.id_col, self.vector)
-        heap = [(-near[i], k, 0) for k, i in enumerate(ids.tolist())]  # ids ascend, so the lowest of equals is first
-        heapq.heapify(heap)
-        chosen: list[int] = []
-        held = np.empty((min(most, len(ids)), vectors.shape[1]))
-        while len(chosen) < len(held):
-            far, k, upto = heap[0]
-            if upto < len(chosen):  # an old distance is a bound: bring it up to date and look again
-                heapq.heapreplace(heap, (max(far, -float(squared_from(held[upto : len(chosen)], vectors[k]).min())), k, len(chosen)))
-                work.pairs += len(chosen) - upto
-                continue
-            if chosen and -far <= bound:
-                break
-            held[len(chosen)] = vectors[k]
-            chosen.append(k)
-            heapq.heapreplace(heap, (0.0, k, len(chosen)))
-        return ids[chosen], vectors[chosen]
+    def _handed(self, picks: list[tuple[np.ndarray, np.ndarray]], told: int, schema: str) -> DataFrame:
+        """Members on the driver as rows."""
+        ids, vectors = (np.concatenate(x) for x in zip(*picks, strict=True))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, vectors.size + 1, vectors.shape[1], dtype=np.int32)), pa.array(vectors.reshape(-1)))
+        table = pa.table({"pick": pa.array(np.arange(told, told + len(ids), dtype=np.int32)), self.id_col: pa.array(ids), self.vector: lists})
+        return self.spark.createDataFrame(table).select(F.col("pick"), F.col(self.id_col), F.col(self.vector).cast(self.rows.schema[self.vector].dataType)).to(self.spark.createDataFrame([], schema).schema)
+
+    def _pick(self, fresh: np.ndarray, highest: float, stale: float, most: int, wanted: int, work: Work) -> tuple[np.ndarray, np.ndarray]:
+        """Members among the rows of up-to-date pieces that no other row can come before: their ids and vectors, in the order in which the greedy method picks them."""
+        pieces, id_col, vector = self.pieces, self.id_col, self.vector
+        where = fresh[pieces.high[fresh] >= max(stale, 0.0)]
+        parts = [self.spark.table(f"{self.name}_near{k}").where(F.col("piece").isin(where[pieces.table[where] == k].tolist())).select("piece", id_col, "near") for k in np.unique(pieces.table[where]).tolist()]
+        found = parts[0]
+        for part in parts[1:]:
+            found = found.unionByName(part)
+        levels = [highest * STEP**k for k in range(LEVELS)]
+        counts = found.agg(*(F.count(F.when(F.col("near") >= x, 1)).alias(f"c{k}") for k, x in enumerate(levels))).first()
+        k = max((k for k in range(LEVELS) if counts[k] <= most), default=-1)
+        if k >= 0:
+            top, bound = found.where(F.col("near") >= max(levels[k], stale)), max(stale, math.nextafter(levels[k], -1.0))
+        else:  # more rows than candidates at one distance
+            top, bound = found.where(F.col("near") >= highest).orderBy(id_col).limit(most), highest
+        some = self.vectors.where(F.col("piece").isin(where.tolist())).select("piece", id_col, vector)
+        candidates = some.join(top.hint("shuffle_hash"), ["piece", id_col]).select(id_col, vector, "near")
+        names = [id_col, vector, "place", "pairs"]
+
+        def run(batches):
+            table = pa.Table.from_batches(list(batches), schema=None).combine_chunks().sort_by(id_col)
+            own = matrix(pa.concat_arrays(table.column(1).chunks)).astype(np.float64)
+            chosen, pairs = picked(table.column(0).to_numpy(), own, table.column(2).to_numpy(), bound, True, wanted)
+            out = table.take(pa.array(np.array(chosen, dtype=np.int64)))
+            n = len(chosen)
+            yield from pa.table([out.column(0), out.column(1), pa.array(np.arange(n)), pa.array(np.full(n, pairs))], names=names).combine_chunks().to_batches()
+
+        kind = self.rows.schema[vector].dataType.simpleString()
+        table = candidates.repartition(1).mapInArrow(run, f"{id_col} long, {vector} {kind}, place long, pairs long").toArrow().combine_chunks().sort_by("place")
+        work.pairs += table.column(3)[0].as_py() if table.num_rows else 0
+        return table.column(0).to_numpy(), matrix(pa.concat_arrays(table.column(1).chunks)).astype(np.float64)

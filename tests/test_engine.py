@@ -439,3 +439,21 @@ def test_near_queries_are_dealt_together(spark):
     bank, queries = vectors(spark, rows), spark.createDataFrame([(k, r) for k, r in enumerate(rows[::3])], "image_id long, emb array<double>")
     by_boxes, by_blocks = (sorted(map(tuple, knn.nearest(queries, ["image_id"], bank, 4, limit=limit).collect())) for limit in (knn.BROADCAST_BYTES, 30_000))
     assert by_boxes == by_blocks and len(by_boxes) == 4000
+
+
+def test_members_by_boxes(spark):
+    """The members and their order are those of the plain method, with ties and copies; a narrow bank takes few passes, as all candidates meet in a task."""
+    rng = np.random.default_rng(5)
+    rows = np.concatenate([rng.normal(size=(2500, 3)), rng.integers(0, 4, size=(1500, 3)), np.zeros((100, 3))])
+    near = coreset.squared_from(rows, rows[7])
+    by_boxes, pairs = coreset.picked(np.arange(len(rows)), rows, near.copy(), 0.0, False, 600)
+    by_heap, _ = coreset._picked_by_heap(rows, near.copy(), 0.0, False, 600)
+    assert by_boxes == by_heap and len(by_boxes) == 600 and pairs < 600 * len(rows) / 4
+    short = coreset.picked(np.arange(2200), np.repeat(rows[:2], 1100, axis=0), coreset.squared_from(np.repeat(rows[:2], 1100, axis=0), rows[0]), 0.0, False, 9)[0]
+    assert short == [1100]
+    work = coreset.Work()
+    bank = vectors(spark, rows)
+    got = [r["bank_id"] for r in coreset.sample(bank, 0.1, limit=0, work=work).orderBy("pick").collect()]
+    first = got[0]
+    plain = [first, *coreset._picked_by_heap(rows.astype(np.float32).astype(float), coreset.squared_from(rows.astype(np.float32).astype(float), rows[first].astype(np.float32).astype(float)), 0.0, False, len(got) - 1)[0]]
+    assert got == plain and work.passes <= 3
