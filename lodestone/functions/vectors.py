@@ -198,6 +198,20 @@ class Bank:
             near[at : at + step], ids[at : at + step] = d2[take].reshape(-1, k), self.ids[column[take]].reshape(-1, k)
         return near, ids
 
+    def within(self, queries: np.ndarray, k: int, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of a query (by its place) and a vector: squared distances and ids. All that are among a query's k nearest and within its ``bound`` are there."""
+        queries = np.ascontiguousarray(queries, dtype=np.float64)
+        if self.tree is not None and 0 < k <= Tree.LEAF and len(queries) and np.isfinite(queries).all():
+            found = [(np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=np.int64))]
+            for at, row, number, d2 in self.tree.pairs(queries, k, bound):
+                order = np.lexsort((number, d2, row))
+                order = order[(np.arange(len(row)) - np.searchsorted(row, row) < k) & (d2[order] <= bound[at[row]])]
+                found.append((at[row[order]], d2[order], self.ids[number[order]]))
+            return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        d2, ids = self.nearest(queries, k)
+        row, place = np.nonzero(~(d2 > bound[:, None]))
+        return row, d2[row, place], ids[row, place]
+
 
 def top_k(squared: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Each row's k smallest and their ids, nearest first, at equal distance the lower id. ``ids`` ascend."""

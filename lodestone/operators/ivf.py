@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.vectors import Bank, matrix, squared_matrix, top_k
-from lodestone.operators.knn import BROADCAST_BYTES, NARROW_ROWS, Means, _chunks, averaged, averaged_each, bank_bytes, blocked, collected, merged, nearest, records, with_vector
+from lodestone.operators.knn import BROADCAST_BYTES, NARROW_ROWS, Means, _chunks, _together, averaged, averaged_each, bank_bytes, blocked, collected, merged, nearest, records, with_vector
 from lodestone.operators.split import seeded
 from lodestone.plans.progress import untimed
 from lodestone.shared import checkpointed, ship
@@ -122,7 +122,12 @@ class Cells:
         self.whole = Bank(vectors, ids)
 
     def nearest(self, queries: np.ndarray, k: int, n_probes: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(queries' numbers, distances, ids) of all queries: only the probed clusters' vectors are looked at, and the whole bank's for queries with under k there."""
+        """(queries' numbers, distances, ids) of all queries: only the probed clusters' vectors are looked at, and the whole bank's for queries with under k there.
+
+        A query's nearest cluster comes first, and what it gives bounds what the farther ones may add.
+        """
+        if n_probes >= len(self.cells):  # all clusters are the whole bank
+            return [(np.arange(len(queries)), *self.whole.nearest(queries, k))]
         _, probed = top_k(squared_matrix(queries, self.centroids), np.arange(len(self.centroids)), n_probes)
         enough = self.sizes[probed].sum(axis=1) >= k
         out = []
@@ -132,25 +137,31 @@ class Cells:
         some = np.flatnonzero(enough)
         if not len(some):
             return out
-        own, near, ids = [], [], []
-        for c in np.unique(probed[some]).tolist():
-            asking = some[(probed[some] == c).any(axis=1)]
-            d2, found = self.cells[c].nearest(queries[asking], k)
-            own.append(np.repeat(asking, d2.shape[1]))
-            near.append(d2.reshape(-1))
-            ids.append(found.reshape(-1))
-        own, near, ids = (np.concatenate(x) for x in (own, near, ids))
-        order = np.lexsort((ids, near, own))
-        starts = np.searchsorted(own[order], some)
-        take = order[(starts[:, None] + np.arange(k)).reshape(-1)]
-        out.append((some, near[take].reshape(-1, k), ids[take].reshape(-1, k)))
+        asked, probed = queries[some], probed[some]
+        near, ids, missing = (np.full((len(some), k), x) for x in (np.inf, 0, True))
+        for probe in probed.T:
+            found = []
+            for c in np.unique(probe).tolist():
+                at = np.flatnonzero(probe == c)
+                row, d2, more = self.cells[c].within(asked[at], k, near[at, -1])
+                found.append((at[row], d2, more))
+            row, d2, more = (np.concatenate(x) for x in zip(*found, strict=True))
+            changed, place = np.unique(row, return_inverse=True)
+            own = np.concatenate([np.repeat(np.arange(len(changed)), k), place])
+            every = [np.concatenate([old[changed].reshape(-1), x]) for old, x in ((near, d2), (ids, more), (missing, np.zeros(len(row), dtype=bool)))]
+            order = np.lexsort((every[1], every[0], every[2], own))
+            take = order[(np.searchsorted(own[order], np.arange(len(changed)))[:, None] + np.arange(k)).reshape(-1)]
+            near[changed], ids[changed], missing[changed] = (x[take].reshape(-1, k) for x in every)
+        out.append((some, near, ids))
         return out
 
 
 def shared_cells(indexed: DataFrame, centroids: np.ndarray, id_col: str = "bank_id", vector: str = "emb", limit: int = BROADCAST_BYTES):
-    """An index within the limit as a broadcast, for many calls of ``nearest_probed``; None beyond it."""
+    """An index within the limit as a broadcast of ``Cells``, made once, for many calls of ``nearest_probed``; None beyond it."""
     indexed = with_vector(indexed, vector)
-    return indexed.sparkSession.sparkContext.broadcast((*collected(indexed, id_col, vector, ("cluster_id",)), centroids)) if bank_bytes(indexed, vector) <= limit else None
+    if bank_bytes(indexed, vector) > limit:
+        return None
+    return indexed.sparkSession.sparkContext.broadcast(Cells(*collected(indexed, id_col, vector, ("cluster_id",)), centroids))
 
 
 def nearest_probed(queries: DataFrame, keys: list[str], indexed: DataFrame, centroids: np.ndarray, k: int, n_probes: int = 4, id_col: str = "bank_id", vector: str = "emb", limit: int = BROADCAST_BYTES, shared=None, means: Means | None = None, times=untimed) -> DataFrame:
@@ -164,7 +175,7 @@ def nearest_probed(queries: DataFrame, keys: list[str], indexed: DataFrame, cent
         names = keys if means else [*keys, "rank", id_col, "d2"]
 
         def run(batches):
-            cells = Cells(*shared.value)
+            cells = shared.value
             step = NARROW_ROWS if cells.whole.tree else 2048
             for whole in _chunks(batches, step) if cells.whole.tree else batches:
                 for i in range(0, whole.num_rows if len(cells.whole.ids) else 0, step):
@@ -176,7 +187,8 @@ def nearest_probed(queries: DataFrame, keys: list[str], indexed: DataFrame, cent
                         yield means.records(part, near, names) if means else records(part, near, ids, names)
 
         kinds = ", ".join(f"{c} {queries.schema[c].dataType.simpleString()}" for c in keys)
-        return queries.select(*keys, vector).mapInArrow(run, f"{kinds}, {means.kinds}" if means else f"{kinds}, rank int, {id_col} long, d2 double")
+        queries, tree = queries.select(*keys, vector), shared.value.whole.tree
+        return (_together(queries, keys, tree.vectors, vector) if tree else queries).mapInArrow(run, f"{kinds}, {means.kinds}" if means else f"{kinds}, rank int, {id_col} long, d2 double")
     candidates = probes(queries, keys, centroids, n_probes, vector).withColumn("cell", F.col("cluster_id"))
     found = merged(blocked(candidates, keys, indexed.withColumn("cell", F.col("cluster_id")), k, id_col, vector), keys, k, id_col)
     found = checkpointed(found)

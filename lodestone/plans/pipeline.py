@@ -75,6 +75,11 @@ class Scorer:
 
 def train(maps: DataFrame, config: EngineConfig, shape: tuple[int, int, int], seed: int = 0, progress: Progress | None = None) -> Model:
     """A model of normal maps: patches (not downscaled), their coreset, and the 95th percentile of the maps' own scores as threshold."""
+    return _trained(maps, config, shape, seed, progress).model
+
+
+def _trained(maps: DataFrame, config: EngineConfig, shape: tuple[int, int, int], seed: int = 0, progress: Progress | None = None) -> Scorer:
+    """The scorer of a new model: its index and what it has broadcast serve further searches."""
     c, h, w = shape
     found = features.patches(maps, "image_id", "data", shape, config.patch_size)
     if found.isEmpty():
@@ -86,8 +91,10 @@ def train(maps: DataFrame, config: EngineConfig, shape: tuple[int, int, int], se
         bank=members, embed_dim=c, height=h, width=w, threshold=0.0, patch_size=config.patch_size, num_neighbors=config.num_neighbors, coreset_ratio=config.coreset_ratio, image_size=config.image_size,
         backbone_id=config.backbone_id, metric=config.metric, downscale=config.downscale, use_ann=config.use_ann, ann_clusters=config.ann_clusters, ann_probes=config.ann_probes,
     )
-    own = checkpointed(Scorer(model, shape).scores(maps))
-    return model.tuned(model.num_neighbors, model.ann_probes, ordered.p95(own, "score"))
+    scorer = Scorer(model, shape)
+    own = checkpointed(scorer.scores(maps))
+    scorer.model = model.tuned(model.num_neighbors, model.ann_probes, ordered.p95(own, "score"))
+    return scorer
 
 
 def search_neighbors(scorer: Scorer, labelled: DataFrame, candidates=tuning.NEIGHBOR_CANDIDATES) -> list[dict]:
@@ -115,9 +122,9 @@ def train_and_tune(maps: DataFrame, config: EngineConfig, shape: tuple[int, int,
     with steps.step("split"):
         parts = checkpointed(split.split(maps.select("image_id", "data", "class"), "image_id", "class", config.seed, (config.train_ratio, config.tune_ratio, config.test_ratio), config.ng_tune_ratio, counts))
     with steps.step("train"):
-        model = train(parts.where("subset = 'train' and class = 'OK'"), config, shape, progress=steps)
+        scorer = _trained(parts.where("subset = 'train' and class = 'OK'"), config, shape, progress=steps)
+        model = scorer.model
         out = Trained(model)
-        scorer = Scorer(model, shape)
     if split.can_tune(parts):
         tune = parts.where("subset = 'tune'")
         ks = tuning.NEIGHBOR_CANDIDATES if config.search_neighbors else [config.num_neighbors]

@@ -159,6 +159,32 @@ def test_index_with_all_probes_is_exact(spark):
     assert ivf.uses_index(True, 32, 32) and not ivf.uses_index(True, 31, 32)
 
 
+def test_probed_clusters_bound_each_other(spark):
+    """Clusters with and without boxes, ties and queries of one partition: the rows of brute force, from several tasks."""
+    random = np.random.default_rng(11)
+    points = np.concatenate([random.normal(size=(9000, 3)), np.round(random.normal(size=(900, 3)) + 5), random.normal(size=(40, 3)) - 9])
+    centroids = np.array([[-1.0, 0, 0], [1, 0, 0], [5, 5, 5], [-9, -9, -9]])
+    owner = squared_matrix(points, centroids).argmin(axis=1)
+    queries = np.concatenate([random.normal(size=(300, 3)), points[9000:9050], random.normal(size=(20, 3)) - 9])
+    cells = ivf.Cells(np.arange(len(points)), points, owner, centroids)
+    assert [c.tree is not None for c in cells.cells] == [True, True, False, False]
+    for k, n in ((1, 1), (7, 2), (7, 3), (7, 4), (60, 2), (60, 1)):
+        probed = np.argsort(squared_matrix(queries, centroids), axis=1, kind="stable")[:, :n]
+        got = {}
+        for own, near, ids in cells.nearest(queries, k, n):
+            got |= {int(q): (d.tolist(), i.tolist()) for q, d, i in zip(own, near, ids, strict=True)}
+        for q, own in enumerate(probed):
+            inside = np.flatnonzero(np.isin(owner, own))
+            inside = inside if len(inside) >= k else np.arange(len(points))
+            d2 = squared_matrix(queries[q : q + 1], points[inside])[0]
+            best = np.lexsort((inside, d2))[:k]
+            assert got[q][1] == inside[best].tolist() and np.allclose(got[q][0], d2[best], rtol=1e-12, atol=0)
+    bank = spark.createDataFrame([(k, v.tolist(), int(c)) for k, (v, c) in enumerate(zip(points, owner, strict=True))], "bank_id long, emb array<double>, cluster_id int")
+    asked = vectors(spark, queries, "image_id").coalesce(1)
+    found = ivf.nearest_probed(asked, ["image_id"], bank, centroids, 7, 2)
+    assert found.rdd.getNumPartitions() > 1 and found.count() == 7 * len(queries)
+
+
 def test_coreset(spark):
     random = np.random.default_rng(3)
     points = random.normal(size=(200, 3))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.config import EngineConfig
 from lodestone.functions import images as kernels
-from lodestone.operators import knn
+from lodestone.operators import ivf, knn
 from lodestone.plans import catalogue, pipeline, render
 from lodestone.sources import catalog, images, models, profiles, tables
 from lodestone.streaming.scoring import score_stream
@@ -90,6 +90,15 @@ def test_anomalies_are_found_and_drawn(spark, folder, tmp_path):
         pipeline.train(maps.limit(0), config, shape)
 
 
+def test_an_index_is_made_once(spark, sf_dir, monkeypatch):
+    """Training, both searches and the test share an index and its broadcast."""
+    made = []
+    for name in ("build", "shared_cells"):
+        monkeypatch.setattr(ivf, name, lambda *a, f=getattr(ivf, name), name=name, **b: made.append(name) or f(*a, **b))
+    done = pipeline.train_and_tune(tables.maps(spark, sf_dir), EngineConfig(coreset_ratio=0.05, use_ann=True, ann_clusters=8), tables.SHAPE)
+    assert made == ["build", "shared_cells"] and len(done.probe_sweep) == 5 and done.test
+
+
 def test_models(spark, tmp_path):
     bank = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 4.5])], "bank_id long, emb array<float>")
     model = models.Model(bank=bank, embed_dim=2, height=1, width=1, threshold=0.5, metric="squared_euclidean")
