@@ -363,8 +363,9 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.struct(*df.columns).alias("row"), F.struct(F.col(id_col).alias("id"), key.alias("text_key")).alias("own"), text.alias("text"))
 
 
-def text_classes(whole: DataFrame, width: int = SHINGLE, least: float = LEAST, covered: bool = False) -> tuple[DataFrame, bool]:
-    """Per distinct text of ``keyed`` rows: ``text_key``, ``least`` (its smallest id), ``node``, and ``root``, which similar texts share; and whether rows repeat an id and a text.
+def text_classes(whole: DataFrame, width: int = SHINGLE, least: float = LEAST, covered: bool = False) -> tuple[DataFrame, bool, DataFrame]:
+    """Per distinct text of ``keyed`` rows: ``text_key``, ``least`` (its smallest id), ``node``, and ``root``, which similar texts share; whether rows repeat an id and a text; and
+    each row's ``id`` and ``text_key``, from a checkpoint, for which no text is read again.
 
     Candidates are texts that MinHash bands bring together, and with ``covered`` also those whose fingerprints over the same shingles are within RADIUS, found by the covering masks.
     """
@@ -379,7 +380,7 @@ def text_classes(whole: DataFrame, width: int = SHINGLE, least: float = LEAST, c
     wanted = first.select("node", "text_key", "least").join(classes.select("node"), "node")
     texts = whole.select("own", "text").join(wanted, (F.col("own.text_key") == F.col("text_key")) & F.col("own.id").eqNullSafe(F.col("least"))).select("node", "text")
     roots = connected_components(similar_links(texts.dropDuplicates(["node"]) if repeats else texts, classes, "node", "text", width, least))
-    return first.select("node", "text_key", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), repeats
+    return first.select("node", "text_key", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), repeats, found.select("id", "text_key")
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, least: float = LEAST) -> DataFrame:
@@ -390,7 +391,7 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     or more. Rows without an id are compared like any other, and stay only where their group has no id; of rows that repeat an id and a text one stays.
     """
     whole = keyed(df, id_col, text_col)
-    found, repeats = text_classes(whole, width, least, covered=True)
+    found, repeats, _ = text_classes(whole, width, least, covered=True)
     order = F.struct(F.col("least").isNull(), "least", "node")
     stay = checkpointed(found.groupBy("root").agg(F.min_by(F.struct("text_key", "least"), order).alias("stay")).select("stay.*"))
     kept = whole.select("row", "own").join(stay, (F.col("own.text_key") == F.col("text_key")) & F.col("own.id").eqNullSafe(F.col("least")), "left_semi")

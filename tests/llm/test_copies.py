@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import xxhash
 
 from lodestone.llm import components, minhash, queries, simhash
+from lodestone.shared import read
 
 
 def word_list(text):
@@ -287,6 +288,20 @@ def test_edits_of_one_and_none(spark):
     assert minhash.fingerprint_edits(nulls).count() == 3
 
 
+def test_word_hashes_are_taken_from_bytes():
+    import pyarrow as pa
+
+    found = pa.array(["x", "", "größe", "word", "a" * 90, "ab"])
+    for part in (found, found.slice(2, 3), found.slice(6)):
+        assert minhash._Hashes()(part).tolist() == [xxhash.xxh64_intdigest(w, 42) for w in part.to_pylist()]
+
+
+def test_classes_are_named_without_reading_texts_again(spark, sf_dir):
+    found = minhash.near_duplicates(read(spark, sf_dir, "documents"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" not in plan and "parquet" not in plan and found.count() == read(spark, sf_dir, "documents").count()
+
+
 def test_minhash_near_duplicates(spark):
     rows = edits(11)
     df = spark.createDataFrame(rows, "doc_id long, text string")
