@@ -55,6 +55,43 @@ def kd_order(vectors: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.array(starts)
 
 
+class Rough:
+    """Squared distances of two sets of vectors by one matrix product in float32, each off by no more than a slack.
+
+    Both sets are moved by the same ``center``, so that only how far they are spread counts for the slack.
+    """
+
+    #: Squared norms beyond which float32 is of no use.
+    MOST = 1e30
+
+    def __init__(self, vectors: np.ndarray, center: np.ndarray):
+        moved = vectors - center
+        self.squares = np.einsum("ij,ij->i", moved, moved)
+        self.largest = float(self.squares.max(initial=0.0))
+        self.serves = self.largest < self.MOST  # neither for nan
+        self.rows = np.empty((len(moved), moved.shape[1] + 2), dtype=np.float32)
+        if self.serves:
+            self.rows[:, :-2], self.rows[:, -2], self.rows[:, -1] = moved, self.squares, 1
+
+    @property
+    def turned(self) -> np.ndarray:
+        """The other side of the product."""
+        out = np.empty_like(self.rows)
+        np.multiply(self.rows[:, :-2], -2, out=out[:, :-2])
+        out[:, -2], out[:, -1] = 1, self.squares
+        return out.T
+
+    def slack(self, largest: float) -> np.ndarray:
+        """What rounding may have done to a row's distances to vectors of squared norms up to ``largest``: over twice the bound of a sum of as many terms."""
+        return 4 * (self.rows.shape[1] + 6) * 2.0**-24 * (self.squares + largest) + 1e-30
+
+
+def over(bound: np.ndarray) -> np.ndarray:
+    """In float32, no less."""
+    with np.errstate(over="ignore"):
+        return np.nextafter(bound.astype(np.float32), np.float32(np.inf))
+
+
 class Tree:
     """Vectors of few dimensions by boxes, so that a query meets only those that can be near it. The work for a query hardly grows with their number."""
 

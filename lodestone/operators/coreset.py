@@ -14,10 +14,11 @@ by bounds that leave out what no pick can depend on, and with the very members o
   others are left out for the piece.
 - A pass takes the pieces of the greatest bounds up to date in one join without a shuffle of vectors, and writes their rows' ids and distances only. The rows
   farthest from the members, CANDIDATES at most, meet in one task, and members are picked among them for as long as none outside can be
-  farther than the farthest candidate. Only the members themselves come to the driver. A candidate's own distance is taken up to date only when it stands
-  first; of few dimensions, candidates are held in boxes, and a member lowers those that it reaches.
-- In a task, norms and a matrix product leave the pairs that may be a row's nearest, whose distances are then taken exactly. Where vectors have few
-  dimensions, only members in boxes near a row are looked at.
+  farther than the farthest candidate. Only the members themselves come to the driver. Among candidates a block of the farthest gives members for as long as
+  its farthest is over all others; these are lowered by all members of a block at once. Of few dimensions, candidates are held in boxes, and a member
+  lowers those that it reaches.
+- In a task, a matrix product (in float32, with a bound of its error) leaves the pairs that may be a row's nearest, whose distances are then taken
+  exactly. Where vectors have few dimensions, only members in boxes near a row are looked at.
 
 Rows without a vector are no members.
 """
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.vectors import Bank, Tree, matrix
+from lodestone.functions.vectors import Bank, Rough, Tree, matrix, over
 from lodestone.operators import ordered
 from lodestone.operators.knn import bank_bytes, collected, with_vector
 from lodestone.operators.split import seeded
@@ -43,14 +44,16 @@ from lodestone.shared import checkpointed, removed, shared_folder, ship
 
 ONE_TASK_BYTES = 16 << 20
 #: Rows that meet in a pass's task, and the bytes of their vectors. They are all rows over one of LEVELS squared distances, each STEP of the one before.
-CANDIDATES, CANDIDATE_BYTES = 262_144, 8 << 20
-LEVELS, STEP = 64, 0.97
+CANDIDATES, CANDIDATE_BYTES = 262_144, 64 << 20
+LEVELS, STEP = 1024, 0.9975
+#: The farthest candidates among which members are picked before all others are lowered.
+BLOCK = 1024
 #: The share of the greatest distance down to which a pass takes pieces up to date; for few dimensions, where that is cheap, a smaller one.
 SHARE, NARROW_SHARE = 0.9, 0.5
 #: Members that the driver holds before it hands them over.
 PART = 5000
 #: Members that a piece may lag behind, and the bytes of their vectors: they are sent to the workers.
-LAG, LAG_BYTES = 262_144, 8 << 20
+LAG, LAG_BYTES = 262_144, 32 << 20
 #: Pivots at most, rows for each, and rows of a piece.
 PIVOTS, ROWS_A_PIVOT, PIECE_ROWS = 256, 1000, 50_000
 
@@ -69,8 +72,8 @@ def farthest_first(vectors: np.ndarray, first: int, m: int) -> list[int]:
     vectors = vectors.astype(np.float64)
     chosen = [first]
     nearest = squared_from(vectors, vectors[first])
-    if Tree.serves(vectors):
-        chosen += _picked_by_boxes(vectors, nearest, 0.0, False, m - 1)[0]
+    if len(vectors) > BLOCK and np.isfinite(vectors).all():
+        chosen += (_picked_by_boxes if Tree.serves(vectors) else _picked_by_blocks)(vectors, nearest, 0.0, False, m - 1)[0]
         return chosen + [0] * (m - len(chosen))  # at distance 0 the lowest place comes again and again
     while len(chosen) < m:
         at = int(np.argmax(nearest))
@@ -83,7 +86,8 @@ def picked(ids: np.ndarray, vectors: np.ndarray, near: np.ndarray, bound: float,
     """Places of members among candidates (``ids`` ascending, ``near`` their squared distances), as the greedy method picks them while the farthest is over ``bound``
     (the first also at it, if ``first``); and the pairs whose distance was taken."""
     vectors = np.ascontiguousarray(vectors, dtype=np.float64)
-    return (_picked_by_boxes if Tree.serves(vectors) else _picked_by_heap)(vectors, near, bound, first, min(most, len(ids)))
+    way = _picked_by_heap if len(ids) <= BLOCK or not np.isfinite(vectors).all() else _picked_by_boxes if Tree.serves(vectors) else _picked_by_blocks
+    return way(vectors, near, bound, first, min(most, len(ids)))
 
 
 def _picked_by_heap(vectors: np.ndarray, near: np.ndarray, bound: float, first: bool, most: int) -> tuple[list[int], int]:
@@ -105,6 +109,48 @@ def _picked_by_heap(vectors: np.ndarray, near: np.ndarray, bound: float, first:
     return chosen, pairs
 
 
+def _picked_by_blocks(vectors: np.ndarray, near: np.ndarray, bound: float, first: bool, most: int) -> tuple[list[int], int]:
+    place, now = np.arange(len(vectors)), near.astype(np.float64)
+    rows, chosen, pairs = Lowered(vectors), [], 0
+    while len(chosen) < most:
+        live = now > bound
+        if not chosen and first:
+            live |= now == bound
+        if 4 * np.count_nonzero(live) < 3 * len(now):  # what is within the bound is no member of this call
+            place, now = place[live], now[live]
+            rows = Lowered(rows.own[live])
+            continue
+        if not live.any():
+            break
+        # a block of the farthest, and the greatest distance beside it
+        rest = -np.inf if len(now) <= BLOCK else float(np.partition(now, len(now) - BLOCK - 1)[len(now) - BLOCK - 1])
+        at = np.flatnonzero(now > rest)
+        ties = not len(at)
+        if ties:  # more than a block at the greatest distance: those of the lowest places
+            at = np.flatnonzero(now == rest)[:BLOCK]
+        own, far = rows.own[at], now[at]
+        norms = np.einsum("ij,ij->i", own, own)
+        rough = own @ own.T * -2 + norms[:, None] + norms
+        slack = 1e-12 * (own.shape[1] + 4) * (norms + norms.max())  # over any error of the product
+        new: list[int] = []
+        while len(chosen) < most:
+            k = int(np.argmax(far))  # places ascend, so the lowest of equals
+            top = far[k]
+            if top < rest or top == rest and not ties or top <= bound and (chosen or not first or top < bound):
+                break
+            lowered = np.flatnonzero(rough[k] <= far + slack)
+            far[lowered] = np.minimum(far[lowered], squared_from(own[lowered], own[k]))
+            far[k] = 0.0
+            chosen.append(int(place[at[k]]))
+            new.append(k)
+            pairs += len(lowered)
+        if not new:
+            break
+        pairs += rows.lower(now, own[new])
+        now[at[new]] = 0.0
+    return chosen, pairs
+
+
 def _picked_by_boxes(vectors: np.ndarray, near: np.ndarray, bound: float, first: bool, most: int) -> tuple[list[int], int]:
     tree = Tree(vectors)
     box = np.repeat(np.arange(len(tree.starts)), tree.sizes)
@@ -178,27 +224,77 @@ def sample(
     return _Passes(rows, n, first, m, id_col, vector).members(report, work or Work())
 
 
-def relaxed(near: np.ndarray, own: np.ndarray, members: np.ndarray, slab: int = 4_000_000) -> int:
+class Lowered:
+    """Rows whose squared distances to the nearest member are lowered by more and more members."""
+
+    #: Distances of a product, and members of one.
+    SLAB, MEMBERS = 1 << 20, 2048
+
+    def __init__(self, own: np.ndarray):
+        self.own = np.ascontiguousarray(own, dtype=np.float64)
+        with np.errstate(invalid="ignore", over="ignore"):
+            self.center = self.own.mean(axis=0) if len(own) else np.zeros(own.shape[1])
+            self.rough = Rough(self.own, self.center)
+
+    def lower(self, near: np.ndarray, members: np.ndarray) -> int:
+        """Returns the pairs whose distance was taken exactly."""
+        taken = 0
+        for i in range(0, len(members) if len(near) else 0, self.MEMBERS):
+            some = members[i : i + self.MEMBERS]
+            with np.errstate(invalid="ignore", over="ignore"):
+                other = Rough(some, self.center)
+            if not (self.rough.serves and other.serves):
+                taken += self._lower(near, self.own, some)
+                continue
+            turned, slack = other.turned, self.rough.slack(other.largest)
+            step = max(1, self.SLAB // len(some))
+            for at in range(0, len(near), step):
+                here = slice(at, at + step)
+                rough = self.rough.rows[here] @ turned
+                low = rough.min(axis=1).astype(np.float64)
+                hit = np.flatnonzero(low <= near[here] + slack[here])
+                if not len(hit):
+                    continue
+                rough = rough if len(hit) == len(rough) else rough[hit]
+                hit += at
+                limit = over(np.minimum(near[hit], low[hit - at] + slack[hit]) + slack[hit])
+                row, column = np.divmod(np.flatnonzero(rough <= limit[:, None]), len(some))
+                if len(row) > 16 * len(hit):  # rows lie so close together that float32 can't tell them apart
+                    part = near[hit]
+                    taken += self._lower(part, self.own[hit], some)
+                    near[hit] = part
+                else:
+                    np.minimum.at(near, hit[row], squared_from(self.own[hit[row]], some[column]))
+                    taken += len(row)
+        return taken
+
+    @staticmethod
+    def _lower(near: np.ndarray, own: np.ndarray, members: np.ndarray, slab: int = 1_000_000) -> int:
+        """The same by a product in double."""
+        taken = 0
+        norms = np.einsum("ij,ij->i", members, members)
+        largest = float(norms.max(initial=0.0))
+        step = max(1, slab // max(1, len(members)))
+        for at in range(0, len(own) if len(members) else 0, step):
+            rows, now = own[at : at + step], near[at : at + step]
+            squares = np.einsum("ij,ij->i", rows, rows)
+            rough = rows @ members.T
+            rough *= -2
+            rough += squares[:, None]
+            rough += norms
+            slack = 1e-12 * (own.shape[1] + 4) * (squares + largest)  # over any error of the product
+            bound = np.minimum(now, rough.min(axis=1) + slack) + slack
+            row, column = np.nonzero(rough <= bound[:, None])
+            np.minimum.at(now, row, squared_from(rows[row], members[column]))
+            taken += len(row)
+        return taken
+
+
+def relaxed(near: np.ndarray, own: np.ndarray, members: np.ndarray) -> int:
     """Lowers ``near`` to the squared distances from ``own`` rows to the nearest of ``members``; returns the pairs whose distance was taken."""
     if Tree.serves(members) and np.isfinite(own).all():
         return Tree(members).lower(near, own)
-    taken = 0
-    norms = np.einsum("ij,ij->i", members, members)
-    largest = float(norms.max(initial=0.0))
-    step = max(1, slab // max(1, len(members)))
-    for at in range(0, len(own) if len(members) else 0, step):
-        rows, now = own[at : at + step], near[at : at + step]
-        squares = np.einsum("ij,ij->i", rows, rows)
-        rough = rows @ members.T
-        rough *= -2
-        rough += squares[:, None]
-        rough += norms
-        slack = 1e-12 * (own.shape[1] + 4) * (squares + largest)  # over any error of the product
-        bound = np.minimum(now, rough.min(axis=1) + slack) + slack
-        row, column = np.nonzero(rough <= bound[:, None])
-        np.minimum.at(now, row, squared_from(rows[row], members[column]))
-        taken += len(row)
-    return taken
+    return Lowered(own).lower(near, members)
 
 
 @dataclass
@@ -376,7 +472,9 @@ class _Passes:
         for part in parts[1:]:
             found = found.unionByName(part)
         levels = [highest * STEP**k for k in range(LEVELS)]
-        counts = found.agg(*(F.count(F.when(F.col("near") >= x, 1)).alias(f"c{k}") for k, x in enumerate(levels))).first()
+        level = F.ceil(F.log(F.col("near") / highest) / math.log(STEP)).cast("int")
+        counted = dict(found.where(F.col("near") >= levels[-1]).groupBy(level.alias("level")).count().collect())  # LEVELS rows at most
+        counts = np.cumsum([counted.get(k, 0) for k in range(LEVELS)])
         k = max((k for k in range(LEVELS) if counts[k] <= most), default=-1)
         if k >= 0:
             top, bound = found.where(F.col("near") >= max(levels[k], stale)), max(stale, math.nextafter(levels[k], -1.0))

@@ -483,3 +483,33 @@ def test_members_by_boxes(spark):
     first = got[0]
     plain = [first, *coreset._picked_by_heap(rows.astype(np.float32).astype(float), coreset.squared_from(rows.astype(np.float32).astype(float), rows[first].astype(np.float32).astype(float)), 0.0, False, len(got) - 1)[0]]
     assert got == plain and work.passes <= 3
+
+
+def test_members_by_blocks(spark, monkeypatch):
+    """Wide vectors: the members of the plain method in its order, with ties, copies and any scale, and few distances taken for them; passes of few candidates give the same."""
+    rng = np.random.default_rng(6)
+    spread = rng.normal(size=(4000, 32))
+    plain = lambda rows, near, most: coreset._picked_by_heap(rows, near.copy(), 0.0, False, most)[0]
+    tight = np.concatenate([spread[:1500], spread[0] + 1e-5 * rng.normal(size=(1500, 32))])
+    for rows in (spread, spread + 1e6, spread * 1e20, spread * 1e-25, tight, rng.integers(0, 2, size=(3000, 9)).astype(float), np.repeat(spread[:30], 100, axis=0)):
+        near = coreset.squared_from(rows, rows[7])
+        found, pairs = coreset.picked(np.arange(len(rows)), rows, near.copy(), 0.0, False, 400)
+        assert found == plain(rows, near, 400)
+        assert rows is not spread or pairs < 400 * len(rows) / 10
+    monkeypatch.setattr(coreset, "CANDIDATES", 1500)
+    monkeypatch.setattr(coreset, "BLOCK", 64)
+    monkeypatch.setattr(coreset, "ROWS_A_PIVOT", 500)
+    rows, work = spread.astype(np.float32).astype(float), coreset.Work()
+    got = [r["bank_id"] for r in coreset.sample(vectors(spark, rows), 0.2, limit=0, work=work).orderBy("pick").collect()]
+    assert got == [got[0], *plain(rows, coreset.squared_from(rows, rows[got[0]]), 799)] and work.passes > 1
+
+
+def test_rows_lowered_by_members():
+    """Estimates in float32 leave out no nearest member, wherever the rows lie."""
+    rng = np.random.default_rng(7)
+    rows = rng.normal(size=(500, 20))
+    for own in (rows, rows + 1e5, rows * 1e-20, rows * 1e18, np.concatenate([rows, rows[:1] + 1e-7 * rng.normal(size=(100, 20))])):
+        members = own[rng.permutation(len(own))[:90]]
+        near, want = np.full(len(own), np.inf), squared_matrix(own, members).min(axis=1)
+        coreset.relaxed(near, own, members)
+        assert np.allclose(near, want, rtol=1e-12, atol=0)
