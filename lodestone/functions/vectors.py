@@ -9,6 +9,7 @@ neighbours, a bank row without one is nobody's neighbour), and the kernels refus
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -186,8 +187,8 @@ class Tree:
 class Bank:
     """Vectors (their ids ascending) that queries are held against. Many vectors of few dimensions are held by boxes."""
 
-    #: Distances of a slab.
-    MOST = 4_000_000
+    #: Distances of a slab; of a product in float32, and the vectors of one.
+    MOST, SLAB, PART = 4_000_000, 1 << 20, 4096
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray):
         self.vectors, self.ids = np.ascontiguousarray(vectors, dtype=np.float64), ids
@@ -249,6 +250,52 @@ class Bank:
         row, place = np.nonzero(~(d2 > bound[:, None]))
         return row, d2[row, place], ids[row, place]
 
+    @cached_property
+    def turned(self) -> tuple[np.ndarray, Rough, np.ndarray] | None:
+        """The center, the estimates' side of the vectors, and that side of their product; None where float32 is of no use."""
+        with np.errstate(invalid="ignore", over="ignore"):
+            center = self.vectors.mean(axis=0)
+            rough = Rough(self.vectors, center)
+        return (center, rough, rough.turned) if rough.serves else None
+
+    def passing(self, queries: np.ndarray, k: int, bound: Callable[[], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The pairs of ``within``, of a part of the vectors after the other; ``bound`` is asked before each, so that what was found before counts.
+
+        Of many dimensions, products in float32 leave the pairs whose distances are taken exactly.
+        """
+        queries = np.ascontiguousarray(queries, dtype=np.float64)
+        own = None
+        if self.tree is None and k and len(self.ids) and len(queries) and self.turned:
+            with np.errstate(invalid="ignore", over="ignore"):
+                own = Rough(queries, self.turned[0])
+        if own is None or not own.serves:
+            if len(self.ids):
+                yield self.within(queries, k, bound())
+            return
+        _, other, turned = self.turned
+        slack = own.slack(other.largest)
+        for first in range(0, len(self.ids), self.PART):
+            now, columns = bound(), turned[:, first : first + self.PART]
+            n = columns.shape[1]
+            step = max(1, self.SLAB // n)
+            found = []
+            for at in range(0, len(queries), step):
+                here = slice(at, at + step)
+                rough = own.rows[here] @ columns
+                limit = now[here].copy()
+                open_ = np.flatnonzero(np.isinf(limit))
+                if len(open_) and n > k:
+                    limit[open_] = np.partition(rough[open_], k - 1, axis=1)[:, k - 1].astype(np.float64) + slack[here][open_]
+                row, column = np.divmod(np.flatnonzero(rough <= over(limit + slack[here])[:, None]), n)
+                row, column = row + at, column + first
+                d2 = np.empty(len(row))
+                for i in range(0, len(row), 65_536):
+                    d = queries[row[i : i + 65_536]] - self.vectors[column[i : i + 65_536]]
+                    d2[i : i + 65_536] = np.einsum("ij,ij->i", d, d)
+                kept = d2 <= now[row]
+                found.append((row[kept], d2[kept], self.ids[column[kept]]))
+            yield tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
 
 def top_k(squared: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Each row's k smallest and their ids, nearest first, at equal distance the lower id. ``ids`` ascend."""

@@ -9,13 +9,16 @@ Rows without a vector are in no cluster, and a query without one has no neighbou
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.vectors import Bank, matrix, squared_matrix, top_k
-from lodestone.operators.knn import BROADCAST_BYTES, NARROW_ROWS, Means, _chunks, _together, averaged, averaged_each, bank_bytes, blocked, collected, merged, nearest, records, with_vector
+from lodestone.operators.knn import BROADCAST_BYTES, CHUNK_ROWS, NARROW_ROWS, ROUND_BYTES, Means, _chunks, _together, averaged, averaged_each, bank_bytes, blocked, collected, merged, nearest, passed, records, with_vector
 from lodestone.operators.split import seeded
 from lodestone.plans.progress import untimed
 from lodestone.shared import checkpointed, ship
@@ -200,6 +203,122 @@ def nearest_probed(queries: DataFrame, keys: list[str], indexed: DataFrame, cent
     return averaged_each(found, keys, means.metric, list(means.ks), means.name) if means.name else averaged(found, keys, means.metric)
 
 
+class Sweep:
+    """What a chunk of queries has found so far, for each of several numbers of probes."""
+
+    #: The id of a neighbour not found yet.
+    NONE = np.iinfo(np.int64).max
+
+    def __init__(self, queries: np.ndarray, centroids: np.ndarray, sizes: np.ndarray, k: int, probes: Sequence[int]):
+        self.queries, self.k, self.probes = np.ascontiguousarray(queries, dtype=np.float64), k, [min(p, len(centroids)) for p in probes]
+        _, self.order = top_k(squared_matrix(self.queries, centroids), np.arange(len(centroids)), len(centroids))
+        held = sizes[self.order].cumsum(axis=1)
+        few = held[:, np.array(self.probes) - 1] < k  # such a query is answered from the whole bank
+        self.levels = sorted({*self.probes, *([len(centroids)] if few.any() else [])})
+        #: For each query and number of probes the level that answers it, and for each query the clusters that it looks at.
+        self.answer = np.where(few, len(self.levels) - 1, np.searchsorted(self.levels, self.probes))
+        self.deep = np.array(self.levels)[self.answer].max(axis=1)
+        shape = (len(self.levels), len(self.queries), k)
+        self.near, self.ids = np.full(shape, np.inf), np.full(shape, self.NONE)
+
+    def meet(self, cells: dict[int, Bank]) -> None:
+        """The rows of some clusters, a query's nearest first. What was found bounds what the others may add."""
+        for rank in range(self.order.shape[1]):
+            level = int(np.searchsorted(self.levels, rank + 1))
+            if level == len(self.levels):
+                break
+            some = np.flatnonzero(self.deep > rank)
+            asked = self.order[some, rank]
+            for c in np.unique(asked).tolist():
+                if c in cells:
+                    at = some[asked == c]
+                    for row, d2, ids in cells[c].passing(self.queries[at], self.k, lambda at=at: self.near[level, at, -1]):
+                        self._add(level, at[row], d2, ids)
+
+    def _add(self, level: int, row: np.ndarray, d2: np.ndarray, ids: np.ndarray) -> None:
+        """Pairs of a query and a vector to a level and those that hold it."""
+        k = self.k
+        for near, known in zip(self.near[level:], self.ids[level:], strict=True):
+            kept = ~(d2 > near[row, -1])  # farther than the last of fewer vectors: farther than that of more, too
+            row, d2, ids = row[kept], d2[kept], ids[kept]
+            if not len(row):
+                return
+            changed, place = np.unique(row, return_inverse=True)
+            own = np.concatenate([np.repeat(np.arange(len(changed)), k), place])
+            every, each = np.concatenate([near[changed].reshape(-1), d2]), np.concatenate([known[changed].reshape(-1), ids])
+            order = np.lexsort((each, every, each == self.NONE, own))
+            take = order[(np.searchsorted(own[order], np.arange(len(changed)))[:, None] + np.arange(k)).reshape(-1)]
+            near[changed], known[changed] = every[take].reshape(-1, k), each[take].reshape(-1, k)
+
+    def found(self, number: int, rows: slice, total: int) -> np.ndarray:
+        """The distances of some queries for one of the numbers of probes, nearest first; ``total`` rows are in the bank."""
+        at = np.arange(len(self.queries))[rows]
+        return self.near[self.answer[at, number], at][:, : min(self.k, total)]
+
+
+def swept(
+    queries: DataFrame, keys: list[str], indexed: DataFrame, centroids: np.ndarray, k: int, probes: Sequence[int], metric: str, name: str, id_col: str = "bank_id", vector: str = "emb", limit: int = BROADCAST_BYTES, shared=None, round_bytes: int = ROUND_BYTES, times=untimed
+) -> DataFrame:
+    """Per query and number of probes (``name``): ``dist``, the mean over what ``nearest_probed`` finds.
+
+    One pass serves all numbers: the clusters of fewer probes are the first of more. An index beyond ``limit`` bytes comes round in blocks of about that size, each of a few
+    clusters or a part of one; queries are not copied. Only beyond ``round_bytes`` each number of probes is searched by itself.
+    """
+    spark = queries.sparkSession
+    ship(spark)
+    queries, indexed = with_vector(queries, vector).select(*keys, vector), with_vector(indexed, vector)
+    probes = [max(1, p) for p in probes]
+    shared = shared or shared_cells(indexed, centroids, id_col, vector, limit)
+    if shared is not None:
+        sizes, blocks, tree = shared.value.sizes, [shared], shared.value.whole.tree
+        queries = _together(queries, keys, tree.vectors, vector) if tree else queries
+    else:
+        bytes_ = bank_bytes(indexed, vector)
+        if bytes_ > round_bytes:
+            means = Means(metric, (k,))
+            return reduce(DataFrame.unionByName, (nearest_probed(queries, keys, indexed, centroids, k, p, id_col, vector, limit, means=means, times=times).withColumn(name, F.lit(p)) for p in probes))
+        sizes = np.zeros(len(centroids), dtype=np.int64)
+        for r in indexed.groupBy("cluster_id").count().collect():  # a row for each cluster
+            sizes[r["cluster_id"]] = r["count"]
+        blocks = _blocks(indexed, sizes, max(1, -(-bytes_ // max(1, limit or BROADCAST_BYTES))), id_col, vector)
+        # the work for a query is the same for all, so that tasks of equal rows are done at the same time
+        queries = queries.repartition(4 * spark.sparkContext.defaultParallelism)
+    total, names = int(sizes.sum()), [*keys, name, "dist"]
+    kinds = ", ".join(f"{c} {queries.schema[c].dataType.simpleString()}" for c in keys)
+
+    def run(batches):
+        narrow = shared is not None and shared.value.whole.tree is not None
+        for chunk in _chunks(batches, NARROW_ROWS // 2 if narrow else CHUNK_ROWS):
+            with times("knn"):
+                sweep = Sweep(matrix(chunk.column(chunk.num_columns - 1)), centroids, sizes, k, probes)
+                for block in blocks:
+                    cells = block.value
+                    if shared is None:
+                        block.__dict__.pop("_value", None)  # a worker keeps one block, not all that it has seen
+                    sweep.meet(cells if shared is None else dict(enumerate(cells.cells)))
+            for i in range(0, chunk.num_rows, 2048):
+                part = chunk.slice(i, 2048)
+                for j, p in enumerate(probes):
+                    yield Means(metric, (k,)).records(part, sweep.found(j, slice(i, i + 2048), total), keys).add_column(len(keys), name, pa.array(np.full(part.num_rows, p, dtype=np.int32))).select(names)
+
+    return queries.mapInArrow(run, f"{kinds}, {name} int, dist double")
+
+
+def _blocks(indexed: DataFrame, sizes: np.ndarray, n: int, id_col: str, vector: str) -> list:
+    """Broadcasts of about n blocks of an index: clusters in their order, by rows of about the same number. One block at a time passes the driver."""
+    spark = indexed.sparkSession
+    starts, own = np.concatenate(([0], np.cumsum(sizes)[:-1])).tolist(), F.col("cluster_id") + 1
+    place = F.element_at(F.lit(starts), own) + F.pmod(F.xxhash64(id_col), F.element_at(F.lit(sizes.tolist()), own))
+    each = -(-int(sizes.sum()) // n)
+    dealt = indexed.select(F.floor(place / each).cast("int").alias("block"), F.col(id_col).cast("long").alias(id_col), vector, "cluster_id")
+
+    def made(rows: DataFrame):
+        ids, vectors, owner = collected(rows, id_col, vector, ("cluster_id",))
+        return spark.sparkContext.broadcast({c: Bank(vectors[owner == c], ids[owner == c]) for c in np.unique(owner).tolist()})
+
+    return passed(dealt, n, made)
+
+
 def uses_index(use_ann: bool, n: int, clusters: int) -> bool:
     """The index serves if asked for and the bank has at least as many rows as clusters."""
     return use_ann and n >= clusters

@@ -179,16 +179,22 @@ def mean_distances(queries: DataFrame, keys: list[str], bank: DataFrame, metric:
 
 def _rounds(bank: DataFrame, id_col: str, vector: str, size: int, block_bytes: int, round_bytes: int) -> list[list]:
     """Broadcasts of the bank's blocks, by round. The bank is dealt into blocks once, and one block at a time passes the driver."""
-    spark = bank.sparkSession
     n = max(1, -(-size // block_bytes))
-    path = f"{shared_folder(spark)}/bank-{uuid.uuid4().hex}"
     dealt = bank.select(F.pmod(F.xxhash64(id_col, vector), F.lit(n)).cast("int").alias("block"), F.col(id_col).cast("long").alias(id_col), vector)
+    blocks = passed(dealt, n, lambda rows: _broadcast(rows, id_col, vector))
+    each = max(1, round_bytes // block_bytes)
+    return [blocks[i : i + each] for i in range(0, len(blocks), each)]
+
+
+def passed(dealt: DataFrame, n: int, made: Callable[[DataFrame], object]) -> list:
+    """What ``made`` makes of each of about ``n`` ``block``s of rows, one after the other."""
+    spark = dealt.sparkSession
+    path = f"{shared_folder(spark)}/bank-{uuid.uuid4().hex}"
     dealt.repartition(min(n, 1000), "block").write.partitionBy("block").parquet(path)
     schema = dealt.drop("block").schema
-    blocks = [_broadcast(spark.read.schema(schema).parquet(f"{path}/block={k}"), id_col, vector) for k in sorted(r[0] for r in spark.read.parquet(path).select("block").distinct().collect())]
+    blocks = [made(spark.read.schema(schema).parquet(f"{path}/block={k}")) for k in sorted(r[0] for r in spark.read.parquet(path).select("block").distinct().collect())]
     removed(spark, path)
-    each = max(1, round_bytes // block_bytes)
-    return [blocks[i : i + each] for i in range(0, len(blocks), each)]
+    return blocks
 
 
 def _passing(blocks: list, k: int, names: list[str], means: Means | None, times=untimed) -> Callable:

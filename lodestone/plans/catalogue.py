@@ -530,9 +530,7 @@ _PS = tuning.probe_candidates(CLUSTERS)
     + " " + " UNION ALL ".join(f"SELECT *, {p}::BIGINT AS ann_probes FROM {sql_best(f's{p}')}" for p in _PS)
 )
 def probe_sweep(spark, sf_dir):
-    index = _index(spark, sf_dir)
-    every, shared = tables.vectors(spark, sf_dir), ivf.shared_cells(*index)
-    distances = tuning.each("ann_probes", _PS, lambda p: ivf.nearest_probed(every, ["image_id"], *index, K, p, shared=shared, means=knn.Means("squared_euclidean", (K,))))
+    distances = ivf.swept(tables.vectors(spark, sf_dir), ["image_id"], *_index(spark, sf_dir), K, _PS, "squared_euclidean", "ann_probes")
     scored = distances.withColumn("score", F.round("dist", 6)).join(tables.maps(spark, sf_dir).select("image_id", "class"), "image_id")
     return _long(tuning.best_threshold(scored, ["ann_probes"]), "ann_probes")
 

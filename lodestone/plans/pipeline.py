@@ -50,10 +50,13 @@ class Scorer:
         m = self.model
         return features.patches(maps, "image_id", "data", self.shape, m.patch_size, m.downscale, self.times)
 
+    def _share(self) -> None:
+        if self.shared is None:  # one broadcast serves all searches and micro-batches
+            self.shared = ivf.shared_cells(*self.index) if self.index else knn.shared_bank(self.model.bank)
+
     def neighbours(self, maps: DataFrame, k: int | None = None, probes: int | None = None, means: knn.Means | None = None) -> DataFrame:
         m, k = self.model, k or self.model.num_neighbors
-        if self.shared is None:  # one broadcast serves all searches and micro-batches
-            self.shared = ivf.shared_cells(*self.index) if self.index else knn.shared_bank(m.bank)
+        self._share()
         if self.index:
             return ivf.nearest_probed(self.patches(maps), KEYS, *self.index, k, probes or m.ann_probes, shared=self.shared, means=means, times=self.times)
         return knn.nearest(self.patches(maps), KEYS, m.bank, k, shared=self.shared, means=means, times=self.times)
@@ -66,6 +69,13 @@ class Scorer:
         """Per image: ``score``."""
         return knn.image_scores(self.patch_scores(maps, k, probes))
 
+    def probed_scores(self, maps: DataFrame, k: int, probes: list[int], name: str) -> DataFrame:
+        """Per image and number of probes (``name``): ``score``."""
+        self._share()
+        if self.index and (self.shared is None or self.shared.value.whole.tree is None):  # boxes of few dimensions are quicker one by one
+            return knn.image_scores(ivf.swept(self.patches(maps), KEYS, *self.index, k, probes, self.model.metric, name, shared=self.shared, times=self.times), by=[name])
+        return tuning.each(name, probes, lambda p: self.scores(maps, k, p))
+
     def score_maps(self, maps: DataFrame) -> DataFrame:
         """Per image: ``score`` and ``scores``, its patches' in order, for heatmaps."""
         _, h, w = self.shape
@@ -109,7 +119,7 @@ def search_neighbors(scorer: Scorer, labelled: DataFrame, candidates=tuning.NEIG
 def search_probes(scorer: Scorer, labelled: DataFrame, k: int, candidates=None) -> list[dict]:
     """The best threshold for every number of probes; their scores are one table."""
     name = "ann_probes"
-    found = tuning.each(name, tuning.probe_candidates(scorer.model.ann_clusters, candidates), lambda p: scorer.scores(labelled, k, p))
+    found = scorer.probed_scores(labelled, k, tuning.candidates_of(name, tuning.probe_candidates(scorer.model.ann_clusters, candidates)), name)
     scored = found.join(labelled.select("image_id", "class"), "image_id")
     return [r.asDict() for r in tuning.best_threshold(scored, [name]).collect()]
 

@@ -513,3 +513,33 @@ def test_rows_lowered_by_members():
         near, want = np.full(len(own), np.inf), squared_matrix(own, members).min(axis=1)
         coreset.relaxed(near, own, members)
         assert np.allclose(near, want, rtol=1e-12, atol=0)
+
+
+def test_probes_in_one_pass(spark, monkeypatch):
+    """All numbers of probes from one pass, by one broadcast and by blocks: what searches one by one give, with ties, copies, small clusters and rows without a vector."""
+    rng = np.random.default_rng(11)
+    monkeypatch.setattr(Bank, "PART", 50)
+    spread = np.concatenate([rng.normal(size=(300, 12)), rng.integers(0, 2, size=(200, 12)), np.repeat(rng.normal(size=(3, 12)), 20, axis=0)])
+    for points, k in ((spread, 6), (spread + 1e5, 6), (spread * 1e20, 6), (rng.normal(size=(2500, 3)), 4), (rng.normal(size=(12, 12)), 20), (spread, 70)):
+        bank = vectors(spark, points)
+        indexed, centroids = ivf.build(bank, 7)
+        queries = vectors(spark, points[::5], "image_id").unionByName(spark.createDataFrame([(10**6, None)], "image_id long, emb array<float>"))
+        ps, rows = [1, 2, 5, 7], lambda df: sorted((r["image_id"], r["p"], r["dist"]) for r in df.collect())
+        one_by_one = tuning.each("p", ps, lambda p: ivf.nearest_probed(queries, ["image_id"], indexed, centroids, k, p, means=knn.Means("squared_euclidean", (k,))))  # noqa: B023
+        want = rows(one_by_one)
+        for limit in (knn.BROADCAST_BYTES, 12_000):
+            assert rows(ivf.swept(queries, ["image_id"], indexed, centroids, k, ps, "squared_euclidean", "p", limit=limit)) == want
+        assert len(want) == len(ps) * len(points[::5])
+    assert rows(ivf.swept(queries, ["image_id"], indexed, centroids, k, ps, "squared_euclidean", "p", limit=0, round_bytes=1)) == want
+
+
+def test_probe_sweep_copies_no_query(spark, sf_dir, monkeypatch):
+    """Beyond one broadcast the sweep takes the bank's blocks in turn, once for all numbers of probes."""
+    from lodestone.plans import catalogue
+
+    want = sorted(catalogue.QUERIES["probe_sweep"](spark, sf_dir).collect())
+    passes = []
+    monkeypatch.setattr(ivf, "shared_cells", lambda *a, **b: None)
+    monkeypatch.setattr(ivf, "blocked", lambda *a, **b: pytest.fail("queries are dealt out to the bank's blocks"))
+    monkeypatch.setattr(ivf, "passed", lambda *a, f=knn.passed: passes.append(1) or f(*a))
+    assert sorted(catalogue.QUERIES["probe_sweep"](spark, sf_dir).collect()) == want and passes == [1]
